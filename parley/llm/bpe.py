@@ -157,11 +157,26 @@ class Automaton:
         return " ".join([self.labels[i] for i in ids])
 
 
+#: Letters and numbers that Unicode 17 adds; the tokenizers library splits by Unicode 16.
+TOO_NEW = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d "
+    "107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 "
+    "16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff "
+    "1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+
+
+#: Capitals newer than Python's tables, with their small letters.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the kind `BPE with word ends`: NFC, lower case, white space dropped."""
 
     #: White space, but not the four separators that Python's ``split`` adds.
     SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+    NEW = regex.compile("[" + "".join(chr(int(a, 16)) + "-" + chr(int(b or a, 16)) for a, _, b in (x.partition("-") for x in TOO_NEW.split())) + "]")
     ODD = regex.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
@@ -197,7 +212,10 @@ class WordBpe:
         text = unicodedata.normalize("NFC", raw)
         # Lower case letter by letter: a sigma at a word's end stays the common one.
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
-        return [i for w in self.split.findall(text) for i in self.word(w)]
+        text = text if text.isascii() else text.translate(NEW_CAPITALS)
+        # The library takes characters that its Unicode version does not know for neither letters nor numbers.
+        known = text if text.isascii() else self.NEW.sub("\uffff", text)
+        return [i for m in self.split.finditer(known) for i in self.word(text[m.start() : m.end()])]
 
     def _filed(self, raw: str) -> tuple[int, str, str]:
         if len(self.chunks) >= CACHE:
