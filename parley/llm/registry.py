@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from parley.llm import bpe, mixing, url_filter
+from parley.llm import bpe, mixing, simhash, substring, url_filter
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
+    "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE = {
