@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from parley.llm import bpe, mixing, simhash, substring, url_filter
+from parley.llm import bpe, embeddings, langid, mixing, quality, simhash, substring, toxicity, url_filter
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
+    "op4_embedding_near_dedup": embeddings.op4_embedding_near_dedup,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_nearest": embeddings.op7_nearest,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
