@@ -20,6 +20,7 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ from parley.llm.common import table
 
 #: Cached words and transitions of a worker; beyond it the cache starts anew.
 CACHE = 1 << 18
+#: Texts encoded before their results are sent on.
+SLICE = 128
 
 
 def byte_symbols() -> list[str]:
@@ -268,13 +271,13 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
 
     def run(batches):
         bpe = load(path)
-        for batch in batches:
+        for batch in (x.slice(a, SLICE) for x in batches for a in range(0, x.num_rows, SLICE)):
             counts, first, second = [], [], []
-            for text in batch.column(1).to_pylist():
-                got = bpe.pieces(text)
+            for text in batch.column(1):
+                got = bpe.pieces(text.as_py())
                 counts.append(sum([x[0] for x in got]))
                 ids, labels = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else [*map(int, ids.split())])
+                first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else np.array(ids.split(), np.int32))
                 second.append(hashlib.sha256(labels.encode("utf-8", "surrogatepass")).hexdigest() if digests else labels)
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names)
