@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _CJK = "[一-鿿]"
 
@@ -130,7 +131,7 @@ def title_contains(title: Column, query: str) -> Column:
     return F.contains(F.lower(title), F.lit(query.lower()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
