@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         .withColumn("start", F.col("offset") + F.col("within") - F.col("size"))
     )
     budget = F.round("target").cast("long")
-    due = F.greatest(F.lit(1), F.least(F.lit(max_repeats), F.ceil((budget - F.col("start")) / F.col("source_size")).cast("int")))
+    due = F.greatest(F.lit(1), F.least(F.lit(max_repeats), F.ceil(F.try_divide(budget - F.col("start"), F.col("source_size"))).cast("int")))
     sent = (
         placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(due, F.lit(1)) - 1)))
         .withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
