@@ -42,6 +42,7 @@ def votes(text: str | None) -> tuple[int, ...]:
     capital = sum([1 for w in words if len(w) > 1 and w.isupper() and w.isalpha()] + [1 for w in words if w.endswith("!!")])
     ends = sum([1 for w in words if w[-1] in ".?!"])
     odd = sum([1 for w in words if not any(c.isalpha() for c in w)])
+    runs = sum([1 for w in words if w[-1] == w[-2:-1] == w[-3:-2] and not w[-1].isalnum()])
     return (
         _between(n, 5, 30),  # length
         _between(len(counts) / n, 0.2, 0.45) if n >= 20 else NONE,  # variety of words
@@ -51,10 +52,11 @@ def votes(text: str | None) -> tuple[int, ...]:
         _between(ends / n, 0.01, 0.04) if n >= 20 else NONE,  # ends of sentences
         _between(alphabetic / max(1, letters), 0.4, 0.7),  # letters in plain words
         BAD if letters / n > 14 or letters / n < 2 else GOOD if 3.5 <= letters / n <= 9 else NONE,  # length of words
+        _between(1 - runs / n, 0.8, 0.98),  # runs of one sign at the ends of words
     )
 
 
-HEURISTICS = ("length", "variety", "lines", "shouting", "signs", "sentences", "letters", "word_length")
+HEURISTICS = ("length", "variety", "lines", "shouting", "signs", "sentences", "letters", "word_length", "sign_runs")
 
 
 def patterns(docs: DataFrame) -> DataFrame:
@@ -76,8 +78,8 @@ class LabelModel:
         ids = np.array(sorted(counts), np.int64)
         self.digits = np.stack([(ids // 3**i) % 3 for i in range(k)], axis=1) if len(ids) else np.zeros((0, k), np.int64)
         n = np.array([counts[i] for i in ids.tolist()], float)
-        # it starts from the majority of votes, which settles which class is the good one
-        margin = (self.digits == GOOD).sum(axis=1) - 2 * (self.digits == BAD).sum(axis=1)
+        # it starts from the documents that no heuristic calls bad, which settles which class is the good one
+        margin = 2.0 - 4 * (self.digits == BAD).sum(axis=1)
         post = 1 / (1 + np.exp(-margin.astype(float)))
         self.share, self.chance = 0.5, np.full((2, k, 3), 1 / 3)
         for _ in range(rounds if len(ids) else 0):

@@ -134,9 +134,9 @@ def test_quality_without_true_labels(spark):
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(5)
     good = r.random(20000) < 0.8
-    right = [0.9, 0.7, 0.95, 0.6, 0.8, 0.85, 0.75, 0.9]
+    right = [0.9, 0.7, 0.95, 0.6, 0.8, 0.85, 0.75, 0.9, 0.65]
     votes = np.stack([np.where(r.random(20000) < a, good, ~good) * 2 for a in right], axis=1)
-    ids, n = np.unique(votes @ 3 ** np.arange(8), return_counts=True)
+    ids, n = np.unique(votes @ 3 ** np.arange(9), return_counts=True)
     model = quality.LabelModel(dict(zip(ids.tolist(), n.tolist(), strict=True)))
     assert abs(model.share - 0.8) < 0.02
     assert all(abs(model.chance[1, k, 2] - a) < 0.03 for k, a in enumerate(right))
