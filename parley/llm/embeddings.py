@@ -144,7 +144,7 @@ def _compare(least: float, per_part: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 8, leaf: int = 64, spill: float = 0.02, block: int = 2048, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 256, spill: float = 0.02, block: int = 2048, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding): links have cosine >= ``least``.
 
     The trees are fitted on a sample of at most ``FIT_ROWS`` different vectors; every vector goes down every tree, and
