@@ -27,7 +27,9 @@ from parley.llm.common import cut, table, words
 WINDOW, RUN = 13, 4
 BUCKETS = 1 << 16
 #: Words worked on at a time, packed bytes kept before they are sent, windows a bin should have.
-STEP_WORDS, FLUSH_BYTES, BIN_WINDOWS = 1 << 17, 24 << 20, 200_000
+STEP_WORDS, FLUSH_BYTES, BIN_WINDOWS = 1 << 16, 12 << 20, 200_000
+#: Texts rewritten before their results are sent on.
+SLICE = 512
 #: A bucket is crowded beyond this part of a partition's mean, or beyond this number of windows.
 CROWDED_PART, CROWDED_MOST = 0.2, 1 << 19
 
@@ -38,7 +40,7 @@ class _WordHash(dict):
     """Hash of a word, filed up to a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 17:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -290,7 +292,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, digest
         names = docs.columns
 
         def rewrite(batches):
-            for batch in batches:
+            for batch in (x.slice(a, SLICE) for x in batches for a in range(0, x.num_rows, SLICE)):
                 out = []
                 for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
                     text, spans = text.as_py(), spans.as_py()
@@ -300,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, digest
         return met.select(*names, "_spans").mapInArrow(rewrite, docs.schema)
 
     def digest(batches):
-        for batch in batches:
+        for batch in (x.slice(a, SLICE) for x in batches for a in range(0, x.num_rows, SLICE)):
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 kept, n = _kept(text.as_py(), spans.as_py())
