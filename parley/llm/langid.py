@@ -7,84 +7,72 @@ not in there. The language of the smallest sum of these out-of-place distances w
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import cut, table
 
-LETTERS = regex.compile(r"[\p{L}\p{M}]+")
-#: Longest n-gram, n-grams of a profile, and the bound of the learning sample: documents of each language.
+#: Longest n-gram (an n-gram is packed into 64 bits, 16 for a letter), n-grams of a profile, and the bound of the learning sample: documents of each language.
 LONGEST, PROFILE, FIT_DOCS = 4, 300, 400
-CACHE = 1 << 17
 UNKNOWN = "und"
+_EDGE = ord("_")
 
 
-class Grams:
-    """Numbers of n-grams and, for words already met, the numbers of their n-grams; both bounded."""
-
-    def __init__(self, longest: int):
-        self.longest, self.numbers, self.of_word, self.names = longest, {}, {}, []
-
-    def restart(self) -> None:
-        self.numbers, self.of_word, self.names = {}, {}, []
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.of_word.get(word)
-        if found is None:
-            padded, numbers, names, out = f"_{word}_", self.numbers, self.names, []
-            for n in range(1, self.longest + 1):
-                for i in range(len(padded) - n + 1):
-                    gram = padded[i : i + n]
-                    if gram == "_":
-                        continue
-                    at = numbers.get(gram)
-                    if at is None:
-                        at = numbers[gram] = len(names)
-                        names.append(gram)
-                    out.append(at)
-            found = np.array(out, np.int32)
-            if len(word) <= 40:
-                self.of_word[word] = found
-        return found
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram numbers, counts) of a whole text."""
-        if len(self.of_word) > CACHE or len(self.names) > 8 * CACHE:
-            self.restart()
-        words = Counter(LETTERS.findall(text.lower()) if not text.isascii() else _ascii_words(text.lower()))
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(0)
-        grams = [self.word(w) for w in words]
-        each = np.repeat(np.fromiter(words.values(), float, len(words)), np.fromiter(map(len, grams), np.int64, len(grams)))
-        numbers = np.concatenate(grams)
-        counts = np.bincount(numbers, each)
-        at = np.flatnonzero(counts)
-        return at, counts[at]
-
-
-_NOT_LETTER = {i: " " for i in range(128) if not chr(i).isalpha()}
-
-
-def _ascii_words(text: str) -> list[str]:
-    return text.translate(_NOT_LETTER).split()
-
-
-def most_frequent(names: list[str], at: np.ndarray, counts: np.ndarray, most: int) -> list[str]:
-    """The most frequent n-grams, equal ones in the order of their code points."""
-    if len(at) > most:
-        edge = np.partition(counts, -most)[-most]
-        keep = counts >= edge
-        at, counts = at[keep], counts[keep]
-    return [g for _, g in sorted(zip((-counts).tolist(), [names[i] for i in at.tolist()], strict=True))[:most]]
-
-
-def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS, most: int = PROFILE, longest: int = LONGEST, max_languages: int = 1000) -> dict[str, list[str]]:
-    """Profiles from rows (doc_id, text, lang). Of each language the ``fit_docs`` documents with the smallest hash of their id are counted, whole.
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are letters or marks."""
+    alpha = np.array([chr(i).isalpha() for i in range(0x110000)])
+    marks = np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)])
+    return alpha, alpha | marks
+
+
+def pack(gram: str) -> int:
+    """The 64 bits of an n-gram; their order is that of the code points."""
+    return sum(_fold(ord(c)) << (48 - 16 * i) for i, c in enumerate(gram))
+
+
+def _fold(point):
+    return point if point <= 0xFFFF else (point & 0x7FFF) | 0x8000
+
+
+def count_grams(text: str, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of a whole text's words, word ends marked, and how often each comes; none if there is no letter.
+
+    The words stand in a row with one mark between them, so an n-gram counts if it has no mark but at its ends.
+    """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    alpha, inside = _letters()
+    if not alpha[points].any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    row = np.concatenate([[_EDGE], np.where(inside[points], points, _EDGE), [_EDGE]])
+    edge = row == _EDGE
+    stay = np.r_[True, ~(edge[1:] & edge[:-1])]
+    row, edge = row[stay].astype(np.uint64), edge[stay]
+    row = np.where(row > 0xFFFF, (row & np.uint64(0x7FFF)) | np.uint64(0x8000), row)
+    keys, gram, clear = [row[~edge] << np.uint64(48)], row << np.uint64(48), np.ones(len(row), bool)
+    for n in range(2, longest + 1):
+        gram = gram[:-1] | row[n - 1 :] << np.uint64(64 - 16 * n)
+        if n > 2:
+            clear = clear[: len(gram)] & ~edge[n - 2 : n - 2 + len(gram)]  # no mark within
+        keys.append(gram[clear[: len(gram)]])
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def most_frequent(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """The most frequent n-grams (packed), equal ones in the order of their code points."""
+    if len(keys) > most:
+        keep = counts >= np.partition(counts, -most)[-most]
+        keys, counts = keys[keep], counts[keep]
+    return keys[np.lexsort([keys, -counts])][:most]
+
+
+def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS, most: int = PROFILE, longest: int = LONGEST, max_languages: int = 1000) -> dict[str, list[int]]:
+    """Profiles (packed n-grams in order) from rows (doc_id, text, lang). Of each language the ``fit_docs`` documents with the smallest hash of their id are counted, whole.
 
     ``max_languages`` bounds what is learned. Rows without a language or without text teach nothing.
     """
@@ -100,55 +88,50 @@ def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS, most: int = PROFILE, lo
     chosen = named.join(F.broadcast(picked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))
 
     def count(batches):
-        grams, total = Grams(longest), {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                at, counts = grams.count(text.as_py())
-                into = total.setdefault(lang.as_py(), Counter())
-                for i, n in zip(at.tolist(), counts.tolist(), strict=True):
-                    into[grams.names[i]] += n
-        rows = [(lang, g, n) for lang, c in total.items() for g, n in c.items()]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["lang", "gram", "n"])
-
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, gram string, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                keys, counts = count_grams(text.as_py(), longest)
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+
+    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counted.withColumn("place", place).filter(F.col("place") <= most).orderBy("lang", "place").collect()  # at most languages x profile
-    profiles: dict[str, list[str]] = {}
+    profiles: dict[str, list[int]] = {}
     for r in rows:
-        profiles.setdefault(r["lang"], []).append(r["gram"])
+        profiles.setdefault(r["lang"], []).append(r["gram"] & (1 << 64) - 1)
     return profiles
 
 
 class Judge:
-    """Profiles as a table: n-gram -> its rank in each language."""
+    """Profiles as a sorted table: a row for each n-gram with its rank in each language."""
 
-    def __init__(self, profiles: dict[str, list[str]], most: int, longest: int):
-        self.languages, self.most, self.grams = sorted(profiles), most, Grams(longest)
-        self.ranks: dict[str, np.ndarray] = {}
+    def __init__(self, profiles: dict[str, list], most: int, longest: int):
+        self.languages, self.most, self.longest = sorted(profiles), most, longest
+        packed = {lang: [pack(g) if isinstance(g, str) else g for g in profiles[lang]] for lang in self.languages}
+        self.keys = np.array(sorted({g for x in packed.values() for g in x}), np.uint64)
+        self.ranks = np.full((len(self.keys), len(self.languages)), -1, np.int64)
         for k, lang in enumerate(self.languages):
-            for rank, gram in enumerate(profiles[lang]):
-                self.ranks.setdefault(gram, np.full(len(self.languages), -1, np.int64))[k] = rank
+            self.ranks[np.searchsorted(self.keys, np.array(packed[lang], np.uint64)), k] = np.arange(len(packed[lang]))
 
     def judge(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages:
             return UNKNOWN, 0.0
-        at, counts = self.grams.count(text)
-        if not len(at):
+        keys, counts = count_grams(text, self.longest)
+        if not len(keys):
             return UNKNOWN, 0.0
-        top = most_frequent(self.grams.names, at, counts, self.most)
-        found = [(i, self.ranks[g]) for i, g in enumerate(top) if g in self.ranks]
+        top = most_frequent(keys, counts, self.most)
+        at = np.minimum(np.searchsorted(self.keys, top), len(self.keys) - 1)
+        mine = np.flatnonzero(self.keys[at] == top)
         distance = np.full(len(self.languages), len(top) * self.most, np.int64)
-        if found:
-            mine = np.array([i for i, _ in found])[:, None]
-            theirs = np.stack([r for _, r in found])
-            distance -= np.where(theirs >= 0, self.most - np.minimum(np.abs(theirs - mine), self.most), 0).sum(axis=0)
+        if len(mine):
+            theirs = self.ranks[at[mine]]
+            distance -= np.where(theirs >= 0, self.most - np.minimum(np.abs(theirs - mine[:, None]), self.most), 0).sum(axis=0)
         best = int(np.argmin(distance))
         near = 1.0 - distance / (len(top) * self.most)  # 0: nothing in common, 1: the profile itself
         return self.languages[best], float(near[best] / near.sum()) if near.sum() else 0.0
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[str]], most: int = PROFILE, longest: int = LONGEST) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list], most: int = PROFILE, longest: int = LONGEST) -> DataFrame:
     """doc_id, lang_pred and score (the winner's part of all closeness, 0 to 1) of every whole text of ``docs`` (doc_id, text).
 
     Texts that are null or have no letters, and all texts if no language was learned, are ``und`` with score 0. Equal distances: the

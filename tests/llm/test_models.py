@@ -148,3 +148,20 @@ def test_crc_split_matches_the_query(spark):
 
     got = [r[0] for r in spark.range(50).select(F.crc32(F.col("id").cast("string")) % 4).collect()]
     assert got == [zlib.crc32(str(i).encode()) % 4 for i in range(50)]
+
+
+def test_packed_grams_against_plain_counting():
+    from collections import Counter
+
+    import regex
+
+    r = random.Random(8)
+    for k in range(300):
+        text = "".join(r.choice("ab é_-1\ńñß日\U00010400Σ") for _ in range(k % 60))
+        want = Counter()
+        for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()):
+            padded = f"_{w}_"
+            for n in range(1, 5):
+                want.update(langid.pack(padded[i : i + n]) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_")
+        keys, counts = langid.count_grams(text, 4)
+        assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == (dict(want) if any(c.isalpha() for c in text) else {})
