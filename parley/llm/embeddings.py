@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import components, cut, table
@@ -19,15 +19,19 @@ from parley.llm.common import components, cut, table
 FIT_ROWS = 16_384
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part."""
+def takes_part() -> Column:
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", "embedding").filter(v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False)))
+    return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of the rows that take part."""
+    return vectors.select("vec_id", "embedding").filter(takes_part())
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """One row for each different vector: class_id (smallest vec_id), copies (rows that hold it), firsts (its 7 smallest vec_ids), embedding."""
+    """One row for each different vector: class_id (smallest vec_id), copies (rows that hold it), embedding."""
     grouped = vectors.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     return grouped.select("class_id", "copies", "embedding")
 
@@ -165,7 +169,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf:
     for more in found[1:]:
         named = named.unionByName(more)
     met = good.join(named, good["embedding"] == named["class_vector"]).select("vec_id", F.col("n_links"), F.col("component_id"))
-    rest = vectors.join(good.select(F.col("vec_id").alias("good_id")).distinct(), F.col("vec_id") == F.col("good_id"), "left_anti")
+    rest = vectors.filter(~takes_part())
     all_rows = met.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return all_rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

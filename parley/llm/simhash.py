@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; rows that repeat it go too. Null ids stay."""
+    """One document of each group stays, the one with the smallest doc_id. Rows that share a doc_id are one document; rows with a null id stay."""
     gone = near_duplicates(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     return kept

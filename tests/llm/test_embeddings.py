@@ -87,3 +87,9 @@ def test_near_copies_do_not_double_at_every_split():
     x = e.unit(np.ones((2000, 8)) + 1e-3 * r.standard_normal((2000, 8)))
     forest = e.Forest(x, 2, 64, 0.02, 1)
     assert len(forest.reach(x)[0]) <= 3 * 2 * len(x)
+
+
+def test_null_ids_and_ids_that_repeat(spark):
+    v = [1.0, 2.0]
+    got = e.near_vectors(frame(spark, [(None, v), (4, v), (4, v), (4, None), (None, None)])).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == sorted([(None, 2, 4), (4, 2, 4), (4, 2, 4), (4, 0, 4), (None, 0, None)], key=str)
