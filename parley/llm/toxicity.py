@@ -23,13 +23,15 @@ DIMS, HIDDEN = 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 #: Bound of the learning sample: texts of each label, and letters of a text.
 FIT_DOCS, FIT_CHARS = 900, 4000
+#: Letters of the longest word, and those that two pieces of a longer one share: more than a letter n-gram has.
+PIECE, OVERLAP = 64, 8
 CACHE = 1 << 18
 _EDGE = ".,;:!?\"'()[]{}|*_-"
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For many words: the row of each word, the rows of their letter n-grams one after another, and how many each word has."""
-    marked = [f"<{w[:64] or '-'}>".encode("utf-8", "surrogatepass") for w in words]
+    marked = [f"<{w or '-'}>".encode("utf-8", "surrogatepass") for w in words]
     rows = np.fromiter((zlib.crc32(m, 1) for m in marked), np.int64, len(marked)) % WORD_ROWS
     letters = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), np.fromiter(map(len, marked), np.int64, len(marked)))
@@ -58,7 +60,11 @@ def pick(feats: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> tu
 
 
 def split(text: str | None) -> list[str]:
-    return [w.strip(_EDGE) for w in text.lower().split()] if text else []
+    """The words of a text; a longer one than ``PIECE`` letters, as of a text without spaces, is parted into overlapping pieces."""
+    found = [w.strip(_EDGE) for w in text.lower().split()] if text else []
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[a : a + PIECE] for w in found for a in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
 
 
 def sigmoid(x):

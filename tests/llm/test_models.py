@@ -71,6 +71,18 @@ def test_toxicity_held_out(spark):
     assert np.isfinite(scorer.texts([None, "", " | "])).all()
 
 
+def test_long_words_are_read_to_their_end():
+    r = random.Random(6)
+    for n in (1, 64, 65, 120, 121, 1000):
+        word = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+        pieces = toxicity.split(f"so {word} (it)")[1:-1]
+        assert all(len(x) <= toxicity.PIECE for x in pieces)
+        assert {word[a : a + 5] for a in range(max(1, n - 4))} <= {x[a : a + 5] for x in pieces for a in range(len(x))}
+    scorer = toxicity.Scorer(toxicity.Network(1))
+    same, other = scorer.texts(["a" * 64 + "then" * 50, "a" * 64 + "then" * 40 + "mist" * 10])
+    assert same != other
+
+
 def test_toxicity_without_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
