@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, table, word_count
+from parley.llm.common import WORD, cut, table, word_count
 
 #: Documents a block has on average, and the most blocks a source is parted into.
 BLOCK_ROWS, MAX_BLOCKS = 128, 65_536
@@ -42,12 +42,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 7, keep_idle: bool = False) -> DataFrame:
     """The mix of ``docs`` (doc_id, source, text): one row for each time a document is sent, range-sorted by virtual finish time.
 
-    Columns: doc_id, source, size, source_size, target, row_key (tells repeated rows apart), epoch (from 0),
+    Columns: doc_id, source, size, text_hash, source_size, target, row_key (tells repeated rows of a source apart), epoch (from 0),
     finish (virtual time) and take (words sent: the size, or less for the document cut at the budget).
     With ``keep_idle`` documents that are never sent have one row with take 0. Documents without words take nothing. Rows that
     repeat count each for itself. The order depends only on the rows and ``seed``, so reruns agree. Empty in, empty out.
     """
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     blocks = max(1, min(MAX_BLOCKS, sized.count() // BLOCK_ROWS))
     shuffled = sized.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", F.pmod("shuffle", F.lit(blocks)))
     sums = cut(shuffled.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "blocks")
@@ -60,7 +60,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         .select("s", "b", "offset", "source_size", "target"),
         "offsets",
     )
-    inside = Window.partitionBy("source", "block").orderBy("shuffle", "doc_id", "size")
+    inside = Window.partitionBy("source", "block").orderBy("shuffle", "doc_id", "size", "text_hash")
     placed = (
         shuffled.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("place", F.row_number().over(inside))
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         .withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
         .withColumn("finish", F.coalesce((F.col("begin") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)))
         .withColumn("take", F.greatest(F.lit(0), F.least("size", budget - F.col("begin"))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", F.struct("block", "place").alias("row_key"), "epoch", "finish", "take")
+        .select("doc_id", "source", "size", "text_hash", "source_size", "target", F.struct("block", "place").alias("row_key"), "epoch", "finish", "take")
     )
     if not keep_idle:
         sent = sent.filter("take > 0")
@@ -84,14 +84,31 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: every column of ``docs``, a row for each time it is sent; the one cut at the budget has its first words only.
 
-    Only sent counts travel to the texts, joined on doc_id. Documents without words were never sent and go.
+    Only sent counts travel to the texts, joined on the row itself: doc_id, source and the text's hash. Of rows that are equal
+    in these, each goes as often as the mix sends the one in its place. Documents without words were never sent and go.
     """
-    counts = mix_sources(docs, **options).groupBy("doc_id").agg(F.sum(F.expr("CAST(take = size AS INT)")).alias("whole"), F.max(F.expr("CASE WHEN take < size THEN take END")).alias("part"), F.count_distinct("row_key").alias("rows"))
-    met = docs.join(counts.withColumnRenamed("doc_id", "sent_id"), F.col("doc_id").eqNullSafe(F.col("sent_id")))
-    # rows that repeat share their sendings evenly; what is left over goes with a part
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), F.ceil(F.col("whole") / F.col("rows")).cast("int")), F.when(F.col("part").isNotNull(), F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    cut_text = F.when(F.col("cut_at").isNull(), F.col("text")).otherwise(F.array_join(F.slice(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"), F.lit(1), F.col("cut_at").cast("int")), " "))
-    return met.withColumn("cut_at", F.explode(copies)).select(*[cut_text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    own = ["doc_id", "source", "text_hash"]
+    sent = mix_sources(docs, keep_idle=True, **options).groupBy(*own).agg(
+        F.sum(F.expr("CAST(take > 0 AND take = size AS INT)")).alias("whole"),
+        F.max(F.expr("CASE WHEN take > 0 AND take < size THEN take END")).alias("part"),
+        F.sum(F.expr("CAST(epoch = 0 AS INT)")).alias("rows"),
+    )
+    sent = sent.filter("whole > 0 OR part IS NOT NULL").select(*[F.col(c).alias(f"sent_{c}") for c in own], "whole", "part", "rows")
+    sent = cut(sent, "sent")
+    plain = [F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)]
+    met = docs.select(*plain, F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.xxhash64("text").alias("own_hash")).join(
+        sent, F.col("own_id").eqNullSafe(F.col("sent_doc_id")) & F.col("own_source").eqNullSafe(F.col("sent_source")) & (F.col("own_hash") == F.col("sent_text_hash"))
+    )
+    # equal rows stand together in the mix, so the first of them are sent once more, and the next one may be cut
+    place = F.row_number().over(Window.partitionBy("own_id", "own_source", "own_hash").orderBy("own_hash"))
+    met = met.filter("rows = 1").withColumn("place", F.lit(1)).union(met.filter("rows > 1").withColumn("place", place))
+    each, left = F.floor(F.col("whole") / F.col("rows")).cast("int"), (F.col("whole") % F.col("rows")).cast("int")
+    times = each + F.when(F.col("place") <= left, 1).otherwise(0)
+    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(F.col("part").isNotNull() & (F.col("place") == left + 1), F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    met = met.withColumn("cut_at", F.explode(copies))
+    text = F.col(f"doc_{docs.columns.index('text')}")
+    cut_text = F.when(F.col("cut_at").isNull(), text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("cut_at").cast("int")), " "))
+    return met.select(*[cut_text.alias("text") if c == "text" else F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

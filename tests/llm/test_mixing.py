@@ -78,3 +78,22 @@ def test_mixed_documents_have_the_words_of_the_mix(spark):
         got[r["source"]] += len(r["text"].split())
     for s, t in brute_targets(sizes).items():
         assert abs(got[s] - t) <= 1
+
+
+def test_rows_that_share_an_id_are_sent_as_often_as_the_mix_says(spark):
+    """Null and shared ids in several sources, equal rows, and the document cut at the budget."""
+    rows = [(None, f"s{i % 3}", f"n{i} " * (i % 12 + 1)) for i in range(60)] + [(7, f"s{i % 4}", f"k{i} " * 5) for i in range(20)]
+    rows += [(8, "s1", "one two three ")] * 7 + [(9, None, "x y z")] * 2 + [(i, "s2", f"w{i} v") for i in range(100, 130)]
+    docs = rows_of(spark, rows)
+    taken, sizes, got = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in mixing.mix_sources(docs).collect():
+        taken[r["doc_id"], r["source"], r["text_hash"]] += r["take"]
+    hashed = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    words = {t.split()[0]: t for _, _, t in rows}
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["doc_id"], r["source"], hashed[words[r["text"].split()[0]]]] += len(r["text"].split())
+    assert dict(got) == dict(taken)
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    for s, t in brute_targets(sizes).items():
+        assert abs(sum(n for k, n in got.items() if k[1] == s) - t) <= 1
