@@ -2,8 +2,8 @@
 
 A word enters the network as two vectors: a row of a word table, and the mean of rows of a table of letter n-grams (3 to 5
 letters, word ends marked), both hashed. Two gated recurrent layers read a window of words forwards and backwards,
-attention pools their states, and a logistic output scores the window. All overlapping windows of a text are scored; the text
-has the score of its worst window. So training takes, of a toxic text, the window that the network finds worst so far.
+attention pools their states, and a logistic output scores the window. Windows overlap by half, one at every 12th word of a
+text; the text has the score of its worst window. So training takes, of a toxic text, the window that the network finds worst so far.
 """
 
 from __future__ import annotations
