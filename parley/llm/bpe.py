@@ -17,20 +17,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm.common import table
+from parley.llm.common import sliced, table
 
-#: Cached words and transitions of a worker; beyond it the cache starts anew.
-CACHE = 1 << 18
-#: Texts encoded before their results are sent on.
-SLICE = 128
+#: Cached words and transitions of a worker, and bytes of filed stretches; beyond it the cache starts anew.
+CACHE, CACHE_BYTES = 1 << 18, 160 << 20
+#: Slots of the table of transitions; symbols of a word that is encoded alone; words encoded together; letters of a stretch that is encoded with its text only.
+PAIRS, ALONE, TOGETHER, LONG = 1 << 21, 64, 1 << 14, 1 << 12
+#: Bytes of texts encoded before their results are sent on.
+SLICE = 2 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -40,6 +44,39 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(keep) else chr(next(spare)) for b in range(256)]
 
 
+class Lookup:
+    """A fixed table from numbers to numbers, read for whole arrays: open addressing, -1 for what is not in it."""
+
+    def __init__(self, keys, values):
+        keys, values = np.fromiter(keys, np.int64), np.fromiter(values, np.int32)
+        self.mask = np.int64((1 << max(4, (3 * len(keys)).bit_length())) - 1)
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] < 0
+            _, first = np.unique(at[left][free], return_index=True)
+            put = left[free][first]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.int64(0x2545F4914F6CDD1D)) >> np.int64(29)) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Automaton:
     """The compiled merges. ``labels[i]`` is token i's string."""
 
@@ -91,6 +128,122 @@ class Automaton:
             if depth[node] > 1:
                 self.back[node] = self.read(self.back[key >> 16], key & 0xFFFF)
             self.at_end[node] += self.at_end[self.back[node]]
+        self._compile(depth)
+
+    def _compile(self, depth: list[int]) -> None:
+        """The automaton as arrays: edges, ways back, the token that ends at a node and the next shorter one's node, and the cuts of the gadgets."""
+        self.edges = Lookup(self.goto.keys(), self.goto.values())
+        self.ways_back = np.array(self.back, np.int32)
+        own = [x[0] if x and x[0][1] == d else (-1, 0) for x, d in zip(self.at_end, depth, strict=True)]
+        self.token, self.width = (np.array([x[i] for x in own], np.int32) for i in (0, 1))
+        shorter = np.zeros(len(depth), np.int32)  # the next node on the way back at which a token ends; 0: none
+        for node in sorted(range(1, len(depth)), key=depth.__getitem__):
+            back = self.back[node]
+            shorter[node] = back if own[back][0] >= 0 else shorter[back]
+        self.shorter = shorter
+        self.longest = np.where(self.token >= 0, np.arange(len(depth), dtype=np.int32), shorter)
+        self.cuts = Lookup((x << 20 | y for x, y in self.cut_at), self.cut_at.values())
+        self.births, self.heads, self.tails = (np.array(x, np.int32) for x in (self.born, self.head, self.tail))
+        self.pairs, self.arcs = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)  # arcs looked up last, by slot
+
+    def reads(self, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The nodes after one more symbol each."""
+        nodes, out, left = nodes.copy(), np.zeros(len(nodes), np.int32), np.arange(len(nodes))
+        while len(left):
+            got = self.edges.get(nodes[left].astype(np.int64) << 16 | symbols[left])
+            hit = got >= 0
+            out[left[hit]] = got[hit]
+            left = left[~hit & (nodes[left] > 0)]
+            nodes[left] = self.ways_back[nodes[left]]
+        return out
+
+    def follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the states behind the tokens ``x`` have the arcs ``y``: from the table of transitions, or else through the versions."""
+        keys = x.astype(np.int64) << 20 | y
+        slots = (keys * np.int64(0x2545F4914F6CDD1D) >> np.int64(40)) & np.int64(PAIRS - 1)
+        out = self.arcs[slots]
+        new = np.flatnonzero(self.pairs[slots] != keys)
+        if len(new):
+            fresh, where = np.unique(keys[new], return_inverse=True)
+            found = self._arcs((fresh >> 20).astype(np.int32), (fresh & 0xFFFFF).astype(np.int32))
+            out[new] = found[where]
+            at = (fresh * np.int64(0x2545F4914F6CDD1D) >> np.int64(40)) & np.int64(PAIRS - 1)
+            self.pairs[at] = fresh
+            self.arcs[at] = found & (self.pairs[at] == fresh)
+            lost = self.pairs[at] != fresh  # another pair has the slot: its arc must stay its own
+            if lost.any():
+                self.pairs[at[lost]] = -1
+        return out
+
+    def _arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``_arc`` of many pairs, after all merges."""
+        out, left, time = np.zeros(len(x), bool), np.arange(len(x)), np.full(len(x), self.FOREVER, np.int32)
+        x, y = x.copy(), y.copy()
+        while len(left):
+            a, b = x[left], y[left]
+            cut = self.cuts.get(a.astype(np.int64) << 20 | b)
+            stays = (cut < 0) | (cut >= time[left])
+            born_a, born_b = self.births[a], self.births[b]
+            back_a = stays & (born_a > born_b)
+            back_b = stays & ~back_a & (born_b >= 0)
+            out[left[stays & ~back_a & ~back_b]] = True
+            i, j = left[back_a], left[back_b]
+            time[i], x[i] = born_a[back_a], self.tails[a[back_a]]
+            time[j], y[j] = born_b[back_b] + 1, self.heads[b[back_b]]
+            left = left[back_a | back_b]
+        return out
+
+    def encode_many(self, words: list[str]) -> list[list[int]]:
+        """``encode`` of many words at once, a symbol of each at a time. Long words, and those with a symbol without a token, go alone."""
+        out: list = [None] * len(words)
+        order = sorted((i for i, w in enumerate(words) if len(w) <= ALONE), key=lambda i: -len(words[i]))
+        for a in range(0, len(order), TOGETHER):
+            some = order[a : a + TOGETHER]
+            for i, ids in zip(some, self._together([words[i] for i in some]), strict=True):
+                out[i] = ids
+        return [self.encode(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _together(self, words: list[str]) -> list[list[int] | None]:
+        """Words in order of length, the longest first."""
+        n, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        most = int(lengths[0]) if n else 0
+        symbols = np.zeros((most, n), np.int64)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbols[row, np.repeat(np.arange(n), lengths)] = flat
+        ends, starts = np.zeros((most + 1, n), np.int32), np.zeros((most + 1, n), np.int16)
+        nodes, fine = np.zeros(n, np.int32), np.ones(n, bool)
+        for k in range(1, most + 1):
+            active = int(np.searchsorted(-lengths, -k, "right"))
+            nodes[:active] = self.reads(nodes[:active], symbols[k - 1, :active])
+            left, at = np.arange(active), self.longest[nodes[:active]]
+            fine[left[at == 0]] = False
+            left, at = left[at > 0], at[at > 0]
+            while len(left):
+                token, start = self.token[at], k - self.width[at]
+                ok = start == 0
+                ask = np.flatnonzero(~ok)
+                ok[ask] = self.follow(ends[start[ask], left[ask]], token[ask])
+                ends[k, left[ok]], starts[k, left[ok]] = token[ok], start[ok]
+                left, at = left[~ok], self.shorter[at[~ok]]
+                fine[left[at == 0]] = False
+                left, at = left[at > 0], at[at > 0]
+        # backwards from the ends of the words that are fine
+        place, left, taken, owners = lengths * fine, np.flatnonzero(fine & (lengths > 0)), [], []
+        while len(left):
+            taken.append(ends[place[left], left])
+            owners.append(left)
+            place[left] = starts[place[left], left]
+            left = left[place[left] > 0]
+        found: list = [[] if x else None for x in fine.tolist()]
+        if taken:
+            owner = np.concatenate(owners[::-1])
+            by_word = np.argsort(owner, kind="stable")
+            ids, counts = np.concatenate(taken[::-1])[by_word].tolist(), np.bincount(owner, minlength=n)
+            edge = np.r_[0, np.cumsum(counts)].tolist()
+            for i in np.flatnonzero(fine).tolist():
+                found[i] = ids[edge[i] : edge[i + 1]]
+        return found
 
     SHIFT, END = 0x1000, "</w>"
 
@@ -174,6 +327,28 @@ NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0
 NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 
+class _Filed(dict):
+    """Stretch -> its ids as text, encoded when first met; ``labels`` are the same stretches decoded. Bounded in bytes between texts."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.labels, self.silent, self.held = bpe, {}, set(), 0
+
+    def __missing__(self, raw: str) -> str:
+        return self.put(raw, self.bpe.parted(raw))
+
+    def put(self, raw: str, words: list[str]) -> str:
+        self[raw], self.labels[raw] = found, labels = self.bpe.chunk(words)
+        if not found:
+            self.silent.add(raw)
+        self.held += 200 + 2 * len(raw) + 2 * len(found) + 2 * len(labels)
+        return found
+
+    def bound(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.labels, self.silent, self.held = {}, set(), 0
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the kind `BPE with word ends`: NFC, lower case, white space dropped."""
 
@@ -196,53 +371,80 @@ class WordBpe:
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = dict(enumerate(byte_symbols()))
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            symbols = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
-            found = self.words[word] = self.automaton.encode(symbols[:-1] + chr(ord(symbols[-1]) + Automaton.SHIFT) if self.end else symbols)
-        return found
-
-    def chunk(self, raw: str) -> list[int]:
-        """Ids of a stretch without white space."""
+        self.mark = os.path.commonprefix(list(self.special))  # a text without it holds no special token
+        self.numbers = list(map(str, range(len(labels))))
+        self.words: dict[str, tuple[str, str]] = {}
+        self.filed = _Filed(self)
+
+    def read(self, word: str) -> str:
+        """The symbols of a word, the last one shifted."""
+        symbols = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        return symbols[:-1] + chr(ord(symbols[-1]) + Automaton.SHIFT) if self.end else symbols
+
+    def _texts(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(self.numbers.__getitem__, ids)), self.automaton.decode(ids)
+
+    def word(self, word: str) -> tuple[str, str]:
+        """Ids and labels of a word, each joined by one space."""
+        return self.words.get(word) or self._texts(self.automaton.encode(self.read(word)))
+
+    def meet(self, texts: list[str | None]) -> None:
+        """File the stretches of these texts that are new; their words that are new are encoded all at once."""
+        self.filed.bound()
+        if len(self.words) > CACHE:
+            self.words.clear()
+        new = [(x, self.parted(x)) for x in set(chain.from_iterable([t.split() for t in texts if t])) - self.filed.keys() if len(x) <= LONG]
+        words = [w for w in set(chain.from_iterable([x for _, x in new])) - self.words.keys() if len(w) <= ALONE]
+        for w, ids in zip(words, self.automaton.encode_many([self.read(w) for w in words]), strict=True):
+            self.words[w] = self._texts(ids)
+        for raw, found in new:
+            self.filed.put(raw, found)
+
+    def chunk(self, words: list[str]) -> tuple[str, str]:
+        """Ids and labels of the words of a stretch."""
+        if len(words) == 1:
+            return self.word(words[0])
+        got = [x for x in map(self.word, words) if x[0]]
+        return " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+
+    def parted(self, raw: str) -> list[str]:
+        """The words of a stretch without white space."""
         if raw.isascii() and raw.isalpha():
-            return self.word(raw.lower())
+            return [raw.lower()]
         text = unicodedata.normalize("NFC", raw)
         # Lower case letter by letter: a sigma at a word's end stays the common one.
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
         text = text if text.isascii() else text.translate(NEW_CAPITALS)
         # The library takes characters that its Unicode version does not know for neither letters nor numbers.
         known = text if text.isascii() else self.NEW.sub("\uffff", text)
-        return [i for m in self.split.finditer(known) for i in self.word(text[m.start() : m.end()])]
-
-    def _filed(self, raw: str) -> tuple[int, str, str]:
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        ids = self.chunk(raw)
-        found = self.chunks[raw] = (len(ids), " ".join(map(str, ids)), self.automaton.decode(ids))
-        return found
+        return [text[m.start() : m.end()] for m in self.split.finditer(known)]
 
-    def pieces(self, text: str | None) -> list[tuple[int, str, str]]:
-        """(number of ids, ids as text, labels as text) of each stretch; null is empty."""
+    def both(self, text: str | None) -> tuple[str, str]:
+        """(ids, labels) of a whole text, each joined by one space; null is empty."""
         if not text:
-            return []
-        out, chunks = [], self.chunks
-        for part in self.parts.split(text) if self.parts and "<|" in text else (text,):
-            if part in self.special:
-                out.append((1, str(self.special[part]), part))
-            else:
-                for raw in self.SPACE.split(part) if self.ODD.search(part) else part.split():
-                    if raw:
-                        out.append(chunks.get(raw) or self._filed(raw))
-        return [x for x in out if x[0]]
+            return "", ""
+        filed = self.filed
+        filed.bound()
+        if self.parts and self.mark in text and self.parts.search(text):
+            ids, labels = [], []
+            for part in self.parts.split(text):
+                got = (str(self.special[part]), part) if part in self.special else self._plain(part, filed)
+                if got[0]:
+                    ids.append(got[0])
+                    labels.append(got[1])
+            return " ".join(ids), " ".join(labels)
+        return self._plain(text, filed)
+
+    def _plain(self, text: str, filed: _Filed) -> tuple[str, str]:
+        """The same of a text without special tokens: its stretches between white space go through the filed ones."""
+        stretches = [x for x in self.SPACE.split(text) if x] if self.ODD.search(text) else text.split()
+        ids = list(map(filed.__getitem__, stretches))
+        if filed.silent and not filed.silent.isdisjoint(stretches):
+            stretches, ids = [x for x in stretches if x not in filed.silent], [x for x in ids if x]
+        return " ".join(ids), " ".join(map(filed.labels.__getitem__, stretches))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(" ")]
+        return list(map(int, self.both(text)[0].split()))
 
     def decode(self, ids) -> str:
         return self.automaton.decode(ids)
@@ -271,13 +473,13 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
 
     def run(batches):
         bpe = load(path)
-        for batch in (x.slice(a, SLICE) for x in batches for a in range(0, x.num_rows, SLICE)):
-            counts, first, second = [], [], []
-            for text in batch.column(1):
-                got = bpe.pieces(text.as_py())
-                counts.append(sum([x[0] for x in got]))
-                ids, labels = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else np.array(ids.split(), np.int32))
+        for batch in sliced(batches, SLICE):
+            counts, first, second, texts = [], [], [], batch.column(1).to_pylist()
+            bpe.meet(texts)
+            for text in texts:
+                ids, labels = bpe.both(text)
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else np.fromstring(ids, np.int32, sep=" "))
                 second.append(hashlib.sha256(labels.encode("utf-8", "surrogatepass")).hexdigest() if digests else labels)
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names)

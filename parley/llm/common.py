@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sliced(batches, most: int, rows: int = 4096, column: str | int = "text"):
+    """Arrow batches in slices of at most ``most`` bytes of texts and ``rows`` rows (one row at least), without copying."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(lengths), 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))
+            b = max(a + 1, min(b, a + rows))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -60,7 +74,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = cut_free(_both_ways(edges))
+    both = _both_ways(edges)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
     return both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -73,10 +87,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.filter("a <> b").distinct()
 
 
-def cut_free(df: DataFrame) -> DataFrame:
-    return df
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected links ``(a, b)``: rows ``(node, component)``, the component being its smallest node.
 
