@@ -43,9 +43,12 @@ def corpus(seed=3, n=120):
     return rows + [(5000, None), (5001, ""), (5002, "  "), (5003, rows[3][1]), (5004, rows[3][1].replace(" ", "\r\n")), (5005, "w1 " * 20000), (5006, "w1 " * 13)]
 
 
-@pytest.mark.parametrize("crowded_most", [1 << 19, 0])
-def test_against_plain_loop(spark, monkeypatch, crowded_most):
-    if not crowded_most:
+@pytest.mark.parametrize("crowded_most", [1 << 20, 3])
+@pytest.mark.parametrize("step", [s.STEP, 4000])
+def test_against_plain_loop(spark, monkeypatch, crowded_most, step):
+    monkeypatch.setattr(s, "STEP", step)  # the small one parts the long text into pieces
+    monkeypatch.setattr(s, "PIECE_WORDS", 1000)
+    if crowded_most == 3:
         monkeypatch.setattr(s, "CROWDED_PART", 0.0)
         real = max
         monkeypatch.setattr(s, "max", lambda *a: 3 if a[0] == 256 else real(*a), raising=False)
@@ -55,6 +58,43 @@ def test_against_plain_loop(spark, monkeypatch, crowded_most):
     assert got == plain(rows)
 
 
+def test_crowded_part_does_not_rise_with_the_input(spark):
+    """Slots and bins grow with the windows, so a slot of ordinary text stays under the bound at any size."""
+    from parley.llm.substring import BIN_WINDOWS, CROWDED_MOST, SLOT_BYTES
+
+    assert SLOT_BYTES * 16 < CROWDED_MOST  # windows a slot has on average, were every byte's text 16 times as long
+    assert BIN_WINDOWS < CROWDED_MOST
+
+
+def test_one_id_with_two_texts(spark):
+    t, u = " ".join(f"x{i}" for i in range(20)), " ".join(f"y{i}" for i in range(32))
+    docs = spark.createDataFrame([(1, t), (3, t), (3, u), (3, u)], "doc_id int, text string")
+    got = sorted(map(tuple, s.remove_repeats(docs).collect()))
+    assert got == sorted([(1, t), (3, ""), (3, u), (3, u)])
+
+
+def test_ids_that_are_no_numbers(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        s.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_clashing_column_names(spark):
+    t = " ".join(f"x{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, t, 7, 8, "s", "c"), (2, t + " z", 9, 10, "t", "d")], "doc_id long, text string, span_id int, key int, spans string, c0 string")
+    assert sorted(map(tuple, s.remove_repeats(docs).collect())) == [(1, t, 7, 8, "s", "c"), (2, "z", 9, 10, "t", "d")]
+
+
+def test_codes_tell_words_apart():
+    words = ["a", "b", "abcdefg", "abcdefgh", "abcdefgi", "a\0", "\0", "abcdefghijklmnop", "abcdefghijklmnoq", "x" * 5000, "x" * 4999 + "y"]
+    w = s.Words(" \t ".join(words * 2).encode())
+    assert [w.string(i, i + 1).decode() for i in range(len(w.starts))] == words * 2
+    codes = w.codes().tolist()
+    assert codes[: len(words)] == codes[len(words) :] and len(set(codes)) == len(words)
+    assert not w.clash(w.codes())
+    long = s.Words(b"abcdefgh abcdefgi")
+    assert long.clash(np.array([5, 5], np.uint64))
+
+
 def test_texts_null_ids_repeats_and_empty(spark):
     t = " ".join(f"x{i}" for i in range(20))
     docs = spark.createDataFrame([(None, t), (None, t), (1, t), (1, t), (2, "a  b"), (3, t + " y")], "doc_id long, text string")
@@ -63,8 +103,12 @@ def test_texts_null_ids_repeats_and_empty(spark):
     assert s.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_colliding_hashes_are_told_apart(monkeypatch):
+@pytest.mark.parametrize("kind", ["a", "very_long_words_"])
+def test_colliding_hashes_are_told_apart(monkeypatch, kind):
+    a, b = [f"{kind}{i}" for i in range(13)], [f"b{kind}{i}" for i in range(13)]
+    words = s.Words(" ".join(a + b + a).encode())
     monkeypatch.setattr(s, "_mix", lambda x: x * np.uint64(0))
-    a, b = [f"a{i}".encode() for i in range(13)], [f"b{i}".encode() for i in range(13)]
-    got = s.repeats(a + b + a, np.array([1, 1, 1]), np.array([1, 2, 3]), np.array([0, 5, 9]), 13)
-    assert [x.tolist() for x in got] == [[3], [9], [22]]
+    if kind == "a":  # short words are never told apart by a hash alone
+        monkeypatch.setattr(s.Words, "codes", s.Words.numbers)
+    got = s.repeats(words, np.array([1, 1, 1]), np.array([1, 2, 3]), np.array([0, 5, 9]), 13)
+    assert [x.tolist() for x in got] == [[2], [9], [22]]
