@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Links of a file between two rounds of components.
+FILE_LINKS = 250_000
+
 _own_dir: dict[str, str] = {}
 
 
@@ -102,7 +105,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark["n"] == 0 or mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = mark
-        step = cut(_small_star(_large_star(now)), "links")
+        # as many files as the links ask for
+        step = cut(_small_star(_large_star(now)).coalesce(-(-mark["n"] // FILE_LINKS)), "links")
         drop(now)
         now = step
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

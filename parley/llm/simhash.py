@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import components, cut, table
+from parley.llm.common import components, cut, sliced, table
 
 #: First bit and number of bits of each subspace: 32 segments of two bits, dealt to six.
 SUBSPACES = ((0, 12), (12, 12), (24, 10), (34, 10), (44, 10), (54, 10))
@@ -58,8 +58,8 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text of ``docs`` (doc_id, text); one Arrow batch at a time."""
 
     def run(batches):
-        for batch in batches:
-            found = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], np.uint64).view(np.int64)
+        for batch in sliced(batches, CHUNK << 4):
+            found = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -206,11 +206,23 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     return marked.join(final, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id. Rows that share a doc_id are one document; rows with a null id stay."""
-    gone = near_duplicates(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return kept
+def keep_first(docs: DataFrame, width: int = 4, similarity: float | None = None, **options) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id, with all its columns.
+
+    Groups are those of ``near_duplicates``, or with a ``similarity`` (0.8) those of documents whose sets of ``width``-word
+    shingles are as similar: 64 bits do not tell these, see ``near_copies``. Rows that share a doc_id are one document; rows
+    with a null id stay; null and empty texts are copies of each other. No rows give none.
+    """
+    if similarity is None:
+        found = near_duplicates(docs, width=width, **options)
+    else:
+        from parley.llm import near_copies
+
+        if similarity * near_copies.SHARE[1] != near_copies.SHARE[0]:
+            raise ValueError("bands are made for a similarity of 0.8")
+        found = near_copies.near_copies(docs, width)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

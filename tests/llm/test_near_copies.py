@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from parley.llm import near_copies as c
 from parley.llm import simhash
@@ -62,12 +63,15 @@ def test_sets_are_those_of_the_definition():
     assert len(np.intersect1d(x, y)) == 4 and not c.similar(x, y) and c.similar(x, x)
 
 
-def test_groups_against_all_pairs(spark):
+@pytest.mark.parametrize("size", [512, 7])
+def test_groups_against_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(c, "STAR", size)
+    monkeypatch.setattr(c, "BLOCK", size)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, size int")
     want = plain_groups(rows)
     assert {x["doc_id"]: x["component_id"] for x in c.near_copies(docs).collect()} == want
-    assert {x["doc_id"] for x in c.keep_first(docs).collect()} == set(want.values())
+    assert {x["doc_id"] for x in simhash.keep_first(docs, width=5, similarity=0.8).collect()} == set(want.values())
 
 
 def test_the_stage_takes_copies_beyond_four_bits(spark):
