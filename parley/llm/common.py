@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Planned bytes of a file that ``cut`` writes, and bytes of its row groups, which tasks hold in memory.
+FILE_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
 #: Links of a file between two rounds of components.
 FILE_LINKS = 250_000
 
@@ -31,11 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="parley-shared-"))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's rough size of ``df``; never too small by much, as it multiplies over joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    Many small partitions share files: four for each core are enough, and ``FILE_BYTES`` of planned size each.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parley-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files = max(4 * spark.sparkContext.defaultParallelism, min(planned_bytes(df) // FILE_BYTES, 1 << 20))
+    df.coalesce(files).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._parley_path = path
     return found

@@ -2,11 +2,13 @@
 
 Every source is a queue of its shuffled documents, sent over and over (at most ``max_repeats`` times). A document's
 virtual finish time is the words its source has sent up to and with it, divided by the source's target. All queues are
-merged by a global range sort on that time and cut where the total budget is spent, which is virtual time 1: the
-targets sum to the budget. The document in service at the cut is truncated, so each source sends its target to the word.
+merged by a global range sort on that time; running totals over its ranges cut the merged queue where the total budget is
+spent. As targets sum to the budget, that is about virtual time 1. The documents in service then, one of a source, queue
+in packets of few words, so sources meet their targets to a packet.
 
-Running sums of a source never meet in one task: documents fall into blocks by a hash of their id, block sums are
-pre-aggregated, and only sums within a block and over the block table are windows.
+Running sums never meet in one task: a source's documents fall into blocks by a hash, virtual time falls into ranges that
+hold about the same number of words, sums of both are pre-aggregated, and only sums within a block or a range and over the
+small tables of blocks and ranges are windows.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import WORD, cut, table, word_count
 
-#: Documents a block has on average, and the most blocks a source is parted into.
-BLOCK_ROWS, MAX_BLOCKS = 128, 65_536
+#: Documents of a block and of a range of virtual time on average; words of a packet at least, and packets of a document at most.
+BLOCK_ROWS, RANGE_ROWS, PACKET, PACKETS = 1024, 2048, 16, 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
@@ -43,22 +45,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     """The mix of ``docs`` (doc_id, source, text): one row for each time a document is sent, range-sorted by virtual finish time.
 
     Columns: doc_id, source, size, text_hash, source_size, target, row_key (tells repeated rows of a source apart), epoch (from 0),
-    finish (virtual time) and take (words sent: the size, or less for the document cut at the budget).
+    finish (virtual time) and take (words sent: the size, or less for a document in service when the budget is spent).
     With ``keep_idle`` documents that are never sent have one row with take 0. Documents without words take nothing. Rows that
     repeat count each for itself. The order depends only on the rows and ``seed``, so reruns agree. Empty in, empty out.
     """
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
-    blocks = max(1, min(MAX_BLOCKS, sized.count() // BLOCK_ROWS))
-    shuffled = sized.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id")).withColumn("block", F.pmod("shuffle", F.lit(blocks)))
-    sums = cut(shuffled.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "blocks")
+    total = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    blocks, ranges, budget = max(1, total["rows"] // BLOCK_ROWS), max(1, total["rows"] // RANGE_ROWS), total["words"]
+    shuffled = sized.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("block", F.pmod("shuffle", F.lit(blocks)))
+    sums = shuffled.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, max_repeats)
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(
+    offsets = (
         sums.withColumn("offset", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)))
         .select(F.col("source").alias("s"), F.col("block").alias("b"), "offset")
         .join(targets, F.col("s").eqNullSafe(F.col("source")))
-        .select("s", "b", "offset", "source_size", "target"),
-        "offsets",
+        .select("s", "b", "offset", "source_size", "target")
     )
     inside = Window.partitionBy("source", "block").orderBy("shuffle", "doc_id", "size", "text_hash")
     placed = (
@@ -67,18 +69,39 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
         .withColumn("start", F.col("offset") + F.col("within") - F.col("size"))
     )
-    budget = F.round("target").cast("long")
-    due = F.greatest(F.lit(1), F.least(F.lit(max_repeats), F.ceil(F.try_divide(budget - F.col("start"), F.col("source_size"))).cast("int")))
-    sent = (
-        placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(due, F.lit(1)) - 1)))
+    # a document queues as often as it can begin before virtual time 1
+    times = F.ceil(F.try_divide(F.col("target") + 1 - F.col("start"), F.col("source_size"))).cast("int")
+    times = F.greatest(F.lit(1), F.least(F.lit(max_repeats), F.coalesce(times, F.lit(1))))
+    queued = (
+        placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
         .withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
-        .withColumn("finish", F.coalesce((F.col("begin") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)))
-        .withColumn("take", F.greatest(F.lit(0), F.least("size", budget - F.col("begin"))).cast("long"))
-        .select("doc_id", "source", "size", "text_hash", "source_size", "target", F.struct("block", "place").alias("row_key"), "epoch", "finish", "take")
+        .withColumn("end", F.col("begin") + F.col("size"))
+        .withColumn("queues", (F.col("size") > 0) & (F.col("begin") < F.col("target") + 1))
+        .withColumn("step", F.when(F.col("queues") & (F.col("end") > F.col("target")), F.greatest(F.lit(PACKET), F.ceil(F.col("size") / PACKETS))).otherwise(F.greatest("size", F.lit(1))))
+        .withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("size") / F.col("step")) - 1))))
+        .withColumn("words", F.least("step", F.col("size") - F.col("packet") * F.col("step")))
+        .withColumn("due", F.coalesce((F.col("begin") + F.col("packet") * F.col("step") + F.col("words")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)))
+        .withColumn("range", F.when(F.col("queues"), F.least(F.floor(F.col("due") * ranges), F.lit(ranges))))
+        .select("doc_id", "source", "size", "text_hash", "source_size", "target", F.struct("block", "place").alias("row_key"), "epoch", "begin", "packet", "words", "due", "range")
     )
+    queued = cut(queued, "queued")
+    # every range of virtual time holds about as many words as another, so the ranges are known without a sample
+    sent_before = queued.filter(F.col("range").isNotNull()).groupBy(F.col("range").alias("r")).agg(F.sum("words").alias("range_words"))
+    sent_before = sent_before.select("r", F.coalesce(F.sum("range_words").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    merged = Window.partitionBy("range").orderBy("due", F.col("source").isNull(), "source", "row_key", "epoch", "packet").rowsBetween(Window.unboundedPreceding, 0)
+    running = queued.filter(F.col("range").isNotNull()).withColumn("running", F.sum("words").over(merged)).join(sent_before, F.col("range") == F.col("r"))
+    sent = running.withColumn("take", F.greatest(F.lit(0).cast("long"), F.least("words", F.lit(budget) - F.col("ahead") - F.col("running") + F.col("words"))))
+    idle = queued.filter(F.col("range").isNull()).withColumn("take", F.lit(0).cast("long"))
+    keep = ["doc_id", "source", "size", "text_hash", "source_size", "target", "row_key", "epoch"]
+    finish = F.coalesce((F.col("begin") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)).alias("finish")
+    every = sent.select(*keep, "begin", "words", "take").union(idle.select(*keep, "begin", "words", "take"))
+    # packets of one sending become one row again
+    whole = every.filter("words = size").select(*keep, finish, "take")
+    parts = every.filter("words <> size").groupBy(*keep, "begin").agg(F.sum("take").alias("take")).select(*keep, finish, "take")
+    out = whole.union(parts)
     if not keep_idle:
-        sent = sent.filter("take > 0")
-    return sent.repartitionByRange("finish", "source", "row_key", "epoch").sortWithinPartitions("finish", "source", "row_key", "epoch")
+        out = out.filter("take > 0")
+    return out.repartitionByRange("finish", "source", "row_key", "epoch").sortWithinPartitions("finish", "source", "row_key", "epoch")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -90,10 +113,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     own = ["doc_id", "source", "text_hash"]
     sent = mix_sources(docs, keep_idle=True, **options).groupBy(*own).agg(
         F.sum(F.expr("CAST(take > 0 AND take = size AS INT)")).alias("whole"),
-        F.max(F.expr("CASE WHEN take > 0 AND take < size THEN take END")).alias("part"),
+        F.collect_list(F.expr("CASE WHEN take > 0 AND take < size THEN take END")).alias("part"),  # of a source only what is in service at the end
         F.sum(F.expr("CAST(epoch = 0 AS INT)")).alias("rows"),
     )
-    sent = sent.filter("whole > 0 OR part IS NOT NULL").select(*[F.col(c).alias(f"sent_{c}") for c in own], "whole", "part", "rows")
+    sent = sent.filter("whole > 0 OR size(part) > 0").select(*[F.col(c).alias(f"sent_{c}") for c in own], "whole", "part", "rows")
     sent = cut(sent, "sent")
     plain = [F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)]
     met = docs.select(*plain, F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.xxhash64("text").alias("own_hash")).join(
@@ -104,7 +127,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     met = met.filter("rows = 1").withColumn("place", F.lit(1)).union(met.filter("rows > 1").withColumn("place", place))
     each, left = F.floor(F.col("whole") / F.col("rows")).cast("int"), (F.col("whole") % F.col("rows")).cast("int")
     times = each + F.when(F.col("place") <= left, 1).otherwise(0)
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(F.col("part").isNotNull() & (F.col("place") == left + 1), F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(F.col("place") == F.least(left + 1, F.col("rows")), F.col("part")).otherwise(F.array().cast("array<bigint>")))
     met = met.withColumn("cut_at", F.explode(copies))
     text = F.col(f"doc_{docs.columns.index('text')}")
     cut_text = F.when(F.col("cut_at").isNull(), text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("cut_at").cast("int")), " "))

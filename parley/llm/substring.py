@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, sliced, table
+from parley.llm.common import cut, planned_bytes, sliced, table
 
 WINDOW, RUN = 13, 4
 #: Bytes worked on at a time, words of a piece of a longer text, packed bytes kept before they are sent, windows a bin should have.
@@ -341,8 +341,7 @@ def _crowded_windows(crowded: np.ndarray, bits: int, window: int, run: int):
 
 def slot_bits(docs: DataFrame) -> int:
     """Slots grow with the bytes that the planner expects of the input; a rough number is enough."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(LEAST_SLOTS.bit_length() - 1, min(40, (size // SLOT_BYTES).bit_length()))
+    return max(LEAST_SLOTS.bit_length() - 1, min(40, (planned_bytes(docs) // SLOT_BYTES).bit_length()))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -361,7 +360,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
     found = packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(_count_bins(window), "span_id long, span_key long, span long")
     if len(crowded):
         rows = cut(docs.mapInArrow(_crowded_windows(crowded, bits, window, run), "words binary, span_id long, span_key long, place long"), "windows")
-        firsts = rows.groupBy("words").agg(F.min("span_id").alias("least"), F.max("span_id").alias("last")).filter("least < last").select(F.col("words").alias("first_words"), "least")
+        # written first, so that the join has exchanges of its own, which adaptive execution may split
+        firsts = cut(rows.groupBy("words").agg(F.min("span_id").alias("least"), F.max("span_id").alias("last")).filter("least < last").select(F.col("words").alias("first_words"), "least"), "firsts")
         later = rows.join(firsts, F.col("words") == F.col("first_words")).filter("span_id > least")
         found = found.union(later.select("span_id", "span_key", (F.shiftleft("place", 32) + F.col("place") + window).alias("span")))
     # rows that repeat send the same spans
