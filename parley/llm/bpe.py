@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.llm.common import sliced, table
 
 #: Cached words and transitions of a worker, and bytes of filed stretches; beyond it the cache starts anew.
-CACHE, CACHE_BYTES = 1 << 18, 160 << 20
+CACHE, CACHE_BYTES = 1 << 18, 128 << 20
 #: Slots of the table of transitions; symbols of a word that is encoded alone; words encoded together; letters of a stretch that is encoded with its text only.
 PAIRS, ALONE, TOGETHER, LONG = 1 << 21, 64, 1 << 14, 1 << 12
 #: Bytes of texts encoded before their results are sent on.
@@ -327,28 +327,6 @@ NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0
 NEW_CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 
-class _Filed(dict):
-    """Stretch -> its ids as text, encoded when first met; ``labels`` are the same stretches decoded. Bounded in bytes between texts."""
-
-    def __init__(self, bpe: WordBpe):
-        self.bpe, self.labels, self.silent, self.held = bpe, {}, set(), 0
-
-    def __missing__(self, raw: str) -> str:
-        return self.put(raw, self.bpe.parted(raw))
-
-    def put(self, raw: str, words: list[str]) -> str:
-        self[raw], self.labels[raw] = found, labels = self.bpe.chunk(words)
-        if not found:
-            self.silent.add(raw)
-        self.held += 200 + 2 * len(raw) + 2 * len(found) + 2 * len(labels)
-        return found
-
-    def bound(self) -> None:
-        if self.held > CACHE_BYTES:
-            self.clear()
-            self.labels, self.silent, self.held = {}, set(), 0
-
-
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the kind `BPE with word ends`: NFC, lower case, white space dropped."""
 
@@ -374,7 +352,8 @@ class WordBpe:
         self.mark = os.path.commonprefix(list(self.special))  # a text without it holds no special token
         self.numbers = list(map(str, range(len(labels))))
         self.words: dict[str, tuple[str, str]] = {}
-        self.filed = _Filed(self)
+        self.filed: dict[str, tuple[str, str]] = {}  # stretches met, with their ids and labels
+        self.held, self.silent = 0, False
 
     def read(self, word: str) -> str:
         """The symbols of a word, the last one shifted."""
@@ -388,29 +367,72 @@ class WordBpe:
         """Ids and labels of a word, each joined by one space."""
         return self.words.get(word) or self._texts(self.automaton.encode(self.read(word)))
 
-    def meet(self, texts: list[str | None]) -> None:
-        """File the stretches of these texts that are new; their words that are new are encoded all at once."""
-        self.filed.bound()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = [(x, self.parted(x)) for x in set(chain.from_iterable([t.split() for t in texts if t])) - self.filed.keys() if len(x) <= LONG]
+    def meet(self, fresh: set[str]) -> None:
+        """File stretches that are new; their words that are new are encoded all at once."""
+        new = [(x, self.parted(x)) for x in fresh if len(x) <= LONG]
         words = [w for w in set(chain.from_iterable([x for _, x in new])) - self.words.keys() if len(w) <= ALONE]
         for w, ids in zip(words, self.automaton.encode_many([self.read(w) for w in words]), strict=True):
             self.words[w] = self._texts(ids)
+        filed, chunk = self.filed, self.chunk
         for raw, found in new:
-            self.filed.put(raw, found)
+            filed[raw] = got = chunk(found)
+            self.held += 2 * len(raw) + 2 * len(got[0]) + len(got[1])
+            self.silent |= not got[0]
+
+    def many(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """(ids, labels) of whole texts, each joined by one space; null is empty."""
+        if self.held + 300 * len(self.filed) > CACHE_BYTES:
+            self.filed, self.held, self.silent = {}, 0, False
+        if len(self.words) > CACHE:
+            self.words.clear()
+        get, out, fresh = self.filed.get, [], set()
+        for t in texts:
+            if not t:
+                out.append(((), ()))
+            elif self.parts and self.mark in t and self.parts.search(t):
+                out.append(None)
+            else:
+                stretches = [x for x in self.SPACE.split(t) if x] if self.ODD.search(t) else t.split()
+                found = list(map(get, stretches))
+                if None in found:
+                    fresh.update([x for x, got in zip(stretches, found, strict=True) if got is None])
+                out.append((stretches, found))
+        self.meet(fresh)
+        return [self._special(t) if x is None else self._joined(*x) for t, x in zip(texts, out, strict=True)]
+
+    def _joined(self, stretches, found) -> tuple[str, str]:
+        if None in found:
+            get = self.filed.get
+            found = [got or get(x) or self.chunk(self.parted(x)) for x, got in zip(stretches, found, strict=True)]
+        if self.silent:
+            found = [x for x in found if x[0]]
+        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+
+    def _special(self, text: str) -> tuple[str, str]:
+        """The same of a text with special tokens."""
+        parts = self.parts.split(text)
+        plain = iter(self.many([x for x in parts if x not in self.special]))
+        got = [(str(self.special[x]), x) if x in self.special else next(plain) for x in parts]
+        return " ".join([x[0] for x in got if x[0]]), " ".join([x[1] for x in got if x[0]])
 
     def chunk(self, words: list[str]) -> tuple[str, str]:
         """Ids and labels of the words of a stretch."""
-        if len(words) == 1:
-            return self.word(words[0])
-        got = [x for x in map(self.word, words) if x[0]]
-        return " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+        got = [self.words.get(w) or self.word(w) for w in words]
+        if len(got) == 1:
+            return got[0]
+        if len(got) == 2 and got[0][0] and got[1][0]:
+            (ids, labels), (more, last) = got
+            return f"{ids} {more}", f"{labels} {last}"
+        return " ".join([x[0] for x in got if x[0]]), " ".join([x[1] for x in got if x[0]])
 
     def parted(self, raw: str) -> list[str]:
         """The words of a stretch without white space."""
-        if raw.isascii() and raw.isalpha():
-            return [raw.lower()]
+        # letters up to U+024F, with one sign at most behind them, are in normal form already
+        body, tail = (raw[:-1], raw[-1]) if raw[-1] in ".,;:!?" else (raw, "")
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+            low = body.lower()
+            if low.isalpha():
+                return [low, tail] if tail else [low]
         text = unicodedata.normalize("NFC", raw)
         # Lower case letter by letter: a sigma at a word's end stays the common one.
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
@@ -419,32 +441,8 @@ class WordBpe:
         known = text if text.isascii() else self.NEW.sub("\uffff", text)
         return [text[m.start() : m.end()] for m in self.split.finditer(known)]
 
-    def both(self, text: str | None) -> tuple[str, str]:
-        """(ids, labels) of a whole text, each joined by one space; null is empty."""
-        if not text:
-            return "", ""
-        filed = self.filed
-        filed.bound()
-        if self.parts and self.mark in text and self.parts.search(text):
-            ids, labels = [], []
-            for part in self.parts.split(text):
-                got = (str(self.special[part]), part) if part in self.special else self._plain(part, filed)
-                if got[0]:
-                    ids.append(got[0])
-                    labels.append(got[1])
-            return " ".join(ids), " ".join(labels)
-        return self._plain(text, filed)
-
-    def _plain(self, text: str, filed: _Filed) -> tuple[str, str]:
-        """The same of a text without special tokens: its stretches between white space go through the filed ones."""
-        stretches = [x for x in self.SPACE.split(text) if x] if self.ODD.search(text) else text.split()
-        ids = list(map(filed.__getitem__, stretches))
-        if filed.silent and not filed.silent.isdisjoint(stretches):
-            stretches, ids = [x for x in stretches if x not in filed.silent], [x for x in ids if x]
-        return " ".join(ids), " ".join(map(filed.labels.__getitem__, stretches))
-
     def encode(self, text: str | None) -> list[int]:
-        return list(map(int, self.both(text)[0].split()))
+        return list(map(int, self.many([text])[0][0].split()))
 
     def decode(self, ids) -> str:
         return self.automaton.decode(ids)
@@ -474,10 +472,8 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
     def run(batches):
         bpe = load(path)
         for batch in sliced(batches, SLICE):
-            counts, first, second, texts = [], [], [], batch.column(1).to_pylist()
-            bpe.meet(texts)
-            for text in texts:
-                ids, labels = bpe.both(text)
+            counts, first, second = [], [], []
+            for ids, labels in bpe.many(batch.column(1).to_pylist()):
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else np.fromstring(ids, np.int32, sep=" "))
                 second.append(hashlib.sha256(labels.encode("utf-8", "surrogatepass")).hexdigest() if digests else labels)
