@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import components, cut, table
 
-#: Rows of the sample that the trees are fitted on.
-FIT_ROWS = 16_384
+#: Rows of the sample that the trees are fitted on, and the fewest of them in a leaf.
+FIT_ROWS, LEAST_LEAF = 16_384, 8
 
 
 def takes_part() -> Column:
@@ -31,9 +31,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """One row for each different vector: class_id (smallest vec_id), copies (rows that hold it), embedding."""
-    grouped = vectors.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    return grouped.select("class_id", "copies", "embedding")
+    """One row for each different vector: class_id (a number of its own, never null), least (smallest vec_id), copies (rows that hold it), embedding."""
+    grouped = vectors.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    return cut(grouped.select(F.monotonically_increasing_id().alias("class_id"), "least", "copies", "embedding"), "classes")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -48,8 +48,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def sample(distinct: DataFrame, rows: int = FIT_ROWS, dims: int | None = None) -> np.ndarray:
-    """A fixed sample of the different vectors, at most ``rows``: those with the smallest hash of their id."""
-    got = distinct.orderBy(F.xxhash64("class_id"), "class_id").limit(rows).select("embedding").toArrow()
+    """A fixed sample of the different vectors, at most ``rows``: those with the smallest hash."""
+    got = distinct.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(rows).select("embedding").toArrow()
     return unit(matrix(got["embedding"].combine_chunks()))
 
 
@@ -148,7 +148,7 @@ def _compare(least: float, per_part: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 256, spill: float = 0.02, block: int = 2048, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 1024, spill: float = 0.02, block: int = 2048, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding): links have cosine >= ``least``.
 
     The trees are fitted on a sample of at most ``FIT_ROWS`` different vectors; every vector goes down every tree, and
@@ -156,8 +156,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf:
     blocks, and each pair of blocks is a task's group. A pair is counted in its first common leaf alone, so counts
     add up without a list of pairs; from each group a spanning forest goes on to the components.
 
-    Vectors that take no part have no links and are their own component. Repeated rows count as vectors. A null vec_id
-    is in no class's smallest. Vectors of different lengths are compared with their like only. No rows give none.
+    Vectors that take no part have no links and are their own component. Repeated rows count as vectors. A row with a
+    null vec_id links like others but is no component's smallest, unless all are null. Vectors of different lengths are compared with their like only. No rows give none.
     """
     good = cut(usable(vectors), "vectors")
     found = []
@@ -171,12 +171,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf:
     met = good.join(named, good["embedding"] == named["class_vector"]).select("vec_id", F.col("n_links"), F.col("component_id"))
     rest = vectors.filter(~takes_part())
     all_rows = met.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return all_rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return all_rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill: float, block: int, seed: int) -> DataFrame:
-    distinct = cut(classes(good), "classes")
-    forest = Forest(sample(distinct), trees, leaf, spill, seed)
+    distinct = classes(good)
+    points = sample(distinct)
+    # the more vectors there are, the fewer of the sample a leaf holds: a leaf gets about as many of all at any size
+    forest = Forest(points, trees, max(LEAST_LEAF, leaf * len(points) // max(1, distinct.count())), spill, seed)
     sent = good.sparkSession.sparkContext.broadcast(forest)  # bounded: trees x FIT_ROWS / leaf splits
     kind = distinct.schema["embedding"].dataType.simpleString()
 
@@ -200,10 +202,14 @@ def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill:
     told = cut(parted.groupBy("leaf", "part").applyInPandas(_compare(least, block), "class_id long, links long, root long"), "told")
     reach = components(told.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     counts = told.groupBy("class_id").agg(F.sum("links").alias("links"))
+    joined = distinct.select("class_id", "least").join(reach, F.col("class_id") == F.col("node"), "left").select("class_id", "least", F.coalesce("component", "class_id").alias("component"))
+    joined = cut(joined, "joined")
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    settled = joined.join(smallest, "component").select(F.col("class_id").alias("settled"), "component_id")
     named = (
         distinct.join(counts.withColumnRenamed("class_id", "counted"), F.col("class_id") == F.col("counted"), "left")
-        .join(reach, F.col("class_id") == F.col("node"), "left")
-        .select(F.col("embedding").alias("class_vector"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+        .join(settled, F.col("class_id") == F.col("settled"))
+        .select(F.col("embedding").alias("class_vector"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     )
     return cut(named, "named")
 
@@ -261,7 +267,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sh
     scores what it met; see the README for the recall measured.
 
     A class answers with its smallest vec_ids, so copies of one vector come in the order of their ids. A query is never
-    its own answer but its copies are. Fewer candidates than ``k``: all of them. Rows that take no part are neither
+    its own answer but its copies are; a query row that occurs more than once asks once. Fewer candidates than ``k``: all of them. Rows that take no part are neither
     queries nor answers; a null vec_id neither. Repeated rows are answers each. No rows give none.
     """
     good = cut(usable(vectors).filter(F.col("vec_id").isNotNull()), "vectors")
@@ -281,7 +287,7 @@ def _nearest_of_length(good: DataFrame, every: int, k: int, trees: int, share: f
     # a class's k + 1 smallest ids are enough: one may be the query itself
     numbered = good.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     distinct = cut(_smallest_ids(numbered, k + 1), "classes")
-    queries = good.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    queries = good.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
     n, asked = distinct.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
     rows = distinct.select(F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("firsts").alias("ids"), "embedding")

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, table
+from parley.llm.common import cut, sliced, table
 
-#: Longest n-gram (an n-gram is packed into 64 bits, 16 for a letter), n-grams of a profile, and the bound of the learning sample: documents of each language.
+#: Longest n-gram (in UTF-16 units, packed into 64 bits), n-grams of a profile, and the bound of the learning sample: documents of each language.
 LONGEST, PROFILE, FIT_DOCS = 4, 300, 400
 UNKNOWN = "und"
+#: Bytes of texts judged at a time.
+STEP = 1 << 20
 _EDGE = ord("_")
 
 
@@ -32,12 +34,9 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(gram: str) -> int:
-    """The 64 bits of an n-gram; their order is that of the code points."""
-    return sum(_fold(ord(c)) << (48 - 16 * i) for i, c in enumerate(gram))
-
-
-def _fold(point):
-    return point if point <= 0xFFFF else (point & 0x7FFF) | 0x8000
+    """The 64 bits of an n-gram of UTF-16 units; their order is that of the units."""
+    units = np.frombuffer(gram.encode("utf-16-le", "surrogatepass"), np.uint16).tolist()
+    return sum(u << (48 - 16 * i) for i, u in enumerate(units))
 
 
 def count_grams(text: str, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +52,13 @@ def count_grams(text: str, longest: int) -> tuple[np.ndarray, np.ndarray]:
     edge = row == _EDGE
     stay = np.r_[True, ~(edge[1:] & edge[:-1])]
     row, edge = row[stay].astype(np.uint64), edge[stay]
-    row = np.where(row > 0xFFFF, (row & np.uint64(0x7FFF)) | np.uint64(0x8000), row)
+    far = row > 0xFFFF
+    if far.any():  # two units for a letter beyond 16 bits, which no other letter owns
+        first, second = (row - np.uint64(0x10000) >> np.uint64(10)) + np.uint64(0xD800), (row & np.uint64(0x3FF)) + np.uint64(0xDC00)
+        twice = np.where(far, 2, 1)
+        at = np.cumsum(twice) - twice
+        row, edge = np.repeat(np.where(far, first, row), twice), np.repeat(edge, twice)
+        row[at[far] + 1] = second[far]
     keys, gram, clear = [row[~edge] << np.uint64(48)], row << np.uint64(48), np.ones(len(row), bool)
     for n in range(2, longest + 1):
         gram = gram[:-1] | row[n - 1 :] << np.uint64(64 - 16 * n)
@@ -71,24 +76,19 @@ def most_frequent(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray
     return keys[np.lexsort([keys, -counts])][:most]
 
 
-def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS, most: int = PROFILE, longest: int = LONGEST, max_languages: int = 1000) -> dict[str, list[int]]:
-    """Profiles (packed n-grams in order) from rows (doc_id, text, lang). Of each language the ``fit_docs`` documents with the smallest hash of their id are counted, whole.
+def learn(labelled: DataFrame, fit_docs: int = FIT_DOCS, most: int = PROFILE, longest: int = LONGEST) -> dict[str, list[int]]:
+    """Profiles (packed n-grams in order) from rows (doc_id, text, lang). Of each language the ``fit_docs`` rows with the smallest hash of their id are counted, whole.
 
-    ``max_languages`` bounds what is learned. Rows without a language or without text teach nothing.
+    Rows without a language or without text teach nothing; rows with a null id teach like others. One scan finds the rows of all languages.
     """
-    named = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang").collect()]
-    picked = None
-    for lang in languages:
-        few = named.filter(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-        picked = few if picked is None else picked.unionByName(few)
-    if picked is None:
-        return {}
-    picked = cut(picked.distinct(), "learned")
-    chosen = named.join(F.broadcast(picked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))
+    named = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key"))
+    picked = named.select("doc_id", "lang", "key").withColumn("place", first).filter(F.col("place") <= fit_docs)
+    picked = cut(picked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), F.col("key").alias("own")).distinct(), "learned")
+    chosen = named.join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")) & (F.col("key") == F.col("own")))
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 keys, counts = count_grams(text.as_py(), longest)
                 yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
@@ -141,8 +141,8 @@ def identify(docs: DataFrame, profiles: dict[str, list], most: int = PROFILE, lo
 
     def run(batches):
         judge = Judge(sent.value, most, longest)
-        for batch in batches:
-            got = [judge.judge(t.as_py()) for t in batch.column(1)]
+        for batch in sliced(batches, STEP):
+            got = [judge.judge(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
@@ -151,6 +151,6 @@ def identify(docs: DataFrame, profiles: dict[str, list], most: int = PROFILE, lo
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     profiles = learn(docs.filter(~held_out).select("doc_id", "text", "lang"))
     return identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

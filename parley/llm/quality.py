@@ -17,12 +17,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, table
+from parley.llm.common import cut, sliced, table
 
 BAD, NONE, GOOD = 0, 1, 2
 #: Rows of the hashed scorer, and the bound of the sample it is trained on.
 ROWS, FIT_DOCS = 1 << 16, 4000
-CACHE = 1 << 18
+#: Words whose rows a worker keeps, and bytes of texts worked on at a time.
+CACHE, STEP = 1 << 18, 1 << 20
 
 
 def _between(x: float, bad_under: float, good_from: float) -> int:
@@ -63,8 +64,8 @@ def patterns(docs: DataFrame) -> DataFrame:
     """doc_id and pattern (votes as a number in base 3) of every text."""
 
     def run(batches):
-        for batch in batches:
-            got = [sum(v * 3**i for i, v in enumerate(votes(t.as_py()))) for t in batch.column(1)]
+        for batch in sliced(batches, STEP):
+            got = [sum(v * 3**i for i, v in enumerate(votes(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["doc_id", "pattern"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern long")
@@ -108,8 +109,8 @@ _SHAPE = regex.compile(r"(\p{Lu}+)|(\p{L}+)|(\p{N}+)")
 
 
 def shape(word: str) -> str:
-    """Capitals, other letters and numbers as one sign each, the rest as it is, up to 8 signs."""
-    return _SHAPE.sub(lambda m: "A" if m[1] else "a" if m[2] else "0", word[:24])[:8]
+    """Capitals, other letters and numbers as one sign for each run, the rest as it is, over the whole word."""
+    return _SHAPE.sub(lambda m: "A" if m[1] else "a" if m[2] else "0", word)
 
 
 class Hashed:
@@ -164,7 +165,10 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = 20_000) -> t
     marked = cut(patterns(docs), "patterns")
     counts = {r["pattern"]: r["count"] for r in marked.groupBy("pattern").count().collect()}  # at most 3 ** heuristics
     model = LabelModel(counts)
-    few = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).collect()
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    ids = cut(short.select("doc_id", "key").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(fit_docs).select(F.col("doc_id").alias("id"), F.col("key").alias("own")).distinct(), "sampled")
+    # texts of the sampled ids alone come to the driver: at most fit_docs x fit_chars letters
+    few = short.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own"))).select("doc_id", "text").distinct().collect()
     few.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
     hashed = Hashed()
     goals = [model.of_pattern(sum(v * 3**i for i, v in enumerate(votes(r["text"])))) for r in few]
@@ -180,8 +184,8 @@ def score(docs: DataFrame, scorer: Linear) -> DataFrame:
 
     def run(batches):
         hashed = Hashed()
-        for batch in batches:
-            got = [sent.value.one(*hashed.text(t.as_py())) for t in batch.column(1)]
+        for batch in sliced(batches, STEP):
+            got = [sent.value.one(*hashed.text(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

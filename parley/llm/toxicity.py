@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, table
+from parley.llm.common import cut, sliced, table
 
 #: Words of a window and between the starts of two; vector sizes; hashed rows.
 WINDOW, STRIDE = 24, 12
@@ -25,7 +25,8 @@ WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 FIT_DOCS, FIT_CHARS = 900, 4000
 #: Letters of the longest word, and those that two pieces of a longer one share: more than a letter n-gram has.
 PIECE, OVERLAP = 64, 8
-CACHE = 1 << 18
+#: Words whose inputs a worker keeps, and bytes of texts scored at a time.
+CACHE, STEP = 1 << 17, 1 << 20
 _EDGE = ".,;:!?\"'()[]{}|*_-"
 
 
@@ -325,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars:
 def _run(sent, columns: list[str], keep: float | None):
     def run(batches):
         scorer = Scorer(*sent.value)
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             scores = scorer.texts(batch.column("text").to_pylist())
             if keep is None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
@@ -345,7 +346,10 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, below: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``below``, with all their columns."""
+    """The rows of ``docs`` whose text scores under ``below``, with all their columns, whatever their names.
+
+    Null and empty texts score as one window without words, repeated rows stay or go together, no rows give none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((scorer.net, scorer.shift, scorer.scale))
     return docs.mapInArrow(_run(sent, docs.columns, below), docs.schema)
 
@@ -353,6 +357,6 @@ def keep_clean(docs: DataFrame, scorer: Scorer, below: float = 0.5) -> DataFrame
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; labels are learned from rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scorer = fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
     return score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", F.expr("CAST(score >= 0.5 AS INT)").alias("predicted"))

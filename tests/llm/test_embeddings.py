@@ -93,3 +93,31 @@ def test_null_ids_and_ids_that_repeat(spark):
     v = [1.0, 2.0]
     got = e.near_vectors(frame(spark, [(None, v), (4, v), (4, v), (4, None), (None, None)])).collect()
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == sorted([(None, 2, 4), (4, 2, 4), (4, 2, 4), (4, 0, 4), (None, 0, None)], key=str)
+
+
+def test_null_ids_and_large_ids_keep_their_links(spark):
+    """Three vectors, two without an id, all alike but not equal; and two ids that doubles do not tell apart, beside a null one."""
+    rows = [(None, [1.0, 0.001]), (4, [1.0, 0.002]), (None, [1.0, 0.003])]
+    got = e.near_vectors(frame(spark, rows)).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == [(4, 2, 4, True), (None, 2, 4, False), (None, 2, 4, False)]
+    big = 2**53
+    got = e.near_vectors(frame(spark, [(big + 1, [1.0, 0.001]), (big + 3, [1.0, 0.002]), (None, [0.0, 1.0])])).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == sorted([(big + 1, 1, big + 1), (big + 3, 1, big + 1), (None, 0, None)], key=str)
+
+
+def test_a_query_row_that_repeats_asks_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(i, [1.0, 0.1 * i]) for i in range(1, 9)]
+    got = sorted((r["rank"], r["vec_id"]) for r in e.nearest(frame(spark, rows)).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
+def test_leaves_hold_as_much_at_any_size(spark):
+    """Recall of planted pairs just over the bound, with leaves far smaller than the table."""
+    r = np.random.default_rng(4)
+    x = e.unit(r.standard_normal((3000, 32)))
+    noise = e.unit(r.standard_normal((300, 32)))
+    noise = e.unit(noise - (noise * x[:300]).sum(axis=1, keepdims=True) * x[:300])
+    y = 0.951 * x[:300] + np.sqrt(1 - 0.951**2) * noise
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {q["vec_id"]: q["n_links"] for q in e.near_vectors(frame(spark, rows), leaf=100).collect()}
+    assert sum(got[3000 + i] > 0 for i in range(300)) >= 294

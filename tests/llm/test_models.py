@@ -172,8 +172,44 @@ def test_packed_grams_against_plain_counting():
         text = "".join(r.choice("ab é_-1\ńñß日\U00010400Σ") for _ in range(k % 60))
         want = Counter()
         for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()):
-            padded = f"_{w}_"
+            padded = f"_{w}_".encode("utf-16-le")  # n-grams are of UTF-16 units
             for n in range(1, 5):
-                want.update(langid.pack(padded[i : i + n]) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_")
+                grams = [padded[2 * i : 2 * (i + n)].decode("utf-16-le", "surrogatepass") for i in range(len(padded) // 2 - n + 1)]
+                want.update(langid.pack(g) for g in grams if g != "_")
         keys, counts = langid.count_grams(text, 4)
         assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == (dict(want) if any(c.isalpha() for c in text) else {})
+
+
+def test_letters_beyond_16_bits_are_their_own():
+    """Two letters that differ only above 16 bits, and one of 16 bits with the same low bits, are three n-grams."""
+    keys = [set(langid.count_grams(c, 4)[0].tolist()) for c in ("\U00010400", "\U00020400", "Ѐ")]
+    assert len(keys[0] & keys[1]) == 0 and len(keys[0] & keys[2]) == 0
+    got = dict(zip(*langid.count_grams("a\U00020400", 2), strict=True))
+    assert got[langid.pack("a")] == 1 and got[langid.pack("a\ud841")] == 1 and got[langid.pack("_a")] == 1
+
+
+def test_all_languages_and_null_ids_teach(spark):
+    rows = [(None if i % 2 else i, f"{chr(97 + i % 20)}xy " * 3, f"l{i:04d}") for i in range(1100)]
+    profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(profiles) == 1100
+
+
+def test_quality_against_a_plain_model(spark):
+    """Patterns, chances and scores of the operator against the same rules in plain loops, with nulls, repeats, a very long text and clashing columns."""
+    rows = [(i, t, 0) for i, t, _ in texts(60)] + [(100, None, 1), (101, "", 1), (102, "word " * 20000, 1), (102, "word " * 20000, 1), (None, "!!! ??? ###", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pattern int")
+    model, scorer = quality.fit(docs)
+    counts = {}
+    for _, t, _ in rows:
+        p = sum(v * 3**i for i, v in enumerate(quality.votes(t)))
+        counts[p] = counts.get(p, 0) + 1
+    plain = quality.LabelModel(counts)
+    assert all(abs(plain.of_pattern(p) - model.of_pattern(p)) < 1e-12 for p in counts)
+    one = quality.Hashed()
+    want = sorted((str(i), round(scorer.one(*one.text(t)), 12)) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), round(r["score"], 12)) for r in quality.score(docs, scorer).collect()) == want
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0))[1]).count() == 0
+
+
+def test_shapes_are_of_whole_words():
+    assert quality.shape("a" * 30 + "1") == "a0" and quality.shape("Ab1!" * 9) == "Aa0!" * 9
