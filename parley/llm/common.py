@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a column batch that the Parquet reader fills, and of an Arrow batch.
+TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Planned bytes of a file that ``cut`` writes, and bytes of its row groups, which tasks hold in memory.
 FILE_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
 #: Links of a file between two rounds of components.
@@ -21,7 +23,16 @@ FILE_LINKS = 250_000
 _own_dir: dict[str, str] = {}
 
 
+def tune(spark: SparkSession) -> None:
+    """Batches for rows that hold whole texts, where the session has no values of its own: Spark's are made for short rows, and an executor holds several at once."""
+    own = spark._jsparkSession.sessionState().conf()
+    for key, value in TEXT_BATCHES.items():
+        if not own.contains(key):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +55,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     Many small partitions share files: four for each core are enough, and ``FILE_BYTES`` of planned size each.
     """
     spark = df.sparkSession
+    tune(spark)
     path = f"{shared_dir(spark)}/parley-{tag}-{uuid.uuid4().hex}"
     files = max(4 * spark.sparkContext.defaultParallelism, min(planned_bytes(df) // FILE_BYTES, 1 << 20))
     df.coalesce(files).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
