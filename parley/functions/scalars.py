@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StructType
 
 _CJK = "[一-鿿]"
 
@@ -46,6 +46,12 @@ def norm_part(part: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(part)), "^p", "").try_cast("int")
 
 
+def norm_part_or_text(part: Column) -> Column:
+    """The part's number as text, or what stands there trimmed, lower-cased and without its ``p`` if it is no number; null for none."""
+    bare = F.regexp_replace(F.lower(F.trim(part)), "^p", "")
+    return F.coalesce(bare.try_cast("int").cast("string"), F.nullif(bare, F.lit("")))
+
+
 def epoch_date(seconds: Column) -> Column:
     """UTC date of an epoch."""
     return F.to_date(F.timestamp_seconds(seconds))
@@ -82,6 +88,40 @@ def speaker_label(label: Column) -> Column:
     return F.replace(label, F.lit("SPEAKER_"), F.lit("SPK_"))
 
 
+#: Where an address of the page's own folders lies among the files.
+FOLDERS = (("/audio/", "work/web/audio/"), ("/refs/", "refs/"), ("/work/", "work/"))
+
+
+def file_of_url(url: Column) -> Column:
+    """The relative file of an address: back slashes turned, the folders' prefixes mapped, others as they are; null for empty ones."""
+    bare = F.nullif(F.trim(F.replace(url, F.lit("\\"), F.lit("/"))), F.lit(""))
+    out = bare
+    for prefix, folder in reversed(FOLDERS):
+        out = F.when(bare.startswith(prefix), F.concat(F.lit(folder), F.substr(bare, F.lit(len(prefix) + 1)))).otherwise(out)
+    return out
+
+
+def url_of_file(path: Column, bases: tuple[tuple[str, str], ...], videos: tuple[str, ...] = (".mp4", ".mkv", ".flv", ".mov", ".webm")) -> Column:
+    """The address of a file: the first base folder that holds it gives the prefix, a video elsewhere is media by its name; null otherwise."""
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    out = F.when(F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*videos), F.concat(F.lit("/media/"), name))
+    for folder, prefix in reversed(bases):
+        out = F.when(path.startswith(folder), F.concat(F.lit(prefix), F.substr(path, F.lit(len(folder) + 1)))).otherwise(out)
+    return F.when(F.nullif(path, F.lit("")).isNotNull(), out)
+
+
+def engine_of(kind: Column, engine: str) -> Column:
+    """Engine of a speaker's voice: clones go to the cloning engine where it may be used, everything else to the preset one, or silence."""
+    rest = F.lit("edge" if engine in ("edge", "auto") else "silence")
+    return F.when((kind == "clone") & F.lit(engine in ("auto", "cosyvoice3")), F.lit("cosyvoice3")).otherwise(rest)
+
+
+def total_duration(given: Column, probed: Column, recorded: Column, last_line: Column) -> Column:
+    """Length of a part: what is given, else probed, else on record, else the last line's end; only positive numbers count, but of the last."""
+    positive = lambda c: F.when(c > 0, c.cast("double"))
+    return F.coalesce(positive(given), positive(probed), positive(recorded.try_cast("double")), last_line.cast("double"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products over the shorter length."""
     n = F.least(F.size(a), F.size(b))
@@ -98,8 +138,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(dot(a, b) / bottom)
 
 
+def _sorted_fields(value: Column, kind) -> Column:
+    if isinstance(kind, StructType):
+        fields = [_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _sorted_fields(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(value, lambda _, x: _sorted_fields(x, kind.valueType)))))
+    return value
+
+
+def canonical_json(value: Column, kind) -> Column:
+    """JSON text of a column of type ``kind`` with the keys of all structs and maps in order, however deep."""
+    return F.to_json(_sorted_fields(value, kind), {"ignoreNullFields": "false"})
+
+
 def content_hash(json: Column) -> Column:
-    """12 hex digits of the SHA-256 of a canonical JSON text: struct fields are to be declared in sorted order."""
+    """12 hex digits of the SHA-256 of a canonical JSON text."""
     return F.substring(F.sha2(json, 256), 1, 12)
 
 

@@ -66,12 +66,13 @@ def merge_units(lines: DataFrame, gap: int = 600, most: int = 45, key: str = "vi
 def dub_plan(lines: DataFrame, gap: int = 50, borrow: float = 0.5, preferred: float = 1.15, cap: float = 2.0, key: str = "video_id") -> DataFrame:
     """Window end, tempo and mode of each line (key, idx, t0, t1, wav_dur): fit, borrow silence from the gap, or speed up.
 
-    A next start of 0 counts as none, so the gap is unlimited. Beyond the preferred tempo what was borrowed is given back.
+    The next line is the next of the list, whether or not it has audio; lines without audio get no plan. A next start of 0
+    counts as none, so the gap is unlimited. Beyond the preferred tempo what was borrowed is given back.
     """
     nxt = F.lead("t0").over(Window.partitionBy(key).orderBy("idx"))
     win = F.col("t1") - F.col("t0")
     space = F.when(F.coalesce(F.col("next_t0"), F.lit(0)) == 0, F.lit(10**12)).otherwise(F.col("next_t0") - gap - F.col("t1"))
-    df = lines.filter("wav_dur IS NOT NULL").withColumn("next_t0", nxt).withColumn("win", win).withColumn("lent", F.least(F.greatest(F.lit(0), space).cast("double"), F.col("win") * borrow))
+    df = lines.withColumn("next_t0", nxt).filter("wav_dur IS NOT NULL").withColumn("win", win).withColumn("lent", F.least(F.greatest(F.lit(0), space).cast("double"), F.col("win") * borrow))
     fits, wide = F.col("wav_dur") <= F.col("win"), F.col("win") + F.col("lent")
     need = F.col("wav_dur") / wide
     return df.select(

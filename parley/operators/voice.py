@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
 
+#: Blocks of the archive that all speakers, or all entries, are compared with.
+BLOCKS = 16
+
 
 def fifo_cap(archive: DataFrame, cap: int = 10) -> DataFrame:
     """The ``cap`` latest entries of each person and language."""
@@ -26,7 +29,10 @@ def _unit(df: DataFrame) -> DataFrame:
 def group_scores(speakers: DataFrame, archive: DataFrame) -> DataFrame:
     """Mean cosine of each speaker (video_id, spk, lang, vec) with each person's entries of each language, and the best entry's reference."""
     right = _unit(archive).select("person", F.col("lang").alias("group_lang"), F.col("vec").alias("v"), F.col("norm").alias("n"), "ref_path", "seq")
-    pairs = _unit(speakers).crossJoin(right)
+    # every speaker against the whole archive, block by block: a block holds whole groups, so their means settle there
+    right = right.withColumn("block", F.pmod(F.xxhash64("person", "group_lang"), F.lit(BLOCKS)))
+    every = _unit(speakers).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    pairs = every.join(right, F.col("asked") == F.col("block"))
     cos = F.when(F.col("norm") * F.col("n") == 0, F.lit(0.0)).otherwise(s.dot(F.col("vec"), F.col("v")) / (F.col("norm") * F.col("n")))
     scored = pairs.select("video_id", "spk", "lang", "person", "group_lang", "ref_path", "seq", cos.alias("cos"))
     return scored.groupBy("video_id", "spk", "lang", "person", "group_lang").agg(F.avg("cos").alias("score"), F.max_by("ref_path", F.struct("cos", -F.col("seq"))).alias("top_ref"), F.count(F.lit(1)).alias("entries"))
@@ -75,7 +81,9 @@ def entry_pairs(archive: DataFrame) -> DataFrame:
     a = _unit(archive).select(F.col("seq").alias("a"), F.col("person").alias("pa"), F.col("lang").alias("la"), F.col("vec").alias("va"), F.col("norm").alias("na"))
     b = _unit(archive).select(F.col("seq").alias("b"), F.col("person").alias("pb"), F.col("lang").alias("lb"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
     cos = F.when(F.col("na") * F.col("nb") == 0, F.lit(0.0)).otherwise(s.dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", "pa", "pb", "la", "lb", cos.alias("cos"))
+    b = b.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(BLOCKS)))
+    a = a.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    return a.join(b, (F.col("asked") == F.col("block")) & (F.col("a") != F.col("b"))).select("a", "b", "pa", "pb", "la", "lb", cos.alias("cos"))
 
 
 def leave_one_out(archive: DataFrame) -> DataFrame:
@@ -110,16 +118,18 @@ def calibrate(archive: DataFrame) -> DataFrame:
     pairs = entry_pairs(archive)
     genuine = pairs.filter("pa = pb").groupBy("a", "la").agg(F.avg("cos").alias("score"))
     other = pairs.filter("pa <> pb").groupBy("a", "la", "pb", "lb").agg(F.avg("cos").alias("score"))
-    own = Window.partitionBy("a", "pb").orderBy((F.col("la") == F.col("lb")).desc(), F.desc("score"), "lb")
+    own = Window.partitionBy("a", "pb").orderBy(F.col("la").eqNullSafe(F.col("lb")).desc(), F.desc("score"), "lb")
     rival = other.withColumn("place", F.row_number().over(own)).filter("place = 1").groupBy(F.col("a").alias("_a")).agg(F.max("score").alias("rival"))
     margins = genuine.join(rival, F.col("a") == F.col("_a")).select(F.col("la").alias("lang"), (F.col("score") - F.col("rival")).alias("margin"))
-    imp = pairs.filter("pa < pb").select(F.explode(F.when(F.col("la") == F.col("lb"), F.array(F.struct(F.col("la").alias("lang"), F.lit(False).alias("cross")))).otherwise(F.array(F.struct(F.col("la").alias("lang"), F.lit(True).alias("cross")), F.struct(F.col("lb").alias("lang"), F.lit(True).alias("cross"))))).alias("x"), "cos").select("x.lang", "x.cross", "cos")
+    imp = pairs.filter("pa < pb").select(F.explode(F.when(F.col("la").eqNullSafe(F.col("lb")), F.array(F.struct(F.col("la").alias("lang"), F.lit(False).alias("cross")))).otherwise(F.array(F.struct(F.col("la").alias("lang"), F.lit(True).alias("cross")), F.struct(F.col("lb").alias("lang"), F.lit(True).alias("cross"))))).alias("x"), "cos").select("x.lang", "x.cross", "cos")
     g = genuine.groupBy(F.col("la").alias("lang")).agg(F.count(F.lit(1)).alias("genuine_n"), F.expr("percentile(score, 0.05)").alias("genuine_p5"), F.expr("percentile(score, 0.25)").alias("genuine_p25"))
     m = margins.groupBy(F.col("lang").alias("_m")).agg(F.count(F.lit(1)).alias("margin_n"), F.expr("percentile(margin, 0.05)").alias("m5"))
     i = imp.groupBy(F.col("lang").alias("_i")).agg(F.count(F.lit(1)).alias("impostor_n"), F.count_if("cross").alias("cross_impostor_n"), F.expr("percentile(cos, 0.99)").alias("p99"), F.max("cos").alias("most"), F.expr("percentile(CASE WHEN cross THEN cos END, 0.99)").alias("cross99"))
     both = error_rate(genuine.select(F.col("la").alias("lang"), F.lit(True).alias("genuine"), "score").unionByName(imp.select("lang", F.lit(False).alias("genuine"), F.col("cos").alias("score"))), ["lang"]).withColumnRenamed("lang", "_e")
     langs = archive.select("lang").distinct()
-    df = langs.join(g.withColumnRenamed("lang", "_g"), F.col("lang") == F.col("_g"), "left").join(m, F.col("lang") == F.col("_m"), "left").join(i, F.col("lang") == F.col("_i"), "left").join(both, F.col("lang") == F.col("_e"), "left")
+    df = langs  # a null language has a tier of its own
+    for part, name in ((g.withColumnRenamed("lang", "_g"), "_g"), (m, "_m"), (i, "_i"), (both, "_e")):
+        df = df.join(part, F.col("lang").eqNullSafe(F.col(name)), "left")
     thr = F.when(F.col("impostor_n") < 20, F.greatest("p99", F.col("most") + 0.02)).otherwise(F.col("p99"))
     df = df.withColumn("thr", thr).withColumn("margin_min", F.greatest(F.coalesce("m5", F.lit(0.03)), F.lit(0.03)))
     df = df.withColumn("thr_host", F.greatest(F.col("thr") + 0.05, "genuine_p25")).withColumn("thr_cross", F.when(F.col("cross_impostor_n") >= 10, F.col("cross99")).otherwise(F.col("thr") + 0.05))

@@ -62,9 +62,13 @@ def replay(events: DataFrame) -> DataFrame:
     return events.groupBy("bvid", "part").agg(F.aggregate(packed, start, step).alias("r")).select("bvid", "part", "r.*")
 
 
-def merge_closure(merges: DataFrame, key: str = "decision", depth: int = 64) -> DataFrame:
-    """Final target of each merged id (key, id, target), by a recursive query; a ring ends where it would repeat, with ``ring`` true."""
+def merge_closure(merges: DataFrame, key: str = "decision") -> DataFrame:
+    """Final target of each merged id (key, id, target), by a recursive query; a ring ends where it would repeat, with ``ring`` true.
+
+    A chain has no more hops than its decision has merges, so the largest decision bounds the recursion, whatever its size.
+    """
     spark = merges.sparkSession
+    depth = (merges.groupBy(key).count().agg(F.max("count")).first()[0] or 0) + 2
     merges.select(F.col(key).alias("k"), "id", "target").createOrReplaceTempView("_merge_edges")
     walked = spark.sql(f"""
         WITH RECURSIVE walk (k, id, target, path, ring) MAX RECURSION LEVEL {depth} AS (

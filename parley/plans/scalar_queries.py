@@ -44,7 +44,7 @@ def epoch_date(v):
     return v.catalog.select("bvid", s.epoch_date(F.col("created")).cast("string").alias("day"))
 
 
-_BADGE = "CASE pos % 4 WHEN 0 THEN concat('HD4', '中', substr(text, 1, 6), '文', 'x9.') WHEN 1 THEN concat('12345678%', substr(text, 1, 0)) WHEN 2 THEN concat('字', substr(text, 1, 3), 'OK') ELSE text END"
+_BADGE = "CASE pos % 4 WHEN 0 THEN concat('HD4', '中', text, '文', 'x9.') WHEN 1 THEN concat('12345678%', text) WHEN 2 THEN concat('字', text, '字OK') ELSE text END"
 
 
 @query(
@@ -69,17 +69,21 @@ def sanitize_title(v):
     return v.table("pages").select("page_id", s.sanitize_title(F.col("url")).alias("file"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cos
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 5 = 0""")
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+m AS (SELECT label, list(m ORDER BY i) AS y FROM (SELECT label, i, avg(x[i]) AS m FROM (SELECT label, x, unnest(generate_series(1, len(x))) AS i FROM e) GROUP BY ALL) GROUP BY label)
+SELECT vec_id, e.label, round(list_cosine_similarity(x, y), 6) AS cos FROM e JOIN m ON e.label = m.label""")
 def cosine_pairs(v):
-    left = v.table("embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").cast("array<double>").alias("x"))
-    right = v.table("embeddings").select(F.col("vec_id").alias("b"), F.col("label").alias("l"), F.col("embedding").cast("array<double>").alias("y"))
-    return left.join(right, (F.col("label") == F.col("l")) & (F.col("a") < F.col("b"))).select("a", "b", F.round(s.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
+    """Cosine of each vector with the mean of its label."""
+    e = v.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    means = e.select("label", F.posexplode("x").alias("i", "m")).groupBy("label", "i").agg(F.avg("m").alias("m"))
+    middle = means.groupBy(F.col("label").alias("l")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("y"))
+    return e.join(middle, F.col("label") == F.col("l")).select("vec_id", "label", F.round(s.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
 
 
-@query("""SELECT conv_id, turn, substr(sha256('{"role":"' || role || '","turn":' || turn || '}'), 1, 12) AS hash FROM conversations""")
+@query("""SELECT conv_id, turn, substr(sha256(CAST(to_json({'by': {'role': role, 'turn': turn}, 'text': text}) AS VARCHAR)), 1, 12) AS hash FROM conversations""")
 def content_hash(v):
-    return v.table("conversations").select("conv_id", "turn", s.content_hash(F.to_json(F.struct("role", "turn"))).alias("hash"))
+    said = v.table("conversations").select("conv_id", "turn", F.struct("text", F.struct("turn", "role").alias("by")).alias("said"))
+    return said.select("conv_id", "turn", s.content_hash(s.canonical_json(F.col("said"), said.schema["said"].dataType)).alias("hash"))
 
 
 @query(with_views("v_refs", "SELECT name, pos, coalesce(nullif(use, ''), 'clone') AS use FROM v_refs"))
@@ -114,9 +118,9 @@ def drop_skipped_speakers(v):
     return v.tagged.withColumn("spk", s.speaker_tag(F.col("text"))).join(skipped, F.col("spk") == F.col("skip"), "left_anti").select("video_id", "idx")
 
 
-@query(with_views("v_catalog", "SELECT bvid, title FROM v_catalog WHERE contains(lower(title), '7')"))
+@query(with_views("v_catalog", "SELECT bvid, title FROM v_catalog WHERE contains(lower(title), 'red')"))
 def catalog_search(v):
-    return v.catalog.filter(s.title_contains(F.col("title"), "7")).select("bvid", "title")
+    return v.catalog.filter(s.title_contains(F.col("title"), "Red")).select("bvid", "title")
 
 
 @query(with_views("v_subs", "SELECT video_id, idx, printf('SPK_%02d', (idx - 1) % 3) AS spk FROM v_subs"))

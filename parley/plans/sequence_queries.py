@@ -54,13 +54,16 @@ def reattribute_after_merge(v):
 @query(
     with_views(
         "v_subs v_segs",
-        "WITH " + _MERGED.format(src="v_segs") + "," + _ATTRIBUTED + """ SELECT video_id, count(*) AS lines, count_if(conf < 0.6) AS review, round(avg(conf), 6) AS conf_mean, round(count_if(conf < 0.6) / count(*), 6) AS review_ratio,
+        "WITH " + _MERGED.format(src="v_segs") + "," + _ATTRIBUTED + """ SELECT video_id, count(*) AS lines, count_if(conf < 0.6) AS review, floor(sum(CAST(floor(conf * 10000 + 0.5) AS BIGINT)) / (10.0::DOUBLE * count(*)) + 0.5) / 1000 AS conf_mean, floor(count_if(conf < 0.6) * 1000.0::DOUBLE / count(*) + 0.5) / 1000 AS review_ratio,
         array_to_string(list_sort(list(DISTINCT spk)), ',') AS speakers FROM att GROUP BY video_id""",
     )
 )
 def attribution_stats(v):
+    """Lines, how many want review, and two means: that of conf rounded to four places, and the share to review, both to three."""
     a = intervals.attribute(v.subs, v.segs)
-    return a.groupBy("video_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("review").alias("review"), F.round(F.avg("conf"), 6).alias("conf_mean"), F.round(F.count_if("review") / F.count(F.lit(1)), 6).alias("review_ratio"), F.array_join(F.sort_array(F.collect_set("spk")), ",").alias("speakers"))
+    n = F.count(F.lit(1))
+    conf = F.floor(F.sum(F.floor(F.col("conf") * 10000 + 0.5)) / (n * 10.0) + 0.5) / 1000
+    return a.groupBy("video_id").agg(n.alias("lines"), F.count_if("review").alias("review"), conf.alias("conf_mean"), (F.floor(F.count_if("review") * 1000.0 / n + 0.5) / 1000).alias("review_ratio"), F.array_join(F.sort_array(F.collect_set("spk")), ",").alias("speakers"))
 
 
 @query(
@@ -133,7 +136,7 @@ def merge_units(v):
 
 _PLAN = """
 p AS (SELECT *, t1 - t0 AS win, least(CAST(greatest(0, CASE WHEN coalesce(nx, 0) = 0 THEN 1000000000000 ELSE nx - 50 - t1 END) AS DOUBLE), (t1 - t0) * 0.5) AS lent
-      FROM (SELECT *, lead(t0) OVER (PARTITION BY video_id ORDER BY idx) AS nx FROM v_manifest WHERE wav_dur IS NOT NULL)),
+      FROM (SELECT *, lead(t0) OVER (PARTITION BY video_id ORDER BY idx) AS nx FROM v_manifest) WHERE wav_dur IS NOT NULL),
 plan AS (SELECT video_id, idx, CASE WHEN wav_dur <= win THEN CAST(t1 AS DOUBLE) WHEN wav_dur <= win + lent OR wav_dur / (win + lent) <= 1.15 THEN t1 + lent ELSE CAST(t1 AS DOUBLE) END AS win_end,
       CASE WHEN wav_dur <= win + lent THEN 1.0::DOUBLE WHEN wav_dur / (win + lent) <= 1.15 THEN wav_dur / (win + lent) ELSE least(2.0::DOUBLE, wav_dur / win) END AS tempo,
       CASE WHEN wav_dur <= win THEN 'fit' WHEN wav_dur <= win + lent THEN 'borrow' WHEN wav_dur / (win + lent) > 1.15 THEN 'atempo_over' ELSE 'atempo' END AS mode FROM p)"""
@@ -295,12 +298,12 @@ def noise_floor(v):
     return v.frames.groupBy("file").agg(F.round(F.expr("percentile(db, 0.95)"), 6).alias("peak"), F.round(F.expr("percentile(db, 0.10)"), 6).alias("floor"), (F.expr("percentile(db, 0.10)") > -45).alias("bgm"))
 
 
-_VOTES = "SELECT video_id, spk, ['zh', 'ja', 'en', 'ko'][CAST(seg_ord % 4 AS INT) + 1] AS lang, sum(t1 - t0) AS ms, min(seg_ord) AS first_ord FROM v_segs GROUP BY ALL"
+_VOTES = "SELECT video_id, spk, CASE WHEN video_id LIKE '%0' AND seg_ord % 16 <> 7 THEN 'zh' ELSE ['zh', 'ja', 'en', 'ko'][CAST(seg_ord % 4 AS INT) + 1] END AS lang, sum(t1 - t0) AS ms, min(seg_ord) AS first_ord FROM v_segs GROUP BY ALL"
 _VERDICT = f"votes AS ({_VOTES}), sp AS (SELECT video_id, spk, sum(CASE WHEN lang = 'zh' THEN ms ELSE 0 END) / sum(ms) AS zh_ratio, arg_min(lang, (-ms, first_ord)) AS lang FROM votes GROUP BY ALL)"
 
 
 def _votes(v):
-    lang = F.element_at(F.array(*map(F.lit, ("zh", "ja", "en", "ko"))), (F.col("seg_ord") % 4).cast("int") + 1)
+    lang = F.expr("CASE WHEN video_id LIKE '%0' AND seg_ord % 16 <> 7 THEN 'zh' ELSE element_at(array('zh', 'ja', 'en', 'ko'), cast(seg_ord % 4 AS int) + 1) END")
     each = v.segs.groupBy("video_id", "spk", lang.alias("lang")).agg(F.sum(F.col("t1") - F.col("t0")).alias("ms"), F.min("seg_ord").alias("first_ord"))
     return each.groupBy("video_id", "spk").agg((F.sum(F.when(F.col("lang") == "zh", F.col("ms")).otherwise(0)) / F.sum("ms")).alias("zh_ratio"), F.min_by("lang", F.struct((-F.col("ms")).alias("less"), "first_ord")).alias("lang"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "ms")))).alias("votes"))
 
@@ -310,9 +313,9 @@ def language_vote(v):
     return _votes(v).drop("votes")
 
 
-@query(with_views("v_segs", "WITH " + _VERDICT + " SELECT video_id, CASE WHEN bool_and(zh_ratio >= 0.3) THEN 'skip_all' ELSE 'dub' END AS verdict FROM sp GROUP BY ALL"))
+@query(with_views("v_segs", "WITH " + _VERDICT + " SELECT video_id, CASE WHEN bool_and(zh_ratio >= 0.6) THEN 'skip_all' ELSE 'dub' END AS verdict FROM sp GROUP BY ALL"))
 def language_verdict(v):
-    return _votes(v).groupBy("video_id").agg(F.when(F.bool_and(F.col("zh_ratio") >= 0.3), "skip_all").otherwise("dub").alias("verdict"))
+    return _votes(v).groupBy("video_id").agg(F.when(F.bool_and(F.col("zh_ratio") >= 0.6), "skip_all").otherwise("dub").alias("verdict"))
 
 
 @query(with_views("v_segs", "SELECT video_id, array_to_string(list(spk ORDER BY first_ord), ',') AS labels, array_to_string(list(spk ORDER BY spk), ',') = array_to_string(list(spk ORDER BY first_ord), ',') AS aligned FROM (SELECT video_id, spk, min(seg_ord) AS first_ord FROM v_segs GROUP BY ALL) GROUP BY ALL"))

@@ -13,6 +13,9 @@ EVENTS = ("download_done", "analysis_done", "review_submit", "confirm_skip", "re
 STATES = ("pending_download", "pending_analysis", "pending_review", "reviewed", "preview", "synthesizing", "delivered", "excluded", "failed")
 
 
+_VOICE = "transform(embedding, (x, i) -> cast(x AS double) * {} + CASE WHEN i = label THEN cast(1 AS double) ELSE cast(0 AS double) END) AS vec"
+
+
 class Views:
     """Lazy views over the tables of one folder."""
 
@@ -50,17 +53,23 @@ class Views:
 
     @property
     def archive(self) -> DataFrame:
+        """Voices of people: their label's direction and some of the table's own. The first few are of a language of their own, too few to calibrate."""
         return self.table("embeddings").filter("vec_id % 5 <> 0").selectExpr(
-            "vec_id AS seq", "concat('P', cast(label AS string)) AS person", "element_at(array('zh', 'en', 'ja'), cast(vec_id % 3 AS int) + 1) AS lang", "cast(embedding AS array<double>) AS vec", "concat('r', cast(vec_id AS string)) AS ref_path"
+            "vec_id AS seq",
+            "concat('P', cast(label AS string)) AS person",
+            "CASE WHEN vec_id < 5 THEN 'ko' ELSE element_at(array('zh', 'en', 'ja'), cast(vec_id % 3 AS int) + 1) END AS lang",
+            _VOICE.format("CAST(0.4 AS DOUBLE)"),
+            "concat('r', cast(vec_id AS string)) AS ref_path",
         )
 
     @property
     def speakers(self) -> DataFrame:
+        """Speakers with a voice near their person's, but every third, which is near nobody's."""
         return self.table("embeddings").filter("vec_id % 5 = 0").selectExpr(
-            "concat('V', cast(vec_id % 20 AS string)) AS video_id",
+            "concat('V', cast(vec_id % 40 AS string)) AS video_id",
             "concat('SPK_', cast(vec_id AS string)) AS spk",
-            "element_at(array('zh', 'en', 'ko', NULL), cast(vec_id % 4 AS int) + 1) AS lang",
-            "cast(embedding AS array<double>) AS vec",
+            "element_at(array('zh', 'en', 'ko', NULL), cast((vec_id div 5) % 4 AS int) + 1) AS lang",
+            _VOICE.format("CAST(CASE WHEN vec_id % 3 = 0 THEN 9 ELSE 0.3 END AS DOUBLE)"),
             "concat('P', cast(label AS string)) AS truth",
         )
 
@@ -108,7 +117,7 @@ class Views:
             F.expr("CASE WHEN vec_id % 2 = 0 THEN 'episode' ELSE 'web' END").alias("kind"),
             F.expr("concat('P', cast(vec_id % 3 AS string))").alias("part"),
         )
-        return self.table("embeddings").filter("vec_id < 100").groupBy((F.col("vec_id") % 25).alias("n")).agg(F.sort_array(F.collect_list(ref)).alias("refs")).select(F.concat(F.lit("N"), F.col("n").cast("string")).alias("name"), "refs")
+        return self.table("embeddings").groupBy(F.expr("vec_id div 4").alias("n")).agg(F.sort_array(F.collect_list(ref)).alias("refs")).select(F.concat(F.lit("N"), F.col("n").cast("string")).alias("name"), "refs")
 
     @property
     def decisions(self) -> DataFrame:
@@ -127,17 +136,18 @@ class Views:
         )
 
 
+_SQL_VOICE = "list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * {} + CASE WHEN i = label + 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS vec"
 _VIEWS = {
     "v_iv": """SELECT concat('V', CAST(user_id AS VARCHAR)) AS video_id, event_id, (epoch_us(ts) // 1000) % 240000 AS t0,
         (epoch_us(ts) // 1000) % 240000 + greatest(500, least(CAST(round(value * 100) AS BIGINT), 12000)) AS t1, event_type, value FROM events""",
     "v_segs": "SELECT video_id, event_id AS seg_ord, t0, t1, concat('SPK_0', CAST((event_id // 2) % 3 AS VARCHAR)) AS spk FROM v_iv WHERE event_id % 2 = 1",
     "v_subs": "SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t0, event_id) AS idx, event_id, t0, t1, event_type AS text, value FROM v_iv WHERE event_id % 2 = 0",
     "v_tagged": "SELECT * REPLACE (concat(CASE WHEN event_id % 3 > 0 THEN concat('[SPK_0', CAST(event_id % 3 AS VARCHAR), '] ') ELSE '' END, ' say  ', text) AS text) FROM v_subs",
-    "v_archive": """SELECT vec_id AS seq, concat('P', CAST(label AS VARCHAR)) AS person, ['zh', 'en', 'ja'][CAST(vec_id % 3 AS INT) + 1] AS lang, CAST(embedding AS DOUBLE[]) AS vec,
+    "v_archive": f"""SELECT vec_id AS seq, concat('P', CAST(label AS VARCHAR)) AS person, CASE WHEN vec_id < 5 THEN 'ko' ELSE ['zh', 'en', 'ja'][CAST(vec_id % 3 AS INT) + 1] END AS lang, {_SQL_VOICE.format("CAST(0.4 AS DOUBLE)")},
         concat('r', CAST(vec_id AS VARCHAR)) AS ref_path FROM embeddings WHERE vec_id % 5 <> 0""",
     "v_capped": "SELECT * FROM v_archive QUALIFY row_number() OVER (PARTITION BY person, lang ORDER BY seq DESC) <= 10",
-    "v_speakers": """SELECT concat('V', CAST(vec_id % 20 AS VARCHAR)) AS video_id, concat('SPK_', CAST(vec_id AS VARCHAR)) AS spk, ['zh', 'en', 'ko', NULL][CAST(vec_id % 4 AS INT) + 1] AS lang,
-        CAST(embedding AS DOUBLE[]) AS vec, concat('P', CAST(label AS VARCHAR)) AS truth FROM embeddings WHERE vec_id % 5 = 0""",
+    "v_speakers": f"""SELECT concat('V', CAST(vec_id % 40 AS VARCHAR)) AS video_id, concat('SPK_', CAST(vec_id AS VARCHAR)) AS spk, ['zh', 'en', 'ko', NULL][CAST(vec_id // 5 % 4 AS INT) + 1] AS lang,
+        {_SQL_VOICE.format("CAST(CASE WHEN vec_id % 3 = 0 THEN 9 ELSE 0.3 END AS DOUBLE)")}, concat('P', CAST(label AS VARCHAR)) AS truth FROM embeddings WHERE vec_id % 5 = 0""",
     "v_hits": """SELECT doc_id AS video_id, pos - 1 AS pos, CAST((pos - 1) * 500 AS BIGINT) AS ts, lines[pos] AS text, (n_chars % 100) / 100.0 AS conf
         FROM (SELECT doc_id, n_chars, string_split(text, chr(10)) AS lines, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents)""",
     "v_manifest": "SELECT *, CASE WHEN event_id % 17 <> 0 THEN CAST(round(value * 50) AS BIGINT) END AS wav_dur FROM v_subs",
@@ -149,10 +159,10 @@ _VIEWS = {
         o_orderkey % 3 = 0 AS busy, concat('T', CAST(o_custkey AS VARCHAR)) AS title, o_orderkey FROM orders""",
     "v_catalog": """SELECT p_partkey AS bvid, p_name AS title, CASE WHEN p_size % 5 = 0 THEN 'n/a' WHEN p_size % 2 = 0 THEN printf('%d:%02d', p_size, p_size % 60)
         ELSE printf('%d:%02d:%02d', p_size % 3, p_size % 60, (p_size * 7) % 60) END AS length, p_partkey * 86400 + 1600000000 AS created, p_partkey % 5 = 0 AS is_charge FROM part""",
-    "v_refs": """SELECT concat('N', CAST(vec_id % 25 AS VARCHAR)) AS name, vec_id AS pos, CASE WHEN vec_id % 7 = 0 THEN '' ELSE concat('a', CAST(vec_id AS VARCHAR), '.wav') END AS audio,
+    "v_refs": """SELECT concat('N', CAST(vec_id // 4 AS VARCHAR)) AS name, vec_id AS pos, CASE WHEN vec_id % 7 = 0 THEN '' ELSE concat('a', CAST(vec_id AS VARCHAR), '.wav') END AS audio,
         CASE WHEN vec_id % 3 = 0 THEN '' ELSE concat('t', CAST(vec_id AS VARCHAR), '.txt') END AS transcript,
         CASE WHEN vec_id % 4 = 0 THEN 'voiceid' WHEN vec_id % 4 = 1 THEN 'clone' WHEN vec_id % 4 = 2 THEN '' END AS use,
-        CASE WHEN vec_id % 2 = 0 THEN 'episode' ELSE 'web' END AS kind, concat('P', CAST(vec_id % 3 AS VARCHAR)) AS part FROM embeddings WHERE vec_id < 100""",
+        CASE WHEN vec_id % 2 = 0 THEN 'episode' ELSE 'web' END AS kind, concat('P', CAST(vec_id % 3 AS VARCHAR)) AS part FROM embeddings""",
     "v_decisions": """SELECT c_custkey // 6 AS decision, CAST(c_custkey % 6 AS INT) AS pos,
         CASE WHEN c_custkey % 41 = 0 THEN '' WHEN c_custkey % 47 = 0 THEN 's0' ELSE concat('s', CAST(c_custkey % 6 AS VARCHAR)) END AS id,
         CASE WHEN c_custkey % 13 = 0 THEN concat('s', CAST(c_nationkey % 7 AS VARCHAR)) END AS merge_into,
