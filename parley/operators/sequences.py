@@ -36,6 +36,12 @@ def monotone_lines(lines: DataFrame, half: int = 250, gap: int = 10, least: int
     return ended.withColumn("t0", F.greatest(F.lit(0), F.col("first_ts") - half, F.coalesce(F.lag("t1").over(order), F.lit(0)) + gap)).drop("i", "m")
 
 
+def clean_lines(hits: DataFrame, exact: bool = False, half: int = 250, gap: int = 10, least: int = 300, key: str = "video_id") -> DataFrame:
+    """Subtitle lines of recognised texts: grouped, freed of badges, clamped. Groups that a badge alone made go, and their numbers stay holes."""
+    cleaned = ocr_lines(hits, exact=exact, key=key).withColumn("text", s.clean_badge(F.col("text"))).filter("text <> ''")
+    return monotone_lines(cleaned, half, gap, least, key).select(key, F.col("line").alias("idx"), "t0", "t1", "text")
+
+
 def _fold(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], start: Column, step, out: str) -> DataFrame:
     """An ordered fold of each key's rows; keys bound what is collected (a video, a speaker)."""
     packed = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
@@ -92,6 +98,25 @@ def place_track(lines: DataFrame, gap: int = 50, key: str = "video_id") -> DataF
     return ended.withColumn("place_t", F.col("end_t") - F.col("wav_dur")).drop("d")
 
 
+def trim_silence(samples: Column, quiet: int = 300, least: int = 800) -> Column:
+    """Samples from the first to the last of ``quiet`` or louder; all of them if fewer than ``least`` would stay."""
+    loud = F.transform(samples, lambda x: F.abs(x) >= quiet)
+    first = F.array_position(loud, True)
+    count = F.size(samples) - F.array_position(F.reverse(loud), True) + 2 - first
+    return F.when((first > 0) & (count >= least), F.slice(samples, first.cast("int"), count.cast("int"))).otherwise(samples)
+
+
+def render_track(lines: DataFrame, gap: int = 50, key: str = "video_id") -> DataFrame:
+    """Plan and place of each line's audio as it is heard: sped up by the plan's tempo if that is over 1.001, then placed by its new length.
+
+    Lengths are whole milliseconds. Lines without audio have no row and move nothing.
+    """
+    plan = dub_plan(lines, gap=gap, key=key).select(F.col(key).alias("_k"), F.col("idx").alias("_i"), "tempo", "mode")
+    met = lines.join(plan, (F.col(key) == F.col("_k")) & (F.col("idx") == F.col("_i")))
+    heard = F.when(F.col("tempo") > 1.001, F.floor(F.col("wav_dur") / F.col("tempo") + 0.5)).otherwise(F.col("wav_dur")).cast("long")
+    return place_track(met.withColumn("wav_dur", heard), gap, key).select(key, "idx", "tempo", "mode", F.col("wav_dur").alias("heard"), "place_t", "end_t")
+
+
 def dense_window(lines: DataFrame, totals: DataFrame, width: int = 60_000, step: int = 5000, head: int = 90_000, tail: int = 60_000, key: str = "video_id") -> DataFrame:
     """The window of most whole lines, earliest first: outside head and tail if any line is there, else anywhere, else in the middle.
 

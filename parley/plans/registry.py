@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from parley.plans import scalar_queries, sequence_queries, voice_queries, workflow_queries  # noqa: E402, F401
+from parley.plans import record_queries, scalar_queries, sequence_queries, voice_queries, workflow_queries  # noqa: E402, F401

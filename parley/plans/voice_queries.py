@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import voice
+from parley.operators import archive, voice
 from parley.plans.registry import query
 from parley.sources.views import with_views
 
@@ -168,10 +168,10 @@ def truth_summary(v):
     return _truth(v).groupBy("genuine").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query()
+@query(with_views("v_archive", "SELECT seq, person FROM v_archive ORDER BY md5(concat(CAST(seq AS VARCHAR), ':42')), seq LIMIT 20"))
 def audit_sample(v):
     """A fixed sample of archive entries for recomputation; the limit is the feature."""
-    return v.archive.select("seq", "person").orderBy(F.xxhash64("seq", F.lit(42)), "seq").limit(20)
+    return archive.sample_of(v.archive, 20, 42).select("seq", "person")
 
 
 @query(with_views("v_archive", "SELECT person, lang, count(*) AS entries, count_if(seq % 9 <> 0) AS valid, count_if(seq % 9 = 0) AS invalid FROM v_archive GROUP BY GROUPING SETS ((person, lang), (person), ())"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.intervals import merge_segments
+
 _STAMP = r"(\d+):(\d+):(\d+)[,.](\d+)"
 _TIMES = rf"{_STAMP}\s*-->\s*{_STAMP}"
 
@@ -38,13 +40,17 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
     return timed.select("video_id", idx.alias("idx"), _ms(stamp, 1).alias("t0"), _ms(stamp, 5).alias("t1"), text.alias("text"))
 
 
-def read_rttm(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, seg_ord, t0, t1, spk) of speaker files: SPEAKER rows of eight fields or more, start and length in hundredths of a second."""
+def read_rttm(spark: SparkSession, path: str, merged: bool = False) -> DataFrame:
+    """(video_id, seg_ord, t0, t1, spk) of speaker files: SPEAKER rows of eight fields or more, start and length in hundredths of a second.
+
+    With ``merged`` segments of one speaker that follow each other are fused, as every reader of a timeline wants them.
+    """
     lines = _whole(spark, path).select("video_id", F.posexplode(F.split("value", "\n")).alias("seg_ord", "line"))
     p = F.split(F.trim("line"), r"\s+")
     rows = lines.withColumn("p", p).filter((F.size("p") >= 8) & (F.get("p", F.lit(0)) == "SPEAKER"))
     t0 = F.round(F.get("p", F.lit(3)).cast("double") * 10).cast("long")
-    return rows.select("video_id", "seg_ord", t0.alias("t0"), (t0 + F.round(F.get("p", F.lit(4)).cast("double") * 10).cast("long")).alias("t1"), F.get("p", F.lit(7)).alias("spk"))
+    rows = rows.select("video_id", "seg_ord", t0.alias("t0"), (t0 + F.round(F.get("p", F.lit(4)).cast("double") * 10).cast("long")).alias("t1"), F.get("p", F.lit(7)).alias("spk"))
+    return merge_segments(rows) if merged else rows
 
 
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
@@ -52,18 +58,40 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     return read_srt(spark, path).withColumn("spk", F.regexp_extract("text", r"^\[(SPK_\d+)\]", 1)).filter("spk <> ''").withColumn("text", F.regexp_replace("text", r"^\[SPK_\d+\]\s*", ""))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder, or anything that a pattern fits, is there; in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+
+
 def read_documents(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON documents of a known schema; a corrupt one is an error if ``strict``, else a row of nulls."""
+    """JSON documents of a known schema; none if the file is missing. A corrupt one is an error if ``strict``, else a row of nulls."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE")
 
 
+def read_catalogue(spark: SparkSession, path: str, schema: str = "bvid string, title string, length string, created long, is_charge boolean") -> DataFrame:
+    """Items of a catalogue, a file that holds one JSON list; a missing or corrupt file, or one that holds something else, has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    whole = spark.read.text(path, wholetext=True).filter(F.col("value").rlike(r"(?s)^\s*\["))
+    return whole.select(F.inline(F.from_json("value", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})))
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, spk, vec) from rows (video_id, labels, vecs); rows whose numbers of labels and vectors differ are unavailable and give none."""
     df = spark.read.parquet(path).filter(F.size("labels") == F.size("vecs"))
     return df.select("video_id", F.inline(F.arrays_zip("labels", "vecs"))).withColumnsRenamed({"labels": "spk", "vecs": "vec"})
 
 
-def read_voice_config(spark: SparkSession, config: dict) -> DataFrame:
-    """(file, spk, voice, who, skip) of a parsed voice configuration, in its order; it is configuration, not data."""
+def read_voice_config(spark: SparkSession, config: dict | str) -> DataFrame:
+    """(file, spk, voice, who, skip) of a voice configuration, in its order; YAML text, or what has been parsed of it. It is configuration, not data."""
+    if isinstance(config, str):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML text needs the yaml package; pass what it holds as a dict") from e
+        config = yaml.safe_load(config) or {}
     rows = [(i, m.get("file"), spk, d.get("voice"), d.get("who"), bool(d.get("skip"))) for i, m in enumerate(config.get("episode_maps") or []) for spk, d in (m.get("map") or {}).items()]
     return spark.createDataFrame(rows, "ord int, file string, spk string, voice string, who string, skip boolean")

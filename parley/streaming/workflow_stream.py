@@ -56,3 +56,29 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: events that follow each other within ``gap``."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def distinct_tasks(tasks: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Tasks (bvid, part, stage, ts) of a stream, one of each item and stage at a time: repeats within ``late`` go."""
+    return tasks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["bvid", "part", "stage"])
+
+
+def state_counts(steps: DataFrame) -> DataFrame:
+    """Items now in each state, from all steps of ``ledger_stream`` so far: what went in less what went out, which sums in any order."""
+    moved = F.array(F.struct(F.col("after").alias("state"), F.lit(1).alias("n")), F.struct(F.col("before").alias("state"), F.when(F.col("ord") == F.col("first"), 0).otherwise(-1).alias("n")))
+    first = steps.groupBy(F.col("bvid").alias("_b"), F.col("part").alias("_p")).agg(F.min("ord").alias("first"))
+    met = steps.join(first, (F.col("bvid") == F.col("_b")) & (F.col("part") == F.col("_p")))
+    return met.select(F.inline(moved)).groupBy("state").agg(F.sum("n").alias("items")).filter("items <> 0")
+
+
+def write_steps(events: DataFrame, path: str, checkpoint: str, every: str = "2 seconds", once: bool = False):
+    """Run ``ledger_stream`` into a table, each batch whole and once: a batch that is run again replaces its own partition. Returns the query.
+
+    ``state_counts`` of the table is the live view; ``every`` is how often it moves.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = ledger_stream(events).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
