@@ -56,7 +56,7 @@ def score_matrix_table(scores: DataFrame, people: list[str]) -> DataFrame:
 
 def matrix_markdown(scores: DataFrame, people: list[str]) -> DataFrame:
     """(video_id, value): the score matrix of each video as a Markdown table, speakers in order, scores to three places."""
-    cell = lambda p: F.coalesce(F.format_string("%.3f", F.col(p)), F.lit("-"))
+    cell = lambda p: F.when(F.col(p).isNull(), F.lit("-")).otherwise(F.format_string("%.3f", F.col(p)))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", "spk", *[cell(p) for p in people]), F.lit(" |"))
     head = "| speaker | " + " | ".join(people) + " |\n|" + "---|" * (len(people) + 1) + "\n"
     rows = score_matrix_table(scores, people).select("video_id", "spk", row.alias("row"))

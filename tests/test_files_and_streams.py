@@ -71,3 +71,87 @@ def test_windows_and_sessions_over_the_events_table(spark):
     assert ws.windowed_counts(events, "1 hour", "30 minutes").agg(F.sum("n")).first()[0] == 2 * n
     assert ws.session_counts(events).agg(F.sum("n")).first()[0] == n
     assert ws.accepted_counts(Views(spark, SF).ledger_events).agg(F.sum("count")).first()[0] == n
+
+
+def test_missing_and_corrupt_documents(spark, tmp_path):
+    assert readers.read_documents(spark, str(tmp_path / "none.json"), "a int").count() == 0
+    schema = "bvid string, title string"
+    for text, n in (('[{"bvid": "a", "title": "x"}, {"bvid": "b"}]', 2), ('{"bvid": "a"}', 0), ("[{broken", 0), ("", 0)):
+        (tmp_path / "c.json").write_text(text)
+        assert readers.read_catalogue(spark, str(tmp_path / "c.json"), schema).filter("bvid IS NOT NULL").count() == n
+    assert readers.read_catalogue(spark, str(tmp_path / "none.json"), schema).count() == 0
+
+
+def test_rttm_is_merged_on_demand(spark, tmp_path):
+    (tmp_path / "v.rttm").write_text("SPEAKER v 1 000.000 500.000 <NA> <NA> A <NA> <NA>\nSPEAKER v 1 510.000 290.000 <NA> <NA> A <NA> <NA>\n")
+    assert [tuple(r)[2:] for r in readers.read_rttm(spark, str(tmp_path / "v.rttm"), merged=True).collect()] == [(0, 8000, "A")]
+
+
+def test_voices_file_reads_back_and_is_always_the_same(spark):
+    import yaml
+
+    rows = [(7, "SPK_01", 'who "x"', "skip", True, None, None), (7, "SPK_00", "n", "spk_00", False, "clone", "a\\b.wav"), (8, "SPK_00", None, "spk_00", False, "preset", None)]
+    schema = "decision long, id string, who string, entry string, skip boolean, type string, ref_audio string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "CAST(NULL AS STRING) AS engine", "CAST(NULL AS STRING) AS voice", "CAST(NULL AS STRING) AS ref_text_file", "CAST(NULL AS STRING) AS note")
+    texts = {r["decision"]: r["value"] for r in writers.voices_yaml(df, {"b": "2", "a": "1"}).collect()}
+    assert texts == {r["decision"]: r["value"] for r in writers.voices_yaml(df.orderBy("id").repartition(3), {"a": "1", "b": "2"}).collect()}
+    got = yaml.safe_load(texts[7])
+    assert list(got) == ["global", "library", "episode_maps"] and got["global"] == {"a": "1", "b": "2"}
+    assert got["library"] == {"skip": None, "spk_00": {"type": "clone", "ref_audio": "a\\b.wav"}}
+    assert got["episode_maps"][0]["map"] == {"SPK_00": {"voice": "spk_00", "who": "n"}, "SPK_01": {"voice": "skip", "who": 'who "x"', "skip": True}}
+    back = readers.read_voice_config(spark, texts[7]).orderBy("spk").collect()
+    assert [(r["spk"], r["voice"], r["skip"]) for r in back] == [("SPK_00", "spk_00", False), ("SPK_01", "skip", True)]
+
+
+def test_products_with_sentinels_and_tables_replaced(spark, tmp_path):
+    df, path = spark.createDataFrame([(1,)], "a int"), str(tmp_path / "product")
+    assert not writers.is_complete(spark, path)
+    assert [writers.write_once(df, path) for _ in range(2)] == ["applied", "reused"] and writers.is_complete(spark, path)
+    (tmp_path / "product.done").unlink()
+    assert writers.write_once(df, path) == "applied" and writers.write_once(df, path, force=True) == "applied"
+    for _ in range(2):  # a table may be replaced by what reads it
+        writers.replace_table(spark.read.parquet(path).selectExpr("a + 1 AS a"), path)
+    assert spark.read.parquet(path).first()["a"] == 3 and not (tmp_path / "product.old").exists()
+
+
+def test_matrix_in_markdown(spark):
+    scores = spark.createDataFrame([("v", "s2", "A", 0.5), ("v", "s1", "B", 0.1234)], "video_id string, spk string, person string, score double")
+    assert writers.matrix_markdown(scores, ["A", "B"]).first()["value"] == "| speaker | A | B |\n|---|---|---|\n| s1 | - | 0.123 |\n| s2 | 0.500 | - |"
+
+
+def test_frame_levels(spark):
+    import numpy as np
+
+    from parley.functions import audio
+
+    t = np.arange(16000) / 16000
+    tone = (16000 * np.sin(2 * np.pi * 5000 * t)).astype(int)
+    low = (16000 * np.sin(2 * np.pi * 200 * t)).astype(int)
+    files = spark.createDataFrame([("hi", 16000, tone.tolist() + [0] * 100), ("lo", 16000, low.tolist()), ("none", 16000, [])], "file string, rate int, samples array<int>")
+    got = audio.frame_levels(files).toPandas()
+    assert got.groupby("file").size().to_dict() == {"hi": 10, "lo": 10}
+    mean = got.groupby("file")[["db", "db_h"]].mean()
+    assert abs(mean.loc["hi", "db"] - 20 * np.log10(16000 / 32768 / np.sqrt(2))) < 0.01
+    assert mean.loc["hi", "db_h"] > mean.loc["lo", "db_h"] + 40
+
+
+def test_steps_are_written_once_and_counted_by_state(spark, tmp_path):
+    events = Views(spark, SF).ledger_events
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        ws.write_steps(stream, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
+    steps = spark.read.parquet(str(tmp_path / "out"))
+    assert steps.count() == events.count()
+    want = workflow.replay(events).groupBy("state").count()
+    assert sorted(map(tuple, ws.state_counts(steps).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_task_of_an_item_at_a_time(spark, tmp_path):
+    rows = spark.sql("SELECT * FROM VALUES (1L, 1, 'ocr', TIMESTAMP '2024-01-01 00:00:00'), (1L, 1, 'ocr', TIMESTAMP '2024-01-01 00:01:00'), (1L, 1, 'mix', TIMESTAMP '2024-01-01 00:01:00'), (1L, 1, 'ocr', TIMESTAMP '2024-01-01 02:00:00') t(bvid, part, stage, ts)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = ws.distinct_tasks(stream).writeStream.format("memory").queryName("tasks_out").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("tasks_out").filter("ts < '2024-01-01 01:00:00'").count() == 2

@@ -261,3 +261,56 @@ def test_merge_closure(spark):
     rows = [(1, "a", "b"), (1, "b", "c"), (1, "x", "y"), (1, "y", "x"), (2, "a", "z")]
     got = {(r["decision"], r["id"]): (r["final"], r["ring"]) for r in workflow.merge_closure(spark.createDataFrame(rows, "decision long, id string, target string")).collect()}
     assert got[1, "a"] == ("c", False) and got[1, "b"] == ("c", False) and got[2, "a"] == ("z", False) and got[1, "x"][1] and got[1, "y"][1]
+
+
+def test_long_merge_chains_settle(spark):
+    """A chain of 150 hops, which no fixed bound of the recursion would let through."""
+    n = 150
+    rows = [(1, f"s{i:03d}", f"s{i + 1:03d}") for i in range(n)] + [(2, "a", "b"), (2, "b", "a")]
+    got = {(r["decision"], r["id"]): (r["final"], r["ring"]) for r in workflow.merge_closure(spark.createDataFrame(rows, "decision int, id string, target string")).collect()}
+    assert got[1, "s000"] == (f"s{n:03d}", False) and got[1, "s149"] == (f"s{n:03d}", False)
+    assert got[2, "a"][1] and got[2, "b"][1]
+
+
+def test_a_null_language_has_a_tier(spark):
+    rows = [(0, "A", None, [1.0, 0.0], "r0"), (1, "A", None, [1.0, 0.1], "r1"), (2, "B", None, [0.0, 1.0], "r2"), (3, "B", "zh", [0.1, 1.0], "r3")]
+    tiers = {r["lang"]: r for r in voice.calibrate(spark.createDataFrame(rows, "seq long, person string, lang string, vec array<double>, ref_path string")).collect()}
+    assert tiers[None]["genuine_n"] == 3 and tiers[None]["thr"] is not None and tiers["zh"]["genuine_n"] == 1
+
+
+def test_the_next_line_counts_whether_or_not_it_has_audio(spark):
+    """Three lines, the middle one without audio: the first may borrow up to the second's start less the gap."""
+    rows = [("v", 1, 0, 1000, 1400), ("v", 2, 1500, 2000, None), ("v", 3, 9000, 9500, 100)]
+    got = {r["idx"]: (r["win_end"], r["mode"]) for r in sequences.dub_plan(spark.createDataFrame(rows, "video_id string, idx int, t0 long, t1 long, wav_dur long")).collect()}
+    assert got == {1: (1450.0, "borrow"), 3: (9500.0, "fit")}
+
+
+def test_confidence_is_unrounded(spark):
+    """conf is unrounded in the operator; the query rounds it to four places and then the mean to three."""
+    lines = spark.createDataFrame([("v", 1, 0, 3000), ("v", 2, 3000, 6000)], "video_id string, idx int, t0 long, t1 long")
+    segs = spark.createDataFrame([("v", 0, 0, 1000, "A"), ("v", 1, 3000, 5000, "A")], "video_id string, seg_ord long, t0 long, t1 long, spk string")
+    conf = sorted(r["conf"] for r in intervals.attribute(lines, segs).collect())
+    assert [round(c, 4) for c in conf] == [0.3333, 0.6667]
+
+
+def test_cleaned_lines_keep_holes(spark):
+    """The group that a badge alone made goes, and its number is a hole; the clamp does not see it. The first line starts after the gap, too."""
+    hits = [("v", 0, 0, "你好"), ("v", 1, 500, "HD4"), ("v", 2, 1000, "HD4再见x9")]
+    got = [tuple(r) for r in sequences.clean_lines(spark.createDataFrame(hits, "video_id string, pos int, ts long, text string"), exact=True).orderBy("idx").collect()]
+    assert got == [("v", 1, 10, 310, "你好"), ("v", 3, 750, 1250, "再见")]
+
+
+def test_archive_loop_by_hand(spark):
+    """In one group: the first two pass for want of entries, the third is unlike them, a fourth like them joins; merged ones go to their target's person."""
+    from parley.operators import archive
+
+    rows = [(1, "a", None, "clone", "", "P", "zh", "s1", [1.0, 0.0]), (2, "b", "a", "skip", "", "Q", None, "s2", [1.0, 0.1]), (3, "c", "b", "clone", "", None, "zh", "s3", [0.0, 1.0]), (4, "d", None, "clone", "P", "Q", "zh", "s4", [1.0, 0.05])]
+    rows += [(5, "e", None, "skip", "", "P", "zh", "s5", [1.0, 0.0]), (6, "f", None, "clone", "", "X", "zh", "s6", [1.0, 0.0]), (7, "g", None, "clone", "", "P", "zh", "s1", [1.0, 0.0]), (8, "h", None, "clone", "", "P", "zh", "", [1.0, 0.0])]
+    speakers = spark.createDataFrame([("v", s, o, m, vo, h, p, lang, w, x) for o, s, m, vo, h, p, lang, w, x in rows], "video_id string, spk string, ord long, merge_into string, voice string, host_person string, person string, lang string, sample string, vec array<double>")
+    people = spark.createDataFrame([("P", "zh"), ("Q", None)], "person string, main_lang string")
+    none = spark.createDataFrame([], "seq long, person string, lang string, vec array<double>, ref_path string")
+    tiers = spark.createDataFrame([("zh", 0.9)], "lang string, genuine_p5 double")
+    refs = spark.createDataFrame([("P", "s1x")], "person string, audio string")
+    got = {r["spk"]: (r["status"], r["why"], r["total_after"]) for r in archive.archive_loop(speakers, people, none, tiers, refs).collect()}
+    assert got["a"] == ("archived", None, 1) and got["b"] == ("archived", None, 2) and got["c"] == ("blocked", "unlike its person", None) and got["d"] == ("archived", None, 3)
+    assert got["e"][1] == "no person" and got["f"][1] == "unknown person" and got["h"][1] == "no sample"
