@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,8 @@ FILE_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
 #: Links of a file between two rounds of components.
 FILE_LINKS = 250_000
 
-_own_dir: dict[str, str] = {}
+#: Tables that ``cut`` wrote and nobody deleted, in order.
+_written: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -37,11 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a session on one machine may go without."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    return _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="parley-shared-"))
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="parley-steps-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -61,16 +69,34 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.coalesce(files).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._parley_path = path
+    _written.append(path)
     return found
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote; for steps of a loop which the next step replaces."""
-    path = getattr(df, "_parley_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing lazy reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_parley_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def written() -> int:
+    """A mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Delete what ``cut`` wrote after the mark ``since``, but for the tables to keep: for callers who have written or read an operator's result."""
+    stay = {getattr(df, "_parley_path", None) for df in keep}
+    for path in [p for p in _written[since:] if p not in stay]:
+        _delete(spark, path)
 
 
 def sliced(batches, most: int, rows: int = 4096, column: str | int = "text"):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import components, cut, table
+from parley.llm.common import components, cut, drop, table
 
 #: Rows of the sample that the trees are fitted on, and the fewest of them in a leaf.
 FIT_ROWS, LEAST_LEAF = 16_384, 8
@@ -211,7 +211,9 @@ def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill:
         .join(settled, F.col("class_id") == F.col("settled"))
         .select(F.col("embedding").alias("class_vector"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     )
-    return cut(named, "named")
+    out = cut(named, "named")
+    drop(distinct, reached, told, joined)
+    return out
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

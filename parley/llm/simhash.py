@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import components, cut, sliced, table
+from parley.llm.common import components, cut, drop, sliced, table
 
 #: First bit and number of bits of each subspace: 32 segments of two bits, dealt to six.
 SUBSPACES = ((0, 12), (12, 12), (24, 10), (34, 10), (44, 10), (54, 10))
@@ -197,12 +197,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     """
     marked = cut(fingerprints(docs, width, seed), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    reach = components(near_links(classes, distance))
+    links = cut(near_links(classes, distance), "near")
+    reach = components(links)
     # a fingerprint without links is a component of its own
     named = classes.join(reach, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("component"), "least")
     named = cut(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = cut(named.drop("least").join(least, "component").select("class_fp", "component_id"), "final")
+    drop(classes, links, named)
     return marked.join(final, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 

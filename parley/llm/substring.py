@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, planned_bytes, sliced, table
+from parley.llm.common import cut, drop, planned_bytes, sliced, table
 
 WINDOW, RUN = 13, 4
 #: Bytes worked on at a time, words of a piece of a longer text, packed bytes kept before they are sent, windows a bin should have.
@@ -364,8 +364,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
         firsts = cut(rows.groupBy("words").agg(F.min("span_id").alias("least"), F.max("span_id").alias("last")).filter("least < last").select(F.col("words").alias("first_words"), "least"), "firsts")
         later = rows.join(firsts, F.col("words") == F.col("first_words")).filter("span_id > least")
         found = found.union(later.select("span_id", "span_key", (F.shiftleft("place", 32) + F.col("place") + window).alias("span")))
+    spans = cut(found, "spans")
+    drop(counts, *(rows, firsts) if len(crowded) else ())
     # rows that repeat send the same spans
-    return cut(found, "spans").groupBy("span_id", "span_key").agg(F.collect_set("span").alias("spans"))
+    return spans.groupBy("span_id", "span_key").agg(F.collect_set("span").alias("spans"))
 
 
 def _kept(text: str | None, spans) -> tuple[list[bytes], int]:
