@@ -1,10 +1,10 @@
-"""Operator 8: SimHash near-dedup by a grid range join over per-segment bit counts.
+"""Operator 8: SimHash near-dedup by a grid range-join over per-segment bit counts.
 
 A fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such points is a
-lower bound of the fingerprints' Hamming distance. The segments form six subspaces; points within distance 4 differ in
-four of them at most, so they share a grid cell in at least one of the 15 pairs of subspaces. Each fingerprint goes to
-its 15 cells; within a cell the Manhattan bound over the other subspaces comes first, and pairs that pass it are
-verified bit by bit.
+lower bound of the fingerprints' Hamming distance. The segments form subspaces, six or more; points within distance 4
+differ in four of them at most, so they share a grid cell in at least one choice of all but four. Each fingerprint goes to
+its cells; within a cell the Manhattan bound over all segments comes first, and pairs that pass it are verified bit by
+bit. The more fingerprints there are, the more subspaces: cells get finer, and every choice of them is lossless.
 
 Equal fingerprints are one row from the start (a partial aggregation), so copies never meet. Of a cell's links only
 a spanning forest leaves it, not its pairs. Cells of many fingerprints are parted into blocks, and pairs of blocks go to
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import components, cut, drop, sliced, table
 
-#: First bit and number of bits of each subspace: 32 segments of two bits, dealt to six.
-SUBSPACES = ((0, 12), (12, 12), (24, 10), (34, 10), (44, 10), (54, 10))
-PAIRS = tuple(combinations(range(6), 2))
+#: Subspaces at least, and fingerprints up to which they are enough; for eight times as many there is one more.
+LEAST_SUBSPACES, ENOUGH = 6, 1 << 22
 #: Fingerprints of a cell beyond which it is parted into blocks of about this size.
 BLOCK = 2048
 #: Bytes of shingles hashed at a time.
@@ -71,26 +70,41 @@ def segment_counts(x: np.ndarray) -> np.ndarray:
     return (x & low) + ((x >> np.uint64(1)) & low)
 
 
-def subspace(counts: np.ndarray, k: int) -> np.ndarray:
-    start, bits = SUBSPACES[k]
-    return (counts >> np.uint64(start)) & np.uint64((1 << bits) - 1)
+def subspaces_for(n: int) -> int:
+    """Subspaces for ``n`` different fingerprints."""
+    more = 0
+    while n > ENOUGH * 8**more and more < 6:
+        more += 1
+    return LEAST_SUBSPACES + more
 
 
-def cells_of(x: np.ndarray) -> np.ndarray:
-    """The 15 cells of each fingerprint, as numbers: the pair of subspaces and the counts in both."""
-    counts = segment_counts(x)
-    parts = [subspace(counts, k) for k in range(6)]
-    return np.stack([np.uint64(n << 32) | (parts[i] << np.uint64(12)) | parts[j] for n, (i, j) in enumerate(PAIRS)], axis=1).view(np.int64)
+def cell_masks(subspaces: int, distance: int = 4) -> np.ndarray:
+    """The bits of the counts that each kind of cell looks at: all subspaces but ``distance``, in every choice."""
+    edges = np.round(np.linspace(0, 32, subspaces + 1)).astype(int) * 2
+    own = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return np.array([sum(own[i] for i in kept) for kept in combinations(range(subspaces), subspaces - distance)], np.uint64)
+
+
+def cells_of(x: np.ndarray, subspaces: int = LEAST_SUBSPACES) -> np.ndarray:
+    """The cells of each fingerprint, as numbers: the kind of cell and the counts that it looks at."""
+    masks = cell_masks(subspaces)
+    seen = segment_counts(x)[:, None] & masks
+    key = (seen + np.arange(len(masks), dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(29)
+    return (key * np.uint64(0xBF58476D1CE4E5B9) + np.arange(len(masks), dtype=np.uint64)).view(np.int64)
+
+
+def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Manhattan distance of the segments' bit counts: of two counts 0, 1 or 2, what their bits differ in says how far they are apart."""
+    low = np.uint64(0x5555555555555555)
+    apart = segment_counts(x) ^ segment_counts(y)
+    high = (apart >> np.uint64(1)) & low
+    return np.bitwise_count(high).astype(np.int16) + np.bitwise_count(high ^ (apart & low))
 
 
 def near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
-    """Whether pairs link: the Manhattan bound over whole subspaces first, then the exact distance."""
-    passed = np.ones(np.broadcast(x, y).shape, bool)
-    bound = np.zeros(passed.shape, np.int16)
-    for start, bits in SUBSPACES:
-        mask = np.uint64(((1 << bits) - 1) << start)
-        bound += np.abs(np.bitwise_count(x & mask).astype(np.int16) - np.bitwise_count(y & mask).astype(np.int16))
-    passed = bound <= distance
+    """Whether pairs link: the Manhattan bound first, then the exact distance."""
+    passed = manhattan(x, y) <= distance
     passed[passed] = np.bitwise_count(np.broadcast_to(x, passed.shape)[passed] ^ np.broadcast_to(y, passed.shape)[passed]) <= distance
     return passed
 
@@ -167,13 +181,14 @@ def _linker(distance: int):
 def near_links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``: as many as join all that are linked, not all pairs."""
     if not 0 <= distance <= 4:
-        raise ValueError("six subspaces are enough for a distance of at most 4")
+        raise ValueError("cells are made for a distance of at most 4")
+    subspaces = subspaces_for(distinct.count())
 
     def spread(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            cells = cells_of(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(fps, len(PAIRS)))], ["cell", "fp"])
+            cells = cells_of(fps.view(np.uint64), subspaces)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(fps, cells.shape[1]))], ["cell", "fp"])
 
     rows = cut(distinct.select("fp").mapInArrow(spread, "cell long, fp long"), "cells")
     crowded = cut(rows.groupBy("cell").count().filter(F.col("count") > block).select(F.col("cell").alias("crowd"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowded")
@@ -184,9 +199,7 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> Da
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.least(own, j) * F.col("blocks") + F.greatest(own, j)).cast("long"))
         parted = met.withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).select("cell", "fp", "part")
-    spark = distinct.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parted.select("cell", "part", "fp").repartition(parts, "cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_linker(distance), "a long, b long")
+    return parted.select("cell", "part", "fp").repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_linker(distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:

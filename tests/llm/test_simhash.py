@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from parley.llm import simhash as h
@@ -33,20 +34,33 @@ def plain_groups(ids, fps, distance=4):
     return {i: find(i) for i in ids}
 
 
-def test_fingerprint():
-    for text in [None, "", " \t", "One", "a B c D", "a b c d e", "É x " * 50, "the same four words " * 9, "w " * 70000]:
-        assert h.fingerprint(text) == (plain_fingerprint(text) if text is None or len(text) < 1000 else h.fingerprint(text))
+def test_fingerprint(monkeypatch):
+    for chunk in (h.CHUNK, 7):  # long texts are hashed in chunks
+        monkeypatch.setattr(h, "CHUNK", chunk)
+        for text in [None, "", " \t", "One", "a B c D", "a b c d e", "É x " * 50, "the same four words " * 9, "one TWO three " * 700, " ".join(f"w{i * i % 997}" for i in range(3000))]:
+            assert h.fingerprint(text) == plain_fingerprint(text)
 
 
-def test_manhattan_is_a_lower_bound_and_cells_lose_nothing():
+@pytest.mark.parametrize("subspaces", [6, 7, 8, 10])
+def test_manhattan_is_a_lower_bound_and_cells_lose_nothing(subspaces):
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 63, 2000, np.uint64)
     y = x.copy()
     for _ in range(4):
         y ^= np.uint64(1) << r.integers(0, 64, 2000).astype(np.uint64)
-    assert (h.cells_of(x) == h.cells_of(y)).any(axis=1).all()
+    assert (h.cells_of(x, subspaces) == h.cells_of(y, subspaces)).any(axis=1).all()
     assert h.near(x, y, 4).all()
     assert not h.near(x, ~x, 4).any()
+    plain = [sum(abs((a >> 2 * k & 3).bit_count() - (b >> 2 * k & 3).bit_count()) for k in range(32)) for a, b in zip(x.tolist(), y[::-1].tolist(), strict=True)]
+    assert h.manhattan(x, y[::-1]).tolist() == plain
+
+
+def test_cells_get_finer_with_the_fingerprints():
+    r = np.random.default_rng(2)
+    x = r.integers(0, 1 << 63, 100000, np.uint64)
+    fullest = [np.unique(h.cells_of(x, s), return_counts=True)[1].max() for s in (6, 7, 8)]
+    assert fullest[0] > 2 * fullest[1] > 4 * fullest[2]
+    assert [h.subspaces_for(n) for n in (0, 1 << 22, 1 << 24, 1 << 27)] == [6, 6, 7, 8]
 
 
 def documents(n=150, seed=5):
