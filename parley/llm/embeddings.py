@@ -10,13 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import components, cut, drop, table
 
-#: Rows of the sample that the trees are fitted on, and the fewest of them in a leaf.
-FIT_ROWS, LEAST_LEAF = 16_384, 8
+#: Rows of the sample that the trees are fitted on, the fewest of them in a leaf, and how many times its rows make a leaf large.
+FIT_ROWS, LEAST_LEAF, LARGE = 16_384, 8, 4
 
 
 def takes_part() -> Column:
@@ -151,8 +151,9 @@ def _compare(least: float, per_part: int):
 def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 1024, spill: float = 0.02, block: int = 2048, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding): links have cosine >= ``least``.
 
-    The trees are fitted on a sample of at most ``FIT_ROWS`` different vectors; every vector goes down every tree, and
-    to both sides where it lies within ``spill`` of a split. Leaves of more than ``block`` vectors are parted into
+    The trees are fitted on a sample of at most ``FIT_ROWS`` different vectors, so that a leaf holds about ``leaf`` of all;
+    leaves that hold far more are split on over all rows. Every vector goes down every tree, and to both sides where it lies
+    within ``spill`` of a split. Leaves of near copies, of more than ``block`` vectors are parted into
     blocks, and each pair of blocks is a task's group. A pair is counted in its first common leaf alone, so counts
     add up without a list of pairs; from each group a spanning forest goes on to the components.
 
@@ -174,6 +175,40 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf:
     return all_rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _split_further(reached: DataFrame, most: int, spill: float, seed: int) -> DataFrame:
+    """Rows (leaf, class_id, copies, embedding) with the leaves of over ``most`` rows split on, a level at a time, over all rows.
+
+    A leaf's direction is a row of signs that its number and ``seed`` give; its middle is the median of all its rows, summed
+    up from sketches; rows within ``spill`` of it go to both sides. A leaf that a split would not make smaller (near copies of
+    one vector) stays: its pairs are compared block by block. Only rows of large leaves are touched.
+    """
+    done, now, level = None, reached, 0
+    while True:
+        sizes = now.groupBy("leaf").count()
+        large = cut(sizes.filter(F.col("count") > most).select(F.col("leaf").alias("of"), F.col("count").alias("rows")), "large")
+        if not large.head(1):
+            return now if done is None else done.unionByName(now)
+        sign = F.transform("embedding", lambda _, i: 1.0 - 2.0 * F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "leaf", i), F.lit(2)))
+        v = F.col("embedding").cast("array<double>")
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x) * F.size("embedding"))
+        value = F.aggregate(F.zip_with(v, sign, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x) / norm
+        at = cut(now.join(large, F.col("leaf") == F.col("of")).withColumn("at", value), "split")
+        middles = at.groupBy(F.col("leaf").alias("split")).agg(F.percentile_approx("at", 0.5, 1000).alias("middle"))
+        parted = at.join(middles, F.col("leaf") == F.col("split"))
+        low, high = F.col("at") <= F.col("middle") + spill, F.col("at") >= F.col("middle") - spill
+        worth = parted.groupBy(F.col("leaf").alias("judged"), F.col("rows")).agg(F.greatest(F.count_if(low), F.count_if(high)).alias("side"))
+        worth = worth.filter(F.col("side") <= 0.8 * F.col("rows")).select("judged")
+        sides = F.array_compact(F.array(F.when(low, F.xxhash64("leaf", F.lit(level), F.lit("low"))), F.when(high, F.xxhash64("leaf", F.lit(level), F.lit("high")))))
+        own = ["leaf", "class_id", "copies", "embedding"]
+        split = cut(parted.join(worth, F.col("leaf") == F.col("judged"), "left_semi").select(F.explode(sides).alias("leaf"), "class_id", "copies", "embedding"), "sides")
+        whole = now.join(large.join(worth, F.col("of") == F.col("judged"), "left_semi"), F.col("leaf") == F.col("of"), "left_anti")
+        if not split.head(1):
+            return now if done is None else done.unionByName(now)
+        rest = cut(whole.select(*own), "settled")  # small leaves, and large ones that are dense
+        done = rest if done is None else done.unionByName(rest)
+        now, level = split, level + 1
+
+
 def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill: float, block: int, seed: int) -> DataFrame:
     distinct = classes(good)
     points = sample(distinct)
@@ -187,16 +222,15 @@ def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill:
             if not batch.num_rows:
                 continue
             row, at = sent.value.reach(unit(matrix(batch.column("embedding"))))
-            order = np.lexsort([at, row])
-            row, at = row[order], at[order]
-            counts = np.bincount(row, minlength=batch.num_rows)
-            per_row = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(at))
             taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("class_id").take(taken), batch.column("copies").take(taken), batch.column("embedding").take(taken), per_row.take(taken)], ["leaf", "class_id", "copies", "embedding", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("class_id").take(taken), batch.column("copies").take(taken), batch.column("embedding").take(taken)], ["leaf", "class_id", "copies", "embedding"])
 
-    reached = cut(distinct.mapInArrow(down, f"leaf long, class_id long, copies long, embedding {kind}, leaves array<long>"), "leaves")
+    reached = cut(distinct.mapInArrow(down, f"leaf long, class_id long, copies long, embedding {kind}"), "leaves")
+    reached = _split_further(reached, LARGE * leaf, spill, seed)
+    members = reached.groupBy(F.col("class_id").alias("member")).agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    reached = cut(reached.join(members, F.col("class_id") == F.col("member")).drop("member"), "members")
     blocks = reached.groupBy("leaf").count().select(F.col("leaf").alias("of"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    parted = reached.join(F.broadcast(blocks), F.col("leaf") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    parted = reached.join(blocks, F.col("leaf") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
     parted = parted.withColumn("part", F.explode(pairs)).select("leaf", "part", "blocks", "block", "class_id", "copies", "embedding", "leaves")
     told = cut(parted.groupBy("leaf", "part").applyInPandas(_compare(least, block), "class_id long, links long, root long"), "told")
@@ -223,50 +257,88 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Operator 7: hash-prefix forest --------------------------------------------------------------------------------
 
-#: Bits of a hash string, and rows of an index shard and of a block of queries.
-BITS, SHARD_ROWS, QUERY_ROWS = 32, 8192, 4096
+#: Bits of a hash string, rows of a shard and of a block of queries, and the chance that all trees miss a neighbour.
+BITS, SHARD_ROWS, QUERY_ROWS, MISS = 32, 8192, 4096, 0.05
+
+
+def agreement(trees: int, miss: float = MISS) -> float:
+    """How likely a prefix must be shared in one tree for all trees to miss it with the chance ``miss``."""
+    return 1 - miss ** (1 / trees)
+
+
+def safe_length(cosine: np.ndarray, trees: int) -> np.ndarray:
+    """The longest prefix by which vectors of at least this cosine are met but for the chance ``MISS``. A bit agrees with 1 - angle / pi."""
+    bit = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    with np.errstate(divide="ignore"):
+        length = np.log(agreement(trees)) / np.log(np.minimum(bit, 1 - 1e-12))
+    return np.minimum(np.floor(length), BITS).astype(np.int64)
+
+
+def safe_cosine(length: int, trees: int) -> float:
+    """The least cosine for which ``safe_length`` is ``length``."""
+    return float(np.cos(np.pi * (1 - agreement(trees) ** (1 / length))))
+
+
+def planes(trees: int, dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((trees, dims, BITS))
+
+
+def strings(points: np.ndarray, of_tree: np.ndarray) -> np.ndarray:
+    """Hash strings of a tree as numbers, the first bit the highest."""
+    bits = (points @ of_tree >= 0).astype(np.uint64)
+    return (bits << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 class PrefixForest:
     """Sorted arrays of hash strings, one for each tree, over the rows of one shard."""
 
     def __init__(self, points: np.ndarray, trees: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.planes = rng.standard_normal((trees, points.shape[1], BITS))
-        hashed = [self.strings(points, t) for t in range(trees)]
+        self.points, self.planes = points, planes(trees, points.shape[1], seed)
+        hashed = [strings(points, p) for p in self.planes]
         self.order = [np.argsort(h, kind="stable") for h in hashed]
         self.sorted = [h[o] for h, o in zip(hashed, self.order, strict=True)]
 
-    def strings(self, points: np.ndarray, tree: int) -> np.ndarray:
-        bits = (points @ self.planes[tree] >= 0).astype(np.uint64)
-        return (bits << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def search(self, queries: np.ndarray, known: np.ndarray, k: int, least: int):
+        """For each query the rows it meets and their cosines.
 
-    def candidates(self, queries: np.ndarray, enough: int):
-        """For each query the rows it meets: all trees go down to their longest matching prefix, then rise together, a bit at a time, until the matches are enough."""
+        All trees go down to their longest matching prefix, then rise together, a bit at a time, until ``least`` matches are
+        met. The k-th best cosine of these, or the one ``known`` before, says how far a nearer row can be, and all trees rise on
+        to the prefix by which such a row is met but for the chance ``MISS``.
+        """
         trees, n = len(self.order), len(queries)
         low, high = np.zeros((trees, BITS + 1, n), np.int32), np.zeros((trees, BITS + 1, n), np.int32)
         for t in range(trees):
-            q = self.strings(queries, t)
+            q = strings(queries, self.planes[t])
             for length in range(BITS + 1):
                 free = np.uint64((1 << (BITS - length)) - 1)
                 low[t, length] = np.searchsorted(self.sorted[t], q & ~free, "left")
                 high[t, length] = np.searchsorted(self.sorted[t], q | free, "right")
-        for i in range(n):
-            totals = (high[:, :, i] - low[:, :, i]).sum(axis=0)
-            length = int(np.flatnonzero(totals >= min(enough, totals[0]))[-1])
-            seen = np.zeros(len(self.sorted[0]), bool)
+
+        def met(i, length):
+            seen = np.zeros(len(self.points), bool)
             for t in range(trees):
                 seen[self.order[t][low[t, length, i] : high[t, length, i]]] = True
-            yield i, np.flatnonzero(seen)
+            at = np.flatnonzero(seen)
+            return at, np.einsum("ij,j->i", self.points[at], queries[i])
+
+        for i in range(n):
+            totals = (high[:, :, i] - low[:, :, i]).sum(axis=0)
+            length = int(np.flatnonzero(totals >= min(max(least, k), totals[0]))[-1])
+            at, scores = met(i, length)
+            bound = max(float(known[i]), float(np.partition(scores, -k)[-k]) if len(scores) >= k else -1.0)
+            if (safe := int(safe_length(np.float64(bound), trees))) < length:
+                at, scores = met(i, safe)
+            yield i, at, scores
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, share: float = 1.0, least: int = 256, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, least: int = 256, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of all rows by cosine for each query, the rows whose vec_id is divisible by ``every``.
 
-    Different vectors fall into shards of about ``SHARD_ROWS`` by a hash of their id. Each shard holds a forest over its
-    rows; blocks of queries visit each shard and bring back their ``k`` best, which a small sort merges. In a shard a
-    query collects at least ``share`` x the shard's rows over all trees (repeats counted, ``least`` at least) before it
-    scores what it met; see the README for the recall measured.
+    Long prefixes first: different vectors and queries meet where a tree gives them the same prefix, of as many bits as make
+    the vectors of a prefix about ``SHARD_ROWS``. A query whose k-th best cosine says that a nearer vector would have been
+    met but for the chance ``MISS`` is done; the others rise four bits and ask again. Where the trees' prefixes would together
+    hold more than the table, what is left asks all shards of it, each with a forest of its own and the same rule. Prefixes of
+    very many vectors or queries are parted into blocks. See the README for the recall measured.
 
     A class answers with its smallest vec_ids, so copies of one vector come in the order of their ids. A query is never
     its own answer but its copies are; a query row that occurs more than once asks once. Fewer candidates than ``k``: all of them. Rows that take no part are neither
@@ -275,7 +347,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sh
     good = cut(usable(vectors).filter(F.col("vec_id").isNotNull()), "vectors")
     found = []
     for (dims,) in good.select(F.size("embedding")).distinct().collect():
-        found.append(_nearest_of_length(good.filter(F.size("embedding") == dims), every, k, trees, share, least, seed))
+        found.append(_nearest_of_length(good.filter(F.size("embedding") == dims), every, k, trees, least, seed))
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = found[0]
@@ -284,45 +356,120 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sh
     return out
 
 
-def _nearest_of_length(good: DataFrame, every: int, k: int, trees: int, share: float, least: int, seed: int) -> DataFrame:
-    spark = good.sparkSession
-    # a class's k + 1 smallest ids are enough: one may be the query itself
-    numbered = good.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    distinct = cut(_smallest_ids(numbered, k + 1), "classes")
-    queries = good.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
-    n, asked = distinct.count(), queries.count()
+_HIT = "query_id long, class_id long, score double"
+
+
+def _stack(rows: pd.Series) -> np.ndarray:
+    return unit(np.stack(rows.to_numpy()).astype(np.float64))
+
+
+def _hits(queries: np.ndarray, classes: np.ndarray, scores: np.ndarray, k: int, out: list) -> None:
+    """The ``k`` best classes of a query, ties to the smaller one."""
+    if len(scores) > k:
+        worst = np.partition(scores, -k)[-k]
+        classes, scores = classes[scores >= worst], scores[scores >= worst]
+    order = np.lexsort([classes, -scores])[:k]
+    out.append(pd.DataFrame({"query_id": np.full(len(order), queries, np.int64), "class_id": classes[order], "score": scores[order]}))
+
+
+def _gathered(out: list) -> pd.DataFrame:
+    return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best classes of each query; what a task has beyond them stays in it."""
+    once = hits.groupBy("query_id", "class_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "class_id"))
+    return once.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def _ask_prefixes(distinct: DataFrame, queries: DataFrame, bits: int, k: int, trees: int, dims: int, seed: int) -> DataFrame:
+    """The best classes of each query among those that share its first ``bits`` in some tree."""
+
+    def keys(name):
+        def run(batches):
+            of = planes(trees, dims, seed)
+            for batch in batches:
+                x = unit(matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, dims))
+                prefix = [(strings(x, p) >> np.uint64(BITS - bits)).astype(np.int64) for p in of]
+                ids = batch.column(name).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(trees), len(x))), pa.array(np.concatenate(prefix)), pa.array(np.tile(ids, trees))], ["tree", "prefix", name])
+
+        return run
+
+    asked = cut(queries.select("query_id", "embedding").mapInArrow(keys("query_id"), "tree long, prefix long, query_id long"), "asked")
+    wanted = asked.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("turns"))
+    held = distinct.select("class_id", "embedding").mapInArrow(keys("class_id"), "tree long, prefix long, class_id long").join(wanted, ["tree", "prefix"], "left_semi")
+    held = cut(held, "held")
+    sizes = cut(held.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("blocks")).join(wanted, ["tree", "prefix"]), "sizes")
+    spot = ["tree", "prefix", "block", "turn"]
+    rows = held.join(sizes, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    rows = rows.select(*spot, F.col("class_id").alias("c")).join(distinct.select("class_id", "embedding"), F.col("c") == F.col("class_id")).drop("c")
+    asks = asked.join(sizes, ["tree", "prefix"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = asks.select(*spot, F.col("query_id").alias("q")).join(queries.select("query_id", "embedding"), F.col("q") == F.col("query_id")).drop("q")
+
+    def search(_, ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(ask):
+            x, q, ids = _stack(own["embedding"]), _stack(ask["embedding"]), own["class_id"].to_numpy()
+            for i, query in enumerate(ask["query_id"].tolist()):
+                _hits(query, ids, np.einsum("ij,j->i", x, q[i]), k, out)
+        return _gathered(out)
+
+    hits = asks.groupBy(*spot).cogroup(rows.groupBy(*spot)).applyInPandas(lambda key, a, r: search(key, a, r), _HIT)
+    best = cut(_best(hits, k), "best")
+    drop(asked, held, sizes)
+    return best
+
+
+def _ask_all(distinct: DataFrame, queries: DataFrame, n: int, asked: int, k: int, trees: int, least: int, seed: int) -> DataFrame:
+    """The best classes of each query (query_id, embedding, known) among all; every shard has a forest over its rows, blocks of queries visit each."""
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    rows = distinct.select(F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("firsts").alias("ids"), "embedding")
-    asks = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.array("vec_id").alias("ids"), "embedding")
-
-    def search(_, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(own) or not len(asked):
-            return empty
-        own = own.assign(first=own["ids"].map(lambda x: x[0])).sort_values("first")
-        raw = np.stack(own["embedding"].to_numpy()).astype(np.float64)
-        x, q = unit(raw), unit(np.stack(asked["embedding"].to_numpy()).astype(np.float64))
-        ids, of = own["ids"].to_numpy(), asked["ids"].map(lambda v: v[0]).to_numpy()
+    rows = distinct.select(F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "class_id", "embedding")
+    asks = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "embedding", "known")
+
+    def search(_, ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for i, at in PrefixForest(x, trees, seed).candidates(q, max(least, int(share * len(x)))):
-            scores = np.einsum("ij,j->i", x[at], q[i])
-            if len(at) > k + 1:
-                worst = np.partition(scores, -(k + 1))[-(k + 1)]
-                at, scores = at[scores >= worst], scores[scores >= worst]
-            got = sorted((-s, int(v)) for s, a in zip(scores.tolist(), at, strict=True) for v in ids[a] if v != of[i])[:k]
-            out += [(int(of[i]), v, -s) for s, v in got]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
+        if len(own) and len(ask):
+            own = own.sort_values("class_id")
+            ids, of = own["class_id"].to_numpy(), ask["query_id"].tolist()
+            for i, at, scores in PrefixForest(_stack(own["embedding"]), trees, seed).search(_stack(ask["embedding"]), ask["known"].to_numpy(), k, least):
+                _hits(of[i], ids[at], scores, k, out)
+        return _gathered(out)
 
-    best = asks.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block"))
-    met = best.applyInPandas(lambda key, a, r: search(key, r, a), "query_id long, vec_id long, score double")
-    ranked = met.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("place", "hit")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
+    return _best(asks.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInPandas(lambda key, a, r: search(key, a, r), _HIT), k)
+
+
+def _nearest_of_length(good: DataFrame, every: int, k: int, trees: int, least: int, seed: int) -> DataFrame:
+    # a class's k + 1 smallest ids are enough: one may be the query itself; and so are k + 1 classes
+    numbered = good.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    distinct = cut(_smallest_ids(numbered, k + 1), "classes")
+    queries = good.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct().withColumn("known", F.lit(-1.0))
+    n, dims = distinct.count(), good.select(F.size("embedding")).first()
+    dims, found, left = dims[0] if dims else 0, [], queries
+    bits = int(np.log2(max(1, n / SHARD_ROWS)))
+    while 2**bits > trees:
+        best = _ask_prefixes(distinct, left, bits, k + 1, trees, dims, seed)
+        found.append(best)
+        bound = best.groupBy(F.col("query_id").alias("of")).agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("hits"))
+        known = F.when(F.col("hits") > k, F.greatest("known", "bound")).otherwise(F.col("known"))
+        left = left.join(bound, F.col("query_id") == F.col("of"), "left").withColumn("known", F.coalesce(known, "known")).filter(F.col("known") < safe_cosine(bits, trees))
+        left = cut(left.select("query_id", "embedding", "known"), "left")
+        bits -= 4
+    asked = left.count()
+    if asked or not found:
+        found.append(_ask_all(distinct, left, n, asked, k + 1, trees, least, seed))
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    hits = (_best(hits, k + 1) if len(found) > 1 else hits).withColumnRenamed("class_id", "hit")
+    each = hits.join(distinct.select("class_id", "firsts"), F.col("hit") == F.col("class_id")).select("query_id", "score", F.explode("firsts").alias("vec_id")).filter("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _smallest_ids(numbered: DataFrame, k: int) -> DataFrame:
     """class_id, firsts (the k smallest vec_ids of equal vectors), embedding: k at most of each salt, then k of those."""
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("embedding", "salt").orderBy("vec_id")
     few = numbered.withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= k)
     grouped = few.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k).alias("firsts"))
