@@ -1,7 +1,7 @@
 """Interval operators: overlap joins with arg-max attribution, merges of adjacent segments, unions and anti-joins.
 
-All joins are equi-joins on the video with the overlap as a residual condition; where one video may be very long,
-``bucketed_overlap`` adds time buckets as a second key.
+Joins are equi-joins on the video and a bucket of time with the overlap as a residual condition, so a long video is many keys;
+``overlaps`` is the form without buckets.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
 
+#: Milliseconds of a time bucket.
+WIDTH = 15_000
+
 
 def merge_segments(segs: DataFrame, gap: int = 300, key: str = "video_id") -> DataFrame:
     """Fuse segments of one speaker that follow each other within ``gap``; another speaker in between breaks the run.
@@ -33,8 +36,8 @@ def overlaps(lines: DataFrame, segs: DataFrame, key: str = "video_id") -> DataFr
     return met.withColumn("ov", s.overlap(F.col("t0"), F.col("t1"), F.col("s0"), F.col("s1"))).filter("ov > 0").drop("_k")
 
 
-def bucketed_overlap(lines: DataFrame, segs: DataFrame, width: int = 60_000, key: str = "video_id") -> DataFrame:
-    """``overlaps`` with time buckets as a second key, for videos of very many rows; each pair comes once, from the first bucket both are in."""
+def bucketed_overlap(lines: DataFrame, segs: DataFrame, width: int = WIDTH, key: str = "video_id") -> DataFrame:
+    """``overlaps`` with time buckets as a second key, so that a video's rows meet only those of their time; each pair comes once, from the first bucket both are in."""
     cut = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor(F.col("t1") / width))))
     right = cut(segs).select(F.col(key).alias("_k"), F.col("bucket").alias("_b"), F.col("t0").alias("s0"), F.col("t1").alias("s1"), "spk", "seg_ord")
     met = cut(lines).join(right, (F.col(key) == F.col("_k")) & (F.col("bucket") == F.col("_b")) & (F.col("t0") < F.col("s1")) & (F.col("s0") < F.col("t1")))
@@ -50,7 +53,7 @@ def attribute(lines: DataFrame, segs: DataFrame, key: str = "video_id", merged:
     """
     joined = segs if merged else merge_segments(segs, gap, key)
     seen = joined.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("t0", "t1", "seg_ord"))).groupBy(F.col(key).alias("_v"), F.col("spk").alias("_s")).agg(F.min("place").alias("seen"))
-    shared = overlaps(lines, joined, key).groupBy(F.col(key).alias("_k"), F.col("idx").alias("_i"), F.col("spk").alias("_p")).agg(F.sum("ov").alias("ov"))
+    shared = bucketed_overlap(lines, joined, key=key).groupBy(F.col(key).alias("_k"), F.col("idx").alias("_i"), F.col("spk").alias("_p")).agg(F.sum("ov").alias("ov"))
     every = lines.join(seen, F.col(key) == F.col("_v"), "left").join(shared, (F.col(key) == F.col("_k")) & (F.col("idx") == F.col("_i")) & (F.col("_s") == F.col("_p")), "left")
     # the two best of each line by one aggregation: most overlap first, then first seen
     offer = F.struct((-F.coalesce("ov", F.lit(0))).alias("less"), F.col("seen"), F.col("_s").alias("spk"))
@@ -62,9 +65,12 @@ def attribute(lines: DataFrame, segs: DataFrame, key: str = "video_id", merged:
 
 
 def clean_segments(segs: DataFrame, least: int = 4000, tolerance: int = 200, most: int = 3, key: str = "video_id") -> DataFrame:
-    """The ``most`` longest segments of each speaker that no other speaker overlaps by more than ``tolerance``."""
-    other = segs.select(F.col(key).alias("_k"), F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.col("spk").alias("us"))
-    alone = segs.filter(F.col("t1") - F.col("t0") >= least).join(other, (F.col(key) == F.col("_k")) & (F.col("spk") != F.col("us")) & (F.least("t1", "u1") - F.greatest("t0", "u0") > tolerance), "left_anti")
+    """The ``most`` longest segments of each speaker that no other speaker overlaps by more than ``tolerance``; seg_ord tells a video's segments apart."""
+    long = segs.filter(F.col("t1") - F.col("t0") >= least)
+    other = segs.select(key, "t0", "t1", F.col("spk"), "seg_ord")
+    met = bucketed_overlap(long.select(key, "t0", "t1", F.col("spk").alias("own"), F.col("seg_ord").alias("own_ord")), other, key=key)
+    crossed = met.filter((F.col("own") != F.col("spk")) & (F.col("ov") > tolerance)).select(F.col(key).alias("_k"), F.col("own_ord").alias("_o")).distinct()
+    alone = long.join(crossed, (F.col(key) == F.col("_k")) & (F.col("seg_ord") == F.col("_o")), "left_anti")
     place = F.row_number().over(Window.partitionBy(key, "spk").orderBy((F.col("t0") - F.col("t1")), "t0", "seg_ord"))
     return alone.withColumn("place", place).filter(F.col("place") <= most)
 

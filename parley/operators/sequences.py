@@ -51,9 +51,13 @@ def _fold(rows: DataFrame, keys: list[str], order: list[str], fields: list[str],
 def merge_units(lines: DataFrame, gap: int = 600, most: int = 45, key: str = "video_id") -> DataFrame:
     """Join tagged lines (key, idx, t0, t1, text) of one speaker into units: gap at most ``gap``, at most ``most`` characters without the joiner.
 
-    The joiner is a comma unless the text so far ends with ``。``, ``,``, ``?`` or ``!``.
+    The joiner is a comma unless the text so far ends with ``。``, ``,``, ``?`` or ``!``. Another speaker or a longer gap ends
+    a unit whatever came before, so only runs between such breaks are folded, not whole videos.
     """
     clean = lines.withColumn("spk", s.speaker_tag(F.col("text"))).withColumn("clean", s.dub_text(F.col("text"))).filter("clean <> ''")
+    order = Window.partitionBy(key).orderBy("idx")
+    breaks = (F.col("spk") != F.lag("spk").over(order)) | (F.col("t0") - F.lag("t1").over(order) > gap)
+    clean = clean.withColumn("breaks", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run", F.sum("breaks").over(order))
     kind = "struct<idx:bigint,t0:bigint,t1:bigint,spk:string,text:string>"
     start = F.array().cast(f"array<{kind}>")
 
@@ -66,7 +70,7 @@ def merge_units(lines: DataFrame, gap: int = 600, most: int = 45, key: str = "vi
         fresh = F.struct(x["idx"].cast("long").alias("idx"), x["t0"].alias("t0"), x["t1"].alias("t1"), x["spk"].alias("spk"), x["clean"].alias("text"))
         return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh))).cast(f"array<{kind}>")
 
-    return _fold(clean, [key], ["idx"], ["idx", "t0", "t1", "spk", "clean"], start, step, "units").select(key, F.inline("units"))
+    return _fold(clean, [key, "run"], ["idx"], ["idx", "t0", "t1", "spk", "clean"], start, step, "units").select(key, F.inline("units"))
 
 
 def dub_plan(lines: DataFrame, gap: int = 50, borrow: float = 0.5, preferred: float = 1.15, cap: float = 2.0, key: str = "video_id") -> DataFrame:
