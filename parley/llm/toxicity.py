@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, sliced, table
+from parley.llm.common import cut, drop, sliced, table
 
 #: Words of a window and between the starts of two; vector sizes; hashed rows.
 WINDOW, STRIDE = 24, 12
@@ -23,6 +23,8 @@ DIMS, HIDDEN = 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 #: Bound of the learning sample: texts of each label, and letters of a text.
 FIT_DOCS, FIT_CHARS = 900, 4000
+#: Bound of the longer texts that the threshold is set on as well: of each label, and letters.
+LONG_DOCS, LONG_CHARS = 150, 40_000
 #: Letters of the longest word, and those that two pieces of a longer one share: more than a letter n-gram has.
 PIECE, OVERLAP = 64, 8
 #: Words whose inputs a worker keeps, and bytes of texts scored at a time.
@@ -243,8 +245,11 @@ class Scorer:
         return sigmoid(np.clip((best - self.shift) * self.scale, -30, 30)).astype(float)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.02, tables: float = 3.0, seed: int = 3) -> Scorer:
-    """A scorer fitted on labelled texts; the same texts give the same scorer."""
+def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.02, tables: float = 3.0, seed: int = 3, seeded: bool = True, long: tuple[list[str], list[int]] = ((), ())) -> Scorer:
+    """A scorer fitted on labelled texts; the same texts give the same scorer. ``long`` are further texts and labels that only the threshold is set on.
+
+    With ``seeded`` one dimension of the tables starts from how each feature is spread over the labels; without it they start from chance alone.
+    """
     net = Network(seed)
     r = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -260,7 +265,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
         of_word, of_gram, _ = pick(feats, np.unique(window[window >= 0]))
         count[label, WORD_ROWS][np.unique(of_word)] += 1
         count[label, GRAM_ROWS][np.unique(of_gram)] += 1
-    for target, many in ((net.words, WORD_ROWS), (net.grams, GRAM_ROWS)):
+    for target, many in ((net.words, WORD_ROWS), (net.grams, GRAM_ROWS)) if seeded else ():
         good, bad = count[0, many], count[1, many]
         # how far a feature's number of toxic texts is above chance, in standard deviations: rare ones stay near nought
         chance = (good + bad) * texts_of[1] / (texts_of[0] + texts_of[1])
@@ -272,7 +277,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
     for epoch in range(epochs):
         x = net.inputs(feats)
         got = np.concatenate([net.scores(x, flat[a : a + 8192]) for a in range(0, len(flat), 8192)])
-        if epoch == 0:  # before anything is learned, the window with the most telling word
+        if epoch == 0 and seeded:  # before anything is learned, the window with the most telling word
             hint = np.where(flat >= 0, x[flat, 0] + x[flat, DIMS], -9).max(axis=1)
             got = hint
         worst = np.array([a + int(np.argmax(got[a : a + len(w)])) for a, w in zip(first, rows, strict=True)])
@@ -303,6 +308,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
     x = net.inputs(feats)
     got = np.concatenate([net.scores(x, flat[a : a + 8192]) for a in range(0, len(flat), 8192)])
     best = np.maximum.reduceat(got, first)
+    if long[0]:
+        far = np.clip(Scorer(net).texts(list(long[0])), 1e-13, 1 - 1e-13)
+        best, y = np.r_[best, np.log(far / (1 - far))], np.r_[y, np.array(long[1], np.float32)]
     # where texts of both labels part best, a clean text rejected counting double; in a gap, its middle
     edges = np.unique(best)
     cuts = np.r_[edges[0] - 1, (edges[1:] + edges[:-1]) / 2, edges[-1] + 1]
@@ -312,15 +320,23 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
     return Scorer(net, shift=float((cuts[least[0]] + cuts[least[-1]]) / 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Scorer:
-    """Train on at most ``fit_docs`` documents of each label, of at most ``fit_chars`` letters: those with the smallest hash of their id."""
-    short = docs.filter(F.length("text") <= fit_chars).select("doc_id")
-    known = cut(short.join(labels.select(F.col("doc_id").alias("id"), "toxic").filter("toxic IN (0, 1)"), F.col("doc_id") == F.col("id")).select("doc_id", "toxic"), "labelled")
-    few = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for k in (0, 1)]
-    picked = cut(few[0].union(few[1]).select(F.col("doc_id").alias("id"), "toxic").distinct(), "picked")
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").collect()  # at most 2 x fit_docs texts of fit_chars letters
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, long_docs: int = LONG_DOCS, long_chars: int = LONG_CHARS) -> Scorer:
+    """Train on at most ``fit_docs`` documents of each label, of at most ``fit_chars`` letters: those with the smallest hash of their id.
+
+    The threshold is also set on at most ``long_docs`` longer ones of each label, of at most ``long_chars`` letters: a text's score
+    is its worst window's, and long texts have many. Labels without a document, or other than 0 and 1, teach nothing.
+    """
+    length = F.length("text")
+    sized = docs.filter(length <= long_chars).select("doc_id", (length > fit_chars).alias("long"))
+    known = cut(sized.join(labels.select(F.col("doc_id").alias("id"), "toxic").filter("toxic IN (0, 1)"), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "long"), "labelled")
+    few = [known.filter((F.col("toxic") == k) & (F.col("long") == far)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for far, most in ((False, fit_docs), (True, long_docs)) for k in (0, 1)]
+    picked = cut(few[0].union(few[1]).union(few[2]).union(few[3]).select(F.col("doc_id").alias("id"), "toxic", "long").distinct(), "picked")
+    # at most 2 x fit_docs texts of fit_chars letters and 2 x long_docs of long_chars
+    rows = docs.join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & ((F.length("text") > fit_chars) == F.col("long"))).select("doc_id", "text", "toxic", "long").filter(F.length("text") <= long_chars).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    drop(known, picked)
+    short, long = ([r for r in rows if r["long"] == far] for far in (False, True))
+    return train([r["text"] for r in short], [r["toxic"] for r in short], long=([r["text"] for r in long], [r["toxic"] for r in long]))
 
 
 def _run(sent, columns: list[str], keep: float | None):

@@ -213,3 +213,84 @@ def test_quality_against_a_plain_model(spark):
 
 def test_shapes_are_of_whole_words():
     assert quality.shape("a" * 30 + "1") == "a0" and quality.shape("Ab1!" * 9) == "Aa0!" * 9
+
+
+def plain_grams(text):
+    """Counts of n-grams of UTF-16 units by the definition, in the order of frequency and then of units."""
+    from collections import Counter
+
+    import regex
+
+    found = Counter()
+    for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()):
+        units = np.frombuffer(f"_{w}_".encode("utf-16-le"), np.uint16).tolist()
+        for n in range(1, 5):
+            found.update(g for g in (tuple(units[i : i + n]) for i in range(len(units) - n + 1)) if g != (ord("_"),))
+    return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], x[0] + (0,) * (4 - len(x[0]))))]
+
+
+def test_language_id_against_plain_loops(spark):
+    """Profiles, out-of-place distances, winners and scores of the query's operator against lists and loops, over whole texts."""
+    rows = texts(90, seed=4) + [(200, "ba " * 30000, "aa"), (201, None, "aa"), (202, "", "bb"), (203, "12 !?", "bb"), (0, "ein wort mehr", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(docs)
+    learned = {lang: plain_grams(" ".join(t for _, t, x in rows if x == lang and t))[:300] for lang in SYLLABLES}
+    for lang, grams in learned.items():
+        assert profiles[lang] == [sum(u << 48 - 16 * i for i, u in enumerate(g)) for g in grams]
+    place = {lang: {g: i for i, g in enumerate(grams)} for lang, grams in learned.items()}
+    want = {}
+    for i, t, _ in rows:
+        top = plain_grams(t or "")[:300]
+        if not top:
+            want[i, t] = ("und", 0.0)
+            continue
+        far = {lang: sum(min(abs(at[g] - k), 300) if g in at else 300 for k, g in enumerate(top)) for lang, at in place.items()}
+        close = {lang: 1 - d / (300 * len(top)) for lang, d in far.items()}
+        best = min(sorted(far), key=far.get)
+        want[i, t] = (best, close[best] / sum(close.values()) if sum(close.values()) else 0.0)
+    got = langid.identify(docs, profiles).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == sorted((i, *want[i, t][:1], round(want[i, t][1], 9)) for i, t, _ in rows)
+
+
+def test_toxicity_against_plain_loops():
+    """Scores of whole texts against a window, word and gate at a time, by the network's definition."""
+    import math
+
+    rows = toxic_texts(120, seed=5)
+    scorer = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], epochs=2)
+    net, h = scorer.net, toxicity.HIDDEN
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(xs, way):
+        w, u, c = (net.p[k + way].astype(float) for k in "wuc")
+        out, state = [None] * len(xs), np.zeros(h)
+        for t in range(len(xs)) if way == "f" else range(len(xs) - 1, -1, -1):
+            x = xs[t] @ w + c
+            zr = [logistic(v) for v in x[: 2 * h] + state @ u[:, : 2 * h]]
+            z, r = np.array(zr[:h]), np.array(zr[h:])
+            new = np.tanh(x[2 * h :] + (r * state) @ u[:, 2 * h :])
+            state = state + z * (new - state)
+            out[t] = state
+        return out
+
+    def plain(text):
+        words = toxicity.split(text)
+        best = -math.inf
+        for a in toxicity.windows(len(words)):
+            part = words[a : a + toxicity.WINDOW]
+            if not part:
+                best = max(best, float(net.p["bias"][0]))
+                continue
+            xs = net.inputs(toxicity.features(part)).astype(float)
+            both = [np.r_[f, b] for f, b in zip(states(xs, "f"), states(xs, "b"), strict=True)]
+            weight = np.array([s @ net.p["att"] for s in both])
+            weight = np.exp(weight - weight.max())
+            pooled = sum(w * s for w, s in zip(weight / weight.sum(), both, strict=True))
+            best = max(best, float(pooled @ net.p["out"] + net.p["bias"][0]))
+        return logistic(max(-30, min(30, (best - scorer.shift) * scorer.scale)))
+
+    some = [t for _, t, _ in rows[:25]] + ["x" * 400, "wort " * 400, "ein", "aß ẞ"]
+    assert np.allclose(scorer.texts(some), [plain(t) for t in some], atol=2e-4)
+    empty = scorer.texts([None, "", "  "])
+    assert len(set(empty.tolist())) == 1 and 0 <= empty[0] <= 1
