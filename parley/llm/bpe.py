@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm.common import sliced, table
+from parley.llm.common import compact, sliced, table
 
 #: Cached words and transitions of a worker, and bytes of filed stretches; beyond it the cache starts anew.
 CACHE, CACHE_BYTES = 1 << 18, 128 << 20
@@ -487,4 +487,4 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return encode_documents(table(spark, sf_dir, "documents"), default_path(), digests=True)
+    return compact(encode_documents(table(spark, sf_dir, "documents"), default_path(), digests=True))

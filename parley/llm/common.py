@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a column batch that the Parquet reader fills, and of an Arrow batch.
 TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-#: Planned bytes of a file that ``cut`` writes, and bytes of its row groups, which tasks hold in memory.
+#: Bytes that a file stands for, and bytes of its row groups, which tasks hold in memory.
 FILE_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
 #: Links of a file between two rounds of components.
 FILE_LINKS = 250_000
@@ -53,20 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """The planner's rough size of ``df``; never too small by much, as it multiplies over joins."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that ``df`` reads, as the planner knows them; what it makes of joins is their product."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` in partitions as large as files should be: two for each core at least, ``FILE_BYTES`` of what it reads each. Nothing is shuffled."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(planned_bytes(df) // FILE_BYTES, 1 << 20)))
 
-    Many small partitions share files: four for each core are enough, and ``FILE_BYTES`` of planned size each.
-    """
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. Small partitions share files."""
     spark = df.sparkSession
     tune(spark)
     path = f"{shared_dir(spark)}/parley-{tag}-{uuid.uuid4().hex}"
-    files = max(4 * spark.sparkContext.defaultParallelism, min(planned_bytes(df) // FILE_BYTES, 1 << 20))
-    df.coalesce(files).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    compact(df).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._parley_path = path
     _written.append(path)

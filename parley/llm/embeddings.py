@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import components, cut, drop, table
+from parley.llm.common import compact, components, cut, drop, table
 
 #: Rows of the sample that the trees are fitted on, the fewest of them in a leaf, and how many times its rows make a leaf large.
 FIT_ROWS, LEAST_LEAF, LARGE = 16_384, 8, 4
@@ -252,7 +252,7 @@ def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill:
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return compact(near_vectors(table(spark, sf_dir, "embeddings")))
 
 
 # --- Operator 7: hash-prefix forest --------------------------------------------------------------------------------
@@ -478,4 +478,4 @@ def _smallest_ids(numbered: DataFrame, k: int) -> DataFrame:
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id and score of each query's 5 nearest."""
-    return nearest(table(spark, sf_dir, "embeddings"))
+    return compact(nearest(table(spark, sf_dir, "embeddings")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, sliced, table
+from parley.llm.common import compact, cut, sliced, table
 
 #: Longest n-gram (in UTF-16 units, packed into 64 bits), n-grams of a profile, and the bound of the learning sample: documents of each language.
 LONGEST, PROFILE, FIT_DOCS = 4, 300, 400
@@ -153,4 +153,4 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     profiles = learn(docs.filter(~held_out).select("doc_id", "text", "lang"))
-    return identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return compact(identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))

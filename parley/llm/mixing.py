@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WORD, cut, table, word_count
+from parley.llm.common import WORD, compact, cut, table, word_count
 
 #: Documents of a block and of a range of virtual time on average; words of a packet at least, and packets of a document at most.
 BLOCK_ROWS, RANGE_ROWS, PACKET, PACKETS = 1024, 2048, 16, 1024
@@ -137,4 +137,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     sent = mix_sources(table(spark, sf_dir, "documents"), keep_idle=True)
-    return sent.groupBy("doc_id", "source", "size", "source_size", "target", "row_key").agg(F.sum("take").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return compact(sent.groupBy("doc_id", "source", "size", "source_size", "target", "row_key").agg(F.sum("take").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", "source"))

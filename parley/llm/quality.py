@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, sliced, table
+from parley.llm.common import compact, cut, sliced, table
 
 BAD, NONE, GOOD = 0, 1, 2
 #: Rows of the hashed scorer, and the bound of the sample it is trained on.
@@ -194,4 +194,4 @@ def score(docs: DataFrame, scorer: Linear) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, score and predicted (1: good) of every document; no true label is used."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs)[1]).select("doc_id", "score", F.expr("CAST(score >= 0.5 AS INT)").alias("predicted"))
+    return compact(score(docs, fit(docs)[1]).select("doc_id", "score", F.expr("CAST(score >= 0.5 AS INT)").alias("predicted")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import components, cut, drop, sliced, table
+from parley.llm.common import compact, components, cut, drop, sliced, table
 
 #: Subspaces at least, and fingerprints up to which they are enough; for eight times as many there is one more.
 LEAST_SUBSPACES, ENOUGH = 6, 1 << 22
@@ -243,4 +243,4 @@ def keep_first(docs: DataFrame, width: int = 4, similarity: float | None = None,
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return compact(found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))

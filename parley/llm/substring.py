@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, drop, planned_bytes, sliced, table
+from parley.llm.common import compact, cut, drop, planned_bytes, sliced, table
 
 WINDOW, RUN = 13, 4
 #: Bytes worked on at a time, words of a piece of a longer text, packed bytes kept before they are sent, windows a bin should have.
@@ -425,4 +425,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, digest
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return compact(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True))

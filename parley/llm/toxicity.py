@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, drop, sliced, table
+from parley.llm.common import compact, cut, drop, sliced, table
 
 #: Words of a window and between the starts of two; vector sizes; hashed rows.
 WINDOW, STRIDE = 24, 12
@@ -375,4 +375,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scorer = fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    return score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", F.expr("CAST(score >= 0.5 AS INT)").alias("predicted"))
+    return compact(score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", F.expr("CAST(score >= 0.5 AS INT)").alias("predicted")))
