@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import compact, cut, drop, planned_bytes, sliced, table
+from parley.llm.common import compact, cut, drop, give_back, planned_bytes, sliced, table
 
 WINDOW, RUN = 13, 4
 #: Bytes worked on at a time, words of a piece of a longer text, packed bytes kept before they are sent, windows a bin should have.
@@ -247,6 +247,8 @@ def _pack(crowded: np.ndarray, bits: int, bins: int, window: int, run: int):
                     kept, size = [], 0
         if kept:
             yield flush()
+        kept.clear()
+        give_back()
 
     return send
 
@@ -303,6 +305,7 @@ def _count_bins(window: int):
                 blobs.append(blob.as_py())
         if blobs:
             yield close(blobs, unpack)
+        give_back()
 
     def close(blobs, unpack):
         meta, text = [], []

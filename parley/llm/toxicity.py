@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import compact, cut, drop, sliced, table
+from parley.llm.common import compact, cut, drop, give_back, sliced, table
 
 #: Words of a window and between the starts of two; vector sizes; hashed rows.
 WINDOW, STRIDE = 24, 12
@@ -348,6 +348,8 @@ def _run(sent, columns: list[str], keep: float | None):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
             else:
                 yield batch.filter(pa.array(scores < keep)).select(columns)
+        del scorer
+        give_back()
 
     return run
 
