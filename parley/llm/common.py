@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -91,6 +92,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver notice what nothing refers to any more: only then do shuffle files of finished steps go from the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written() -> int:
     """A mark for ``release``."""
     return len(_written)
@@ -101,6 +108,7 @@ def release(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
     stay = {getattr(df, "_parley_path", None) for df in keep}
     for path in [p for p in _written[since:] if p not in stay]:
         _delete(spark, path)
+    forget(spark)
 
 
 def sliced(batches, most: int, rows: int = 4096, column: str | int = "text"):

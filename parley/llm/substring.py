@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import compact, cut, drop, give_back, planned_bytes, sliced, table
+from parley.llm.common import compact, cut, drop, forget, give_back, planned_bytes, sliced, table
 
 WINDOW, RUN = 13, 4
 #: Bytes worked on at a time, words of a piece of a longer text, packed bytes kept before they are sent, windows a bin should have.
@@ -368,7 +368,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
         later = rows.join(firsts, F.col("words") == F.col("first_words")).filter("span_id > least")
         found = found.union(later.select("span_id", "span_key", (F.shiftleft("place", 32) + F.col("place") + window).alias("span")))
     spans = cut(found, "spans")
+    del packed, found
     drop(counts, *(rows, firsts) if len(crowded) else ())
+    forget(docs.sparkSession)
     # rows that repeat send the same spans
     return spans.groupBy("span_id", "span_key").agg(F.collect_set("span").alias("spans"))
 
@@ -398,18 +400,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, digest
     kind = docs.schema["doc_id"].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"doc_id must be a whole number, not {kind}")
-    found = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"), window, run)
+    # a key for the text travels with every run only where some id has several texts
+    told_apart = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).filter("doc_id IS NOT NULL AND a <> b")
+    several = bool(told_apart.head(1))
+    key = F.xxhash64("text") if several else F.lit(0).cast("long")
+    found = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text"), window, run)
     names = ["doc_id", "text"] if digests else docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     own_id, own_text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    met = own.join(found, (F.col(own_id).cast("long") == F.col("span_id")) & (F.xxhash64(own_text) == F.col("span_key")), "left").drop("span_id", "span_key")
+    same = F.col(own_id).cast("long") == F.col("span_id")
+    if several:
+        same = same & (F.xxhash64(own_text) == F.col("span_key"))
+    met = own.join(found, same, "left").drop("span_id", "span_key")
     if not digests:
 
         def rewrite(batches):
             for batch in sliced(batches, STEP, column=own_text):
                 out = []
                 for text, spans in zip(batch.column(own_text).to_pylist(), batch.column("spans"), strict=True):
-                    out.append(text if not spans.is_valid else b" ".join(_kept(text, spans.values.to_numpy())[0]).decode("utf-8", "surrogatepass"))
+                    out.append(text if text is None or not spans.is_valid else b" ".join(_kept(text, spans.values.to_numpy())[0]).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(f"c{i}") for i, c in enumerate(names)], names)
 
         return met.mapInArrow(rewrite, docs.schema)

@@ -71,6 +71,8 @@ def test_one_id_with_two_texts(spark):
     docs = spark.createDataFrame([(1, t), (3, t), (3, u), (3, u)], "doc_id int, text string")
     got = sorted(map(tuple, s.remove_repeats(docs).collect()))
     assert got == sorted([(1, t), (3, ""), (3, u), (3, u)])
+    docs = spark.createDataFrame([(1, t), (3, t), (3, None)], "doc_id int, text string")
+    assert sorted(map(tuple, s.remove_repeats(docs).collect()), key=str) == sorted([(1, t), (3, ""), (3, None)], key=str)
 
 
 def test_ids_that_are_no_numbers(spark):
