@@ -25,6 +25,14 @@ def entries(archive: DataFrame, person: str | None = None, lang: str | None = No
     return out if lang is None else out.filter(F.col("lang") == lang)
 
 
+def valid_refs(archive: DataFrame, present: DataFrame) -> DataFrame:
+    """Entries with ``valid``: an absolute path is if ``present`` (file) has it, a relative one always, an empty one never."""
+    files = present.select(F.col("file").alias("_f")).distinct()
+    met = archive.join(files, F.col("ref_path") == F.col("_f"), "left")
+    empty = F.coalesce(F.col("ref_path"), F.lit("")) == ""
+    return met.withColumn("valid", F.when(empty, False).when(F.col("ref_path").startswith("/"), F.col("_f").isNotNull()).otherwise(True)).drop("_f")
+
+
 def archive_loop(speakers: DataFrame, people: DataFrame, archive: DataFrame, tiers: DataFrame, refs: DataFrame, key: str = "video_id") -> DataFrame:
     """What becomes of each reviewed speaker: archived, blocked or skipped, with the reason, and how many entries its group then has.
 

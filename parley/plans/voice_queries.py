@@ -174,11 +174,15 @@ def audit_sample(v):
     return archive.sample_of(v.archive, 20, 42).select("seq", "person")
 
 
-@query(with_views("v_archive", "SELECT person, lang, count(*) AS entries, count_if(seq % 9 <> 0) AS valid, count_if(seq % 9 = 0) AS invalid FROM v_archive GROUP BY GROUPING SETS ((person, lang), (person), ())"))
+_PATHS = "CASE WHEN seq % 11 = 0 THEN '' WHEN seq % 3 = 0 THEN concat('/audio/', ref_path) ELSE ref_path END"
+
+
+@query(with_views("v_archive", "SELECT person, lang, count(*) AS entries, count_if(valid) AS valid, count_if(NOT valid) AS invalid FROM (SELECT *, seq % 11 <> 0 AND (seq % 3 <> 0 OR seq % 9 = 0) AS valid FROM v_archive) GROUP BY GROUPING SETS ((person, lang), (person), ())"))
 def archive_group_view(v):
-    present = v.archive.select(F.col("ref_path").alias("file"), "seq").filter("seq % 9 <> 0").select("file").distinct()
-    marked = v.archive.join(present, F.col("ref_path") == F.col("file"), "left")
-    return marked.rollup("person", "lang").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("file").isNotNull()).alias("valid"), F.count_if(F.col("file").isNull()).alias("invalid"))
+    """Entries by person and language with how many of their references are there: absolute paths must exist, relative ones count, empty ones do not."""
+    entries = v.archive.withColumn("ref_path", F.expr(_PATHS))
+    present = entries.filter("seq % 9 = 0 AND ref_path <> ''").select(F.col("ref_path").alias("file"))
+    return archive.valid_refs(entries, present).rollup("person", "lang").agg(F.count(F.lit(1)).alias("entries"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
 @query(with_views("v_archive", "SELECT person, count(*) AS added, arg_max(lang, seq) AS last_lang, max(seq) AS last_seq FROM v_archive GROUP BY ALL"))
