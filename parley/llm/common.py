@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -93,9 +94,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let the driver notice what nothing refers to any more: only then do shuffle files of finished steps go from the executors' disks."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver notice what nothing refers to any more: only then do shuffle files of finished steps go from the executors' disks.
+
+    Listeners hold a finished step for a moment, so it looks twice.
+    """
+    for pause in (0.3, 0.0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def written() -> int:
