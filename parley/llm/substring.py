@@ -29,7 +29,7 @@ from parley.llm.common import compact, cut, drop, forget, give_back, planned_byt
 
 WINDOW, RUN = 13, 4
 #: Bytes worked on at a time, words of a piece of a longer text, packed bytes kept before they are sent, windows a bin should have.
-STEP, PIECE_WORDS, FLUSH_BYTES, BIN_WINDOWS = 1 << 20, 1 << 16, 8 << 20, 200_000
+STEP, PIECE_WORDS, FLUSH_BYTES, BIN_WINDOWS = 1 << 20, 1 << 16, 12 << 20, 200_000
 #: Bytes of the input for a slot of the count, and the fewest slots.
 SLOT_BYTES, LEAST_SLOTS = 1 << 13, 1 << 16
 #: A slot is crowded beyond this part of a partition's mean, or beyond this number of windows.
@@ -215,7 +215,7 @@ def _pack(crowded: np.ndarray, bits: int, bins: int, window: int, run: int):
     """Documents -> (bin, packed super-k-mers of the bin), crowded slots left out."""
 
     def send(batches):
-        pack, kept, size = zstandard.ZstdCompressor(3), [], 0
+        pack, kept, size = zstandard.ZstdCompressor(6), [], 0
 
         def flush():
             meta = np.concatenate([m for m, _ in kept])
