@@ -255,6 +255,16 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(near_vectors(table(spark, sf_dir, "embeddings")))
 
 
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.links, 0) AS n_links, c.least AS component_id, e.vec_id = c.least AS kept
+FROM embeddings e JOIN (SELECT n, min(m) AS least FROM r GROUP BY n) c ON c.n = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+
 # --- Operator 7: hash-prefix forest --------------------------------------------------------------------------------
 
 #: Bits of a hash string, rows of a shard and of a block of queries, and the chance that all trees miss a neighbour.

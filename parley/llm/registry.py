@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_embedding_near_dedup": embeddings.NEAR_SQL,
+    "op5_substring_dedup": substring.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
 }

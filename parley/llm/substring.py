@@ -438,3 +438,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, digest
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     return compact(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS least FROM p GROUP BY win),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM p JOIN f ON p.win = f.win AND f.least < p.doc_id),
+k AS (SELECT x.doc_id, string_agg(x.ws[x.j], ' ' ORDER BY x.j) AS kept, count(*) AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS j FROM w) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.j = x.j WHERE c.j IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
