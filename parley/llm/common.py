@@ -96,12 +96,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(spark: SparkSession) -> None:
     """Let the driver notice what nothing refers to any more: only then do shuffle files of finished steps go from the executors' disks.
 
-    Listeners hold a finished step for a moment, so it looks twice.
+    Listeners hold a finished step for a moment, so it looks twice. Executors collect too: heaps grow with what a step throws
+    away and give nothing back by themselves, which a later step's Python workers then lack.
     """
     for pause in (0.3, 0.0):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(pause)
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()  # a row an executor
 
 
 def written() -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WORD, compact, cut, table, word_count
+from parley.llm.common import WORD, compact, cut, forget, table, word_count
 
 #: Documents of a block and of a range of virtual time on average; words of a packet at least, and packets of a document at most.
 BLOCK_ROWS, RANGE_ROWS, PACKET, PACKETS = 1024, 2048, 16, 1024
@@ -118,6 +118,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     sent = sent.filter("whole > 0 OR size(part) > 0").select(*[F.col(c).alias(f"sent_{c}") for c in own], "whole", "part", "rows")
     sent = cut(sent, "sent")
+    forget(docs.sparkSession)
     plain = [F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)]
     met = docs.select(*plain, F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.xxhash64("text").alias("own_hash")).join(
         sent, F.col("own_id").eqNullSafe(F.col("sent_doc_id")) & F.col("own_source").eqNullSafe(F.col("sent_source")) & (F.col("own_hash") == F.col("sent_text_hash"))
