@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from parley.llm import bpe, embeddings, langid, mixing, quality, simhash, substring, toxicity, url_filter
+from parley.llm.common import forget
+
+
+def _fresh(query):
+    """A query that begins with what earlier ones left collected, on the driver and on the executors."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        forget(spark)
+        return query(spark, sf_dir)
 
-QUERIES = {
+    return run
+
+
+_QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
@@ -17,6 +32,8 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
+QUERIES = {name: _fresh(query) for name, query in _QUERIES.items()}
+
 ORACLE = {
     "op4_embedding_near_dedup": embeddings.NEAR_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,
