@@ -9,11 +9,12 @@ import shutil
 import tempfile
 import time
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII white-space characters.
@@ -189,3 +190,60 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         drop(now)
         now = step
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Rows that one task sums in order, at each of two levels, and letters of a string that ranges are drawn by.
+RUN, HEAD = 1024, 32
+
+
+def running_total(rows: DataFrame, keys: list[str], at: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of equal ``keys`` that come before (exclusive), as ``name``.
+
+    ``at`` is a whole number that orders the rows of a key, each number once. Sums run within blocks of ``RUN`` numbers and
+    over the blocks, so that no task orders more than a block and one row for each other block of a key.
+    """
+    block = F.floor(F.col(at) / RUN)
+    sums = rows.groupBy(*keys, block.alias("_b")).agg(F.sum(value).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), before.alias("_o"))
+    own = Window.partitionBy(*keys, "_b").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.withColumn("_b", block).withColumn("_i", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    met = inner.join(sums, same_keys(keys, "_k_") & (F.col("_b") == F.col("_kb")))
+    return met.select(*rows.columns, (F.col("_i") + F.col("_o")).alias(name))
+
+
+def same_keys(keys: list[str], prefix: str) -> Column:
+    """Equality of ``keys`` with their prefixed copies, nulls being equal."""
+    return reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(prefix + k)), keys, F.lit(True))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], tag: str, keep: list[Column] | None = None) -> DataFrame:
+    """``rows`` with ``place``, their number from 0 among the rows of equal ``keys`` in ``order`` (nulls first), and ``total``, how many those are.
+
+    Rows are dealt by ranges of keys and order, so one key's rows spread over many tasks; a row's place is its number in its
+    range and what the ranges before hold of its key. Rows equal in all of keys and order are numbered as they come. Of the
+    last of ``order``, if it is a string, ranges know the first ``HEAD`` letters, since a sample of it comes to the driver.
+    ``keep``: what is kept of a row, computed once it is dealt (all of it by default). The dealt rows are written, since ranges
+    would fall elsewhere if they were drawn again. No column may be called ``place``, ``total`` or begin with an underscore.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(planned_bytes(rows) // FILE_BYTES, 1 << 20))
+    named = rows.select(*rows.columns, *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    by = [*keys, *[f"_o{i}" for i in range(len(order))]]
+    ranges = [F.col(c).asc_nulls_first() for c in by]
+    if dict(named.dtypes)[by[-1]] == "string":
+        ranges[-1] = F.substring(by[-1], 1, HEAD).asc_nulls_first()
+    dealt = named.repartitionByRange(parts, *ranges).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by])
+    kept = [*keys, *keep] if keep is not None else rows.columns
+    laid = cut(dealt.select(*kept, F.monotonically_increasing_id().alias("_at")), tag)
+    columns = [c for c in laid.columns if c != "_at"]
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    held = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    whole = held.groupBy(*keys).agg(F.sum("_n").alias("total")).select(*[F.col(k).alias(f"_w_{k}") for k in keys], "total")
+    held = running_total(held, keys, "_part", "_n", "_before")
+    held = held.join(whole, same_keys(keys, "_w_"))  # without keys a single row, for one row of each range
+    starts = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_part").alias("_p"), (F.col("_before") - F.col("_first")).alias("_shift"), "total")
+    met = laid.join(starts, same_keys(keys, "_h_") & (F.col("_part") == F.col("_p")))
+    out = cut(met.select(*columns, (F.col("_at") + F.col("_shift")).alias("place"), "total"), tag)
+    drop(laid)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from parley.llm import bpe, embeddings, langid, mixing, quality, simhash, substring, toxicity, url_filter
+from parley.llm import bpe, embeddings, langid, merkle, mixing, quality, secrets, simhash, substring, toxicity, trie, url_filter
 from parley.llm.common import forget
 
 
@@ -30,6 +30,9 @@ _QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_trie": trie.op11_conversation_trie,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 QUERIES = {name: _fresh(query) for name, query in _QUERIES.items()}
@@ -38,4 +41,7 @@ ORACLE = {
     "op4_embedding_near_dedup": embeddings.NEAR_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
+    "op11_conversation_trie": trie.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_secret_scan": secrets.ORACLE_SQL,
 }
