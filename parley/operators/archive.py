@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
 from parley.operators.voice import fifo_cap
-from parley.operators.workflow import merge_closure
+from parley.operators.closure import merge_closure
 
 #: Entries that a person and language hold at most, and the least cosine of a vector with its recomputed self.
 CAP, SAME = 10, 0.999
@@ -33,15 +37,77 @@ def valid_refs(archive: DataFrame, present: DataFrame) -> DataFrame:
     return met.withColumn("valid", F.when(empty, False).when(F.col("ref_path").startswith("/"), F.col("_f").isNotNull()).otherwise(True)).drop("_f")
 
 
+class _Person:
+    """What the fold over a person's samples carries: the entries held, oldest first, as (language, unit vector or none), and samples archived that may come again."""
+
+    def __init__(self, person: str):
+        self.person, self.held, self.samples = person, [], set()
+
+    def of(self, lang: str | None) -> list[tuple]:
+        """Entries of a language; without a language all of the person's."""
+        return self.held if lang is None else [x for x in self.held if x[0] == lang]
+
+    def add(self, lang: str | None, unit: np.ndarray | None) -> None:
+        self.held.append((lang, unit))
+        mine = [i for i, x in enumerate(self.held) if x[0] == lang]
+        if len(mine) > CAP:
+            del self.held[mine[0]]
+
+
+def _unit(vec: list[float] | None) -> np.ndarray | None:
+    if not vec:
+        return None
+    out = np.array(vec, dtype=np.float64)
+    length = np.linalg.norm(out)
+    return out / length if length else out
+
+
+def _mean_cosine(unit: np.ndarray | None, entries: list[tuple]) -> float:
+    """Mean over the entries; products go over the shorter length."""
+    if unit is None:
+        return 0.0
+    return float(np.mean([np.dot(unit[: len(v)], v[: len(unit)]) for _, v in entries]))
+
+
+def _fold_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Judges samples in order, person by person: entries held come first. One person's entries are in memory, not its samples."""
+    now = None
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if now is None or r["person"] != now.person:
+                now = _Person(r["person"])
+            unit = _unit(r["vec"])
+            if not r["asked"]:
+                now.add(r["lang"], unit)
+                continue
+            if r["again"] and r["sample"] in now.samples:
+                out.append((r["key"], r["spk"], r["person"], r["lang"], "skipped", "archived before", None, None))
+                continue
+            known = [x for x in now.of(r["lang"]) if x[1] is not None]
+            score = _mean_cosine(unit, known) if len(known) > 1 else None
+            if score is not None and r["p5"] is not None and score < r["p5"]:
+                out.append((r["key"], r["spk"], r["person"], r["lang"], "blocked", "unlike its person", score, None))
+                continue
+            now.add(r["lang"], unit)
+            if r["again"]:
+                now.samples.add(r["sample"])
+            out.append((r["key"], r["spk"], r["person"], r["lang"], "archived", None, score, len(now.of(r["lang"]))))
+        kinds = [batch.schema.field("key").type, pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32()]
+        names = ["key", "spk", "person", "lang", "status", "why", "score", "total_after"]
+        yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+
 def archive_loop(speakers: DataFrame, people: DataFrame, archive: DataFrame, tiers: DataFrame, refs: DataFrame, key: str = "video_id") -> DataFrame:
     """What becomes of each reviewed speaker: archived, blocked or skipped, with the reason, and how many entries its group then has.
 
     ``speakers``: (key, spk, ord, merge_into, voice, host_person, person, lang, sample, vec). A merged speaker takes its final
     target's person and voice but keeps its own sample. Skipped are, in this order: no person or voice skip, a person that
-    ``people`` (person, main_lang) does not hold, no sample, a sample that ``refs`` (person, audio) has. The rest are taken in
-    the order of ``ord``: a sample whose mean cosine with its group's entries is under the language's 5th percentile
-    (``tiers``: lang, genuine_p5) is blocked, unless the group has fewer than two; others join the group at once, which keeps
-    its latest ``CAP``. The order matters within a person and language only, so each group is one fold over its few rows.
+    ``people`` (person, main_lang) does not hold, no sample, a sample that ``refs`` (person, audio) has or that was archived for the
+    person before. The rest are taken in the order of ``ord``: a sample whose mean cosine with its group's entries is under the
+    language's 5th percentile (``tiers``: lang, genuine_p5) is blocked, unless the group has fewer than two; others join the
+    group at once, which keeps its latest ``CAP``. Without a language the group is all of the person's entries, and there is no
+    percentile. The order matters within a person only: one person's samples pass through one task, row by row.
     """
     final = merge_closure(speakers.filter("merge_into IS NOT NULL AND merge_into <> spk").select(key, F.col("spk").alias("id"), F.col("merge_into").alias("target")), key)
     final = final.select(F.col(key).alias("_v"), F.col("id").alias("_i"), F.col("final").alias("target"))
@@ -53,27 +119,31 @@ def archive_loop(speakers: DataFrame, people: DataFrame, archive: DataFrame, tie
     df = with_language(df, people).join(known, F.col("person") == F.col("_k"), "left").join(had, (F.col("person") == F.col("_r")) & (F.col("sample") == F.col("_a")), "left")
     why = F.when(F.col("person").isNull() | F.coalesce(F.col("owner_voice") == "skip", F.lit(False)), "no person").when(F.col("_k").isNull(), "unknown person").when(F.nullif("sample", F.lit("")).isNull(), "no sample").when(F.col("_a").isNotNull(), "archived before")
     df = df.withColumn("why", why)
-    skipped = df.filter("why IS NOT NULL").select(key, "spk", "person", F.col("archive_lang").alias("lang"), F.lit("skipped").alias("status"), "why", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("total_after"))
-
-    held = fifo_cap(archive, CAP).groupBy(F.col("person").alias("_p"), F.col("lang").alias("_l")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "vec"))), lambda x: x["vec"]).alias("held"))
-    asked = df.filter("why IS NULL").groupBy("person", "archive_lang").agg(F.array_sort(F.collect_list(F.struct("ord", F.col(key).alias("key"), "spk", "vec"))).alias("asked"))
-    asked = asked.join(held, (F.col("person") == F.col("_p")) & F.col("archive_lang").eqNullSafe(F.col("_l")), "left")
-    asked = asked.join(tiers.select(F.col("lang").alias("_t"), "genuine_p5"), F.col("archive_lang").eqNullSafe(F.col("_t")), "left")
-    kind = f"struct<held:array<array<double>>,out:array<struct<key:{dict(speakers.dtypes)[key]},spk:string,ok:boolean,score:double,n:int>>>"
-    start = F.struct(F.coalesce("held", F.array().cast("array<array<double>>")).alias("held"), F.array().alias("out")).cast(kind)
-
-    def step(acc, x):
-        n = F.size(acc["held"])
-        mean = F.when(n > 0, F.aggregate(acc["held"], F.lit(0.0), lambda total, v: total + s.cosine(x["vec"], v)) / n)
-        ok = F.coalesce((n < 2) | F.col("genuine_p5").isNull() | (mean >= F.col("genuine_p5")), F.lit(True))
-        grown = F.slice(F.concat(acc["held"], F.array(x["vec"])), F.greatest(n + 2 - CAP, F.lit(1)), F.lit(CAP))
-        now = F.when(ok, grown).otherwise(acc["held"])
-        said = F.struct(x["key"].alias("key"), x["spk"].alias("spk"), ok.alias("ok"), mean.alias("score"), F.size(now).alias("n"))
-        return F.struct(now.alias("held"), F.concat(acc["out"], F.array(said)).alias("out")).cast(kind)
-
-    told = asked.select("person", F.col("archive_lang").alias("lang"), F.inline(F.aggregate("asked", start, step)["out"]))
-    judged = told.select(F.col("key").alias(key), "spk", "person", "lang", F.when(F.col("ok"), "archived").otherwise("blocked").alias("status"), F.when(~F.col("ok"), "unlike its person").alias("why"), "score", F.when(F.col("ok"), F.col("n")).alias("total_after"))
-    return skipped.unionByName(judged)
+    skipped = df.filter("why IS NOT NULL").select(F.col(key).alias("key"), "spk", "person", F.col("archive_lang").alias("lang"), F.lit("skipped").alias("status"), "why", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("total_after"))
+
+    # of a sample that a person has once, nothing has to be remembered
+    again = F.count(F.lit(1)).over(Window.partitionBy("person", "sample")) > 1
+    gates = tiers.select(F.col("lang").alias("_t"), F.col("genuine_p5").alias("p5"))
+    asked = df.filter("why IS NULL").withColumn("again", again).join(gates, F.col("archive_lang") == F.col("_t"), "left")
+    asked = asked.select("person", F.lit(True).alias("asked"), F.col("ord").cast("long").alias("ord"), F.col(key).alias("key"), "spk", F.col("archive_lang").alias("lang"), "sample", "again", "p5", "vec")
+    held = fifo_cap(archive, CAP).join(asked.select(F.col("person").alias("_p")).distinct(), F.col("person") == F.col("_p"), "left_semi").select("person", F.lit(False).alias("asked"), F.col("seq").cast("long").alias("ord"), "lang", "vec")
+    rows = held.unionByName(asked, allowMissingColumns=True).select(*asked.columns)
+    sorted_rows = rows.repartition("person").sortWithinPartitions("person", "asked", "ord", "key", "spk")
+    judged = sorted_rows.mapInArrow(_fold_samples, f"key {dict(speakers.dtypes)[key]}, spk string, person string, lang string, status string, why string, score double, total_after int")
+    return skipped.unionByName(judged).withColumnRenamed("key", key)
+
+
+def archive_after(told: DataFrame, speakers: DataFrame, archive: DataFrame, key: str = "video_id") -> DataFrame:
+    """The archive (seq, person, lang, vec, ref_path) with the samples that ``archive_loop`` archived, each group's latest ``CAP``.
+
+    New entries follow all old ones, in the order of ``ord``. The thresholds after a review are ``calibrate`` of this.
+    """
+    last = archive.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    new = told.filter("status = 'archived'").select(F.col(key).alias("_v"), F.col("spk").alias("_s"), "person", "lang")
+    mine = speakers.select(key, "spk", "ord", "sample", "vec").join(new, (F.col(key) == F.col("_v")) & (F.col("spk") == F.col("_s")))
+    least = speakers.agg(F.min("ord").alias("least"))
+    came = mine.join(F.broadcast(last.join(least)), F.lit(True)).select((F.col("last") + 1 + F.col("ord") - F.col("least")).alias("seq"), "person", "lang", "vec", F.col("sample").alias("ref_path"))
+    return fifo_cap(archive.select("seq", "person", "lang", "vec", "ref_path").unionByName(came), CAP)
 
 
 def archive_summary(told: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
+from parley.operators.carried import fold
 
 
 def ocr_lines(hits: DataFrame, threshold: float = 0.75, exact: bool = False, key: str = "video_id") -> DataFrame:
@@ -42,42 +43,51 @@ def clean_lines(hits: DataFrame, exact: bool = False, half: int = 250, gap: int
     return monotone_lines(cleaned, half, gap, least, key).select(key, F.col("line").alias("idx"), "t0", "t1", "text")
 
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], start: Column, step, out: str) -> DataFrame:
-    """An ordered fold of each key's rows; keys bound what is collected (a video, a speaker)."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))
-    return rows.groupBy(*keys).agg(F.aggregate(packed, start, step).alias(out))
+def _kinds(rows: DataFrame, *columns: str) -> str:
+    """Columns as they are, for the schema of a fold."""
+    kinds = dict(rows.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
+def _join_units(gap: int, most: int):
+    """Steps of ``merge_units``: the state is the open unit."""
+
+    def step(unit: dict, x: dict):
+        if unit and unit["spk"] == x["spk"] and x["t0"] - unit["t1"] <= gap and len(unit["text"]) + len(x["clean"]) <= most:
+            unit["text"] += ("" if unit["text"][-1:] in ("。", ",", "?", "!") else ",") + x["clean"]
+            unit["t1"] = x["t1"]
+            return
+        yield from _unit(unit)
+        unit.clear()
+        unit.update(idx=x["idx"], t0=x["t0"], t1=x["t1"], spk=x["spk"], text=x["clean"])
+
+    return step
+
+
+def _unit(unit: dict):
+    if unit:
+        yield unit["idx"], unit["t0"], unit["t1"], unit["spk"], unit["text"]
 
 
 def merge_units(lines: DataFrame, gap: int = 600, most: int = 45, key: str = "video_id") -> DataFrame:
     """Join tagged lines (key, idx, t0, t1, text) of one speaker into units: gap at most ``gap``, at most ``most`` characters without the joiner.
 
-    The joiner is a comma unless the text so far ends with ``。``, ``,``, ``?`` or ``!``. Another speaker or a longer gap ends
-    a unit whatever came before, so only runs between such breaks are folded, not whole videos.
+    The joiner is a comma unless the text so far ends with ``。``, ``,``, ``?`` or ``!``. A carried scan of each video, which holds the open unit.
     """
-    clean = lines.withColumn("spk", s.speaker_tag(F.col("text"))).withColumn("clean", s.dub_text(F.col("text"))).filter("clean <> ''")
-    order = Window.partitionBy(key).orderBy("idx")
-    breaks = (F.col("spk") != F.lag("spk").over(order)) | (F.col("t0") - F.lag("t1").over(order) > gap)
-    clean = clean.withColumn("breaks", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run", F.sum("breaks").over(order))
-    kind = "struct<idx:bigint,t0:bigint,t1:bigint,spk:string,text:string>"
-    start = F.array().cast(f"array<{kind}>")
+    clean = lines.select(key, F.col("idx").cast("long").alias("idx"), "t0", "t1", s.speaker_tag(F.col("text")).alias("spk"), s.dub_text(F.col("text")).alias("clean")).filter("clean <> ''")
+    return fold(clean, [key], ["idx"], f"{_kinds(clean, key)}, idx long, t0 long, t1 long, spk string, text string", dict, _join_units(gap, most), _unit)
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["spk"] == x["spk"]) & (x["t0"] - F.try_element_at(acc, F.lit(-1))["t1"] <= gap) & (F.length(F.try_element_at(acc, F.lit(-1))["text"]) + F.length(x["clean"]) <= most)
-        last = F.try_element_at(acc, F.lit(-1))
-        joiner = F.when(F.substring(last["text"], -1, 1).isin("。", ",", "?", "!"), F.lit("")).otherwise(F.lit(","))
-        joined = F.struct(last["idx"].alias("idx"), last["t0"].alias("t0"), x["t1"].alias("t1"), last["spk"].alias("spk"), F.concat(last["text"], joiner, x["clean"]).alias("text"))
-        fresh = F.struct(x["idx"].cast("long").alias("idx"), x["t0"].alias("t0"), x["t1"].alias("t1"), x["spk"].alias("spk"), x["clean"].alias("text"))
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh))).cast(f"array<{kind}>")
 
-    return _fold(clean, [key, "run"], ["idx"], ["idx", "t0", "t1", "spk", "clean"], start, step, "units").select(key, F.inline("units"))
+#: Decimals of a tempo.
+TEMPO = 4
 
 
 def dub_plan(lines: DataFrame, gap: int = 50, borrow: float = 0.5, preferred: float = 1.15, cap: float = 2.0, key: str = "video_id") -> DataFrame:
-    """Window end, tempo and mode of each line (key, idx, t0, t1, wav_dur): fit, borrow silence from the gap, or speed up.
+    """Window end, tempo and mode of each line (key, idx, t0, t1, wav_dur): fit, borrow silence from the gap, or speed up (atempo).
 
     The next line is the next of the list, whether or not it has audio; lines without audio get no plan. A next start of 0
-    counts as none, so the gap is unlimited. Beyond the preferred tempo what was borrowed is given back.
+    counts as none, so the gap is unlimited. Beyond the preferred tempo what was borrowed is given back; the tempo is rounded to
+    ``TEMPO`` places, and ``over`` tells of a sped-up line whose rounded tempo is still beyond the preferred one.
     """
     nxt = F.lead("t0").over(Window.partitionBy(key).orderBy("idx"))
     win = F.col("t1") - F.col("t0")
@@ -85,13 +95,20 @@ def dub_plan(lines: DataFrame, gap: int = 50, borrow: float = 0.5, preferred: fl
     df = lines.withColumn("next_t0", nxt).filter("wav_dur IS NOT NULL").withColumn("win", win).withColumn("lent", F.least(F.greatest(F.lit(0), space).cast("double"), F.col("win") * borrow))
     fits, wide = F.col("wav_dur") <= F.col("win"), F.col("win") + F.col("lent")
     need = F.col("wav_dur") / wide
-    return df.select(
+    plan = df.select(
         key,
         "idx",
         F.when(fits, F.col("t1").cast("double")).when((F.col("wav_dur") <= wide) | (need <= preferred), F.col("t1") + F.col("lent")).otherwise(F.col("t1").cast("double")).alias("win_end"),
-        F.when(fits | (F.col("wav_dur") <= wide), F.lit(1.0)).when(need <= preferred, need).otherwise(F.least(F.lit(cap), F.col("wav_dur") / F.col("win"))).alias("tempo"),
-        F.when(fits, "fit").when(F.col("wav_dur") <= wide, "borrow").when(need > preferred, "atempo_over").otherwise("atempo").alias("mode"),
+        F.round(F.when(fits | (F.col("wav_dur") <= wide), F.lit(1.0)).when(need <= preferred, need).otherwise(F.least(F.lit(cap), F.col("wav_dur") / F.col("win"))), TEMPO).alias("tempo"),
+        F.when(fits, "fit").when(F.col("wav_dur") <= wide, "borrow").otherwise("atempo").alias("mode"),
     )
+    return plan.withColumn("over", (F.col("mode") == "atempo") & (F.col("tempo") > preferred))
+
+
+def mode_counts(plan: DataFrame) -> DataFrame:
+    """How many lines have each mode, and as ``atempo_over`` how many of the sped-up ones are over; each of the four has a row."""
+    n = [F.struct(F.lit(m).alias("mode"), F.count_if(F.col("mode") == m).alias("n")) for m in ("fit", "borrow", "atempo")]
+    return plan.agg(F.array(*n, F.struct(F.lit("atempo_over").alias("mode"), F.count_if("over").alias("n"))).alias("x")).select(F.inline("x"))
 
 
 def place_track(lines: DataFrame, gap: int = 50, key: str = "video_id") -> DataFrame:
@@ -110,12 +127,17 @@ def trim_silence(samples: Column, quiet: int = 300, least: int = 800) -> Column:
     return F.when((first > 0) & (count >= least), F.slice(samples, first.cast("int"), count.cast("int"))).otherwise(samples)
 
 
+def trimmed(lines: DataFrame, rate: int, quiet: int = 300, least: int = 800) -> DataFrame:
+    """Lines (…, samples) with the length of their audio once its silent ends are cut, in whole milliseconds, as ``wav_dur``; no samples, no audio."""
+    return lines.withColumn("wav_dur", F.when(F.size("samples") > 0, F.floor(F.size(trim_silence(F.col("samples"), quiet, least)) * 1000 / rate).cast("long"))).drop("samples")
+
+
 def render_track(lines: DataFrame, gap: int = 50, key: str = "video_id") -> DataFrame:
     """Plan and place of each line's audio as it is heard: sped up by the plan's tempo if that is over 1.001, then placed by its new length.
 
     Lengths are whole milliseconds. Lines without audio have no row and move nothing.
     """
-    plan = dub_plan(lines, gap=gap, key=key).select(F.col(key).alias("_k"), F.col("idx").alias("_i"), "tempo", "mode")
+    plan = dub_plan(lines, gap=gap, key=key).select(F.col(key).alias("_k"), F.col("idx").alias("_i"), "tempo", "mode", "over")
     met = lines.join(plan, (F.col(key) == F.col("_k")) & (F.col("idx") == F.col("_i")))
     heard = F.when(F.col("tempo") > 1.001, F.floor(F.col("wav_dur") / F.col("tempo") + 0.5)).otherwise(F.col("wav_dur")).cast("long")
     return place_track(met.withColumn("wav_dur", heard), gap, key).select(key, "idx", "tempo", "mode", F.col("wav_dur").alias("heard"), "place_t", "end_t")
@@ -124,30 +146,42 @@ def render_track(lines: DataFrame, gap: int = 50, key: str = "video_id") -> Data
 def dense_window(lines: DataFrame, totals: DataFrame, width: int = 60_000, step: int = 5000, head: int = 90_000, tail: int = 60_000, key: str = "video_id") -> DataFrame:
     """The window of most whole lines, earliest first: outside head and tail if any line is there, else anywhere, else in the middle.
 
-    ``totals`` has (key, total). The number of starts is rounded half to even, so the last may lie past the bound.
+    ``totals`` has (key, total). The number of starts is rounded half to even, so the last may lie past the bound. One sweep
+    over ends, windows and starts in order of time: of the lines no longer than a window, those inside are the ones that end
+    by its end less the ones that start before it, so running counts of both tell them; nothing is joined by video alone.
     """
     steps = lambda lo, hi: F.when(hi >= lo, F.transform(F.sequence(F.lit(0), F.bround((hi - lo) / step).cast("int")), lambda i: lo + i * step))
     total = F.col("total")
-    tiers = totals.filter(total >= width).select(
-        F.col(key).alias("_k"), F.explode(F.concat(F.transform(F.coalesce(steps(F.lit(head).cast("long"), total - tail - width), F.array().cast("array<bigint>")), lambda w: F.struct(F.lit(1).alias("tier"), w.alias("ws"))), F.transform(steps(F.lit(0).cast("long"), total - width), lambda w: F.struct(F.lit(2).alias("tier"), w.alias("ws"))))).alias("x")
-    ).select("_k", "x.tier", "x.ws")
-    counted = tiers.join(lines.select(key, "t0", "t1"), (F.col("_k") == F.col(key)) & (F.col("t0") >= F.col("ws")) & (F.col("t1") <= F.col("ws") + width)).groupBy("_k", "tier", "ws").agg(F.count(F.lit(1)).alias("n"))
+    every = F.concat(F.transform(F.coalesce(steps(F.lit(head).cast("long"), total - tail - width), F.array().cast("array<bigint>")), lambda w: F.struct(F.lit(1).alias("tier"), w.alias("ws"))), F.transform(steps(F.lit(0).cast("long"), total - width), lambda w: F.struct(F.lit(2).alias("tier"), w.alias("ws"))))
+    windows = totals.filter(total >= width).select(F.col(key).alias("_k"), F.explode(every).alias("x")).select("_k", "x.tier", "x.ws")
+    # what happens at a time, in this order: lines end, windows are asked, lines start
+    ask = lambda at, sign: F.struct(at.alias("at"), F.lit(1).alias("what"), F.lit(sign).alias("sign"))
+    asked = windows.select("_k", "tier", "ws", F.inline(F.array(ask(F.col("ws") + width, 1), ask(F.col("ws"), -1))))
+    told = lines.filter(F.col("t1") - F.col("t0") <= width).select(F.col(key).alias("_k"), F.inline(F.array(F.struct(F.col("t1").alias("at"), F.lit(0).alias("what")), F.struct(F.col("t0").alias("at"), F.lit(2).alias("what")))))
+    order = Window.partitionBy("_k").orderBy("at", "what").rowsBetween(Window.unboundedPreceding, 0)
+    swept = asked.unionByName(told, allowMissingColumns=True).withColumn("ends", F.count_if(F.col("what") == 0).over(order)).withColumn("starts", F.count_if(F.col("what") == 2).over(order))
+    inside = F.sum(F.when(F.col("sign") > 0, F.col("ends")).otherwise(-F.col("starts")))
+    counted = swept.filter("what = 1").groupBy("_k", "tier", "ws").agg(inside.alias("n")).filter("n > 0")
     best = counted.groupBy("_k").agg(F.min(F.struct("tier", (-F.col("n")).alias("less"), "ws")).alias("b"))
     mid0, mid1 = F.greatest(F.lit(0.0), total / 2 - width / 2), F.least(total.cast("double"), total / 2 + width / 2)
     return totals.join(best, F.col(key) == F.col("_k"), "left").select(key, "total", F.coalesce(F.col("b.ws").cast("double"), mid0).alias("w0"), F.coalesce((F.col("b.ws") + width).cast("double"), mid1).alias("w1"))
 
 
-def spaced_samples(segs: DataFrame, least: int = 3500, most: int = 8000, apart: int = 60_000, sum_max: int = 30_000, picks: int = 3, keys: tuple[str, ...] = ("video_id", "spk")) -> DataFrame:
-    """Segments picked greedily in order: eligible length, starts more than ``apart`` from all picks, sum and number bounded."""
-    kind = "array<struct<t0:bigint,t1:bigint>>"
+def _pick_spaced(apart: int, sum_max: int, picks: int):
+    """Steps of ``spaced_samples``: the state is the picks so far."""
+
+    def step(picked: list, x: dict):
+        if len(picked) < picks and all(abs(x["t0"] - a) > apart for a, _ in picked) and sum(b - a for a, b in picked) + x["t1"] - x["t0"] <= sum_max:
+            picked.append((x["t0"], x["t1"]))
+            yield len(picked) - 1, x["t0"], x["t1"]
 
-    def step(acc, x):
-        far = F.forall(acc, lambda p: F.abs(x["t0"] - p["t0"]) > apart)
-        total = F.aggregate(acc, F.lit(0).cast("long"), lambda a, p: a + p["t1"] - p["t0"]) + x["t1"] - x["t0"]
-        return F.when((F.size(acc) < picks) & far & (total <= sum_max), F.concat(acc, F.array(F.struct(x["t0"].alias("t0"), x["t1"].alias("t1"))))).otherwise(acc).cast(kind)
+    return step
 
-    fit = segs.filter((F.col("t1") - F.col("t0")).between(least, most))
-    return _fold(fit, list(keys), ["t0", "t1"], ["t0", "t1"], F.array().cast(kind), step, "picked").select(*keys, F.posexplode("picked").alias("place", "p")).select(*keys, "place", "p.t0", "p.t1")
+
+def spaced_samples(segs: DataFrame, least: int = 3500, most: int = 8000, apart: int = 60_000, sum_max: int = 30_000, picks: int = 3, keys: tuple[str, ...] = ("video_id", "spk")) -> DataFrame:
+    """Segments picked greedily in order: eligible length, starts more than ``apart`` from all picks, sum and number bounded. A carried scan, which holds the picks."""
+    fit = segs.filter((F.col("t1") - F.col("t0")).between(least, most)).select(*keys, "t0", "t1")
+    return fold(fit, list(keys), ["t0", "t1"], f"{_kinds(fit, *keys)}, place int, t0 long, t1 long", list, _pick_spaced(apart, sum_max, picks))
 
 
 def speech_runs(frames: DataFrame, floor_db: float = -40.0, frame_ms: int = 100, gap_ms: int = 800, least_ms: int = 15_000, key: str = "file") -> DataFrame:
@@ -168,23 +202,42 @@ def speech_runs(frames: DataFrame, floor_db: float = -40.0, frame_ms: int = 100,
 
 
 def quiet_windows(frames: DataFrame, runs: DataFrame, width_ms: int = 25_000, step_ms: int = 2000, frame_ms: int = 100, dip: float = 10.0, key: str = "file") -> DataFrame:
-    """Hopping windows in runs (key, t0, t1): share of frames ``dip`` under the window's median high band, and flatness of the full band."""
+    """Hopping windows in runs (key, t0, t1): share of frames ``dip`` under the window's median high band, and flatness of the full band.
+
+    Frames find their run by file and time, lie in cells of a step, and a window reads the cells from its own on, so what a
+    task holds is a window's frames, however long a run is.
+    """
+    size = max(1, step_ms // frame_ms)
+    wide, near = -(-width_ms // (size * frame_ms)) + 1, 64 * size
     span = F.least(F.lit(float(width_ms)), F.col("t1") - F.col("t0"))
     starts = F.when(F.col("t1") - F.col("t0") < width_ms, F.array("t0")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.col("t1") - F.col("t0") - width_ms + 10) / step_ms).cast("int")), lambda i: F.col("t0") + i * step_ms))
-    windows = runs.select(F.col(key).alias("_k"), span.alias("span"), F.explode(starts).alias("w0")).withColumn("i0", F.floor(F.col("w0") / frame_ms)).withColumn("i1", F.floor((F.col("w0") + F.col("span")) / frame_ms))
-    met = windows.join(frames, (F.col("_k") == F.col(key)) & (F.col("frame_no") >= F.col("i0")) & (F.col("frame_no") < F.col("i1")))
-    grouped = met.groupBy(key, "w0", "span").agg(F.median("db_h").alias("med"), F.collect_list("db_h").alias("high"), F.stddev_pop("db").alias("flat"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    found = runs.select(F.col(key).alias("_k"), F.col("t0").alias("run"), F.floor(F.col("t0") / frame_ms).alias("f0"), F.floor(F.col("t1") / frame_ms).alias("f1"), span.alias("span"), starts.alias("starts"))
+    near_runs = found.select("_k", "run", "f0", "f1", F.explode(F.sequence(F.floor(F.col("f0") / near), F.floor(F.col("f1") / near))).alias("_n"))
+    met = frames.select(key, "frame_no", "db", "db_h").join(near_runs, (F.col(key) == F.col("_k")) & (F.floor(F.col("frame_no") / near) == F.col("_n")) & (F.col("frame_no") >= F.col("f0")) & (F.col("frame_no") < F.col("f1")))
+    cells = met.groupBy("_k", "run", F.floor((F.col("frame_no") - F.col("f0")) / size).alias("cell")).agg(F.collect_list(F.struct("frame_no", "db", "db_h")).alias("x"))
+    windows = found.select("_k", "run", "span", "f0", F.explode("starts").alias("w0")).withColumn("i0", F.floor(F.col("w0") / frame_ms)).withColumn("i1", F.floor((F.col("w0") + F.col("span")) / frame_ms)).withColumn("cell", F.floor((F.col("i0") - F.col("f0")) / size))
+    on = Window.partitionBy("_k", "run").orderBy("cell").rangeBetween(0, wide)
+    reads = windows.drop("f0").unionByName(cells, allowMissingColumns=True).withColumn("near", F.flatten(F.collect_list("x").over(on))).filter("w0 IS NOT NULL")
+    inside = reads.withColumn("near", F.filter("near", lambda f: (f["frame_no"] >= F.col("i0")) & (f["frame_no"] < F.col("i1")))).withColumn("n", F.size("near")).filter("n >= 5")
+    high = inside.withColumn("high", F.array_sort(F.col("near.db_h"))).withColumn("med", (F.get("high", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("high", F.floor(F.col("n") / 2).cast("int"))) / 2)
+    mean = high.withColumn("mean", F.aggregate("near", F.lit(0.0), lambda a, f: a + f["db"]) / F.col("n"))
+    flat = F.sqrt(F.aggregate("near", F.lit(0.0), lambda a, f: a + (f["db"] - F.col("mean")) * (f["db"] - F.col("mean"))) / F.col("n"))
     quiet = F.size(F.filter("high", lambda x: x < F.col("med") - dip)) / F.col("n")
-    return grouped.select(key, "w0", (F.col("w0") + F.col("span")).alias("w1"), F.round(quiet, 3).alias("quiet"), F.round("flat", 2).alias("flat"))
+    return mean.select(F.col("_k").alias(key), "w0", (F.col("w0") + F.col("span")).alias("w1"), F.round(quiet, 3).alias("quiet"), F.round(flat, 2).alias("flat"))
 
 
-def pick_windows(windows: DataFrame, want: int = 3, least: float = 0.08, guard_ms: int = 5000, key: str = "file") -> DataFrame:
-    """The quietest windows, greedily, none within ``guard_ms`` of one picked before."""
-    kind = "array<struct<w0:double,w1:double>>"
+def _pick_quiet(want: int, guard: int):
+    """Steps of ``pick_windows``: the state is the picks so far."""
+
+    def step(picked: list, x: dict):
+        if len(picked) < want and all(x["w1"] <= a - guard or x["w0"] >= b + guard for a, b in picked):
+            picked.append((x["w0"], x["w1"]))
+            yield x["w0"], x["w1"]
 
-    def step(acc, x):
-        clear = F.forall(acc, lambda p: (x["w1"] <= p["w0"] - guard_ms) | (x["w0"] >= p["w1"] + guard_ms))
-        return F.when((F.size(acc) < want) & clear, F.concat(acc, F.array(F.struct(x["w0"].alias("w0"), x["w1"].alias("w1"))))).otherwise(acc).cast(kind)
+    return step
 
-    ok = windows.filter(F.col("quiet") >= least).withColumn("loud", -F.col("quiet"))
-    return _fold(ok, [key], ["loud", "flat", "w0", "w1"], ["loud", "flat", "w0", "w1"], F.array().cast(kind), step, "picked").select(key, F.inline("picked"))
+
+def pick_windows(windows: DataFrame, want: int = 3, least: float = 0.08, guard_ms: int = 5000, key: str = "file") -> DataFrame:
+    """The quietest windows, greedily, none within ``guard_ms`` of one picked before. A carried scan, which holds the picks."""
+    ok = windows.filter(F.col("quiet") >= least).select(key, (-F.col("quiet")).alias("loud"), "flat", F.col("w0").cast("double").alias("w0"), F.col("w1").cast("double").alias("w1"))
+    return fold(ok, [key], ["loud", "flat", "w0", "w1"], f"{_kinds(ok, key)}, w0 double, w1 double", list, _pick_quiet(want, guard_ms))

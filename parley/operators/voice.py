@@ -1,7 +1,7 @@
 """Voice identification: routed cosine scores, gates, one-to-one assignment, calibration and error rates.
 
-The archive holds at most ``cap`` vectors of a person and language, so its size is bounded by people, not by recordings;
-scores are one join of speakers with it, aggregated at once.
+The archive holds at most ``cap`` vectors of a person and language, so its size is bounded by people, not by recordings.
+Scores come from products of blocks (``scores``), summed by group where they are made.
 """
 
 from __future__ import annotations
@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
-
-#: Blocks of the archive that all speakers, or all entries, are compared with.
-BLOCKS = 16
+from parley.operators import scores
+from parley.steps import cut
 
 
 def fifo_cap(archive: DataFrame, cap: int = 10) -> DataFrame:
@@ -21,21 +20,18 @@ def fifo_cap(archive: DataFrame, cap: int = 10) -> DataFrame:
     return archive.withColumn("place", place).filter(F.col("place") <= cap).drop("place")
 
 
-def _unit(df: DataFrame) -> DataFrame:
-    """Norms once for each vector, so that a pair costs one dot product."""
-    return df.filter(F.size("vec") > 0).withColumn("norm", s.norm(F.col("vec")))
+def _entries(archive: DataFrame) -> DataFrame:
+    return archive.filter("size(vec) > 0").select("person", "lang", "vec", "ref_path", "seq")
 
 
 def group_scores(speakers: DataFrame, archive: DataFrame) -> DataFrame:
-    """Mean cosine of each speaker (video_id, spk, lang, vec) with each person's entries of each language, and the best entry's reference."""
-    right = _unit(archive).select("person", F.col("lang").alias("group_lang"), F.col("vec").alias("v"), F.col("norm").alias("n"), "ref_path", "seq")
-    # every speaker against the whole archive, block by block: a block holds whole groups, so their means settle there
-    right = right.withColumn("block", F.pmod(F.xxhash64("person", "group_lang"), F.lit(BLOCKS)))
-    every = _unit(speakers).withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    pairs = every.join(right, F.col("asked") == F.col("block"))
-    cos = F.when(F.col("norm") * F.col("n") == 0, F.lit(0.0)).otherwise(s.dot(F.col("vec"), F.col("v")) / (F.col("norm") * F.col("n")))
-    scored = pairs.select("video_id", "spk", "lang", "person", "group_lang", "ref_path", "seq", cos.alias("cos"))
-    return scored.groupBy("video_id", "spk", "lang", "person", "group_lang").agg(F.avg("cos").alias("score"), F.max_by("ref_path", F.struct("cos", -F.col("seq"))).alias("top_ref"), F.count(F.lit(1)).alias("entries"))
+    """Mean cosine of each speaker (video_id, spk, lang, vec) with each person's entries of each language, and the best entry's reference (ties to the smaller seq)."""
+    asked = speakers.filter("size(vec) > 0").select("video_id", "spk", "lang", "vec")
+    key = {"video_id": "video_id", "spk": "spk", "lang": "lang"}
+    kinds = dict(asked.dtypes)
+    told = scores.blocked(asked, _entries(archive), lambda x, y: scores.group_sums(x, y, key), ", ".join(f"{k} {kinds[k]}" for k in key) + ", " + scores.SUMS, ("person", "lang"))
+    summed = told.groupBy("video_id", "spk", "lang", "person", "group_lang").agg(F.sum("total").alias("total"), F.sum("n").alias("entries"), F.max_by("top_ref", F.struct("best", -F.col("best_seq"))).alias("top_ref"))
+    return summed.select("video_id", "spk", "lang", "person", "group_lang", (F.col("total") / F.col("entries")).alias("score"), "top_ref", "entries")
 
 
 def route(scores: DataFrame, unknown: bool = False) -> DataFrame:
@@ -76,19 +72,21 @@ def identify(speakers: DataFrame, archive: DataFrame, tiers: DataFrame, host: st
     return df.select("video_id", "spk", "person", "score", "margin", verdict.alias("verdict"), F.coalesce("calibrated", F.lit(False)).alias("calibrated"), "top_ref", is_host.alias("host_candidate"))
 
 
-def entry_pairs(archive: DataFrame) -> DataFrame:
-    """Cosines of all ordered pairs of different archive entries: a's person and language, b's likewise."""
-    a = _unit(archive).select(F.col("seq").alias("a"), F.col("person").alias("pa"), F.col("lang").alias("la"), F.col("vec").alias("va"), F.col("norm").alias("na"))
-    b = _unit(archive).select(F.col("seq").alias("b"), F.col("person").alias("pb"), F.col("lang").alias("lb"), F.col("vec").alias("vb"), F.col("norm").alias("nb"))
-    cos = F.when(F.col("na") * F.col("nb") == 0, F.lit(0.0)).otherwise(s.dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))
-    b = b.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(BLOCKS)))
-    a = a.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    return a.join(b, (F.col("asked") == F.col("block")) & (F.col("a") != F.col("b"))).select("a", "b", "pa", "pb", "la", "lb", cos.alias("cos"))
+def _genuine(sums: DataFrame) -> DataFrame:
+    """Mean cosine of each entry (seq, own, la) with the others of its person, of all languages."""
+    return sums.filter("own = person").groupBy("seq", "own", "la").agg((F.sum("total") / F.sum("n")).alias("score"))
 
 
 def leave_one_out(archive: DataFrame) -> DataFrame:
-    """Mean cosine of each entry with the other entries of its person, of all languages."""
-    return entry_pairs(archive).filter("pa = pb").groupBy("a", "pa", "la").agg(F.avg("cos").alias("score")).select(F.col("a").alias("seq"), F.col("pa").alias("person"), F.col("la").alias("lang"), "score")
+    """Mean cosine of each entry with the other entries of its person, of all languages: vectors meet within their person only."""
+    mine = _entries(archive)
+    size = mine.groupBy(F.col("person").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # the sum of an entry's cosines with its person's is its cosine sum with their unit vectors' sum
+    unit = mine.withColumn("norm", s.norm(F.col("vec"))).withColumn("unit", F.when(F.col("norm") > 0, F.transform("vec", lambda x: x / F.col("norm"))).otherwise(F.transform("vec", lambda x: F.lit(0.0))))
+    total = unit.select("person", F.posexplode("unit").alias("d", "x")).groupBy("person", "d").agg(F.sum("x").alias("x")).groupBy(F.col("person").alias("_q")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("sum"))
+    met = unit.join(total, F.col("person") == F.col("_q")).join(size, F.col("person") == F.col("_p")).filter("_n > 1")
+    own = F.when(F.col("norm") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return met.select("seq", "person", "lang", ((s.dot(F.col("unit"), F.col("sum")) - own) / (F.col("_n") - 1)).alias("score"))
 
 
 def error_rate(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,27 +107,97 @@ def error_rate(scores: DataFrame, keys: list[str]) -> DataFrame:
     return cand.groupBy(*keys).agg(best.alias("eer"))
 
 
+def _brackets(bins: DataFrame, genuine: DataFrame, share: float) -> DataFrame:
+    """Bins of each language whose exact scores settle its quantiles and its equal error rate.
+
+    ``bins``: lang, bin, n (impostor scores), nc (those across languages); ``genuine``: lang, bin, g. Rows: lang, purpose (all
+    or cross: the quantile's lower and upper place; eer: where the false acceptances fall under the false rejections), bin, place
+    (number within the bin), and for eer what lies under the bin.
+    """
+    none = F.lit(0).cast("long")
+    both = bins.select("lang", "bin", "n", "nc", none.alias("g")).unionByName(genuine.select("lang", "bin", none.alias("n"), none.alias("nc"), "g")).groupBy("lang", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "nc", "g")])
+    order, whole = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("lang")
+    for c in ("n", "nc", "g"):
+        both = both.withColumn(f"{c}_under", F.coalesce(F.sum(c).over(order), F.lit(0))).withColumn(f"{c}_all", F.sum(c).over(whole))
+    rows = []
+    for purpose, c in (("all", "n"), ("cross", "nc")):
+        at = (F.col(f"{c}_all") - 1) * F.lit(share)
+        for name, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            inside = (F.col(f"{c}_under") <= place) & (place < F.col(f"{c}_under") + F.col(c))
+            rows.append((inside & (F.col(f"{c}_all") > 0), F.struct(F.lit(purpose).alias("purpose"), F.lit(name).alias("name"), (place - F.col(f"{c}_under")).cast("long").alias("place"), (at - F.floor(at)).alias("share"))))
+    gap = lambda g, i: g / F.col("g_all") - (F.col("n_all") - i) / F.col("n_all")
+    crossing = (F.col("g_all") > 0) & (F.col("n_all") > 0) & (gap(F.col("g_under"), F.col("n_under")) <= 0) & (gap(F.col("g_under") + F.col("g"), F.col("n_under") + F.col("n")) > 0)
+    rows.append((crossing, F.struct(F.lit("eer").alias("purpose"), F.lit("").alias("name"), F.lit(0).cast("long").alias("place"), F.lit(0.0).alias("share"))))
+    wanted = F.filter(F.array(*[F.when(c, x) for c, x in rows]), lambda x: x.isNotNull())
+    return both.select("lang", "bin", "g_under", "n_under", "g_all", "n_all", (F.col("g_under") + F.col("g") + F.col("n_under") + F.col("n") == F.col("g_all") + F.col("n_all")).alias("last"), F.inline(wanted))
+
+
+def _quantile(brackets: DataFrame, exact: DataFrame, purpose: str, name: str) -> DataFrame:
+    """The quantile of each language between the scores at its two places (_q, name)."""
+    rows = exact if purpose == "all" else exact.filter("cross")
+    counted = rows.groupBy("lang", "bin", "score").agg(F.sum("n").alias("n"))
+    under = F.coalesce(F.sum("n").over(Window.partitionBy("lang", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumn("under", under).select(F.col("lang").alias("_l"), F.col("bin").alias("_b"), "score", "under", "n")
+    met = brackets.filter(F.col("purpose") == purpose).join(placed, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("bin") == F.col("_b")) & (F.col("under") <= F.col("place")) & (F.col("place") < F.col("under") + F.col("n")))
+    at = lambda which: F.max(F.when(F.col("name") == which, F.col("score")))
+    return met.groupBy(F.col("lang").alias("_q")).agg(at("low").alias("low"), at("high").alias("high"), F.max("share").alias("share")).select("_q", (F.col("low") * (1 - F.col("share")) + F.col("high") * F.col("share")).alias(name))
+
+
+def _equal_error(brackets: DataFrame, exact: DataFrame, genuine: DataFrame) -> DataFrame:
+    """The equal error rate of each language (_e, eer) from the scores of the bin where the rates cross.
+
+    As scores pass, the rates' difference only grows, so the nearest to zero is the last at or under it or the first above; the
+    lower threshold wins a tie, and there is no threshold above the highest score.
+    """
+    at = brackets.filter("purpose = 'eer'").select(F.col("lang").alias("_l"), F.col("bin").alias("_b"), "g_under", "n_under", "g_all", "n_all", "last")
+    here = F.col("lang").eqNullSafe(F.col("_l")) & (F.col("bin") == F.col("_b"))
+    scored = exact.select("lang", "bin", "score", F.lit(0).cast("long").alias("g"), F.col("n").alias("i")).unionByName(genuine.select("lang", "bin", "score", F.lit(1).cast("long").alias("g"), F.lit(0).cast("long").alias("i")))
+    per = scored.join(at, here).groupBy("lang", "score", "g_under", "n_under", "g_all", "n_all", "last").agg(F.sum("g").alias("g"), F.sum("i").alias("i"))
+    upto, after = Window.partitionBy("lang").orderBy("score").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("lang").orderBy("score")
+    per = per.withColumn("g_upto", F.sum("g").over(upto) + F.col("g_under")).withColumn("i_upto", F.sum("i").over(upto) + F.col("n_under")).withColumn("_next", F.lead("score").over(after)).withColumn("_nth", F.row_number().over(after))
+    rate = lambda g, i, t: F.struct((g / F.col("g_all")).alias("frr"), ((F.col("n_all") - i) / F.col("n_all")).alias("far"), t.alias("t"))
+    before = F.when(F.col("_nth") == 1, rate(F.col("g_under"), F.col("n_under"), F.col("score")))
+    behind = F.when(F.col("_next").isNotNull() | ~F.col("last"), rate(F.col("g_upto"), F.col("i_upto"), (F.col("score") + F.coalesce("_next", F.lit(1.0))) / 2))
+    cand = per.select(F.col("lang").alias("_e"), F.inline(F.filter(F.array(before, behind), lambda x: x.isNotNull())))
+    return cand.groupBy("_e").agg(F.min_by((F.col("far") + F.col("frr")) / 2, F.struct(F.abs(F.col("far") - F.col("frr")).alias("d"), "t")).alias("eer"))
+
+
 def calibrate(archive: DataFrame) -> DataFrame:
     """Thresholds of each language of the archive, from genuine, margin and impostor scores.
 
     genuine: an entry's mean with its person's others; margin: that less the best routed score of any other person;
     impostor: pairs of different people, a pair of one language once, a pair of two languages for both (and as cross).
+    Impostor scores are as many as pairs of entries and are never kept: blocks give a histogram, in which the quantiles and
+    the crossing of the error rates are bracketed, and a second reading gives the scores of those bins alone. The bins
+    asked for come to the driver, six a language at most. Entries without a person take no part.
     """
-    pairs = entry_pairs(archive)
-    genuine = pairs.filter("pa = pb").groupBy("a", "la").agg(F.avg("cos").alias("score"))
-    other = pairs.filter("pa <> pb").groupBy("a", "la", "pb", "lb").agg(F.avg("cos").alias("score"))
-    own = Window.partitionBy("a", "pb").orderBy(F.col("la").eqNullSafe(F.col("lb")).desc(), F.desc("score"), "lb")
-    rival = other.withColumn("place", F.row_number().over(own)).filter("place = 1").groupBy(F.col("a").alias("_a")).agg(F.max("score").alias("rival"))
-    margins = genuine.join(rival, F.col("a") == F.col("_a")).select(F.col("la").alias("lang"), (F.col("score") - F.col("rival")).alias("margin"))
-    imp = pairs.filter("pa < pb").select(F.explode(F.when(F.col("la").eqNullSafe(F.col("lb")), F.array(F.struct(F.col("la").alias("lang"), F.lit(False).alias("cross")))).otherwise(F.array(F.struct(F.col("la").alias("lang"), F.lit(True).alias("cross")), F.struct(F.col("lb").alias("lang"), F.lit(True).alias("cross"))))).alias("x"), "cos").select("x.lang", "x.cross", "cos")
-    g = genuine.groupBy(F.col("la").alias("lang")).agg(F.count(F.lit(1)).alias("genuine_n"), F.expr("percentile(score, 0.05)").alias("genuine_p5"), F.expr("percentile(score, 0.25)").alias("genuine_p25"))
+    mine = cut(_entries(archive).filter("person IS NOT NULL"), "entries")
+    sides = mine, mine
+    paired = cut(scores.blocked(*sides, scores.sums_and_bins, scores.PAIRED, ("person", "lang")), "paired")
+    sums = paired.filter("kind = 'sum'")
+    genuine = _genuine(sums).select("seq", F.col("la").alias("lang"), "score", scores.bin_of(F.col("score")).alias("bin"))
+    other = sums.filter("own <> person").groupBy("seq", "la", "person", "group_lang").agg((F.sum("total") / F.sum("n")).alias("score"))
+    own = Window.partitionBy("seq", "person").orderBy(F.col("la").eqNullSafe(F.col("group_lang")).desc(), F.desc("score"), "group_lang")
+    rival = other.withColumn("place", F.row_number().over(own)).filter("place = 1").groupBy(F.col("seq").alias("_a")).agg(F.max("score").alias("rival"))
+    margins = genuine.join(rival, F.col("seq") == F.col("_a")).select("lang", (F.col("score") - F.col("rival")).alias("margin"))
+    side = lambda lang, cross: F.struct(lang.alias("lang"), F.lit(cross).alias("cross"))
+    of = F.when(F.col("la").eqNullSafe(F.col("lb")), F.array(side(F.col("la"), False))).otherwise(F.array(side(F.col("la"), True), side(F.col("lb"), True)))
+    imp = paired.filter("kind = 'bin'").select(F.inline(of), "bin", "n", "most")
+    bins = imp.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("cross"), F.col("n")).otherwise(0)).alias("nc"))
+    brackets = cut(_brackets(bins, genuine.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("g")), 0.99), "brackets")
+    wanted: dict[tuple, list[int]] = {}
+    for r in brackets.select("lang", "bin").distinct().collect():
+        for cross in (False, True):
+            wanted.setdefault((r["lang"], cross), []).append(r["bin"])
+    exact = cut(scores.blocked(*sides, scores.impostor_scores(wanted), "lang string, cross boolean, score double, n long", ("person", "lang")), "bracketed").withColumn("bin", scores.bin_of(F.col("score")))
+
+    g = genuine.groupBy(F.col("lang").alias("_g")).agg(F.count(F.lit(1)).alias("genuine_n"), F.expr("percentile(score, 0.05)").alias("genuine_p5"), F.expr("percentile(score, 0.25)").alias("genuine_p25"))
     m = margins.groupBy(F.col("lang").alias("_m")).agg(F.count(F.lit(1)).alias("margin_n"), F.expr("percentile(margin, 0.05)").alias("m5"))
-    i = imp.groupBy(F.col("lang").alias("_i")).agg(F.count(F.lit(1)).alias("impostor_n"), F.count_if("cross").alias("cross_impostor_n"), F.expr("percentile(cos, 0.99)").alias("p99"), F.max("cos").alias("most"), F.expr("percentile(CASE WHEN cross THEN cos END, 0.99)").alias("cross99"))
-    both = error_rate(genuine.select(F.col("la").alias("lang"), F.lit(True).alias("genuine"), "score").unionByName(imp.select("lang", F.lit(False).alias("genuine"), F.col("cos").alias("score"))), ["lang"]).withColumnRenamed("lang", "_e")
-    langs = archive.select("lang").distinct()
-    df = langs  # a null language has a tier of its own
-    for part, name in ((g.withColumnRenamed("lang", "_g"), "_g"), (m, "_m"), (i, "_i"), (both, "_e")):
-        df = df.join(part, F.col("lang").eqNullSafe(F.col(name)), "left")
+    i = imp.groupBy(F.col("lang").alias("_i")).agg(F.sum("n").alias("impostor_n"), F.sum(F.when(F.col("cross"), F.col("n")).otherwise(0)).alias("cross_impostor_n"), F.max("most").alias("most"))
+    df = archive.select("lang").distinct()  # a null language has a tier of its own
+    parts = ((g, "_g"), (m, "_m"), (i, "_i"), (_quantile(brackets, exact, "all", "p99"), "_q"), (_quantile(brackets, exact, "cross", "cross99"), "_q"), (_equal_error(brackets, exact, genuine), "_e"))
+    for part, name in parts:
+        df = df.join(part, F.col("lang").eqNullSafe(F.col(name)), "left").drop(name)
     thr = F.when(F.col("impostor_n") < 20, F.greatest("p99", F.col("most") + 0.02)).otherwise(F.col("p99"))
     df = df.withColumn("thr", thr).withColumn("margin_min", F.greatest(F.coalesce("m5", F.lit(0.03)), F.lit(0.03)))
     df = df.withColumn("thr_host", F.greatest(F.col("thr") + 0.05, "genuine_p25")).withColumn("thr_cross", F.when(F.col("cross_impostor_n") >= 10, F.col("cross99")).otherwise(F.col("thr") + 0.05))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.carried import fold
+from parley.operators.closure import merge_closure
+
 #: (state, event) -> next state; "*" is the state that failed.
 EDGES = {
     ("pending_download", "download_done"): "pending_analysis",
@@ -34,50 +37,51 @@ def next_state(state: Column, event: Column, verdict: Column, failed_from: Colum
     return F.when(~F.coalesce(gate, F.lit(False)), target)
 
 
+#: What a verdict opens.
+GATES = {"review_submit": "dub", "confirm_skip": "skip"}
+_FIELDS = "state string, failed_from string, busy boolean, has_preview boolean, stale boolean, review string, applied long, rejected long"
+
+
+class Record:
+    """An item's record as its events change it: side effects are the busy flag, the stale preview, the review and where it failed."""
+
+    def __init__(self):
+        self.state, self.failed_from, self.busy, self.has_preview, self.stale, self.review, self.applied, self.rejected = START, None, False, False, False, None, 0, 0
+
+    def take(self, event: str, verdict: str | None) -> bool:
+        """Whether the event had an edge; else nothing but the count of rejections changes."""
+        target = EDGES.get((self.state, event))
+        target = self.failed_from if target == "*" else target
+        if target is None or event in GATES and verdict is not None and verdict != GATES[event]:
+            self.rejected += 1
+            return False
+        self.failed_from = self.state if event == "fail" else None
+        self.state, self.busy = target, event in ("review_submit", "preview_pass", "rediarize")
+        if event == "preview_ready":
+            self.has_preview, self.stale = True, False
+        elif event in ("preview_reject", "rediarize") and self.has_preview:
+            self.stale = True
+        if event in GATES:
+            self.review = verdict
+        elif event == "rediarize":
+            self.review = None
+        self.applied += 1
+        return True
+
+    def row(self) -> tuple:
+        return self.state, self.failed_from, self.busy, self.has_preview, self.stale, self.review, self.applied, self.rejected
+
+
+def _take(record: Record, x: dict) -> tuple:
+    record.take(x["event"], x["verdict"])
+    return ()
+
+
 def replay(events: DataFrame) -> DataFrame:
-    """Final record of each item from its events (bvid, part, ord, event, verdict) in order; events without an edge change nothing.
-
-    A fold over one item's events: side effects are the busy flag, the stale preview, the review and where it failed.
-    """
-    kind = "struct<state:string,failed_from:string,busy:boolean,has_preview:boolean,stale:boolean,review:string,applied:bigint,rejected:bigint>"
-    start = F.struct(
-        F.lit(START).alias("state"), F.lit(None).cast("string").alias("failed_from"), F.lit(False).alias("busy"), F.lit(False).alias("has_preview"), F.lit(False).alias("stale"), F.lit(None).cast("string").alias("review"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("rejected")
-    ).cast(kind)
-
-    def step(acc, x):
-        e, to = x["event"], next_state(acc["state"], x["event"], x["verdict"], acc["failed_from"])
-        done = F.struct(
-            to.alias("state"),
-            F.when(e == "fail", acc["state"]).alias("failed_from"),
-            e.isin("review_submit", "preview_pass", "rediarize").alias("busy"),
-            (acc["has_preview"] | (e == "preview_ready")).alias("has_preview"),
-            F.when(e == "preview_ready", F.lit(False)).when(e.isin("preview_reject", "rediarize") & acc["has_preview"], F.lit(True)).otherwise(acc["stale"]).alias("stale"),
-            F.when(e.isin("review_submit", "confirm_skip"), x["verdict"]).when(e != "rediarize", acc["review"]).alias("review"),
-            (acc["applied"] + 1).alias("applied"),
-            acc["rejected"].alias("rejected"),
-        ).cast(kind)
-        return F.when(to.isNotNull(), done).otherwise(acc.withField("rejected", acc["rejected"] + 1).cast(kind))
-
-    packed = F.array_sort(F.collect_list(F.struct("ord", "event", "verdict")))
-    return events.groupBy("bvid", "part").agg(F.aggregate(packed, start, step).alias("r")).select("bvid", "part", "r.*")
-
-
-def merge_closure(merges: DataFrame, key: str = "decision") -> DataFrame:
-    """Final target of each merged id (key, id, target), by a recursive query; a ring ends where it would repeat, with ``ring`` true.
-
-    A chain has no more hops than its decision has merges, so the largest decision bounds the recursion, whatever its size.
-    """
-    spark = merges.sparkSession
-    depth = (merges.groupBy(key).count().agg(F.max("count")).first()[0] or 0) + 2
-    merges.select(F.col(key).alias("k"), "id", "target").createOrReplaceTempView("_merge_edges")
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk (k, id, target, path, ring) MAX RECURSION LEVEL {depth} AS (
-          SELECT k, id, target, array(id, target), id = target FROM _merge_edges
-          UNION ALL
-          SELECT w.k, w.id, e.target, array_append(w.path, e.target), array_contains(w.path, e.target)
-          FROM walk w JOIN _merge_edges e ON w.k = e.k AND w.target = e.id WHERE NOT w.ring)
-        SELECT k, id, max_by(target, size(path)) AS final, max(size(path)) - 1 AS hops, bool_or(ring) AS ring FROM walk GROUP BY k, id""")
-    return walked.withColumnRenamed("k", key)
+    """Final record of each item from its events (bvid, part, ord, event, verdict) in order; events without an edge change nothing. A carried scan, which holds the record."""
+    kinds = dict(events.dtypes)
+    rows = events.select("bvid", "part", "ord", "event", "verdict")
+    return fold(rows, ["bvid", "part"], ["ord", "event", "verdict"], f"bvid {kinds['bvid']}, part {kinds['part']}, {_FIELDS}", Record, _take, lambda r: [r.row()])
 
 
 def insert_absent(batch: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = ("bvid", "part"), order: str = "pos") -> DataFrame:

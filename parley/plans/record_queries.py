@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
@@ -32,37 +34,43 @@ def archive_entries(v):
 _REVIEWED = """
 rw AS (SELECT vec_id, s.*, vec_id AS ord, CASE WHEN vec_id % 2 = 1 AND vec_id % 120 >= 80 THEN vec_id - 80 WHEN vec_id % 2 = 1 AND vec_id % 120 >= 40 THEN vec_id - 40 ELSE vec_id END AS final,
        CASE WHEN vec_id % 7 = 1 THEN 'skip' ELSE 'clone' END AS voice, CASE WHEN vec_id % 35 = 0 THEN 'P3' WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN 'P99' ELSE truth END AS owner,
-       CASE WHEN vec_id % 17 = 0 THEN '' ELSE concat('s', CAST(vec_id AS VARCHAR)) END AS sample FROM (SELECT *, CAST(substr(spk, 5) AS BIGINT) AS vec_id FROM v_speakers) s),
+       CASE WHEN vec_id % 17 = 0 THEN '' WHEN vec_id % 3 = 0 THEN concat('t', CAST(vec_id // 100 AS VARCHAR)) ELSE concat('s', CAST(vec_id AS VARCHAR)) END AS sample FROM (SELECT *, CAST(substr(spk, 5) AS BIGINT) AS vec_id FROM v_speakers) s),
 fi AS (SELECT r.vec_id, r.video_id, r.spk, r.ord, r.vec, r.sample, t.owner AS person, t.voice AS owner_voice, coalesce(nullif(r.lang, ''), p.main_lang) AS lang, p.person AS known,
        EXISTS (SELECT 1 FROM v_speakers h WHERE CAST(substr(h.spk, 5) AS BIGINT) % 19 = 0 AND h.truth = t.owner AND concat('s', substr(h.spk, 5)) = r.sample) AS had
        FROM rw r JOIN rw t ON r.final = t.vec_id LEFT JOIN people p ON p.person = t.owner),
 wh AS (SELECT *, CASE WHEN person IS NULL OR owner_voice = 'skip' THEN 'no person' WHEN known IS NULL THEN 'unknown person' WHEN sample = '' THEN 'no sample' WHEN had THEN 'archived before' END AS why FROM fi),
-ak AS (SELECT *, row_number() OVER (PARTITION BY person, lang ORDER BY ord) AS n FROM wh WHERE why IS NULL),
-he AS (SELECT person, lang, list(vec ORDER BY seq) AS held FROM v_capped GROUP BY ALL),
-fo AS (SELECT a.person, a.lang, CAST(0 AS BIGINT) AS n, coalesce(h.held, []) AS held, true AS ok, CAST(NULL AS DOUBLE) AS score, NULL::VARCHAR AS spk, NULL::VARCHAR AS video_id FROM (SELECT DISTINCT person, lang FROM ak) a LEFT JOIN he h ON h.person = a.person AND h.lang IS NOT DISTINCT FROM a.lang
+ak AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ord) AS n FROM wh WHERE why IS NULL),
+he AS (SELECT person, list({'l': lang, 'v': vec} ORDER BY seq) AS held FROM v_capped GROUP BY ALL),
+fo AS (SELECT a.person, CAST(0 AS BIGINT) AS n, coalesce(h.held, []) AS held, []::VARCHAR[] AS samples, NULL::VARCHAR AS status, CAST(NULL AS DOUBLE) AS score, NULL::VARCHAR AS spk, NULL::VARCHAR AS video_id, NULL::VARCHAR AS lang, 0::BIGINT AS many FROM (SELECT DISTINCT person FROM ak) a LEFT JOIN he h ON h.person = a.person
   UNION ALL
-  SELECT person, lang, n, CASE WHEN ok THEN list_append(held, vec)[greatest(1, len(held) - 8):] ELSE held END, ok, score, spk, video_id FROM (
-    SELECT *, coalesce(len(held) < 2 OR p5 IS NULL OR score >= p5, true) AS ok FROM (
-      SELECT k.person, k.lang, k.n, f.held, k.vec, k.spk, k.video_id, t.genuine_p5 AS p5, list_avg(list_transform(f.held, lambda h: list_cosine_similarity(k.vec, h))) AS score
-      FROM fo f JOIN ak k ON k.person = f.person AND k.lang IS NOT DISTINCT FROM f.lang AND k.n = f.n + 1 LEFT JOIN tiers t ON t.lang = k.lang))),
+  SELECT person, n, held, CASE WHEN status = 'archived' THEN list_append(samples, sample) ELSE samples END, status, CASE WHEN status <> 'again' THEN score END, spk, video_id, lang, len(list_filter(held, lambda x: lang IS NULL OR x.l = lang)) FROM (
+    SELECT * REPLACE (CASE WHEN status <> 'archived' THEN held WHEN len(list_filter(held, lambda x: x.l IS NOT DISTINCT FROM lang)) < 10 THEN list_append(held, {'l': lang, 'v': vec})
+      ELSE list_append(list_concat(held[1:first - 1], held[first + 1:]), {'l': lang, 'v': vec}) END AS held) FROM (
+    SELECT *, CASE WHEN list_contains(samples, sample) THEN 'again' WHEN coalesce(score < p5, false) THEN 'blocked' ELSE 'archived' END AS status, list_position(list_transform(held, lambda x: x.l IS NOT DISTINCT FROM lang), true) AS first FROM (
+    SELECT *, CASE WHEN len(list_filter(held, lambda x: lang IS NULL OR x.l = lang)) > 1 THEN list_avg(list_transform(list_filter(held, lambda x: lang IS NULL OR x.l = lang), lambda x: list_cosine_similarity(vec, x.v))) END AS score FROM (
+      SELECT k.person, k.n, f.held, f.samples, k.sample, k.vec, k.spk, k.video_id, k.lang, t.genuine_p5 AS p5 FROM fo f JOIN ak k ON k.person = f.person AND k.n = f.n + 1 LEFT JOIN tiers t ON t.lang = k.lang))))),
 told AS (SELECT video_id, spk, person, lang, 'skipped' AS status, why, CAST(NULL AS DOUBLE) AS score, NULL::INT AS total_after FROM wh WHERE why IS NOT NULL
-  UNION ALL SELECT video_id, spk, person, lang, CASE WHEN ok THEN 'archived' ELSE 'blocked' END, CASE WHEN NOT ok THEN 'unlike its person' END, round(score, 6), CASE WHEN ok THEN CAST(len(held) AS INT) END FROM fo WHERE n > 0)"""
+  UNION ALL SELECT video_id, spk, person, lang, CASE WHEN status = 'again' THEN 'skipped' ELSE status END, CASE status WHEN 'again' THEN 'archived before' WHEN 'blocked' THEN 'unlike its person' END, round(score, 6), CASE WHEN status = 'archived' THEN CAST(many AS INT) END FROM fo WHERE n > 0)"""
 _LOOP = "WITH " + ",".join((_PAIRS, _CALIBRATED, _PEOPLE, _REVIEWED))
 
 
-def _told(v):
+def _reviewed(v):
     n = F.substring("spk", 5, 12).cast("long")
-    speakers = v.speakers.withColumn("ord", n).selectExpr(
+    return v.speakers.withColumn("ord", n).selectExpr(
         "*",
         "CASE WHEN ord % 2 = 1 AND ord % 120 >= 40 THEN concat('SPK_', cast(ord - 40 AS string)) END AS merge_into",
         "CASE WHEN ord % 7 = 1 THEN 'skip' ELSE 'clone' END AS voice",
         "CASE WHEN ord % 35 = 0 THEN 'P3' ELSE '' END AS host_person",
         "CASE WHEN ord % 11 = 0 THEN NULL WHEN ord % 13 = 0 THEN 'P99' ELSE truth END AS person",
-        "CASE WHEN ord % 17 = 0 THEN '' ELSE concat('s', cast(ord AS string)) END AS sample",
+        "CASE WHEN ord % 17 = 0 THEN '' WHEN ord % 3 = 0 THEN concat('t', cast(ord div 100 AS string)) ELSE concat('s', cast(ord AS string)) END AS sample",
     )
+
+
+def _told(v):
+    n = F.substring("spk", 5, 12).cast("long")
     refs = v.speakers.filter(n % 19 == 0).select(F.col("truth").alias("person"), F.concat(F.lit("s"), n.cast("string")).alias("audio"))
     capped = voice.fifo_cap(v.archive)
-    return archive.archive_loop(speakers, _people(v), capped, voice.calibrate(capped), refs)
+    return archive.archive_loop(_reviewed(v), _people(v), capped, voice.calibrate(capped), refs)
 
 
 @query(with_views("v_speakers v_capped", _LOOP + " SELECT * FROM told", recursive=True))
@@ -75,6 +83,33 @@ def archive_loop_summary(v):
     return archive.archive_summary(_told(v))
 
 
+_AFTER = """, nw AS (SELECT seq, person, lang, vec, ref_path FROM v_capped UNION ALL
+  SELECT (SELECT max(seq) FROM v_capped) + 1 + r.ord - (SELECT min(ord) FROM rw), t.person, t.lang, r.vec, r.sample FROM told t JOIN rw r ON r.video_id = t.video_id AND r.spk = t.spk WHERE t.status = 'archived'),
+v_now AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY person, lang ORDER BY seq DESC) <= 10)"""
+
+
+def _after(v):
+    return archive.archive_after(_told(v), _reviewed(v), voice.fifo_cap(v.archive))
+
+
+@query(with_views("v_speakers v_capped", _LOOP + _AFTER + " SELECT seq, person, lang, ref_path FROM v_now", recursive=True))
+def archive_after(v):
+    """The archive as a review leaves it: old entries and archived samples, the latest of each group."""
+    return _after(v).select("seq", "person", "lang", "ref_path")
+
+
+_TIERS = ("thr", "margin_min", "thr_host", "thr_cross", "genuine_p5", "genuine_p25", "eer")
+_TWICE = ",".join((_PAIRS, _CALIBRATED)).replace("v_capped", "v_now")
+for _n in ("pr", "ge", "ot", "rv", "ma", "im", "g1", "m1", "i1", "al", "di", "cu", "ca", "e1", "ti", "tiers"):
+    _TWICE = re.sub(rf"\b{_n}\b(?= AS \()|(?<=FROM ){_n}\b|(?<=JOIN ){_n}\b", f"{_n}_now", _TWICE)
+
+
+@query(with_views("v_speakers v_capped", _LOOP + _AFTER + "," + re.sub(r"\b(ge|rv|ma|g1|m1|i1|e1)\.(?=\w)", r"\1_now.", _TWICE) + " SELECT lang, genuine_n, impostor_n, cross_impostor_n, margin_n, calibrated, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TIERS) + " FROM tiers_now WHERE lang IS NOT NULL", recursive=True))
+def recalibrate(v):
+    """The thresholds of each language after a review."""
+    return voice.calibrate(_after(v)).filter("lang IS NOT NULL").withColumns({c: F.round(c, 6) for c in _TIERS})
+
+
 _RESULTS = """results AS (SELECT video_id, max(t1) AS written_at, count(*) % 7 <> 0 AS available, count(*) % 5 <> 0 AS has_vectors, list_sort(list(DISTINCT spk) FILTER (seg_ord % 9 <> 1)) AS have FROM v_segs GROUP BY ALL HAVING count(*) % 11 <> 0)"""
 
 
@@ -270,6 +305,27 @@ def rendered_track(v):
     return sequences.render_track(v.manifest)
 
 
+_QUIET = "CASE WHEN i < event_id % 40 THEN 3 WHEN i >= n - event_id % 30 THEN -5 ELSE 400 + (event_id + i) % 9 END"
+_HEARD = f"""
+sa AS (SELECT *, list_transform(generate_series(0, n - 1), lambda i: {_QUIET}) AS samples FROM (SELECT *, wav_dur // 10 AS n FROM v_manifest)),
+lo AS (SELECT *, list_filter(generate_series(1, len(samples)), lambda i: abs(samples[i]) >= 300) AS loud FROM sa),
+v_heard AS (SELECT * REPLACE (CASE WHEN len(samples) > 0 THEN (CASE WHEN len(loud) > 0 AND loud[-1] - loud[1] + 1 >= 80 THEN loud[-1] - loud[1] + 1 ELSE len(samples) END) * 10 END AS wav_dur) FROM lo)"""
+
+
+@query(
+    with_views(
+        "v_manifest",
+        "WITH " + _HEARD + ", " + _PLAN.replace("v_manifest", "v_heard") + """, h AS (SELECT m.video_id, m.idx, m.t0, p.tempo, p.mode, CAST(CASE WHEN p.tempo > 1.001 THEN floor(m.wav_dur / p.tempo + 0.5) ELSE m.wav_dur END AS BIGINT) AS heard FROM v_heard m JOIN plan p ON p.video_id = m.video_id AND p.idx = m.idx),
+        d AS (SELECT *, sum(heard + 50) OVER (PARTITION BY video_id ORDER BY idx) AS d FROM h), e AS (SELECT *, d + greatest(0, max(t0 + heard - d) OVER (PARTITION BY video_id ORDER BY idx)) AS end_t FROM d)
+        SELECT video_id, idx, tempo, mode, heard, CAST(end_t - heard AS BIGINT) AS place_t, CAST(end_t AS BIGINT) AS end_t FROM e""",
+    )
+)
+def trimmed_track(v):
+    """The track of lines whose audio is cut to what is loud before it is planned and placed; a hundred samples a second."""
+    samples = F.expr(f"transform(CASE WHEN n > 0 THEN sequence(0L, n - 1) ELSE cast(array() AS array<bigint>) END, i -> {_QUIET})")
+    return sequences.render_track(sequences.trimmed(v.manifest.withColumn("n", F.expr("wav_dur div 10")).withColumn("samples", samples), 100, 300, 80))
+
+
 @query(
     """WITH s AS (SELECT user_id, list(CAST(round(value * 10) AS INT) - 400 ORDER BY ts, event_id) AS x FROM events GROUP BY ALL),
     p AS (SELECT *, list_filter(generate_series(1, len(x)), lambda i: abs(x[i]) >= 300) AS loud FROM s)

@@ -137,9 +137,10 @@ def merge_units(v):
 _PLAN = """
 p AS (SELECT *, t1 - t0 AS win, least(CAST(greatest(0, CASE WHEN coalesce(nx, 0) = 0 THEN 1000000000000 ELSE nx - 50 - t1 END) AS DOUBLE), (t1 - t0) * 0.5) AS lent
       FROM (SELECT *, lead(t0) OVER (PARTITION BY video_id ORDER BY idx) AS nx FROM v_manifest) WHERE wav_dur IS NOT NULL),
-plan AS (SELECT video_id, idx, CASE WHEN wav_dur <= win THEN CAST(t1 AS DOUBLE) WHEN wav_dur <= win + lent OR wav_dur / (win + lent) <= 1.15 THEN t1 + lent ELSE CAST(t1 AS DOUBLE) END AS win_end,
-      CASE WHEN wav_dur <= win + lent THEN 1.0::DOUBLE WHEN wav_dur / (win + lent) <= 1.15 THEN wav_dur / (win + lent) ELSE least(2.0::DOUBLE, wav_dur / win) END AS tempo,
-      CASE WHEN wav_dur <= win THEN 'fit' WHEN wav_dur <= win + lent THEN 'borrow' WHEN wav_dur / (win + lent) > 1.15 THEN 'atempo_over' ELSE 'atempo' END AS mode FROM p)"""
+pl AS (SELECT video_id, idx, CASE WHEN wav_dur <= win THEN CAST(t1 AS DOUBLE) WHEN wav_dur <= win + lent OR wav_dur / (win + lent) <= 1.15 THEN t1 + lent ELSE CAST(t1 AS DOUBLE) END AS win_end,
+      round(CASE WHEN wav_dur <= win + lent THEN 1.0::DOUBLE WHEN wav_dur / (win + lent) <= 1.15 THEN wav_dur / (win + lent) ELSE least(2.0::DOUBLE, wav_dur / win) END, 4) AS tempo,
+      CASE WHEN wav_dur <= win THEN 'fit' WHEN wav_dur <= win + lent THEN 'borrow' ELSE 'atempo' END AS mode FROM p),
+plan AS (SELECT *, mode = 'atempo' AND tempo > 1.15 AS over FROM pl)"""
 
 
 @query(with_views("v_manifest", "WITH " + _PLAN + " SELECT * FROM plan"))
@@ -147,9 +148,9 @@ def dub_plan(v):
     return sequences.dub_plan(v.manifest)
 
 
-@query(with_views("v_manifest", "WITH " + _PLAN + " SELECT mode, count(*) AS n FROM plan GROUP BY ALL"))
+@query(with_views("v_manifest", "WITH " + _PLAN + " SELECT m.mode, (SELECT count(*) FROM plan WHERE plan.mode = m.mode OR (over AND m.mode = 'atempo_over')) AS n FROM (VALUES ('fit'), ('borrow'), ('atempo'), ('atempo_over')) m(mode)"))
 def mix_mode_counts(v):
-    return sequences.dub_plan(v.manifest).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    return sequences.mode_counts(sequences.dub_plan(v.manifest))
 
 
 @query(

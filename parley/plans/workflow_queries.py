@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as s
-from parley.operators import workflow
+from parley.operators import closure, workflow
 from parley.plans.registry import query
 from parley.sources.views import with_views
 
@@ -83,7 +83,21 @@ cl AS (SELECT decision, id, arg_max(target, len(path)) AS final, max(len(path))
 @query(with_views("v_decisions", "WITH " + _CLOSURE.replace("WHERE merge_into IS NOT NULL AND id <> '' AND target <> id GROUP BY ALL", "WHERE merge_into IS NOT NULL AND id <> '' AND merge_into <> id GROUP BY ALL") + " SELECT * FROM cl", recursive=True))
 def merge_closure(v):
     edges = v.decisions.filter("merge_into IS NOT NULL AND id <> '' AND merge_into <> id").select("decision", "id", F.col("merge_into").alias("target")).distinct()
-    return workflow.merge_closure(edges)
+    return closure.merge_closure(edges)
+
+
+@query(
+    with_views(
+        "v_chains",
+        """WITH wk AS (SELECT decision, id, target, [id, target] AS path, id = target AS ring FROM v_chains
+          UNION ALL SELECT w.decision, w.id, e.target, list_append(w.path, e.target), list_contains(w.path, e.target) FROM wk w JOIN v_chains e ON w.decision = e.decision AND w.target = e.id WHERE NOT w.ring)
+        SELECT decision, id, arg_max(target, len(path)) AS final, max(len(path)) - 1 AS hops, bool_or(ring) AS ring FROM wk GROUP BY ALL""",
+        recursive=True,
+    )
+)
+def merge_rings(v):
+    """Chains of up to some dozens of hops, and rings with what runs into them."""
+    return closure.merge_closure(v.chains)
 
 
 @query(

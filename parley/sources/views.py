@@ -135,6 +135,15 @@ class Views:
             "CASE WHEN (c_custkey div 6) % 19 = 0 THEN 'skip' ELSE 'dub' END AS verdict",
         )
 
+    @property
+    def chains(self) -> DataFrame:
+        """Merges of 50 ids to a decision: to the id before, but for every seventh decision some fields on, where rings form. Every ninth id is merged into nothing, but for some decisions."""
+        return self.table("customer").selectExpr(
+            "c_custkey div 50 AS decision",
+            "c_custkey % 50 AS id",
+            "CASE WHEN (c_custkey div 50) % 7 = 0 THEN (c_custkey % 50 * 3 + 1) % 50 WHEN (c_custkey div 50) % 5 = 0 THEN (c_custkey % 50 + 49) % 50 ELSE greatest(c_custkey % 50 - 1 - c_nationkey % 3, 0) END AS target",
+        ).filter("(decision % 5 = 0 OR id % 9 <> 0) AND NOT (decision % 5 <> 0 AND decision % 7 <> 0 AND id = target)")
+
 
 _SQL_VOICE = "list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * {} + CASE WHEN i = label + 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS vec"
 _VIEWS = {
@@ -163,6 +172,9 @@ _VIEWS = {
         CASE WHEN vec_id % 3 = 0 THEN '' ELSE concat('t', CAST(vec_id AS VARCHAR), '.txt') END AS transcript,
         CASE WHEN vec_id % 4 = 0 THEN 'voiceid' WHEN vec_id % 4 = 1 THEN 'clone' WHEN vec_id % 4 = 2 THEN '' END AS use,
         CASE WHEN vec_id % 2 = 0 THEN 'episode' ELSE 'web' END AS kind, concat('P', CAST(vec_id % 3 AS VARCHAR)) AS part FROM embeddings""",
+    "v_chains": """SELECT * FROM (SELECT c_custkey // 50 AS decision, c_custkey % 50 AS id,
+        CASE WHEN c_custkey // 50 % 7 = 0 THEN (c_custkey % 50 * 3 + 1) % 50 WHEN c_custkey // 50 % 5 = 0 THEN (c_custkey % 50 + 49) % 50 ELSE greatest(c_custkey % 50 - 1 - c_nationkey % 3, 0) END AS target FROM customer)
+        WHERE (decision % 5 = 0 OR id % 9 <> 0) AND NOT (decision % 5 <> 0 AND decision % 7 <> 0 AND id = target)""",
     "v_decisions": """SELECT c_custkey // 6 AS decision, CAST(c_custkey % 6 AS INT) AS pos,
         CASE WHEN c_custkey % 41 = 0 THEN '' WHEN c_custkey % 47 = 0 THEN 's0' ELSE concat('s', CAST(c_custkey % 6 AS VARCHAR)) END AS id,
         CASE WHEN c_custkey % 13 = 0 THEN concat('s', CAST(c_nationkey % 7 AS VARCHAR)) END AS merge_into,
