@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def levels(samples: np.ndarray, rate: int, frame_ms: int = 100, low: int = 4000, high: int = 8000) -> tuple[np.ndarray, np.ndarray]:
@@ -17,13 +18,18 @@ def levels(samples: np.ndarray, rate: int, frame_ms: int = 100, low: int = 4000,
     return decibels((x**2).mean(axis=1), 1e-12), decibels(spectrum[:, (at >= low) & (at <= high)].mean(axis=1), 1e-18)
 
 
-def frame_levels(files: DataFrame, frame_ms: int = 100) -> DataFrame:
-    """(file, frame_no, db, db_h) of recordings (file, rate, samples); a file's frames come from one row, files in batches."""
+def frame_levels(files: DataFrame, frame_ms: int = 100, piece_s: int = 600) -> DataFrame:
+    """(file, frame_no, db, db_h) of recordings (file, rate, samples) or of their pieces (piece, too); pieces but the last are ``piece_s`` seconds long.
+
+    Frames of a piece are numbered on from those before it, so pieces must hold whole frames: ``read_wav``'s do. Rows without samples give none.
+    """
 
     def run(frames):
         for df in frames:
-            for file, rate, samples in zip(df["file"], df["rate"], df["samples"], strict=True):
+            for file, rate, first, samples in zip(df["file"], df["rate"], df["first"], df["samples"], strict=True):
                 db, db_h = levels(samples, int(rate), frame_ms)
-                yield pd.DataFrame({"file": file, "frame_no": np.arange(len(db)), "db": db.astype(float), "db_h": db_h.astype(float)})
+                yield pd.DataFrame({"file": file, "frame_no": first + np.arange(len(db)), "db": db.astype(float), "db_h": db_h.astype(float)})
 
-    return files.select("file", "rate", "samples").mapInPandas(run, "file string, frame_no long, db double, db_h double")
+    frames = lambda seconds: F.floor(F.col("rate") * seconds / F.floor(F.col("rate") * frame_ms / 1000))
+    first = (F.col("piece") * frames(piece_s)).cast("long") if "piece" in files.columns else F.lit(0).cast("long")
+    return files.filter("samples IS NOT NULL").select("file", "rate", first.alias("first"), "samples").mapInPandas(run, "file string, frame_no long, db double, db_h double")

@@ -189,12 +189,38 @@ def title_contains(title: Column, query: str) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    found: dict[tuple[str, str], float] = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in found:
+            found[pair] = 0.0 if pair[0] is None else SequenceMatcher(None, *pair).ratio()
+    return pd.Series([found[p] for p in zip(a, b, strict=True)])
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Ratio of matched blocks, white space aside; empty: 0, equal: 1. The UDF sees every pair of a batch, equal ones cost nothing there."""
+def most_similar(x: Column, y: Column) -> Column:
+    """A bound that the similarity of two texts never passes: letters that both have, each as often as the one that has fewer, twice, over all letters."""
+    n, m = F.char_length(x), F.char_length(y)
+    letters = F.array_distinct(F.split(x, ""))
+    count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(letters, F.lit(0), lambda total, c: total + F.when(c == "", 0).otherwise(F.least(count(x, c), count(y, c))))
+    return F.when(n + m == 0, F.lit(0.0)).otherwise(2.0 * shared / (n + m))
+
+
+def _open_pair(x: Column, y: Column, threshold: float | None) -> Column:
+    """Whether a pair of texts has to be matched: neither is empty, they differ, and the bounds by length and by letters let it reach the threshold."""
+    differ = (x != "") & (y != "") & (x != y)
+    if threshold is None:
+        return differ
+    n, m = F.char_length(x), F.char_length(y)
+    # CASE tries the cheap bound first
+    return F.when(~differ, F.lit(False)).when(2.0 * F.least(n, m) / (n + m) < threshold, F.lit(False)).otherwise(most_similar(x, y) >= threshold)
+
+
+def similarity(a: Column, b: Column, threshold: float | None = None) -> Column:
+    """Ratio of matched blocks, white space aside; empty: 0, equal: 1. With a ``threshold`` pairs that cannot reach it are 0 as well.
+
+    Only pairs that are left are matched in Python: others reach it as nulls, and a batch matches equal pairs once.
+    """
     x, y = squeeze(F.coalesce(a, F.lit(""))), squeeze(F.coalesce(b, F.lit("")))
-    easy = (x == "") | (y == "") | (x == y)
-    matched = _matched(F.when(easy, F.lit("")).otherwise(x), F.when(easy, F.lit("")).otherwise(y))
-    return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).otherwise(matched)
+    left = _open_pair(x, y, threshold)
+    matched = _matched(F.when(left, x), F.when(left, y))
+    return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when(left, matched).otherwise(F.lit(0.0))

@@ -48,19 +48,23 @@ def bucketed_overlap(lines: DataFrame, segs: DataFrame, width: int = WIDTH, key:
 def attribute(lines: DataFrame, segs: DataFrame, key: str = "video_id", merged: bool = False, gap: int = 300) -> DataFrame:
     """Speaker of each line (key, idx, t0, t1): most overlap, ties to the speaker seen first; runner-up likewise.
 
-    Every speaker of the video competes, with overlap 0 if need be, so a line in a gap goes to the first-seen speaker with
+    Every speaker of the video competes, with overlap 0 if need be (of those only the first two seen can place), so a line in a gap goes to the first-seen speaker with
     conf 0; without any segment it is SPK_00. conf = overlap / duration, unrounded; review: conf < 0.6.
     """
     joined = segs if merged else merge_segments(segs, gap, key)
     seen = joined.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("t0", "t1", "seg_ord"))).groupBy(F.col(key).alias("_v"), F.col("spk").alias("_s")).agg(F.min("place").alias("seen"))
-    shared = bucketed_overlap(lines, joined, key=key).groupBy(F.col(key).alias("_k"), F.col("idx").alias("_i"), F.col("spk").alias("_p")).agg(F.sum("ov").alias("ov"))
-    every = lines.join(seen, F.col(key) == F.col("_v"), "left").join(shared, (F.col(key) == F.col("_k")) & (F.col("idx") == F.col("_i")) & (F.col("_s") == F.col("_p")), "left")
-    # the two best of each line by one aggregation: most overlap first, then first seen
-    offer = F.struct((-F.coalesce("ov", F.lit(0))).alias("less"), F.col("seen"), F.col("_s").alias("spk"))
-    best = every.groupBy(key, "idx", "t0", "t1").agg(F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), offer))).alias("offers"))
+    line = [key, "idx", "t0", "t1"]
+    # who shares nothing with a line can only be one of the first two seen
+    early = seen.withColumn("nth", F.row_number().over(Window.partitionBy("_v").orderBy("seen"))).filter("nth <= 2")
+    idle = lines.select(*line).join(early, F.col(key) == F.col("_v"), "left").select(*line, F.when(F.col("_s").isNotNull(), F.struct(F.lit(0).cast("long").alias("less"), "seen", F.col("_s").alias("spk"))).alias("offer"))
+    shared = bucketed_overlap(lines.select(*line), joined, key=key).groupBy(*line, "spk").agg((-F.sum("ov")).cast("long").alias("less"))
+    heard = shared.join(seen, (F.col(key) == F.col("_v")) & (F.col("spk") == F.col("_s"))).select(*line, F.struct("less", "seen", "spk").alias("offer"))
+    # most overlap first, then first seen; a speaker's idle offer comes after its own
+    best = idle.unionByName(heard).groupBy(*line).agg(F.array_sort(F.collect_list("offer")).alias("offers"))
     length = F.greatest(F.col("t1") - F.col("t0"), F.lit(1)).cast("double")
-    first, second = F.get("offers", F.lit(0)), F.get("offers", F.lit(1))
-    out = best.select(key, "idx", "t0", "t1", F.coalesce(first["spk"], F.lit("SPK_00")).alias("spk"), F.coalesce(-first["less"] / length, F.lit(0.0)).alias("conf"), second["spk"].alias("runner"), (-second["less"] / length).alias("runner_conf"))
+    first = F.get("offers", F.lit(0))
+    second = F.get(F.filter("offers", lambda x: x["spk"] != first["spk"]), F.lit(0))
+    out = best.select(*line, F.coalesce(first["spk"], F.lit("SPK_00")).alias("spk"), F.coalesce(-first["less"] / length, F.lit(0.0)).alias("conf"), second["spk"].alias("runner"), (-second["less"] / length).alias("runner_conf"))
     return out.withColumn("review", F.col("conf") < 0.6)
 
 

@@ -99,3 +99,36 @@ def reconcile(copies: dict[str, DataFrame], keys: tuple[str, ...], fields: tuple
     lacking = F.array_join(F.array_except(F.array(*map(F.lit, names)), "has"), ",")
     wrong = F.array_join(F.array_compact(F.array(*[F.col(f"_{f}") for f in sorted(fields)])), ",")
     return met.select(*keys, lacking.alias("lacking"), wrong.alias("differs")).filter("lacking <> '' OR differs <> ''")
+
+
+def part_documents(ledger: DataFrame, cards: DataFrame) -> DataFrame:
+    """One document of each part (bvid, part, doc): its record's fields and, in order, its speakers' cards.
+
+    ``ledger``: (bvid, part, title, …); all other columns are fields of the document. ``cards``: (bvid, part, spk, …). A part
+    without cards has an empty list.
+    """
+    fields = [c for c in ledger.columns if c != "bvid"]
+    card = F.struct("spk", *[c for c in cards.columns if c not in ("bvid", "part", "spk")])
+    own = cards.groupBy(F.col("bvid").alias("_b"), F.col("part").alias("_p")).agg(F.array_sort(F.collect_list(card)).alias("speakers"))
+    met = ledger.join(own, (F.col("bvid") == F.col("_b")) & (F.col("part") == F.col("_p")), "left")
+    none = F.array().cast(own.schema["speakers"].dataType)
+    return met.select("bvid", "part", F.struct(*fields, F.coalesce("speakers", none).alias("speakers")).alias("doc"))
+
+
+def episode_documents(ledger: DataFrame, cards: DataFrame) -> DataFrame:
+    """One document of each item (bvid, title, parts): parts in order, the title the first that is not empty, else the id. Built bottom up: cards, parts, items."""
+    parts = part_documents(ledger, cards)
+    titled = F.min(F.when(F.coalesce(F.col("doc.title"), F.lit("")) != "", F.struct("part", F.col("doc.title").alias("t"))))
+    found = parts.groupBy("bvid").agg(titled.alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("part", "doc"))), lambda x: x["doc"]).alias("parts"))
+    return found.select("bvid", F.coalesce("first.t", F.col("bvid").cast("string")).alias("title"), "parts")
+
+
+def archive_documents(entries: DataFrame) -> DataFrame:
+    """One document of each person (person, groups, total, invalid_total): entries (person, lang, seq, ref_path, valid) by language in order, none last.
+
+    A group counts its valid entries and, apart, the invalid ones; only valid ones have an ``audio`` address. Vectors stay inside.
+    """
+    row = F.struct("seq", "ref_path", "valid", F.when(F.col("valid"), F.col("ref_path")).alias("audio"))
+    groups = entries.groupBy("person", "lang").agg(F.count_if("valid").alias("count"), F.count_if(~F.col("valid")).alias("invalid"), F.array_sort(F.collect_list(row)).alias("entries"))
+    placed = F.struct(F.col("lang").isNull().alias("none"), F.coalesce("lang", F.lit("")).alias("name"), F.struct("lang", "count", "invalid", "entries").alias("g"))
+    return groups.groupBy("person").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["g"]).alias("groups"), F.sum("count").alias("total"), F.sum("invalid").alias("invalid_total"))

@@ -52,8 +52,11 @@ def blocked(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table
     Both are written once, as they are counted first. Rows of a group ``right_by`` share a block as long as a block holds them; larger groups are parted. Blocks hold about
     ``BLOCK`` rows each, so tasks grow with both sides.
     """
-    left, right = (x if hasattr(x, "_parley_path") else cut(x, "side") for x in (left, right))
-    n, m = left.count(), right.count()
+    same = left is right
+    left = left if hasattr(left, "_parley_path") else cut(left, "side")
+    right = left if same else right if hasattr(right, "_parley_path") else cut(right, "side")
+    n = left.count()
+    m = n if same else right.count()
     rows, columns = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
     if right_by:
         size = right.groupBy(*[F.col(c).alias(f"_{c}") for c in right_by]).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))

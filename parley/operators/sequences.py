@@ -18,7 +18,7 @@ def ocr_lines(hits: DataFrame, threshold: float = 0.75, exact: bool = False, key
     order = Window.partitionBy(key).orderBy("ts", "pos")
     marked = hits.withColumn("prev", F.lag("text").over(order)).withColumn("first", F.row_number().over(order) == 1)
     a, b = s.squeeze(F.coalesce("prev", F.lit(""))), s.squeeze(F.col("text"))
-    like = (a == b) & (a != "") if exact else s.similarity(F.col("prev"), F.col("text")) >= threshold
+    like = (a == b) & (a != "") if exact else s.similarity(F.col("prev"), F.col("text"), threshold) >= threshold
     groups = marked.withColumn("new", F.when(F.col("first") | ~like, 1).otherwise(0)).withColumn("line", F.sum("new").over(order))
     longest = F.max_by("text", F.struct(F.length("text"), -F.col("pos")))
     return groups.groupBy(key, "line").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), longest.alias("text"), F.count(F.lit(1)).alias("hits"))

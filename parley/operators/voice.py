@@ -184,11 +184,12 @@ def calibrate(archive: DataFrame) -> DataFrame:
     of = F.when(F.col("la").eqNullSafe(F.col("lb")), F.array(side(F.col("la"), False))).otherwise(F.array(side(F.col("la"), True), side(F.col("lb"), True)))
     imp = paired.filter("kind = 'bin'").select(F.inline(of), "bin", "n", "most")
     bins = imp.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("cross"), F.col("n")).otherwise(0)).alias("nc"))
-    brackets = cut(_brackets(bins, genuine.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("g")), 0.99), "brackets")
+    brackets = _brackets(bins, genuine.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("g")), 0.99)
+    rows = brackets.collect()
+    brackets = archive.sparkSession.createDataFrame(rows, brackets.schema)
     wanted: dict[tuple, list[int]] = {}
-    for r in brackets.select("lang", "bin").distinct().collect():
-        for cross in (False, True):
-            wanted.setdefault((r["lang"], cross), []).append(r["bin"])
+    for lang, bins_of in {r["lang"]: sorted({x["bin"] for x in rows if x["lang"] == r["lang"]}) for r in rows}.items():
+        wanted[lang, False] = wanted[lang, True] = bins_of
     exact = cut(scores.blocked(*sides, scores.impostor_scores(wanted), "lang string, cross boolean, score double, n long", ("person", "lang")), "bracketed").withColumn("bin", scores.bin_of(F.col("score")))
 
     g = genuine.groupBy(F.col("lang").alias("_g")).agg(F.count(F.lit(1)).alias("genuine_n"), F.expr("percentile(score, 0.05)").alias("genuine_p5"), F.expr("percentile(score, 0.25)").alias("genuine_p25"))

@@ -348,3 +348,40 @@ def insert_absent(v):
     """Two of each catalogue item come in; those the ledger does not hold stay, the first of each."""
     batch = v.catalog.select("bvid", "title", F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"))
     return workflow.insert_absent(batch.withColumn("title", F.when(F.col("pos") == 1, F.col("title")).otherwise("late")), v.catalog.filter("bvid % 3 <> 0"), keys=("bvid",)).select("bvid", "title")
+
+
+@query(
+    with_views(
+        "v_ledger",
+        """WITH l AS (SELECT bvid, part, status, busy, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 < 3 THEN concat(title, '-', CAST(part AS VARCHAR)) END AS title, o_orderkey FROM v_ledger),
+        c AS (SELECT l_orderkey, list({'spk': concat('SPK_0', CAST(l_linenumber AS VARCHAR)), 'talk': CAST(l_quantity AS BIGINT)} ORDER BY l_linenumber, l_quantity) AS speakers FROM lineitem WHERE l_quantity > 10 GROUP BY ALL),
+        p AS (SELECT bvid, part, title, {'part': part, 'status': status, 'busy': busy, 'title': title, 'speakers': coalesce(speakers, [])} AS doc FROM l LEFT JOIN c ON l_orderkey = o_orderkey)
+        SELECT bvid, coalesce(arg_min(title, part) FILTER (title <> ''), CAST(bvid AS VARCHAR)) AS title, CAST(to_json(list(doc ORDER BY part)) AS VARCHAR) AS parts FROM p GROUP BY bvid""",
+    )
+)
+def episode_documents(v):
+    """Every item as one nested document of its parts and their speakers."""
+    ledger = v.ledger.selectExpr("bvid", "part", "status", "busy", "CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 < 3 THEN concat(title, '-', cast(part AS string)) END AS title", "o_orderkey")
+    lines = v.table("lineitem").filter("l_quantity > 10").selectExpr("l_orderkey", "concat('SPK_0', cast(l_linenumber AS string)) AS spk", "cast(l_quantity AS bigint) AS talk")
+    cards = lines.join(ledger.select("bvid", "part", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select("bvid", "part", "spk", "talk")
+    return records.episode_documents(ledger.drop("o_orderkey"), cards).withColumn("parts", F.to_json("parts", {"ignoreNullFields": "false"}))
+
+
+@query(
+    with_views(
+        "v_archive",
+        """WITH e AS (SELECT person, CASE WHEN seq % 13 <> 0 THEN lang END AS lang, seq, ref_path, seq % 7 <> 0 AS valid FROM v_archive),
+        g AS (SELECT person, lang, count(*) FILTER (valid) AS "count", count(*) FILTER (NOT valid) AS invalid, list({'seq': seq, 'ref_path': ref_path, 'valid': valid, 'audio': CASE WHEN valid THEN ref_path END} ORDER BY seq) AS entries FROM e GROUP BY ALL)
+        SELECT person, CAST(to_json(list({'lang': lang, 'count': "count", 'invalid': invalid, 'entries': entries} ORDER BY lang NULLS LAST)) AS VARCHAR) AS groups, CAST(sum("count") AS BIGINT) AS total, CAST(sum(invalid) AS BIGINT) AS invalid_total FROM g GROUP BY person""",
+    )
+)
+def archive_documents(v):
+    """Every person's archive as one nested document, by language."""
+    entries = v.archive.selectExpr("person", "CASE WHEN seq % 13 <> 0 THEN lang END AS lang", "seq", "ref_path", "seq % 7 <> 0 AS valid")
+    return records.archive_documents(entries).withColumn("groups", F.to_json("groups", {"ignoreNullFields": "false"}))
+
+
+@query()
+def ocr_lines_similar(v):
+    """Subtitle lines of recognised texts that are alike, and not only equal: badges off, grouped, cleaned, clamped."""
+    return sequences.clean_lines(v.hits.withColumn("text", F.expr(_BADGE)))

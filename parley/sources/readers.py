@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +92,90 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return df.select("video_id", F.inline(F.arrays_zip("labels", "vecs"))).withColumnsRenamed({"labels": "spk", "vecs": "vec"})
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of array files with their labels, file by file; the reason where there are none."""
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            why, labels, vecs = None, [], []
+            try:
+                if r["array"] is None or r["meta"] is None:
+                    why = "no array" if r["array"] is None else "no labels"
+                else:
+                    labels, vecs = list((json.loads(r["meta"]) or {}).get("labels") or []), np.load(io.BytesIO(r["array"]), allow_pickle=False)
+                    if vecs.ndim != 2 or len(vecs) != len(labels):
+                        why = f"{len(vecs) if vecs.ndim else 0} vectors of {len(labels)} labels"
+            except (ValueError, EOFError, AttributeError) as e:
+                why = f"unreadable: {type(e).__name__}"
+            if why:
+                found.append((r["folder"], False, why, None, None, None))
+            else:
+                found += [(r["folder"], True, None, i, str(label), [float(x) for x in row]) for i, (label, row) in enumerate(zip(labels, vecs, strict=True))]
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=["folder", "available", "why", "place", "spk", "vec"])
+
+
+def read_array_pairs(spark: SparkSession, folders: str, array: str = "spk_emb.npy", meta: str = "spk_emb.json") -> DataFrame:
+    """(folder, available, why, place, spk, vec) from pairs of files, an array of vectors and a JSON document with their ``labels``, one pair in each of ``folders`` (a pattern).
+
+    Row i of the array belongs to label i. A folder where one of the two is missing or unreadable, or where the numbers
+    differ, is one row that is not available and says why. Files are read by the executors, a pair in one task.
+    """
+    read = lambda name, as_: spark.read.format("binaryFile").load(f"{folders}/{name}").select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.col("content").alias(as_))
+    empty = lambda as_: spark.createDataFrame([], f"folder string, {as_} binary")
+    a = read(array, "array") if exists(spark, f"{folders}/{array}") else empty("array")
+    m = read(meta, "meta") if exists(spark, f"{folders}/{meta}") else empty("meta")
+    pairs = a.join(m, "folder", "full")
+    return pairs.mapInArrow(_decoded, "folder string, available boolean, why string, place int, spk string, vec array<double>")
+
+
+def read_wav(spark: SparkSession, path: str, piece_s: int = 600) -> DataFrame:
+    """(file, piece, rate, samples, problem) of recordings: 16-bit samples of one channel, in pieces of ``piece_s`` seconds.
+
+    A recording of several channels gives their mean. What is no PCM recording of 16 bits is one row with the problem.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int16()), pa.string()), strict=True)], names=["file", "piece", "rate", "samples", "problem"])
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    rate, channels, data = riff_samples(content.as_buffer())
+                except ValueError as e:
+                    yield row(file, 0, None, None, str(e))
+                    continue
+                width = piece_s * rate * channels
+                for i, at in enumerate(range(0, max(len(data), 1), width)):
+                    part = data[at : at + width]
+                    part = part if channels == 1 else part[: len(part) // channels * channels].reshape(-1, channels).mean(axis=1).astype(np.int16)
+                    yield row(file, i, rate, part, None)
+
+    return files.mapInArrow(run, "file string, piece int, rate int, samples array<short>, problem string")
+
+
+def riff_samples(content) -> tuple[int, int, np.ndarray]:
+    """Rate, channels and samples of a RIFF file of 16-bit PCM, without a copy: chunks are walked, unknown ones skipped, a data chunk cut short is read as far as it goes."""
+    view = memoryview(content)
+    if len(view) < 12 or view[:4] != b"RIFF" or view[8:12] != b"WAVE":
+        raise ValueError("no RIFF file")
+    at, kind = 12, None
+    while at + 8 <= len(view):
+        name, size = bytes(view[at : at + 4]), struct.unpack_from("<I", view, at + 4)[0]
+        if name == b"fmt ":
+            kind = struct.unpack_from("<HHIIHH", view, at + 8)
+        elif name == b"data":
+            if kind is None:
+                raise ValueError("data before format")
+            code, channels, rate, _, _, bits = kind
+            if code not in (1, 0xFFFE) or bits != 16:
+                raise ValueError(f"format {code} of {bits} bits")
+            end = min(len(view), at + 8 + size)
+            return rate, channels, np.frombuffer(view[at + 8 : at + 8 + (end - at - 8) // 2 * 2], "<i2")
+        at += 8 + size + size % 2
+    raise ValueError("no data")
+
+
 def read_voice_config(spark: SparkSession, config: dict | str) -> DataFrame:
     """(file, spk, voice, who, skip) of a voice configuration, in its order; YAML text, or what has been parsed of it. It is configuration, not data."""
     if isinstance(config, str):

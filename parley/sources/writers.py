@@ -85,18 +85,6 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> str:
     return "applied"
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Put ``df`` in the place of a table at once, also one that ``df`` reads: it is written beside it, and a rename swaps them."""
-    spark, path = df.sparkSession, path.rstrip("/")
-    df.write.mode("overwrite").parquet(path + ".new")
-    (now, fs), (new, _), (old, _) = (_fs(spark, path + end) for end in ("", ".new", ".old"))
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
-
-
 #: Fields of a library entry in the order of the file.
 LIBRARY_FIELDS = ("type", "engine", "voice", "ref_audio", "ref_text_file", "note")
 

@@ -1,9 +1,15 @@
 """Readers and writers round trip, streams against their batch forms."""
 
+import json
+import wave
+from threading import Thread
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import workflow
-from parley.sources import readers, writers
+from parley.sources import readers, snapshots, writers
 from parley.sources.views import Views
 from parley.streaming import workflow_stream as ws
 
@@ -109,9 +115,77 @@ def test_products_with_sentinels_and_tables_replaced(spark, tmp_path):
     assert [writers.write_once(df, path) for _ in range(2)] == ["applied", "reused"] and writers.is_complete(spark, path)
     (tmp_path / "product.done").unlink()
     assert writers.write_once(df, path) == "applied" and writers.write_once(df, path, force=True) == "applied"
+    table = str(tmp_path / "table")
+    snapshots.replace_table(df, table)
     for _ in range(2):  # a table may be replaced by what reads it
-        writers.replace_table(spark.read.parquet(path).selectExpr("a + 1 AS a"), path)
-    assert spark.read.parquet(path).first()["a"] == 3 and not (tmp_path / "product.old").exists()
+        snapshots.replace_table(snapshots.read_table(spark, table).selectExpr("a + 1 AS a"), table)
+    assert snapshots.read_table(spark, table).first()["a"] == 3
+
+
+def test_of_two_writers_one_begins_again(spark, tmp_path):
+    t, one = snapshots.Snapshots(spark, str(tmp_path / "t")), spark.createDataFrame([(1,)], "a int")
+    assert t.read() is None and t.version() == 0
+    t.commit(one, 0)
+    with pytest.raises(snapshots.Conflict):
+        t.commit(one, 0)
+    asked = []
+
+    def add(now):
+        if not asked:  # another writer is faster, once
+            t.update(lambda x: x.union(one))
+        asked.append(now.count())
+        return now.union(one)
+
+    assert t.update(add) == 3 and asked == [1, 2] and t.read().count() == 3
+    assert len(list((tmp_path / "t").glob("data-*"))) == 3  # the lost commit left nothing
+    assert [t.append(one, "w", n) for n in (0, 0, 1)] == [4, 4, 5] and t.read().count() == 5
+    t.vacuum(1)
+    assert t.versions() == [5] and t.read().count() == 5 and t.read(5).count() == 5
+
+
+def test_a_reader_always_finds_a_table(spark, tmp_path):
+    t = snapshots.Snapshots(spark, str(tmp_path / "t"))
+    t.commit(spark.range(10).toDF("a"), 0)
+    writer = Thread(target=lambda: [t.update(lambda now: now.selectExpr("a + 1 AS a")) for _ in range(5)])
+    writer.start()
+    seen = []
+    while writer.is_alive():
+        seen.append(tuple(sorted(r["a"] for r in t.read().collect())))
+    writer.join()
+    assert seen and all(s == tuple(range(s[0], s[0] + 10)) for s in seen) and sorted(seen) == seen
+    assert t.version() == 6
+
+
+def test_array_pairs(spark, tmp_path):
+    for name, labels, rows in (("a", ["SPEAKER_03", "SPEAKER_00"], 2), ("b", ["x"], 2), ("c", ["x"], None), ("d", None, 1), ("e", "broken", 1)):
+        (tmp_path / name).mkdir()
+        if labels is not None:
+            (tmp_path / name / "spk_emb.json").write_text("{" if labels == "broken" else json.dumps({"labels": labels}))
+        if rows:
+            np.save(tmp_path / name / "spk_emb.npy", np.arange(rows * 3, dtype=np.float32).reshape(rows, 3))
+    got = {(r["folder"], r["place"]): (r["available"], r["why"], r["spk"], r["vec"]) for r in readers.read_array_pairs(spark, str(tmp_path / "*")).collect()}
+    assert got["a", 0] == (True, None, "SPEAKER_03", [0.0, 1.0, 2.0]) and got["a", 1][2:] == ("SPEAKER_00", [3.0, 4.0, 5.0])
+    assert got["b", None][:2] == (False, "2 vectors of 1 labels") and got["c", None][1] == "no array" and got["d", None][1] == "no labels" and got["e", None][1].startswith("unreadable")
+    assert len(got) == 6
+
+
+def test_wav_files_give_the_frames_of_their_samples(spark, tmp_path):
+    from parley.functions import audio
+
+    r = np.random.default_rng(3)
+    mono = (r.normal(0, 3000, 50_000)).astype("<i2")
+    for name, channels, data in (("mono", 1, mono), ("both", 2, np.repeat(mono, 2))):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(channels), w.setsampwidth(2), w.setframerate(16000)
+            w.writeframes(data.tobytes())
+    (tmp_path / "bad.wav").write_bytes(b"RIFF0000WAVEjunk")
+    files = readers.read_wav(spark, str(tmp_path / "*.wav"), piece_s=1).withColumn("file", F.regexp_extract("file", r"([a-z]+)\.wav$", 1))
+    assert files.filter("file = 'mono'").count() == 4 and files.filter("file = 'bad'").first()["problem"] == "no data"
+    got = audio.frame_levels(files, piece_s=1).toPandas().sort_values(["file", "frame_no"])
+    whole = audio.frame_levels(spark.createDataFrame([("x", 16000, mono.tolist())], "file string, rate int, samples array<int>")).toPandas().sort_values("frame_no")
+    for name in ("mono", "both"):
+        mine = got[got.file == name]
+        assert mine.frame_no.tolist() == list(range(31)) and np.allclose(mine.db, whole.db) and np.allclose(mine.db_h, whole.db_h)
 
 
 def test_matrix_in_markdown(spark):
@@ -141,7 +215,7 @@ def test_steps_are_written_once_and_counted_by_state(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         ws.write_steps(stream, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
-    steps = spark.read.parquet(str(tmp_path / "out"))
+    steps = snapshots.read_table(spark, str(tmp_path / "out"))
     assert steps.count() == events.count()
     want = workflow.replay(events).groupBy("state").count()
     assert sorted(map(tuple, ws.state_counts(steps).collect())) == sorted(map(tuple, want.collect()))
@@ -155,3 +229,40 @@ def test_one_task_of_an_item_at_a_time(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tasks_out").filter("ts < '2024-01-01 01:00:00'").count() == 2
+
+
+def test_counts_by_state_follow_the_stream(spark, tmp_path):
+    events = Views(spark, SF).ledger_events
+    half = events.filter("ord <= 3"), events.filter("ord > 3")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    for i, part in enumerate(half):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ws.steps_to_files(stream, str(tmp_path / "steps"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        live = ws.live_counts(spark, str(tmp_path / "steps")).writeStream.format("memory").queryName(f"live_{i}").outputMode("complete").option("checkpointLocation", str(tmp_path / f"ck{i}")).start()
+        live.processAllAvailable()
+        live.stop()
+        want = workflow.replay(events if i else half[0]).groupBy("state").count()
+        assert sorted(map(tuple, spark.table(f"live_{i}").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_task_is_refused_until_its_end_or_time_out(spark, tmp_path):
+    at = lambda m: f"TIMESTAMP '2024-01-01 {m // 60:02d}:{m % 60:02d}:00'"
+    batches = [[(1, "ocr", 0, "start"), (1, "ocr", 1, "start"), (1, "mix", 1, "start"), (2, "ocr", 2, "end")], [(1, "ocr", 5, "end"), (1, "ocr", 6, "start"), (1, "mix", 20, "start")], [(3, "ocr", 90, "start")], [(1, "ocr", 91, "start"), (1, "mix", 92, "end")]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("bvid long, part int, stage string, ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in batches:
+            values = ", ".join(f"({b}L, 1, '{s}', {at(m)}, '{k}')" for b, s, m, k in rows)
+            spark.sql(f"SELECT * FROM VALUES {values} t(bvid, part, stage, ts, kind)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q = ws.running_tasks(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    got = {(r["bvid"], r["stage"], r["ts"].hour * 60 + r["ts"].minute, r["kind"]): r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1, "ocr", 0, "start"] and not got[1, "ocr", 1, "start"] and got[1, "mix", 1, "start"] and not got[2, "ocr", 2, "end"]
+    assert got[1, "ocr", 5, "end"] and got[1, "ocr", 6, "start"] and not got[1, "mix", 20, "start"]
+    assert got[1, "mix", 31, "timeout"] and got[1, "ocr", 36, "timeout"]
+    assert got[1, "ocr", 91, "start"] and not got[1, "mix", 92, "end"]
