@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import gc
-import shutil
-import tempfile
-import time
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -17,19 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley import steps
+from parley.steps import FILE_BYTES, compact, drop, planned_bytes, run, shared_dir
+
+__all__ = ["FILE_BYTES", "compact", "cut", "drop", "planned_bytes", "run", "shared_dir"]
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a column batch that the Parquet reader fills, and of an Arrow batch.
 TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-#: Bytes that a file stands for, and bytes of its row groups, which tasks hold in memory.
-FILE_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
 #: Links of a file between two rounds of components.
 FILE_LINKS = 250_000
 
-#: Tables that ``cut`` wrote and nobody deleted, in order.
-_written: list[str] = []
-
 
 def tune(spark: SparkSession) -> None:
     """Batches for rows that hold whole texts, where the session has no values of its own: Spark's are made for short rows, and an executor holds several at once."""
@@ -39,86 +33,15 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a session on one machine may go without."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="parley-steps-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that ``df`` reads, as the planner knows them; what it makes of joins is their product."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def compact(df: DataFrame) -> DataFrame:
-    """``df`` in partitions as large as files should be: four for each core at least, ``FILE_BYTES`` of what it reads each. Nothing is shuffled."""
-    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, min(planned_bytes(df) // FILE_BYTES, 1 << 20)))
-
-
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. Small partitions share files."""
-    spark = df.sparkSession
-    tune(spark)
-    path = f"{shared_dir(spark)}/parley-{tag}-{uuid.uuid4().hex}"
-    compact(df).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._parley_path = path
-    _written.append(path)
-    return found
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and that nothing lazy reads any more; other tables are left alone."""
-    for df in tables:
-        if path := getattr(df, "_parley_path", None):
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _written:
-        _written.remove(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Let the driver notice what nothing refers to any more: only then do shuffle files of finished steps go from the executors' disks.
-
-    Listeners hold a finished step for a moment, so it looks twice. Executors collect too: heaps grow with what a step throws
-    away and give nothing back by themselves, which a later step's Python workers then lack.
-    """
-    for pause in (0.3, 0.0):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(pause)
-    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
-    spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()  # a row an executor
-
-
-def written() -> int:
-    """A mark for ``release``."""
-    return len(_written)
+    """``steps.cut`` with batches for whole texts."""
+    tune(df.sparkSession)
+    return steps.cut(df, tag)
 
 
-def release(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
-    """Delete what ``cut`` wrote after the mark ``since``, but for the tables to keep: for callers who have written or read an operator's result."""
-    stay = {getattr(df, "_parley_path", None) for df in keep}
-    for path in [p for p in _written[since:] if p not in stay]:
-        _delete(spark, path)
-    forget(spark)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sliced(batches, most: int, rows: int = 4096, column: str | int = "text"):

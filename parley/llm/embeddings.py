@@ -17,6 +17,8 @@ from parley.llm.common import compact, components, cut, drop, table
 
 #: Rows of the sample that the trees are fitted on, the fewest of them in a leaf, and how many times its rows make a leaf large.
 FIT_ROWS, LEAST_LEAF, LARGE = 16_384, 8, 4
+#: Copies of a vector in one tree at most, by expectation, and bytes of vectors that leave a worker at once.
+COPIES, SENT_BYTES = 3.0, 8 << 20
 
 
 def takes_part() -> Column:
@@ -57,10 +59,13 @@ def sample(distinct: DataFrame, rows: int = FIT_ROWS, dims: int | None = None) -
 
 
 class Forest:
-    """Trees of random splits: at each node a direction, a middle and a margin on both sides that belongs to both."""
+    """Trees of random splits: at each node a direction, a middle and a margin on both sides that belongs to both.
 
-    def __init__(self, points: np.ndarray, trees: int, leaf: int, spill: float, seed: int):
-        self.rng, self.trees, self.leaf, self.spill = np.random.default_rng(seed), [], leaf, spill
+    The margin is ``spill``, but no more than holds the ``share`` of the node's points that lie nearest to the middle.
+    """
+
+    def __init__(self, points: np.ndarray, trees: int, leaf: int, spill: float, seed: int, share: float = 1.0):
+        self.rng, self.trees, self.leaf, self.spill, self.share = np.random.default_rng(seed), [], leaf, spill, share
         self.leaves = 0
         for _ in range(trees):
             self.trees.append(self._grow(points, 0))
@@ -72,8 +77,10 @@ class Forest:
             at = points @ direction
             middle = float(np.median(at))
             low, high = at <= middle + self.spill, at >= middle - self.spill
-            if max(low.sum(), high.sum()) <= 0.8 * len(points):  # else near copies would double at every split
-                return direction, middle, self._grow(points[low], depth + 1), self._grow(points[high], depth + 1)
+            if max(low.sum(), high.sum()) <= 0.8 * len(points):  # else near copies would be torn or double at every split
+                margin = min(self.spill, float(np.quantile(np.abs(at - middle), self.share)))
+                low, high = at <= middle + margin, at >= middle - margin
+                return direction, middle, margin, self._grow(points[low], depth + 1), self._grow(points[high], depth + 1)
         self.leaves += 1
         return self.leaves - 1
 
@@ -89,8 +96,8 @@ class Forest:
                     leaves.append(np.full(len(at), node))
                     continue
                 value = points[at] @ node[0]
-                todo.append((node[2], at[value <= node[1] + self.spill]))
-                todo.append((node[3], at[value >= node[1] - self.spill]))
+                todo.append((node[3], at[value <= node[1] + node[2]]))
+                todo.append((node[4], at[value >= node[1] - node[2]]))
         return np.concatenate(rows), np.concatenate(leaves)
 
 
@@ -148,12 +155,24 @@ def _compare(least: float, per_part: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 1024, spill: float = 0.02, block: int = 2048, seed: int = 11) -> DataFrame:
+def link_spill(least: float, dims: int, spill: float) -> float:
+    """The margin of a split: ``spill`` times what two unit vectors of cosine ``least`` lie apart on a random direction, as a rule."""
+    return spill * float(np.sqrt(max(0.0, 2 - 2 * least) / dims))
+
+
+def spill_share(rows: int, leaf: int) -> float:
+    """The share of a node's points that may go both ways so that a vector has ``COPIES`` copies in a tree when it is as deep as ``rows`` ask for."""
+    levels = max(1.0, np.log2(max(2.0, rows / leaf)))
+    return float(min(0.5, COPIES ** (1 / levels) - 1))
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf: int = 1024, spill: float = 0.32, block: int = 2048, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding): links have cosine >= ``least``.
 
     The trees are fitted on a sample of at most ``FIT_ROWS`` different vectors, so that a leaf holds about ``leaf`` of all;
     leaves that hold far more are split on over all rows. Every vector goes down every tree, and to both sides where it lies
-    within ``spill`` of a split. Leaves of near copies, of more than ``block`` vectors are parted into
+    near a split: within ``spill`` of what a linked pair lies apart on a direction, which shrinks with the dimensions, and never
+    more than ``COPIES`` copies a tree allow. Leaves of near copies, of more than ``block`` vectors are parted into
     blocks, and each pair of blocks is a task's group. A pair is counted in its first common leaf alone, so counts
     add up without a list of pairs; from each group a spanning forest goes on to the components.
 
@@ -175,11 +194,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 6, leaf:
     return all_rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _split_further(reached: DataFrame, most: int, spill: float, seed: int) -> DataFrame:
+def _split_further(reached: DataFrame, most: int, spill: float, seed: int, share: float = 1.0) -> DataFrame:
     """Rows (leaf, class_id, copies, embedding) with the leaves of over ``most`` rows split on, a level at a time, over all rows.
 
     A leaf's direction is a row of signs that its number and ``seed`` give; its middle is the median of all its rows, summed
-    up from sketches; rows within ``spill`` of it go to both sides. A leaf that a split would not make smaller (near copies of
+    up from sketches; rows within ``spill`` of it, and no more than the middle ``share`` of them, go to both sides. A leaf that a split would not make smaller (near copies of
     one vector) stays: its pairs are compared block by block. Only rows of large leaves are touched.
     """
     done, now, level = None, reached, 0
@@ -193,11 +212,13 @@ def _split_further(reached: DataFrame, most: int, spill: float, seed: int) -> Da
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x) * F.size("embedding"))
         value = F.aggregate(F.zip_with(v, sign, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x) / norm
         at = cut(now.join(large, F.col("leaf") == F.col("of")).withColumn("at", value), "split")
-        middles = at.groupBy(F.col("leaf").alias("split")).agg(F.percentile_approx("at", 0.5, 1000).alias("middle"))
+        at_shares = F.percentile_approx("at", [0.5 - share / 2, 0.5, 0.5 + share / 2], 1000)
+        middles = at.groupBy(F.col("leaf").alias("split")).agg(at_shares.alias("q")).select("split", F.col("q")[0].alias("least_at"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("most_at"))
         parted = at.join(middles, F.col("leaf") == F.col("split"))
         low, high = F.col("at") <= F.col("middle") + spill, F.col("at") >= F.col("middle") - spill
         worth = parted.groupBy(F.col("leaf").alias("judged"), F.col("rows")).agg(F.greatest(F.count_if(low), F.count_if(high)).alias("side"))
         worth = worth.filter(F.col("side") <= 0.8 * F.col("rows")).select("judged")
+        low, high = F.col("at") <= F.least(F.col("middle") + spill, "most_at"), F.col("at") >= F.greatest(F.col("middle") - spill, "least_at")
         sides = F.array_compact(F.array(F.when(low, F.xxhash64("leaf", F.lit(level), F.lit("low"))), F.when(high, F.xxhash64("leaf", F.lit(level), F.lit("high")))))
         own = ["leaf", "class_id", "copies", "embedding"]
         split = cut(parted.join(worth, F.col("leaf") == F.col("judged"), "left_semi").select(F.explode(sides).alias("leaf"), "class_id", "copies", "embedding"), "sides")
@@ -211,22 +232,26 @@ def _split_further(reached: DataFrame, most: int, spill: float, seed: int) -> Da
 
 def _near_of_length(good: DataFrame, least: float, trees: int, leaf: int, spill: float, block: int, seed: int) -> DataFrame:
     distinct = classes(good)
-    points = sample(distinct)
+    points, n = sample(distinct), distinct.count()
+    spill, share = link_spill(least, points.shape[1], spill), spill_share(n, leaf)
     # the more vectors there are, the fewer of the sample a leaf holds: a leaf gets about as many of all at any size
-    forest = Forest(points, trees, max(LEAST_LEAF, leaf * len(points) // max(1, distinct.count())), spill, seed)
+    forest = Forest(points, trees, max(LEAST_LEAF, leaf * len(points) // max(1, n)), spill, seed, share)
     sent = good.sparkSession.sparkContext.broadcast(forest)  # bounded: trees x FIT_ROWS / leaf splits
     kind = distinct.schema["embedding"].dataType.simpleString()
+    width = points.shape[1]
 
     def down(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             row, at = sent.value.reach(unit(matrix(batch.column("embedding"))))
-            taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("class_id").take(taken), batch.column("copies").take(taken), batch.column("embedding").take(taken)], ["leaf", "class_id", "copies", "embedding"])
+            step = max(1, SENT_BYTES // (8 * width))
+            for a in range(0, len(row), step):
+                taken = pa.array(row[a : a + step])
+                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + step]), *[batch.column(c).take(taken) for c in ("class_id", "copies", "embedding")]], ["leaf", "class_id", "copies", "embedding"])
 
     reached = cut(distinct.mapInArrow(down, f"leaf long, class_id long, copies long, embedding {kind}"), "leaves")
-    reached = _split_further(reached, LARGE * leaf, spill, seed)
+    reached = _split_further(reached, LARGE * leaf, spill, seed, share)
     members = reached.groupBy(F.col("class_id").alias("member")).agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     reached = cut(reached.join(members, F.col("class_id") == F.col("member")).drop("member"), "members")
     blocks = reached.groupBy("leaf").count().select(F.col("leaf").alias("of"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -8,7 +8,7 @@ in packets of few words, so sources meet their targets to a packet.
 
 Running sums never meet in one task: a source's documents fall into blocks by a hash, virtual time falls into ranges that
 hold about the same number of words, sums of both are pre-aggregated, and only sums within a block or a range and over the
-small tables of blocks and ranges are windows.
+tables of blocks and ranges are windows, and those run in two levels.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import WORD, compact, cut, forget, table, word_count
+from parley.llm.common import WORD, compact, cut, running_total, table, word_count
 
 #: Documents of a block and of a range of virtual time on average; words of a packet at least, and packets of a document at most.
 BLOCK_ROWS, RANGE_ROWS, PACKET, PACKETS = 1024, 2048, 16, 1024
@@ -51,13 +51,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     """
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     total = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    blocks, ranges, budget = max(1, total["rows"] // BLOCK_ROWS), max(1, total["rows"] // RANGE_ROWS), total["words"]
+    blocks, budget = max(1, total["rows"] // BLOCK_ROWS), total["words"]
     shuffled = sized.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("block", F.pmod("shuffle", F.lit(blocks)))
     sums = shuffled.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, max_repeats)
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sums.withColumn("offset", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)))
+        running_total(sums, ["source"], "block", "block_size", "offset")
         .select(F.col("source").alias("s"), F.col("block").alias("b"), "offset")
         .join(targets, F.col("s").eqNullSafe(F.col("source")))
         .select("s", "b", "offset", "source_size", "target")
@@ -81,13 +80,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         .withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("size") / F.col("step")) - 1))))
         .withColumn("words", F.least("step", F.col("size") - F.col("packet") * F.col("step")))
         .withColumn("due", F.coalesce((F.col("begin") + F.col("packet") * F.col("step") + F.col("words")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)))
-        .withColumn("range", F.when(F.col("queues"), F.least(F.floor(F.col("due") * ranges), F.lit(ranges))))
-        .select("doc_id", "source", "size", "text_hash", "source_size", "target", F.struct("block", "place").alias("row_key"), "epoch", "begin", "packet", "words", "due", "range")
+        .select("doc_id", "source", "size", "text_hash", "source_size", "target", F.struct("block", "place").alias("row_key"), "epoch", "begin", "packet", "words", "due", "queues")
     )
     queued = cut(queued, "queued")
-    # every range of virtual time holds about as many words as another, so the ranges are known without a sample
+    # ranges are as many as the queue's rows ask for; words flow evenly until time 1, and what is in service then queues on beyond it
+    ranges = max(1, queued.count() // RANGE_ROWS)
+    queued = queued.withColumn("range", F.when(F.col("queues"), F.floor(F.col("due") * ranges)))
     sent_before = queued.filter(F.col("range").isNotNull()).groupBy(F.col("range").alias("r")).agg(F.sum("words").alias("range_words"))
-    sent_before = sent_before.select("r", F.coalesce(F.sum("range_words").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    sent_before = running_total(sent_before, [], "r", "range_words", "ahead").select("r", "ahead")
     merged = Window.partitionBy("range").orderBy("due", F.col("source").isNull(), "source", "row_key", "epoch", "packet").rowsBetween(Window.unboundedPreceding, 0)
     running = queued.filter(F.col("range").isNotNull()).withColumn("running", F.sum("words").over(merged)).join(sent_before, F.col("range") == F.col("r"))
     sent = running.withColumn("take", F.greatest(F.lit(0).cast("long"), F.least("words", F.lit(budget) - F.col("ahead") - F.col("running") + F.col("words"))))
@@ -118,7 +118,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     sent = sent.filter("whole > 0 OR size(part) > 0").select(*[F.col(c).alias(f"sent_{c}") for c in own], "whole", "part", "rows")
     sent = cut(sent, "sent")
-    forget(docs.sparkSession)
     plain = [F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)]
     met = docs.select(*plain, F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.xxhash64("text").alias("own_hash")).join(
         sent, F.col("own_id").eqNullSafe(F.col("sent_doc_id")) & F.col("own_source").eqNullSafe(F.col("sent_source")) & (F.col("own_hash") == F.col("sent_text_hash"))

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from parley.llm import bpe, embeddings, langid, merkle, mixing, quality, secrets, simhash, substring, toxicity, trie, url_filter
-from parley.llm.common import forget
-
-
-def _fresh(query):
-    """A query that begins with what earlier ones left collected, on the driver and on the executors."""
 
-    @wraps(query)
-    def run(spark, sf_dir):
-        forget(spark)
-        return query(spark, sf_dir)
 
-    return run
-
-
-_QUERIES = {
+QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_bpe": bpe.op3_bpe,
@@ -35,8 +21,6 @@ _QUERIES = {
     "op13_secret_scan": secrets.op13_secret_scan,
 }
 
-QUERIES = {name: _fresh(query) for name, query in _QUERIES.items()}
-
 ORACLE = {
     "op4_embedding_near_dedup": embeddings.NEAR_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,

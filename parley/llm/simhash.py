@@ -236,8 +236,11 @@ def keep_first(docs: DataFrame, width: int = 4, similarity: float | None = None,
         if similarity * near_copies.SHARE[1] != near_copies.SHARE[0]:
             raise ValueError("bands are made for a similarity of 0.8")
         found = near_copies.near_copies(docs, width)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    # the caller's columns go under names of their own, so none of them can clash
+    plain = docs.select(*[F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)])
+    stay = plain.join(gone, F.col(f"doc_{docs.columns.index('doc_id')}") == F.col("gone_id"), "left_anti")
+    return stay.select(*[F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

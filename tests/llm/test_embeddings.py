@@ -181,3 +181,28 @@ def test_large_leaves_are_split_over_all_rows(spark, monkeypatch):
     want = close.sum(axis=1) - 1
     assert sum(got[i][0] == int(want[i]) for i in range(len(rows))) >= 0.98 * len(rows)
     assert {got[i] for i in range(1500, 1800)} == {(int(want[1500]), got[1500][1])}
+
+
+def test_copies_and_recall_at_real_dimensions():
+    """Trees as deep as a million vectors ask for: under three copies in a tree, nine of ten links just over the bound in a common leaf."""
+    for dims, rows in ((768, 8192), (1536, 4096)):
+        r = np.random.default_rng(dims)
+        x, turn = e.unit(r.standard_normal((rows, dims))), e.unit(r.standard_normal((200, dims)))
+        turn = e.unit(turn - (turn * x[:200]).sum(axis=1, keepdims=True) * x[:200])
+        near = 0.951 * x[:200] + np.sqrt(1 - 0.951**2) * turn
+        forest = e.Forest(x, 6, 1024 * rows // 1_000_000 or 4, e.link_spill(0.95, dims, 0.32), 11, e.spill_share(1_000_000, 1024))
+        row, leaf = forest.reach(np.concatenate([x[:200], near]))
+        assert len(row) / 6 / 400 < 3
+        own = [set() for _ in range(400)]
+        for i, at in zip(row, leaf, strict=True):
+            own[i].add(int(at))
+        assert np.mean([bool(own[i] & own[200 + i]) for i in range(200)]) >= 0.9
+
+
+def test_wide_vectors_with_small_leaves(spark):
+    """Thousands of copies of wide vectors leave a worker in slices."""
+    r = np.random.default_rng(2)
+    x = e.unit(r.standard_normal((1000, 1024))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:20] + np.float32(1e-4)]))]
+    got = {q["vec_id"]: (q["n_links"], q["component_id"]) for q in e.near_vectors(frame(spark, rows), leaf=64).collect()}
+    assert sum(got[1000 + i] == (1, i) for i in range(20)) >= 19 and sum(n for n, _ in got.values()) <= 40

@@ -116,3 +116,27 @@ def test_rows_that_share_an_id_are_sent_as_often_as_the_mix_says(spark):
         sizes[s] += len(t.split())
     for s, t in brute_targets(sizes).items():
         assert abs(sum(n for k, n in got.items() if k[1] == s) - t) <= 1 + mixing.PACKET
+
+
+def test_ten_thousand_sources_and_no_window_over_all_rows(spark):
+    rows = [(i, f"s{i % 10_000}", "w " * (1 + i % 5)) for i in range(20_000)]
+    sent = mixing.mix_sources(rows_of(spark, rows), keep_idle=True)
+    sizes = defaultdict(int)
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    targets, taken = brute_targets(sizes), defaultdict(int)
+    for r in sent.collect():
+        taken[r["source"]] += r["take"]
+    assert sum(taken.values()) == sum(sizes.values())
+    assert max(abs(taken[s] - targets[s]) for s in sizes) <= 1 + mixing.PACKET
+
+
+def test_what_is_in_service_at_the_end_is_spread(spark):
+    """Long documents of many sources queue in packets beyond time 1, each in a range of its own time."""
+    rows = [(i, f"s{i % 40}", "w " * 700) for i in range(80)]
+    sent = mixing.mix_sources(rows_of(spark, rows), keep_idle=True).collect()
+    by_source = defaultdict(int)
+    for r in sent:
+        by_source[r["source"]] += r["take"]
+    targets = {r["source"]: r["target"] for r in sent}
+    assert sum(by_source.values()) == 56_000 and all(abs(by_source[s] - targets[s]) <= 1 + mixing.PACKET for s in targets)

@@ -101,3 +101,11 @@ def test_repeats_nulls_and_empty(spark):
     docs = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b"), (1, "A B")], "doc_id long, text string")
     assert {r["component_id"] for r in h.near_duplicates(docs).collect()} == {1}
     assert h.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_the_callers_columns_may_have_any_name(spark):
+    names = "doc_id long, text string, __gone_id int, gone_id int, doc_0 int, component_id int, fp int"
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4, 5), (2, "a b c d e f", 6, 7, 8, 9, 10), (3, "other words than those are here", 1, 1, 1, 1, 1)], names)
+    for similarity in (None, 0.8):
+        got = h.keep_first(df, width=5, similarity=similarity)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 1, 2, 3, 4, 5), (3, "other words than those are here", 1, 1, 1, 1, 1)]
