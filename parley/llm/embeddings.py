@@ -292,8 +292,8 @@ FROM embeddings e JOIN (SELECT n, min(m) AS least FROM r GROUP BY n) c ON c.n =
 
 # --- Operator 7: hash-prefix forest --------------------------------------------------------------------------------
 
-#: Bits of a hash string, rows of a shard and of a block of queries, and the chance that all trees miss a neighbour.
-BITS, SHARD_ROWS, QUERY_ROWS, MISS = 32, 8192, 4096, 0.05
+#: Bits of a hash string, rows of a shard and of a prefix's cell on average, and the chance that all trees miss a neighbour.
+BITS, SHARD_ROWS, CELL_ROWS, MISS = 32, 8192, 1024, 0.05
 
 
 def agreement(trees: int, miss: float = MISS) -> float:
@@ -366,49 +366,106 @@ class PrefixForest:
             yield i, at, scores
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, least: int = 256, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, least: int = 256, seed: int = 5, effort: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of all rows by cosine for each query, the rows whose vec_id is divisible by ``every``.
 
-    Long prefixes first: different vectors and queries meet where a tree gives them the same prefix, of as many bits as make
-    the vectors of a prefix about ``SHARD_ROWS``. A query whose k-th best cosine says that a nearer vector would have been
-    met but for the chance ``MISS`` is done; the others rise four bits and ask again. Where the trees' prefixes would together
-    hold more than the table, what is left asks all shards of it, each with a forest of its own and the same rule. Prefixes of
-    very many vectors or queries are parted into blocks. See the README for the recall measured.
+    Long prefixes first: different vectors and queries meet in the cells of a tree's prefixes, of as many bits as make a cell
+    about ``CELL_ROWS`` vectors. A cell is a sorted array of hash strings: a query goes down to its longest matches there and
+    rises until its trees have met ``least``. The k-th best cosine of all trees says how far a nearer vector can be, so that all
+    cells rise on to the prefix by which such a one is met but for the chance ``MISS``. A query for which that prefix is no
+    longer than a cell's is done; the others ask cells of four bits less. Where the cells of all trees would together hold
+    more than the table, what is left asks all shards of it, each of them a forest that is built once and read by all
+    queries. Cells of very many vectors are parted into blocks. See the README for the recall measured.
 
     A class answers with its smallest vec_ids, so copies of one vector come in the order of their ids. A query is never
     its own answer but its copies are; a query row that occurs more than once asks once. Fewer candidates than ``k``: all of them. Rows that take no part are neither
-    queries nor answers; a null vec_id neither. Repeated rows are answers each. No rows give none.
+    queries nor answers; a null vec_id neither. Repeated rows are answers each. No rows give none. ``effort`` adds ``met``: how many cosines the query took.
     """
     good = cut(usable(vectors).filter(F.col("vec_id").isNotNull()), "vectors")
     found = []
     for (dims,) in good.select(F.size("embedding")).distinct().collect():
-        found.append(_nearest_of_length(good.filter(F.size("embedding") == dims), every, k, trees, least, seed))
+        found.append(_nearest_of_length(good.filter(F.size("embedding") == dims), every, k, trees, least, seed, effort))
     if not found:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double" + ", met long" * effort)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-_HIT = "query_id long, class_id long, score double"
+#: A hit of a query; ``used``: bits of the prefix whose vectors it has met there; ``met``: how many, told with the first hit.
+_HIT = "query_id long, class_id long, score double, used long, met long"
 
 
-def _stack(rows: pd.Series) -> np.ndarray:
-    return unit(np.stack(rows.to_numpy()).astype(np.float64))
+class Cell:
+    """The sorted array of one tree's hash strings over the vectors of a cell, which share the first ``bits``."""
 
+    def __init__(self, points: np.ndarray, tree: int, trees: int, bits: int, seed: int):
+        self.tree, self.bits, self.planes = tree, bits, planes(trees, points.shape[1], seed)[tree]
+        hashed = strings(points, self.planes)
+        self.order = np.argsort(hashed, kind="stable")
+        self.sorted, self.points = hashed[self.order], points[self.order]
 
-def _hits(queries: np.ndarray, classes: np.ndarray, scores: np.ndarray, k: int, out: list) -> None:
-    """The ``k`` best classes of a query, ties to the smaller one."""
+    def search(self, queries: np.ndarray, known: np.ndarray, k: int, want: int, trees: int):
+        """For each query the vectors that share a prefix and their cosines: the longest prefix that ``want`` share, or, where a k-th best cosine is ``known``, the one by which a nearer vector is met."""
+        q = strings(queries, self.planes)
+        lengths = np.arange(self.bits, BITS + 1)
+        free = np.array([(1 << (BITS - n)) - 1 for n in lengths], np.uint64)
+        low, high = np.searchsorted(self.sorted, q[None, :] & ~free[:, None], "left"), np.searchsorted(self.sorted, q[None, :] | free[:, None], "right")
+        enough = ((high - low) >= want).sum(axis=0) - 1  # counts fall with the length
+        length = np.where(known > -1, np.maximum(self.bits, safe_length(known, trees)), self.bits + np.maximum(enough, 0))
+        for i in range(len(queries)):
+            a, b = low[length[i] - self.bits, i], high[length[i] - self.bits, i]
+            if a < b:
+                yield i, self.order[a:b], np.einsum("ij,j->i", self.points[a:b], queries[i]), int(length[i])
+
+
+def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best classes, ties to the smaller one."""
     if len(scores) > k:
         worst = np.partition(scores, -k)[-k]
-        classes, scores = classes[scores >= worst], scores[scores >= worst]
-    order = np.lexsort([classes, -scores])[:k]
-    out.append(pd.DataFrame({"query_id": np.full(len(order), queries, np.int64), "class_id": classes[order], "score": scores[order]}))
+        ids, scores = ids[scores >= worst], scores[scores >= worst]
+    order = np.lexsort([ids, -scores])[:k]
+    return ids[order], scores[order]
+
+
+def _streamed(keys: list[str], build, k: int):
+    """Rows sorted by ``keys`` and ``asks``: vectors of a cell or shard first, then its queries. What ``build`` makes of the vectors is made once; queries pass in batches."""
 
+    def run(batches):
+        now, rows, index, ids = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(matrix(batch.column("embedding")))
+            number, known = batch.column("id").to_numpy(zero_copy_only=False), batch.column("known").to_numpy(zero_copy_only=False)
+            where = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*keys, "asks")])
+            starts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(axis=0)))
+            out: list[tuple] = []
+            for a, b in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                key = tuple(where[:-1, a].tolist())
+                if key != now:
+                    now, rows, index = key, [], None
+                if not where[-1, a]:
+                    rows.append((number[a:b], x[a:b]))
+                elif rows:
+                    if index is None:
+                        ids = np.concatenate([r[0] for r in rows])
+                        order = np.argsort(ids)
+                        ids, index = ids[order], build(key, np.concatenate([r[1] for r in rows])[order])
+                    for i, at, scores, used in index(x[a:b], known[a:b]):
+                        best, score = _best_of(ids[at], scores, k)
+                        out.append((np.full(len(best), number[a + i]), best, score, np.full(len(best), used), np.append(len(at), np.zeros(len(best) - 1, np.int64))))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.float64 if n == 2 else np.int64)) for n, c in enumerate(columns)], ["query_id", "class_id", "score", "used", "met"])
 
-def _gathered(out: list) -> pd.DataFrame:
-    return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "class_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    return run
+
+
+def _asked(rows: DataFrame, asks: DataFrame, keys: list[str], build, k: int) -> DataFrame:
+    """Hits of ``asks`` (keys, id, embedding, known) among ``rows`` (keys, id, embedding) of the same keys."""
+    both = rows.withColumn("known", F.lit(-1.0)).withColumn("asks", F.lit(0)).unionByName(asks.withColumn("asks", F.lit(1)))
+    return both.select(*keys, "asks", "id", "known", "embedding").repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(_streamed(keys, build, k), _HIT)
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -418,8 +475,16 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
-def _ask_prefixes(distinct: DataFrame, queries: DataFrame, bits: int, k: int, trees: int, dims: int, seed: int) -> DataFrame:
-    """The best classes of each query among those that share its first ``bits`` in some tree."""
+def _kth(best: DataFrame, k: int) -> DataFrame:
+    """The k-th best cosine of the queries that have as many hits."""
+    return best.groupBy(F.col("query_id").alias("_q")).agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= k).select("_q", "bound")
+
+
+def _ask_prefixes(distinct: DataFrame, queries: DataFrame, bits: int, k: int, trees: int, dims: int, least: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Hits of each query among the vectors that share its first ``bits`` in some tree, and the queries (query_id, known) whose nearest may lie outside.
+
+    First down to the longest prefixes, then, with the k-th best cosine of all trees, up to where a nearer vector is met.
+    """
 
     def keys(name):
         def run(batches):
@@ -433,74 +498,82 @@ def _ask_prefixes(distinct: DataFrame, queries: DataFrame, bits: int, k: int, tr
         return run
 
     asked = cut(queries.select("query_id", "embedding").mapInArrow(keys("query_id"), "tree long, prefix long, query_id long"), "asked")
-    wanted = asked.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("turns"))
-    held = distinct.select("class_id", "embedding").mapInArrow(keys("class_id"), "tree long, prefix long, class_id long").join(wanted, ["tree", "prefix"], "left_semi")
-    held = cut(held, "held")
-    sizes = cut(held.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("blocks")).join(wanted, ["tree", "prefix"]), "sizes")
-    spot = ["tree", "prefix", "block", "turn"]
-    rows = held.join(sizes, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    rows = rows.select(*spot, F.col("class_id").alias("c")).join(distinct.select("class_id", "embedding"), F.col("c") == F.col("class_id")).drop("c")
-    asks = asked.join(sizes, ["tree", "prefix"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asks = asks.select(*spot, F.col("query_id").alias("q")).join(queries.select("query_id", "embedding"), F.col("q") == F.col("query_id")).drop("q")
-
-    def search(_, ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(ask):
-            x, q, ids = _stack(own["embedding"]), _stack(ask["embedding"]), own["class_id"].to_numpy()
-            for i, query in enumerate(ask["query_id"].tolist()):
-                _hits(query, ids, np.einsum("ij,j->i", x, q[i]), k, out)
-        return _gathered(out)
-
-    hits = asks.groupBy(*spot).cogroup(rows.groupBy(*spot)).applyInPandas(lambda key, a, r: search(key, a, r), _HIT)
-    best = cut(_best(hits, k), "best")
-    drop(asked, held, sizes)
-    return best
-
-
-def _ask_all(distinct: DataFrame, queries: DataFrame, n: int, asked: int, k: int, trees: int, least: int, seed: int) -> DataFrame:
-    """The best classes of each query (query_id, embedding, known) among all; every shard has a forest over its rows, blocks of queries visit each."""
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    rows = distinct.select(F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "class_id", "embedding")
-    asks = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "embedding", "known")
-
-    def search(_, ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(ask):
-            own = own.sort_values("class_id")
-            ids, of = own["class_id"].to_numpy(), ask["query_id"].tolist()
-            for i, at, scores in PrefixForest(_stack(own["embedding"]), trees, seed).search(_stack(ask["embedding"]), ask["known"].to_numpy(), k, least):
-                _hits(of[i], ids[at], scores, k, out)
-        return _gathered(out)
-
-    return _best(asks.groupBy("shard", "block").cogroup(rows.groupBy("shard", "block")).applyInPandas(lambda key, a, r: search(key, a, r), _HIT), k)
-
-
-def _nearest_of_length(good: DataFrame, every: int, k: int, trees: int, least: int, seed: int) -> DataFrame:
+    wanted = asked.select("tree", "prefix").distinct()
+    held = cut(distinct.select("class_id", "embedding").mapInArrow(keys("class_id"), "tree long, prefix long, class_id long").join(wanted, ["tree", "prefix"], "left_semi"), "held")
+    sizes = cut(held.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("long").alias("blocks")), "sizes")
+    spot = ["tree", "prefix", "block"]
+    own = held.join(sizes, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    own = own.select(*spot, F.col("class_id").alias("c")).join(distinct.select(F.col("class_id").alias("id"), "embedding"), F.col("c") == F.col("id")).drop("c")
+    mine = asked.join(sizes, ["tree", "prefix"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*spot, F.col("query_id").alias("q"))
+    want = max(k, least // trees)
+
+    def build(key, points):
+        cell = Cell(points, key[0], trees, bits, seed)
+        return lambda x, known: cell.search(x, known, k, want, trees)
+
+    ask = lambda who: mine.join(who.select(F.col("query_id").alias("id"), "embedding", "known"), F.col("q") == F.col("id")).drop("q")
+    first = cut(_asked(own, ask(queries.withColumn("known", F.lit(-1.0))), spot, build, k), "met")
+    bound = _kth(_best(first, k), k)
+    reach = first.groupBy(F.col("query_id").alias("_r")).agg(F.max("used").alias("used"))
+    known = queries.join(bound, F.col("query_id") == F.col("_q"), "left").join(reach, F.col("query_id") == F.col("_r"), "left").withColumn("known", F.greatest("known", F.coalesce("bound", F.lit(-1.0))))
+    known = cut(known.select("query_id", "embedding", "known", F.coalesce("used", F.lit(bits)).alias("used")), "bounds")
+    # a prefix of this many bits meets a nearer vector; without k hits there is no bound, and the whole cell is asked
+    safe = F.lit(bits)
+    for length in range(bits + 1, BITS + 1):
+        safe = F.when(F.col("known") >= safe_cosine(length, trees), F.lit(length)).otherwise(safe)
+    again = known.filter(safe < F.col("used")).withColumn("known", F.greatest("known", F.lit(-0.999)))
+    second = cut(_asked(own, ask(again), spot, build, k), "met")
+    hits = first.unionByName(second)
+    best = _kth(_best(hits, k), k)
+    rest = known.join(best, F.col("query_id") == F.col("_q"), "left").withColumn("known", F.greatest("known", F.coalesce("bound", F.lit(-1.0)))).filter(F.col("known") < safe_cosine(bits, trees))
+    rest = cut(rest.select("query_id", "embedding", "known"), "left")
+    drop(asked, held, sizes, known)
+    return hits, rest
+
+
+def _ask_all(distinct: DataFrame, queries: DataFrame, n: int, k: int, trees: int, least: int, seed: int) -> DataFrame:
+    """Hits of each query (query_id, embedding, known) among all; every shard has a forest over its rows, built once, which all queries ask."""
+    shards = max(1, -(-n // SHARD_ROWS))
+    rows = distinct.select(F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), F.col("class_id").alias("id"), "embedding")
+    asks = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("query_id").alias("id"), "embedding", "known")
+
+    def build(_, points):
+        forest = PrefixForest(points, trees, seed)
+
+        def search(x, known):
+            for i, at, scores in forest.search(x, known, k, least):
+                if len(at):
+                    yield i, at, scores, 0
+
+        return search
+
+    return _asked(rows, asks, ["shard"], build, k)
+
+
+def _nearest_of_length(good: DataFrame, every: int, k: int, trees: int, least: int, seed: int, effort: bool = False) -> DataFrame:
     # a class's k + 1 smallest ids are enough: one may be the query itself; and so are k + 1 classes
     numbered = good.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     distinct = cut(_smallest_ids(numbered, k + 1), "classes")
     queries = good.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct().withColumn("known", F.lit(-1.0))
     n, dims = distinct.count(), good.select(F.size("embedding")).first()
     dims, found, left = dims[0] if dims else 0, [], queries
-    bits = int(np.log2(max(1, n / SHARD_ROWS)))
+    bits = int(np.log2(max(1, n / CELL_ROWS)))
     while 2**bits > trees:
-        best = _ask_prefixes(distinct, left, bits, k + 1, trees, dims, seed)
-        found.append(best)
-        bound = best.groupBy(F.col("query_id").alias("of")).agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("hits"))
-        known = F.when(F.col("hits") > k, F.greatest("known", "bound")).otherwise(F.col("known"))
-        left = left.join(bound, F.col("query_id") == F.col("of"), "left").withColumn("known", F.coalesce(known, "known")).filter(F.col("known") < safe_cosine(bits, trees))
-        left = cut(left.select("query_id", "embedding", "known"), "left")
+        hits, left = _ask_prefixes(distinct, left, bits, k + 1, trees, dims, least, seed)
+        found.append(hits)
         bits -= 4
-    asked = left.count()
-    if asked or not found:
-        found.append(_ask_all(distinct, left, n, asked, k + 1, trees, least, seed))
+    if not found or left.limit(1).count():
+        found.append(_ask_all(distinct, left, n, k + 1, trees, least, seed))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    hits = (_best(hits, k + 1) if len(found) > 1 else hits).withColumnRenamed("class_id", "hit")
-    each = hits.join(distinct.select("class_id", "firsts"), F.col("hit") == F.col("class_id")).select("query_id", "score", F.explode("firsts").alias("vec_id")).filter("vec_id <> query_id")
+    best = _best(hits, k + 1).withColumnRenamed("class_id", "hit")
+    each = best.join(distinct.select("class_id", "firsts"), F.col("hit") == F.col("class_id")).select("query_id", "score", F.explode("firsts").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if effort:
+        out = out.join(hits.groupBy("query_id").agg(F.sum("met").alias("met")), "query_id")
+    return out
 
 
 def _smallest_ids(numbered: DataFrame, k: int) -> DataFrame:
