@@ -138,11 +138,10 @@ def archive_after(told: DataFrame, speakers: DataFrame, archive: DataFrame, key:
 
     New entries follow all old ones, in the order of ``ord``. The thresholds after a review are ``calibrate`` of this.
     """
-    last = archive.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    last, least = archive.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0], speakers.agg(F.coalesce(F.min("ord"), F.lit(0))).first()[0]
     new = told.filter("status = 'archived'").select(F.col(key).alias("_v"), F.col("spk").alias("_s"), "person", "lang")
     mine = speakers.select(key, "spk", "ord", "sample", "vec").join(new, (F.col(key) == F.col("_v")) & (F.col("spk") == F.col("_s")))
-    least = speakers.agg(F.min("ord").alias("least"))
-    came = mine.join(F.broadcast(last.join(least)), F.lit(True)).select((F.col("last") + 1 + F.col("ord") - F.col("least")).alias("seq"), "person", "lang", "vec", F.col("sample").alias("ref_path"))
+    came = mine.select((F.col("ord") + (last + 1 - least)).alias("seq"), "person", "lang", "vec", F.col("sample").alias("ref_path"))
     return fifo_cap(archive.select("seq", "person", "lang", "vec", "ref_path").unionByName(came), CAP)
 
 

@@ -132,15 +132,16 @@ def _brackets(bins: DataFrame, genuine: DataFrame, share: float) -> DataFrame:
     return both.select("lang", "bin", "g_under", "n_under", "g_all", "n_all", (F.col("g_under") + F.col("g") + F.col("n_under") + F.col("n") == F.col("g_all") + F.col("n_all")).alias("last"), F.inline(wanted))
 
 
-def _quantile(brackets: DataFrame, exact: DataFrame, purpose: str, name: str) -> DataFrame:
-    """The quantile of each language between the scores at its two places (_q, name)."""
-    rows = exact if purpose == "all" else exact.filter("cross")
-    counted = rows.groupBy("lang", "bin", "score").agg(F.sum("n").alias("n"))
-    under = F.coalesce(F.sum("n").over(Window.partitionBy("lang", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counted.withColumn("under", under).select(F.col("lang").alias("_l"), F.col("bin").alias("_b"), "score", "under", "n")
-    met = brackets.filter(F.col("purpose") == purpose).join(placed, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("bin") == F.col("_b")) & (F.col("under") <= F.col("place")) & (F.col("place") < F.col("under") + F.col("n")))
-    at = lambda which: F.max(F.when(F.col("name") == which, F.col("score")))
-    return met.groupBy(F.col("lang").alias("_q")).agg(at("low").alias("low"), at("high").alias("high"), F.max("share").alias("share")).select("_q", (F.col("low") * (1 - F.col("share")) + F.col("high") * F.col("share")).alias(name))
+def _quantiles(brackets: DataFrame, exact: DataFrame) -> DataFrame:
+    """(_q, p99, cross99): the quantiles of each language between the scores at their two places."""
+    purposes = F.explode(F.when(F.col("cross"), F.array(F.lit("all"), F.lit("cross"))).otherwise(F.array(F.lit("all"))))
+    counted = exact.select("lang", "bin", "score", "n", purposes.alias("for")).groupBy("lang", "bin", "for", "score").agg(F.sum("n").alias("n"))
+    under = F.coalesce(F.sum("n").over(Window.partitionBy("lang", "bin", "for").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumn("under", under).select(F.col("lang").alias("_l"), F.col("bin").alias("_b"), "for", "score", "under", "n")
+    met = brackets.join(placed, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("bin") == F.col("_b")) & (F.col("purpose") == F.col("for")) & (F.col("under") <= F.col("place")) & (F.col("place") < F.col("under") + F.col("n")))
+    at = lambda purpose, name, c: F.max(F.when((F.col("purpose") == purpose) & (F.col("name") == name), F.col(c)))
+    between = lambda p: at(p, "low", "score") * (1 - at(p, "low", "share")) + at(p, "high", "score") * at(p, "low", "share")
+    return met.groupBy(F.col("lang").alias("_q")).agg(between("all").alias("p99"), between("cross").alias("cross99"))
 
 
 def _equal_error(brackets: DataFrame, exact: DataFrame, genuine: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def calibrate(archive: DataFrame) -> DataFrame:
     m = margins.groupBy(F.col("lang").alias("_m")).agg(F.count(F.lit(1)).alias("margin_n"), F.expr("percentile(margin, 0.05)").alias("m5"))
     i = imp.groupBy(F.col("lang").alias("_i")).agg(F.sum("n").alias("impostor_n"), F.sum(F.when(F.col("cross"), F.col("n")).otherwise(0)).alias("cross_impostor_n"), F.max("most").alias("most"))
     df = archive.select("lang").distinct()  # a null language has a tier of its own
-    parts = ((g, "_g"), (m, "_m"), (i, "_i"), (_quantile(brackets, exact, "all", "p99"), "_q"), (_quantile(brackets, exact, "cross", "cross99"), "_q"), (_equal_error(brackets, exact, genuine), "_e"))
+    parts = ((g, "_g"), (m, "_m"), (i, "_i"), (_quantiles(brackets, exact), "_q"), (_equal_error(brackets, exact, genuine), "_e"))
     for part, name in parts:
         df = df.join(part, F.col("lang").eqNullSafe(F.col(name)), "left").drop(name)
     thr = F.when(F.col("impostor_n") < 20, F.greatest("p99", F.col("most") + 0.02)).otherwise(F.col("p99"))
