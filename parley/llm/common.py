@@ -162,9 +162,11 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], tag: str, ke
     columns = [c for c in laid.columns if c != "_at"]
     laid = laid.withColumn("_part", F.shiftright("_at", 33))
     held = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    whole = held.groupBy(*keys).agg(F.sum("_n").alias("total")).select(*[F.col(k).alias(f"_w_{k}") for k in keys], "total")
-    held = running_total(held, keys, "_part", "_n", "_before")
-    held = held.join(whole, same_keys(keys, "_w_"))  # without keys a single row, for one row of each range
+    if keys:
+        whole = held.groupBy(*keys).agg(F.sum("_n").alias("total")).select(*[F.col(k).alias(f"_w_{k}") for k in keys], "total")
+        held = running_total(held, keys, "_part", "_n", "_before").join(whole, same_keys(keys, "_w_"))
+    else:
+        held = running_total(held, keys, "_part", "_n", "_before").withColumn("total", F.lit(laid.count()))
     starts = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_part").alias("_p"), (F.col("_before") - F.col("_first")).alias("_shift"), "total")
     met = laid.join(starts, same_keys(keys, "_h_") & (F.col("_part") == F.col("_p")))
     out = cut(met.select(*columns, (F.col("_at") + F.col("_shift")).alias("place"), "total"), tag)
