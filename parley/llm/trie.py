@@ -24,7 +24,7 @@ from parley.llm.merkle import crc32_sql
 #: Turns of an array, and bytes of a turn's digest.
 BAND, WIDTH = 64, 16
 #: Arrays of a range, ranges that are stitched in one task, and closed nodes and rows that a sweep holds.
-ROWS, STITCH, HELD, SENT = 20_000, 64, 20_000, 2048
+ROWS, STITCH, HELD, SENT = 100_000, 64, 20_000, 2048
 #: Ids of a row of ``ids``.
 IDS = 4096
 EMPTY = hashlib.sha256(b"").hexdigest()
