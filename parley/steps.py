@@ -16,6 +16,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch: shuffle files of an execution go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes that a file stands for, and bytes of its row groups, which tasks hold in memory.
 FILE_BYTES, BLOCK_BYTES = 128 << 20, 32 << 20
 
@@ -73,11 +75,16 @@ def compact(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. Small partitions share files."""
+    """Write ``df`` to the shared folder and read it back. Small partitions share files; the shuffle files of the write go with its end, for nothing reads them again."""
     spark, mine = df.sparkSession, _current.get()
     folder = f"parley-run-{mine.name}/" if mine else "parley-"
     path = f"{shared_dir(spark)}/{folder}{tag}-{uuid.uuid4().hex}"
-    compact(df).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        compact(df).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     found = spark.read.schema(df.schema).parquet(path)
     found._parley_path = path
     if mine:
