@@ -517,11 +517,12 @@ def _ask_prefixes(distinct: DataFrame, queries: DataFrame, bits: int, k: int, tr
     reach = first.groupBy(F.col("query_id").alias("_r")).agg(F.max("used").alias("used"))
     known = queries.join(bound, F.col("query_id") == F.col("_q"), "left").join(reach, F.col("query_id") == F.col("_r"), "left").withColumn("known", F.greatest("known", F.coalesce("bound", F.lit(-1.0))))
     known = cut(known.select("query_id", "embedding", "known", F.coalesce("used", F.lit(bits)).alias("used")), "bounds")
-    # a prefix of this many bits meets a nearer vector; without k hits there is no bound, and the whole cell is asked
+    # a prefix of this many bits meets a nearer vector
     safe = F.lit(bits)
     for length in range(bits + 1, BITS + 1):
         safe = F.when(F.col("known") >= safe_cosine(length, trees), F.lit(length)).otherwise(safe)
-    again = known.filter(safe < F.col("used")).withColumn("known", F.greatest("known", F.lit(-0.999)))
+    # who cannot be done here does not ask the cells again
+    again = known.filter((safe < F.col("used")) & (F.col("known") >= safe_cosine(bits, trees)))
     second = cut(_asked(own, ask(again), spot, build, k), "met")
     hits = first.unionByName(second)
     best = _kth(_best(hits, k), k)
