@@ -99,7 +99,8 @@ def dub_plan(lines: DataFrame, gap: int = 50, borrow: float = 0.5, preferred: fl
         key,
         "idx",
         F.when(fits, F.col("t1").cast("double")).when((F.col("wav_dur") <= wide) | (need <= preferred), F.col("t1") + F.col("lent")).otherwise(F.col("t1").cast("double")).alias("win_end"),
-        F.round(F.when(fits | (F.col("wav_dur") <= wide), F.lit(1.0)).when(need <= preferred, need).otherwise(F.least(F.lit(cap), F.col("wav_dur") / F.col("win"))), TEMPO).alias("tempo"),
+        # the scaled binary value is rounded, as SQL does: F.round with places rounds the shortest decimal text, which ends in 5 where the value is under the half
+        (F.round(F.when(fits | (F.col("wav_dur") <= wide), F.lit(1.0)).when(need <= preferred, need).otherwise(F.least(F.lit(cap), F.col("wav_dur") / F.col("win"))) * 10.0**TEMPO) / 10.0**TEMPO).alias("tempo"),
         F.when(fits, "fit").when(F.col("wav_dur") <= wide, "borrow").otherwise("atempo").alias("mode"),
     )
     return plan.withColumn("over", (F.col("mode") == "atempo") & (F.col("tempo") > preferred))

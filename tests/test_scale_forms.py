@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,16 @@ def test_sped_up_lines_are_counted_once_and_the_steep_ones_again(spark):
     assert {r["mode"]: r["n"] for r in sequences.mode_counts(plan).collect()} == {"fit": 1, "borrow": 1, "atempo": 3, "atempo_over": 2}
 
 
+def test_tempos_halfway_between_places_are_rounded_as_in_sql(spark):
+    lines = [(1600 * i, 1600 * (i + 1), 1600 + i) for i in range(700)]  # no silence to borrow; 1658 / 1600 is 1.03625, a bit under in binary
+    df = spark.createDataFrame([("v", i, *r) for i, r in enumerate(lines)], "video_id string, idx long, t0 long, t1 long, wav_dur long")
+    want = duckdb.sql("SELECT i, round(least(2.0, (1600 + i) / 1600::DOUBLE), 4) FROM range(699) r(i)").fetchall()
+    plan = {r["idx"]: r["tempo"] for r in sequences.dub_plan(df).collect()}
+    assert [(i, plan[i]) for i in range(699)] == want
+    heard = {r["idx"]: r["heard"] for r in sequences.render_track(df).collect()}
+    assert heard[58] == int(1658 / 1.0362 + 0.5) == 1600 and plan[58] == 1.0362
+
+
 def test_a_fold_carries_its_state_over_batches(spark):
     n = 60_000
     rows = spark.range(n).selectExpr("id % 3 AS k", "id AS ord").unionByName(spark.createDataFrame([(None, 1), (None, 2)], "k long, ord long"))
