@@ -138,14 +138,15 @@ def impostor_bins(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["la", "lb", "bin", "n", "most"])
 
 
-def impostor_scores(wanted: dict[tuple, list[int]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Scores, with how often they occur, of the wanted bins of (language, crossing or not)."""
+def impostor_scores(wanted: dict[tuple, list[int]], null_is_language: bool = True) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores, with how often they occur, of the wanted bins of (language, crossing or not); ``null_is_language`` as in ``voice.calibrate``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         for x, y, scores in _impostors(left, right):
             at = bin_of(scores)
-            for lang, cross in [(x, False)] if x == y else [(x, True), (y, True)]:
+            once = x == y or not null_is_language and (x is None or y is None)
+            for lang, cross in [(x, False)] if once else [(x, True), (y, True)]:
                 if found := wanted.get((lang, cross)):
                     values, n = np.unique(scores[np.isin(at, found)], return_counts=True)
                     rows += [(lang, cross, float(v), int(k)) for v, k in zip(values, n, strict=True)]

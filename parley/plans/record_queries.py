@@ -106,8 +106,8 @@ for _n in ("pr", "ge", "ot", "rv", "ma", "im", "g1", "m1", "i1", "al", "di", "cu
 
 @query(with_views("v_speakers v_capped", _LOOP + _AFTER + "," + re.sub(r"\b(ge|rv|ma|g1|m1|i1|e1)\.(?=\w)", r"\1_now.", _TWICE) + " SELECT lang, genuine_n, impostor_n, cross_impostor_n, margin_n, calibrated, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TIERS) + " FROM tiers_now WHERE lang IS NOT NULL", recursive=True))
 def recalibrate(v):
-    """The thresholds of each language after a review."""
-    return voice.calibrate(_after(v)).filter("lang IS NOT NULL").withColumns({c: F.round(c, 6) for c in _TIERS})
+    """The thresholds of each language after a review; null languages compare as in its SQL."""
+    return voice.calibrate(_after(v), null_is_language=False).filter("lang IS NOT NULL").withColumns({c: F.round(c, 6) for c in _TIERS})
 
 
 _RESULTS = """results AS (SELECT video_id, max(t1) AS written_at, count(*) % 7 <> 0 AS available, count(*) % 5 <> 0 AS has_vectors, list_sort(list(DISTINCT spk) FILTER (seg_ord % 9 <> 1)) AS have FROM v_segs GROUP BY ALL HAVING count(*) % 11 <> 0)"""
