@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: 5-word shingles, a similarity of 0.8 and more.
+    """One document of each group of near copies stays: 5-word shingles, a similarity of 0.8 and more, found by SimHash and settled by whole sets.
 
     The smallest doc_id of a group stays, with all rows that share it; rows with a null doc_id stay. Null and empty texts are
     copies of each other.

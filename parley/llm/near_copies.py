@@ -1,12 +1,15 @@
-"""Near copies at a similarity that few bits cannot tell, for operator 8: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
-
-At a similarity of 0.8 two SimHashes of 64 bits differ in about 10 bits, where a lossless grid needs cells that hold much
-of the table. So pairs come from minima of the shingles' hashes (25 bands of 5 minima: a pair at 0.8 shares a band with
-probability 0.99995, a closer one with more), and each pair is settled by its two whole sets.
-
-Equal sets are one class from the start, so copies never meet. A band's cell is a star first: each class is compared with
-the cell's smallest. What the stars leave apart is compared within the cells that still hold several components, cell by
-cell in a task's memory; only links leave a task, never pairs. Large stars are salted, large cells parted into blocks.
+"""Near copies at a similarity that 4 of 64 bits cannot tell, for operator 8: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash finds the candidates as in ``simhash``: fingerprints, a grid over the bit counts of two-bit segments, the Manhattan
+bound of all segments, then the exact distance. At a similarity of 0.8 two fingerprints differ in about 15 % of their bits, so there are four
+of 64 bits, each cell looks at a drawn choice of one's segments, and bound and distance run over that one and the next. Cells are
+no longer lossless: a pair at 0.8 shares one with a probability of about 0.999 (MinHash bands: 0.99995), a closer one with more. The more documents, the more
+segments a cell looks at and the more cells there are. Sets of few shingles, whose bits are ruled by ties, are also dealt by their first
+shingles in order of hash, of which a pair at 0.8 shares one for certain. Candidates are settled by their two whole sets.
+
+Equal sets are one class from the start, so copies never meet. What is near within a cell is a group, and a star first: each class is compared
+with the group's smallest. What the stars leave apart is compared within the groups that still hold several components, group by
+group in a task's memory; only links leave a task, never pairs. Large stars are salted, large groups parted into blocks.
 """
 
 from __future__ import annotations
@@ -18,18 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import components, cut, drop, give_back, sliced
-from parley.llm.simhash import LOWER
+from parley.llm.simhash import LOWER, segment_counts
 from parley.llm.substring import Words, _mix, _powers
 
-#: Words of a shingle; bands and the minima in each.
-WIDTH, BANDS, ROWS = 5, 25, 5
+#: Words of a shingle; fingerprints of 64 bits; bits of two of them that near copies differ in at most.
+WIDTH, WORDS, DISTANCE = 5, 4, 36
+#: Segments that a cell looks at, and classes up to which they are enough: 8/3 as many ask for one more, as two in 8/3 have equal counts.
+LEAST_SEGMENTS, ENOUGH = 7, 1 << 18
+#: Share of segments with equal counts at a similarity of 0.8, and how seldom such a pair may share no cell.
+EQUAL, MISS = 0.73, 0.00001
+#: Shingles of a set up to which no pair at 0.8 with it is missed.
+FEW = 16
 #: Least similarity of near copies, as a fraction.
 SHARE = (4, 5)
 #: Classes of a salt of a star, and of a block of a cell.
 STAR, BLOCK = 512, 512
-#: Shingles whose minima are taken at a time, and bytes of texts.
+#: Rows of a cell that are compared with all of it at a time; shingles whose bits are counted at a time, and bytes of texts.
+SLAB = 256
 CHUNK, STEP = 1 << 12, 1 << 20
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,18 +63,118 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return shingle_sets([text.encode("utf-8", "surrogatepass") if text else None], width)[0]
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """The bands of a set, as numbers: equal where all minima of a band are. None for the empty set."""
+def fingerprints_of(shingles: np.ndarray) -> np.ndarray:
+    """The SimHashes of a set, ``WORDS`` of 64 bits; none for the empty set."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    counts = np.zeros(64 * WORDS, np.int64)
     for a in range(0, len(shingles), CHUNK):
-        least = np.minimum(least, (_FACTORS[:, None] * shingles[a : a + CHUNK]).min(axis=1))
-    least, key = least.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        key = (key ^ least[:, k]) * _FOLD
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+        hashes = _mix(shingles[a : a + CHUNK, None] * _FACTORS)
+        counts += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view(np.int64)
+
+
+def prefix_of(shingles: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, as numbers, so many that a near copy shares one; none of a set too large to be near one of ``FEW``."""
+    n = len(shingles)
+    return shingles[: n + 1 + -SHARE[0] * n // SHARE[1] if n and SHARE[0] * n <= SHARE[1] * FEW else 0].view(np.int64)
+
+
+def cell_masks(n: int) -> np.ndarray:
+    """The bits of the counts that each kind of cell looks at, for ``n`` classes; kind k is of fingerprint k modulo ``WORDS``."""
+    segments = LEAST_SEGMENTS
+    while n > ENOUGH * (8 / 3) ** (segments - LEAST_SEGMENTS) and segments < 32:
+        segments += 1
+    kinds = int(np.ceil(np.log(MISS) / np.log1p(-(EQUAL**segments))))
+    draw = np.random.default_rng(17)
+    return np.array([sum(3 << (2 * int(i)) for i in draw.choice(32, segments, replace=False)) for _ in range(kinds)], np.uint64)
+
+
+def _spread(masks: np.ndarray):
+    """Classes with their fingerprints -> a row for each kind of cell, with the cell's fingerprint and the next. A shingle's cell has none: all in it are candidates."""
+    kind = np.arange(len(masks))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                fps = part.column("fps").flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+                key = (segment_counts(fps)[:, kind % WORDS] & masks) + kind.astype(np.uint64) * _FOLD
+                key = _mix(key * _FOLD).view(np.int64)
+                first, second = fps[:, kind % WORDS].view(np.int64), fps[:, (kind + 1) % WORDS].view(np.int64)
+                mine = np.repeat(part.column("class").to_numpy(), len(masks))
+                yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (key, first, second, mine)], ["cell", "fp", "fp2", "class"])
+                listed = part.column("prefix")
+                keys = listed.flatten().to_numpy()
+                owner = np.repeat(part.column("class").to_numpy(), listed.value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, np.zeros_like(keys), np.zeros_like(keys), owner)], ["cell", "fp", "fp2", "class"])
+
+    return run
+
+
+def near_in_cell(fps: np.ndarray) -> np.ndarray:
+    """Number of its group (that of its first row) for each row of a cell's fingerprints: what links at ``DISTANCE`` or fewer bits, directly or by others."""
+    low, counts = np.uint64(0x5555555555555555), segment_counts(fps)
+
+    def links(rows, among):
+        """Which rows are near which: the Manhattan bound of the segments first, then the distance."""
+        apart = np.zeros((len(rows), len(among)), np.uint16)
+        for w in range(fps.shape[1]):
+            differ = counts[rows, w][:, None] ^ counts[among, w]
+            high = (differ >> np.uint64(1)) & low
+            apart += np.bitwise_count(high)
+            apart += np.bitwise_count(high ^ (differ & low))
+        i, j = np.nonzero(apart <= DISTANCE)
+        exact = np.bitwise_count(fps[rows[i]] ^ fps[among[j]]).sum(axis=1, dtype=np.int64) <= DISTANCE
+        return i[exact], j[exact]
+
+    if (fps == fps[0]).all():
+        return np.zeros(len(fps), np.int64)
+    every = np.arange(len(fps))
+    met = np.zeros(len(fps), bool)
+    for at in range(0, len(fps), SLAB):
+        i, j = links(every[at : at + SLAB], every[at:])
+        met[at + i[i != j]] = met[at + j[i != j]] = True
+    group, left = every.copy(), np.flatnonzero(met)
+    while len(left):
+        root, queue, left = left[0], left[:1], left[1:]
+        while len(queue) and len(left):
+            hit = np.zeros(len(left), bool)
+            hit[links(queue[:SLAB], left)[1]] = True
+            group[left[hit]] = root
+            queue, left = np.concatenate([queue[SLAB:], left[hit]]), left[~hit]
+    return group
+
+
+def _grouped(batches):
+    """Rows sorted by cell -> group and class of all that is near another of its cell; a cell that goes on in the next batch waits for its end."""
+    names, rest = ("cell", "fp", "fp2", "class"), None
+
+    def emit(rows):
+        edges = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
+        out_g, out_c = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                group = near_in_cell(np.ascontiguousarray(rows[a:b, 1:3]).view(np.uint64))
+                size = np.bincount(group, minlength=b - a)[group]
+                at = np.flatnonzero(size > 1)
+                if len(at):
+                    # a group is called by its cell and its first class
+                    out_g.append(_mix((rows[a, 0].astype(np.uint64) ^ rows[a + group[at], 3].view(np.uint64) * _FOLD)).view(np.int64))
+                    out_c.append(rows[a + at, 3])
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (out_g, out_c)], ["cell", "class"])
+
+    for batch in batches:
+        got = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        got = got if rest is None else np.concatenate([rest, got])
+        last = np.flatnonzero(got[:, 0] != got[-1, 0]) if len(got) else ()
+        split = last[-1] + 1 if len(last) else 0
+        rest = got[split:]
+        if split:
+            yield emit(got[:split])
+    if rest is not None and len(rest):
+        yield emit(rest)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -82,15 +192,19 @@ def _sets(batch, column: str, width: int) -> list[np.ndarray]:
     return shingle_sets(batch.column(column).cast(pa.binary()).to_pylist(), width)
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+
 def _mark(width: int):
     def run(batches):
         for batch in sliced(batches, STEP):
             sets = _sets(batch, "text", width)
             class_of = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            bands = [bands_of(s) for s in sets]
-            at = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(class_of), pa.array([len(s) for s in sets], pa.int64()), listed], ["doc_id", "key", "class", "size", "bands"])
+            fps = [fingerprints_of(s) for s in sets]
+            fps, firsts = _lists(fps), _lists([prefix_of(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(class_of), pa.array([len(s) for s in sets], pa.int64()), fps, firsts], ["doc_id", "key", "class", "size", "fps", "prefix"])
         give_back()
 
     return run
@@ -169,11 +283,13 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    marked = cut(keyed.mapInArrow(_mark(width), f"doc_id {kind}, key long, class long, size long, bands array<long>"), "sets")
-    classes = cut(marked.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("size").alias("size"), F.min("bands").alias("bands")), "classes")
-    cells = classes.select(F.explode("bands").alias("cell"), "class", "size")
+    marked = cut(keyed.mapInArrow(_mark(width), f"doc_id {kind}, key long, class long, size long, fps array<long>, prefix array<long>"), "sets")
+    classes = cut(marked.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("size").alias("size"), F.min("fps").alias("fps"), F.min("prefix").alias("prefix")), "classes")
+    dealt = classes.filter("size > 0").select("class", "fps", "prefix").mapInArrow(_spread(cell_masks(classes.count())), "cell long, fp long, fp2 long, class long")
+    groups = cut(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_grouped, "cell long, class long"), "groups")
+    cells = groups.join(classes.select(F.col("class").alias("of"), "size"), F.col("class") == F.col("of")).select("cell", "class", "size")
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "size")).alias("first"), F.bit_xor(F.xxhash64("class")).alias("mark")).filter("n > 1")
-    # bands that hold the same classes are one cell
+    # groups of the same classes are one
     shared = shared.groupBy("n", "first", "mark").agg(F.min("cell").alias("shared"))
     members = cut(cells.join(shared, F.col("cell") == F.col("shared")).select("cell", "class", "size", "n", "first"), "members")
     needed = members.select("class").distinct().join(classes.select(F.col("class").alias("named"), "key"), F.col("class") == F.col("named")).select("named", F.col("key").alias("needed"))
@@ -203,5 +319,5 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     named = cut(classes.join(reach, F.col("class") == F.col("node"), "left").select(F.col("class").alias("named"), F.coalesce("component", "class").alias("component"), "least"), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = cut(named.drop("least").join(least, "component").select("named", "component_id"), "final")
-    drop(classes, members, texts, links, joined, rest, named)
+    drop(classes, groups, members, texts, links, joined, rest, named)
     return marked.select("doc_id", "class").join(final, F.col("class") == F.col("named")).select("doc_id", "component_id")

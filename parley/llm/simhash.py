@@ -225,7 +225,7 @@ def keep_first(docs: DataFrame, width: int = 4, similarity: float | None = None,
     """One document of each group stays, the one with the smallest doc_id, with all its columns.
 
     Groups are those of ``near_duplicates``, or with a ``similarity`` (0.8) those of documents whose sets of ``width``-word
-    shingles are as similar: 64 bits do not tell these, see ``near_copies``. Rows that share a doc_id are one document; rows
+    shingles are as similar: candidates by longer SimHashes, settled by whole sets, see ``near_copies``. Rows that share a doc_id are one document; rows
     with a null id stay; null and empty texts are copies of each other. No rows give none.
     """
     if similarity is None:
@@ -234,7 +234,7 @@ def keep_first(docs: DataFrame, width: int = 4, similarity: float | None = None,
         from parley.llm import near_copies
 
         if similarity * near_copies.SHARE[1] != near_copies.SHARE[0]:
-            raise ValueError("bands are made for a similarity of 0.8")
+            raise ValueError("cells are made for a similarity of 0.8")
         found = near_copies.near_copies(docs, width)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     # the caller's columns go under names of their own, so none of them can clash

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import near_copies as c
@@ -89,3 +90,56 @@ def test_repeats_nulls_and_no_rows(spark):
     docs = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b"), (1, "A B")], "doc_id long, text string")
     assert {x["component_id"] for x in c.near_copies(docs).collect()} == {1}
     assert c.near_copies(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_are_majorities_of_bits():
+    for n in (0, 1, 2, 3, 50, 9000):
+        shingles = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
+        hashes = [int(x) for x in c._mix(shingles[:, None] * c._FACTORS).ravel()]
+        want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes[w :: c.WORDS]) > n) for w in range(c.WORDS)] if n else []
+        assert c.fingerprints_of(shingles).view(np.uint64).tolist() == want
+
+
+def test_candidates_share_a_cell_of_segment_counts_and_are_near():
+    """Pairs of sets at a similarity of 0.8, the least there is: of their SimHashes nearly all share a cell in which they are near."""
+    r, found, total = np.random.default_rng(4), 0, 600
+    for _ in range(total):
+        both, own, other = np.split(r.integers(0, 1 << 63, 200 + 50).astype(np.uint64), [200, 225])
+        sets = [np.sort(np.concatenate([both, x])) for x in (own, other)]
+        columns = [pa.array([1, 2]), c._lists([c.fingerprints_of(x) for x in sets]), c._lists([c.prefix_of(x) for x in sets])]
+        dealt, firsts = c._spread(c.cell_masks(1000))([pa.RecordBatch.from_arrays(columns, ["class", "fps", "prefix"])])
+        assert not firsts.num_rows
+        table = sorted(zip(*[x.to_pylist() for x in dealt.columns], strict=True))
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*table, strict=True)], dealt.schema.names)
+        found += any(b.num_rows for b in c._grouped([batch.slice(0, 31), batch.slice(31)]))
+    assert found >= 0.99 * total
+
+
+@pytest.mark.parametrize("slab", [256, 3])
+def test_near_in_a_cell_against_all_pairs(monkeypatch, slab):
+    monkeypatch.setattr(c, "SLAB", slab)
+    r = np.random.default_rng(6)
+    fps = r.integers(0, 1 << 63, (30, 2)).astype(np.uint64)
+    chain = [fps[0]]
+    for _ in range(12):  # each within the distance of the one before
+        chain.append(chain[-1] ^ np.array([sum(1 << int(b) for b in r.choice(64, 17, replace=False)) for _ in range(2)], np.uint64))
+    fps = np.concatenate([fps, chain])[r.permutation(43)]
+    want = np.arange(43)
+    for _ in range(43):
+        for i in range(43):
+            for j in range(43):
+                if sum(int(x).bit_count() for x in fps[i] ^ fps[j]) <= c.DISTANCE:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert c.near_in_cell(fps).tolist() == want.tolist()
+
+
+def test_few_shingles_share_one_of_the_first():
+    r = np.random.default_rng(7)
+    for n in range(1, c.FEW + 1):
+        for lost in range(n // 5 + 1):
+            for added in range(n):
+                if 5 * (n - lost) >= 4 * (n + added):
+                    for _ in range(30):
+                        x = r.integers(0, 1 << 63, n + added).astype(np.uint64)
+                        assert np.intersect1d(c.prefix_of(np.sort(x[:n])), c.prefix_of(np.sort(x[lost:]))).size
+    assert not len(c.prefix_of(np.arange(21, dtype=np.uint64))) and not len(c.prefix_of(np.zeros(0, np.uint64)))
