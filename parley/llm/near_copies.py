@@ -7,9 +7,12 @@ no longer lossless: a pair at 0.8 shares one with a probability of about 0.999 (
 segments a cell looks at and the more cells there are. Sets of few shingles, whose bits are ruled by ties, are also dealt by their first
 shingles in order of hash, of which a pair at 0.8 shares one for certain. Candidates are settled by their two whole sets.
 
-Equal sets are one class from the start, so copies never meet. What is near within a cell is a group, and a star first: each class is compared
-with the group's smallest. What the stars leave apart is compared within the groups that still hold several components, group by
-group in a task's memory; only links leave a task, never pairs. Large stars are salted, large groups parted into blocks.
+Equal sets are one class from the start, so copies never meet. What is near within a cell is a group, which leaves its task as its
+smallest class with each other one. The classes found are then settled by whole sets: of a set in order of how many of these classes
+hold a shingle, two at 0.8 share one of the first fifth, for certain, while a passage that many documents share comes last. Classes
+that share none go. A star is first: each class is compared with its groups' smallest. Of what holds such a shingle and is still of
+several components, each pair is compared at the first shingle it shares, in a task's memory; only links leave a task, never pairs.
+Large stars are salted, classes of one shingle parted into blocks, and a shingle's largest component never meets itself.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import components, cut, drop, give_back, sliced
@@ -34,7 +37,7 @@ EQUAL, MISS = 0.73, 0.00001
 FEW = 16
 #: Least similarity of near copies, as a fraction.
 SHARE = (4, 5)
-#: Classes of a salt of a star, and of a block of a cell.
+#: Classes of a salt of a star, and of a block of those that hold one shingle.
 STAR, BLOCK = 512, 512
 #: Rows of a cell that are compared with all of it at a time; shingles whose bits are counted at a time, and bytes of texts.
 SLAB = 256
@@ -147,7 +150,7 @@ def near_in_cell(fps: np.ndarray) -> np.ndarray:
 
 
 def _grouped(batches):
-    """Rows sorted by cell -> group and class of all that is near another of its cell; a cell that goes on in the next batch waits for its end."""
+    """Rows sorted by cell -> the first class of its group and class, of all that is near another of its cell; a cell that goes on in the next batch waits for its end."""
     names, rest = ("cell", "fp", "fp2", "class"), None
 
     def emit(rows):
@@ -159,11 +162,12 @@ def _grouped(batches):
                 size = np.bincount(group, minlength=b - a)[group]
                 at = np.flatnonzero(size > 1)
                 if len(at):
-                    # a group is called by its cell and its first class
-                    out_g.append(_mix((rows[a, 0].astype(np.uint64) ^ rows[a + group[at], 3].view(np.uint64) * _FOLD)).view(np.int64))
+                    first = rows[a:b, 3].copy()
+                    np.minimum.at(first, group, rows[a:b, 3])
+                    out_g.append(first[group[at]])
                     out_c.append(rows[a + at, 3])
         none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (out_g, out_c)], ["cell", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (out_g, out_c)], ["centre", "class"])
 
     for batch in batches:
         got = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
@@ -229,48 +233,94 @@ def _stars(width: int):
     return run
 
 
-def _cells(width: int):
-    """Rows sorted by cell and part -> links that join what is similar and was apart; a cell's part is in memory."""
+def _shingled(width: int):
+    """Classes with their texts -> a row for each of their shingles, with their number."""
+
+    def run(batches):
+        for batch in sliced(batches, STEP):
+            sets = _sets(batch, "text", width)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            columns = [np.repeat(batch.column("class").to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["class", "size", "shingle"])
+
+    return run
+
+
+def _met(width: int):
+    """Rows sorted by shingle and part -> links that join what is similar and was apart; a shingle's part is in memory.
+
+    ``place`` is the shingle's in the order of its class, ``earlier`` the shingles before it by which the class meets others.
+    """
 
     def run(batches):
         now, held = None, []
         for batch in sliced(batches, STEP):
-            names = ("cell", "part", "class", "component", "block")
-            for cell, part, member, component, block, own in zip(*[batch.column(c).to_pylist() for c in names], _sets(batch, "text", width), strict=True):
-                if (cell, part) != now and held:
+            names = ("shingle", "part", "class", "component", "block", "place", "earlier")
+            for shingle, part, *row, earlier, own in zip(*[batch.column(c).to_pylist() for c in names], _sets(batch, "text", width), strict=True):
+                if (shingle, part) != now and held:
                     yield settle(held)
                     held = []
-                now = (cell, part)
-                held.append((member, component, block, own))
+                now = (shingle, part)
+                held.append((*row, frozenset(earlier), own))
         if held:
             yield settle(held)
 
     def settle(held):
-        held.sort(key=lambda x: len(x[3]))
-        parent = {x[1]: x[1] for x in held}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        a, b, across = [], [], len({x[2] for x in held}) > 1
-        for i, (member, component, block, own) in enumerate(held):
-            for other, far, second, theirs in held[i + 1 :]:
-                if SHARE[1] * len(own) < SHARE[0] * len(theirs):
-                    break  # all further ones are larger still
-                if across and block == second:
-                    continue  # another part's pair
-                x, y = find(component), find(far)
-                if x != y and similar(own, theirs):
-                    parent[max(x, y)] = min(x, y)
-                    a.append(member)
-                    b.append(other)
+        held.sort(key=lambda x: len(x[5]))
+        size = np.array([len(x[5]) for x in held])
+        member, component, block, place = (np.array(x) for x in list(zip(*held, strict=True))[:4])
+        ahead = size - place  # what two sets can have in common from a shingle on that is their first
+        a, b, across = [], [], len(set(block.tolist())) > 1
+        for i, (*_, earlier, own) in enumerate(held):
+            end = np.searchsorted(SHARE[0] * size, SHARE[1] * size[i], "right")  # all further ones are larger still
+            j = np.arange(i + 1, end)
+            j = j[(component[j] != component[i]) & (sum(SHARE) * np.minimum(ahead[i], ahead[j]) >= SHARE[0] * (size[i] + size[j]))]
+            if across:
+                j = j[block[j] != block[i]]  # the others are another part's pairs
+            for k in j.tolist():
+                if component[k] != component[i] and earlier.isdisjoint(held[k][4]) and similar(own, held[k][5]):
+                    component[component == component[k]] = component[i]
+                    a.append(member[i])
+                    b.append(member[k])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _rarest(classes: DataFrame, width: int) -> DataFrame:
+    """Classes with their texts -> class, size, key and place for the shingles by which a class can meet one like it: those of its rarest that another holds.
+
+    Shingles are ordered by how many of the classes hold them, then by hash. A key is that pair, its place counts from 0.
+    """
+    shingled = cut(classes.mapInArrow(_shingled(width), "class long, size long, shingle long"), "shingles")
+    often = shingled.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").withColumnRenamed("shingle", "of")
+    listed = shingled.join(often, F.col("shingle") == F.col("of")).groupBy("class", "size").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("listed"))
+    # those that no other class holds come first
+    listed = listed.withColumn("alone", F.col("size") - F.size("listed"))
+    most = F.expr(f"cast(greatest(size + 1 - ({SHARE[0]} * size + {SHARE[1] - 1}) div {SHARE[1]} - alone, 0) as int)")
+    rows = listed.select("class", "size", "alone", F.posexplode(F.slice("listed", F.lit(1), most)).alias("at", "key"))
+    out = cut(rows.select("class", "size", "key", (F.col("alone") + F.col("at")).alias("place")), "rarest")
+    drop(shingled)
+    return out
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """class, component, key and place -> the rows whose key several components hold, by shingle, part and block; a row goes to each part that one of its pairs is of."""
+    same = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first"), F.bit_xor(F.xxhash64("class")).alias("mark"))
+    apart = same.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.min("first").alias("first"), F.bit_xor("mark").alias("mark"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    # keys of the same classes are one, the first
+    apart = apart.groupBy("n", "main", "first", "mark").agg(F.min("key").alias("apart"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    apart = apart.select("apart", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("small"), blocks(F.col("main.n")).alias("large"))
+    before = Window.partitionBy("class").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rows.join(apart, F.col("key") == F.col("apart")).withColumn("earlier", F.collect_list("key.shingle").over(before))
+    # the largest component has blocks of its own, which meet the others' only
+    large, number, every = F.col("component") == F.col("main"), F.xxhash64("class"), F.col("small") + F.col("large")
+    rest = rest.withColumn("block", F.when(large, F.col("small") + F.pmod(number, F.col("large"))).otherwise(F.pmod(number, F.col("small"))).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.when(large, F.col("small")).otherwise(every) - 1), lambda j: F.least("block", j).cast("long") * every + F.greatest("block", j))
+    return rest.select(F.col("key.shingle").alias("shingle"), F.explode(others).alias("part"), "class", "component", "block", "place", "earlier")
+
+
 def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.join(texts, F.col("class") == F.col("named")).drop("named")
 
@@ -286,18 +336,15 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     marked = cut(keyed.mapInArrow(_mark(width), f"doc_id {kind}, key long, class long, size long, fps array<long>, prefix array<long>"), "sets")
     classes = cut(marked.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("size").alias("size"), F.min("fps").alias("fps"), F.min("prefix").alias("prefix")), "classes")
     dealt = classes.filter("size > 0").select("class", "fps", "prefix").mapInArrow(_spread(cell_masks(classes.count())), "cell long, fp long, fp2 long, class long")
-    groups = cut(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_grouped, "cell long, class long"), "groups")
-    cells = groups.join(classes.select(F.col("class").alias("of"), "size"), F.col("class") == F.col("of")).select("cell", "class", "size")
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "size")).alias("first"), F.bit_xor(F.xxhash64("class")).alias("mark")).filter("n > 1")
-    # groups of the same classes are one
-    shared = shared.groupBy("n", "first", "mark").agg(F.min("cell").alias("shared"))
-    members = cut(cells.join(shared, F.col("cell") == F.col("shared")).select("cell", "class", "size", "n", "first"), "members")
-    needed = members.select("class").distinct().join(classes.select(F.col("class").alias("named"), "key"), F.col("class") == F.col("named")).select("named", F.col("key").alias("needed"))
+    groups = cut(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_grouped, "centre long, class long").distinct(), "groups")
+    needed = groups.select("class").distinct().join(classes.select(F.col("class").alias("named"), "key"), F.col("class") == F.col("named")).select("named", F.col("key").alias("needed"))
     texts = keyed.select("key", "text").join(needed, F.col("key") == F.col("needed")).groupBy("named").agg(F.min("text").alias("text"))
     texts = cut(texts, "texts")
 
-    alike = SHARE[1] * F.least("size", "first.size") >= SHARE[0] * F.greatest("size", "first.size")
-    stars = cut(members.filter((F.col("class") != F.col("first.class")) & alike).select(F.col("first.class").alias("centre"), "class").distinct(), "stars")
+    rare = _rarest(texts.withColumnRenamed("named", "class"), width)
+    live = rare.select("class", "size").distinct()
+    stars = groups.filter("class <> centre").join(live, "class").join(live.select(F.col("class").alias("of"), F.col("size").alias("most")), F.col("centre") == F.col("of"))
+    stars = cut(stars.filter(SHARE[1] * F.least("size", "most") >= SHARE[0] * F.greatest("size", "most")).select("centre", "class"), "stars")
     sizes = stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts")).withColumnRenamed("centre", "of")
     rays = stars.join(sizes, F.col("centre") == F.col("of")).select("centre", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"), "class")
     centres = sizes.select(F.col("of").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("of").alias("class"))
@@ -306,18 +353,14 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     drop(stars)
     reach = components(links)
 
-    joined = members.filter("n > 2").select("cell", "class").join(reach, F.col("class") == F.col("node"), "left").select("cell", "class", F.coalesce("component", "class").alias("component"))
-    joined = cut(joined, "joined")
-    apart = joined.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select(F.col("cell").alias("apart"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = joined.join(apart, F.col("cell") == F.col("apart")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
-    rest = cut(rest.withColumn("part", F.explode(others)).select("cell", "part", "class", "component", "block"), "rest")
+    joined = rare.join(reach, F.col("class") == F.col("node"), "left").select("class", "key", "place", F.coalesce("component", "class").alias("component"))
+    rest = cut(_parted(joined), "rest")
     if rest.head(1):
-        rows = _with_texts(rest, texts).repartition("cell", "part").sortWithinPartitions("cell", "part")
-        more = cut(rows.mapInArrow(_cells(width), "a long, b long"), "near")
+        rows = _with_texts(rest, texts).repartition("shingle", "part").sortWithinPartitions("shingle", "part")
+        more = cut(rows.mapInArrow(_met(width), "a long, b long"), "near")
         reach = components(links.union(more))
     named = cut(classes.join(reach, F.col("class") == F.col("node"), "left").select(F.col("class").alias("named"), F.coalesce("component", "class").alias("component"), "least"), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = cut(named.drop("least").join(least, "component").select("named", "component_id"), "final")
-    drop(classes, groups, members, texts, links, joined, rest, named)
+    drop(classes, groups, texts, links, rare, rest, named)
     return marked.select("doc_id", "class").join(final, F.col("class") == F.col("named")).select("doc_id", "component_id")

@@ -143,3 +143,42 @@ def test_few_shingles_share_one_of_the_first():
                         x = r.integers(0, 1 << 63, n + added).astype(np.uint64)
                         assert np.intersect1d(c.prefix_of(np.sort(x[:n])), c.prefix_of(np.sort(x[lost:]))).size
     assert not len(c.prefix_of(np.arange(21, dtype=np.uint64))) and not len(c.prefix_of(np.zeros(0, np.uint64)))
+
+
+def test_documents_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    """Fingerprints are near where a passage makes up most of a text; before, all of these met in each of their cells, thousands of rows."""
+    r, written, cut = random.Random(5), {}, c.cut
+
+    def counted(df, tag):
+        out = cut(df, tag)
+        written[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(c, "cut", counted)
+    word = lambda: f"w{r.randrange(4000)}"
+    passage = [word() for _ in range(120)]
+    texts = [[word() for _ in range(15)] + passage + [word() for _ in range(15)] for _ in range(120)]
+    texts += [edited(r, t, k) for t in texts[:10] for k in (1, 2)]
+    rows = list(zip(r.sample(range(5000), len(texts)), [" ".join(t) for t in texts], strict=True))
+    want = plain_groups(rows)
+    assert {x["doc_id"]: x["component_id"] for x in c.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert len(set(want.values())) < len(rows) - 10  # some are near copies
+    assert written["rest"] <= 2 * len(rows) and written["stars"] <= 2 * len(rows)
+
+
+def test_parts_hold_all_pairs_of_components_and_a_large_one_does_not_meet_itself(spark, monkeypatch):
+    monkeypatch.setattr(c, "BLOCK", 7)
+    counts = []
+    for m in (60, 120):
+        rows = [(i, 0 if i < m else i, (2, 9), 3) for i in range(m + 10)] + [(i, 0, (2, 5), 1) for i in range(m)] + [(i, 0 if i < m else i, (2, 10), 4) for i in range(m + 10)]
+        rows = spark.createDataFrame(rows, "class long, component long, key struct<held:long,shingle:long>, place long")
+        got = c._parted(rows).collect()
+        assert {x["shingle"] for x in got} == {9}  # one component holds the 5, and the 10 has the classes of the 9
+        parts = {}
+        for x in got:
+            parts.setdefault(x["part"], []).append(x)
+        met = [tuple(sorted((x["class"], y["class"]))) for p in parts.values() for x in p for y in p if x["class"] < y["class"] and (x["block"] != y["block"] or len({z["block"] for z in p}) == 1)]
+        apart = [p for p in met if p[1] >= m]
+        assert len(apart) == len(set(apart)) == 10 * m + 45 and not [p for p in met if p[1] < m]
+        counts.append(len(got))
+    assert counts[1] <= 2 * counts[0]
